@@ -5,9 +5,12 @@ symmetric difference of linked sets is H, so of segments whose allowances (1: eq
 H + 1, two linked sets agree in one at least. How many segments take the one-deletion neighbourhood is chosen for each
 band by cost: signatures that a set emits against chance meetings among the sets that the band has.
 
-Documents with equal sets are one class. Candidates of a signature first meet its smallest class only (a star, linear in
-the signatures); those that the links found do not join already meet each other afterwards, so no link between different
-classes is lost and no group is expanded into pairs as long as its members link.
+Documents with equal sets are one class. Candidates of a signature first meet its most central class only (a star, linear
+in the signatures). What the links found leave in different components may still link: in small signatures such classes
+meet in pairs, of which parity sketches drop those too far apart within the join; in large ones (families of near copies around one text, most of which agree in the segments that nobody
+changed) each class probes with an allocation of its own, which gives the crowded segments no unit and takes
+one-deletion neighbourhoods of uncrowded ones instead. So no link between different classes is lost, and a family is
+not expanded into pairs.
 """
 
 from __future__ import annotations
@@ -24,6 +27,12 @@ from pyspark.sql import functions as F
 from .common import U64, WordCodes, components, gram_hashes, join_ids, mix, small_batches, store
 
 
+#: Undecided signatures of at most so many classes meet in pairs; those of larger ones take allocated probes.
+FEW = 1000
+#: Longs of a parity sketch.
+SKETCH = 8
+
+
 def shingles(text: str | None, q: int, codes: WordCodes) -> np.ndarray:
     """Sorted distinct hashes of the q-word shingles; the whole sequence if there are fewer words; empty without words."""
     words = text.encode().lower().split() if text else []
@@ -124,6 +133,117 @@ def _verified(batches: Iterator[pd.DataFrame], q: int, percent: int) -> Iterator
         yield pdf.loc[keep, ["a", "b"]]
 
 
+def _segments(s: np.ndarray, band: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(exact key of each segment, segment and hash of each member, key of its segment without it)."""
+    salt = U64((band * 0x9E3779B97F4A7C15 + 0x7654321) & (2**64 - 1))
+    x = mix(s + salt)
+    seg = ((x >> U64(11)) % U64(m)).astype(np.int64)
+    acc = np.zeros(m, dtype=U64)
+    np.add.at(acc, seg, x)
+    places = np.arange(m, dtype=U64) * U64(0xD6E8FEB86659FD93) + salt
+    return mix(acc ^ places), seg, x, mix((acc[seg] - x) ^ places[seg])
+
+
+def _own_plans(s: np.ndarray, los: np.ndarray, plans: list) -> list[tuple[int, int]]:
+    band = int(np.searchsorted(los, len(s), "right")) - 1
+    return [(b, plans[b][0]) for b in (band, band - 1) if b >= 0]
+
+
+def _indexed(batches: Iterator[pd.DataFrame], q: int, los: np.ndarray, plans: list) -> Iterator[pd.DataFrame]:
+    codes = WordCodes()
+    for pdf in batches:
+        parts = []
+        for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+            s = shingles(text, q, codes)
+            for b, m in _own_plans(s, los, plans):
+                exact, seg, _, near = _segments(s, b, m)
+                keys = np.concatenate((exact, near))
+                slots = np.concatenate((np.arange(m), seg)) + (b << 24)
+                parts.append((keys.view(np.int64), np.full(len(keys), doc, dtype=np.int64), slots, np.arange(len(keys)) < m))
+        if parts:
+            yield pd.DataFrame(dict(zip(("key", "doc", "slot", "exact"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
+
+
+def allocate(m: int, units: int, costs: dict[int, tuple[int, int]]) -> np.ndarray:
+    """Allowance (0, 1 or 2) of each segment, units in all at least, of least cost: costs has (equal, near) meetings."""
+    one, two = np.zeros(m), np.zeros(m)
+    for seg, (f1, f2) in costs.items():
+        one[seg], two[seg] = f1, f2
+    block = two < 2 * one  # both units at once are cheaper than the first alone, twice
+    first, second = np.where(block, two / 2, one), np.where(block, two / 2, two - one)
+    order = np.argsort(np.concatenate((first, second)), kind="stable")
+    out = np.zeros(m, dtype=np.int64)
+    for k in order.tolist():
+        if units <= 0:
+            break
+        seg = k % m
+        if block[seg]:
+            if not out[seg]:
+                out[seg] = 2
+                units -= 2
+        else:
+            out[seg] += 1
+            units -= 1
+    return out
+
+
+def _probing(batches: Iterator[pd.DataFrame], q: int, los: np.ndarray, plans: list, most: list) -> Iterator[pd.DataFrame]:
+    codes = WordCodes()
+    for pdf in batches:
+        keys, docs = [], []
+        for doc, text, slots, f1, f2 in zip(pdf["doc_id"], pdf["text"], pdf["slots"], pdf["f1"], pdf["f2"], strict=True):
+            s = shingles(text, q, codes)
+            costs = dict(zip(map(int, slots), zip(f1, f2, strict=True), strict=True)) if slots is not None else {}
+            for b, m in _own_plans(s, los, plans):
+                exact, seg, _, near = _segments(s, b, m)
+                give = allocate(m, most[b] + 1, {k & 0xFFFFFF: v for k, v in costs.items() if k >> 24 == b})
+                keys += [exact[give > 0], near[give[seg] == 2]]
+                docs.append(np.full(len(keys[-1]) + len(keys[-2]), doc, dtype=np.int64))
+        if keys:
+            yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "doc": np.concatenate(docs)})
+
+
+def _sketched(batches: Iterator[pd.DataFrame], q: int) -> Iterator[pd.DataFrame]:
+    codes = WordCodes()
+    for pdf in batches:
+        sets = [shingles(t, q, codes) for t in pdf["text"]]
+        bits = np.zeros((len(sets), 64 * SKETCH), dtype=np.uint8)
+        for row, s in zip(bits, sets, strict=True):
+            row[:] = np.bincount((mix(s + U64(0x632BE5AB)) % U64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+        longs = np.packbits(bits, axis=1).view(np.int64)
+        yield pd.DataFrame({"doc": pdf["doc_id"], "size": [len(s) for s in sets], **{f"k{i}": longs[:, i] for i in range(SKETCH)}})
+
+
+def _may_link(percent: int) -> F.Column:
+    """Of x and y with sizes and sketches: bits of parity that differ are members that differ, so too many are no link."""
+    apart = " + ".join(f"bit_count(x.k{i} ^ y.k{i})" for i in range(SKETCH))
+    total = "(x.size + y.size)"
+    return F.expr(f"{percent} * greatest(x.size, y.size) <= 100 * least(x.size, y.size) and {apart} <= {total} - 2 * (({percent} * {total} + {99 + percent}) div {100 + percent})")
+
+
+def hot_pairs(hot: DataFrame, sketches: DataFrame, texts: DataFrame, q: int, bounds: list, plans: list, percent: int) -> DataFrame:
+    """Candidates (a, b) across components among the documents of large signatures: (sig, doc, c, many).
+
+    Every such document is indexed with all its segments and their one-deletion neighbourhoods; each that is not of the
+    largest component of its signatures probes with an allocation of H + 1 units over its segments that meets the fewest.
+    """
+    los, most = np.array([lo for lo, _ in bounds]), [difference(percent, hi) for _, hi in bounds]
+    w = Window.partitionBy("sig")
+    docs = hot.withColumn("top", F.max(F.struct("many", "c")).over(w)).groupBy("doc", "c", "many").agg(F.max(F.expr("c <> top.c")).alias("probes"))
+    docs = store(docs, "hot-documents")
+    mine = store(texts.join(docs.toDF("doc_id", "c", "many", "probes"), "doc_id"), "hot-texts")
+    index = store(mine.select("doc_id", "text").mapInPandas(partial(_indexed, q=q, los=los, plans=plans), "key long, doc long, slot long, exact boolean"), "hot-index")
+    met = index.groupBy("key").agg((F.count(F.lit(1)) - 1).alias("f")).where("f > 0")
+    costs = index.join(met, "key").groupBy("doc", "slot").agg(F.sum(F.when(F.col("exact"), F.col("f")).otherwise(0)).alias("f1"), F.sum("f").alias("f2"))
+    costs = costs.groupBy("doc").agg(F.collect_list(F.struct("slot", "f1", "f2")).alias("l")).selectExpr("doc as doc_id", "l.slot as slots", "l.f1 as f1", "l.f2 as f2")  # as many as a document has segments
+    probing = mine.where("probes").select("doc_id", "text").join(costs, "doc_id", "left")
+    probe = probing.mapInPandas(partial(_probing, q=q, los=los, plans=plans, most=most), "key long, doc long")
+    known = docs.select("doc", "c", "many").join(sketches, "doc")
+    x, y = probe.join(known, "doc").alias("x"), index.select("key", "doc").distinct().join(known, "doc").alias("y")
+    met = x.join(y, F.expr("x.key = y.key and struct(x.many, x.c) < struct(y.many, y.c)") & _may_link(percent))
+    return met.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
+
+
 def verify(pairs: DataFrame, texts: DataFrame, q: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that link, by their exact sets."""
     rows = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a")
@@ -163,25 +283,25 @@ def jaccard_groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -
     wanted = store(met.select(F.col("doc").alias("doc_id")).distinct(), "wanted")
     texts = store(join_ids(docs, wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
 
-    rows = met.count()
-    links = store(verify(met.where("rep <> doc").select(F.col("rep").alias("a"), F.col("doc").alias("b")).distinct(), texts, q, percent), "links")
-    while True:
-        comp = components(links)
-        # what stands with the smallest class of its signature is decided; the rest may still link across components
-        left = met.where("rep <> doc").select("sig", "doc").join(comp.toDF("doc", "c"), "doc", "left").select("sig", "doc", F.coalesce("c", "doc").alias("c"))
-        met = store(
-            left.withColumn("rep", F.min("doc").over(w)).withColumn("lo", F.min("c").over(w)).withColumn("hi", F.max("c").over(w)).where("lo < hi").select("sig", "doc", "rep", "c"),
-            "met",
-        )
-        pairs = met.groupBy("sig").count().agg(F.sum(F.expr("count * (count - 1) / 2"))).first()[0] or 0
-        if not pairs:
-            break
-        if pairs <= 2 * rows + 1_000_000:
-            x, y = met.select("sig", F.col("doc").alias("a"), F.col("c").alias("ca")), met.select("sig", F.col("doc").alias("b"), F.col("c").alias("cb"))
-            found = x.join(y, "sig").where("a < b and ca <> cb").select("a", "b").distinct()
-            comp = components(links.union(verify(found, texts, q, percent)))
-            break
-        rep_c = met.where("doc = rep").select("sig", F.col("c").alias("rc"))
-        found = met.join(rep_c, "sig").where("doc <> rep and c <> rc").select(F.col("rep").alias("a"), F.col("doc").alias("b")).distinct()
-        links = store(links.union(verify(found, texts, q, percent)), "links")
+    # the star of a signature is about its most central class: the one that meets the most others in all
+    central = store(met.groupBy("sig").count().join(met, "sig").groupBy("doc").agg(F.sum("count").alias("weight")), "central")
+    met = store(met.join(central, "doc").withColumn("rep", F.max(F.struct("weight", -F.col("doc"))).over(w)).selectExpr("sig", "doc", "-rep.col2 as rep"), "stars")
+    links = store(verify(met.where("rep <> doc").select(F.least("rep", "doc").alias("a"), F.greatest("rep", "doc").alias("b")).distinct(), texts, q, percent), "links")
+    comp = components(links)
+    # what stands with the centre of its signature is decided; the rest may still link across components
+    left = met.where("rep <> doc").select("sig", "doc").join(comp.toDF("doc", "c"), "doc", "left").select("sig", "doc", F.coalesce("c", "doc").alias("c"))
+    left = left.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("lo", F.min("c").over(w)).withColumn("hi", F.max("c").over(w)).where("lo < hi")
+    left = store(left.select("sig", "doc", "c", "n"), "undecided")
+    if not left.isEmpty():
+        sketches = store(texts.mapInPandas(partial(_sketched, q=q), "doc long, size long, " + ", ".join(f"k{i} long" for i in range(SKETCH))), "sketches")
+        few = left.where(F.col("n") <= FEW).join(sketches, "doc")
+        found = few.alias("x").join(few.alias("y"), F.expr("x.sig = y.sig and x.doc < y.doc and x.c <> y.c") & _may_link(percent))
+        found = found.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
+        hot = left.where(F.col("n") > FEW)
+        sizes = comp.groupBy("component").count().toDF("c", "many")
+        hot = store(hot.join(sizes, "c", "left").select("sig", "doc", "c", F.coalesce("many", F.lit(1)).alias("many")), "hot")
+        if not hot.isEmpty():
+            found = found.unionAll(hot_pairs(hot, sketches, texts, q, bounds, plans, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        more = store(verify(store(found.distinct(), "pairs"), texts, q, percent), "more-links")
+        comp = components(links.union(more))
     return ids.join(comp.toDF("class_id", "component_id"), "class_id", "left").select("doc_id", "n_shingles", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
