@@ -1,9 +1,345 @@
-"""The registered queries and their SQL."""
+"""The registered queries over the supplied tables, and SQL that gives the same rows.
 
+Doubles are rounded to 6 digits in both.
+"""
 
-def queries() -> dict:
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quantpanel.operators import backtest as bt
+from quantpanel.operators import indicators as ind
+from quantpanel.operators import labels as lab
+from quantpanel.operators import market as mk
+from quantpanel.operators import quality as ql
+from quantpanel.operators import scores as sc
+from quantpanel.operators import sectors as se
+from quantpanel.sources import bars as src
+from quantpanel.streaming import quotes as qs
+
+_QUERIES: dict[str, Callable] = {}
+_SQL: dict[str, str] = {}
+
+_BARS = """d AS (SELECT lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS symbol, CAST(l_shipdate AS DATE) AS trade_date, avg(l_extendedprice) AS e, max(l_tax) AS tx, max(l_discount) AS ds, sum(l_quantity) AS volume FROM lineitem GROUP BY 1, 2),
+r0 AS (SELECT *, 0.1 * (e / avg(e) OVER (PARTITION BY symbol) - 1) AS r FROM d),
+c0 AS (SELECT *, round(10 * exp(sum(ln(1 + r)) OVER (PARTITION BY symbol ORDER BY trade_date)), 4) AS close FROM r0),
+o0 AS (SELECT *, coalesce(lag(close) OVER (PARTITION BY symbol ORDER BY trade_date), close) AS open FROM c0),
+bars AS (SELECT symbol, trade_date, open, close, greatest(open, close) * (1 + tx / 4) AS high, least(open, close) * (1 - ds / 4) AS low, volume, volume * close AS amount, 100 * r AS pct_change FROM o0),
+members AS (SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS symbol, 'industry' AS sector_type, r_name AS sector_label FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+_S = "PARTITION BY symbol ORDER BY trade_date"
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def query(sql: str | None = None, doubles: str = "", plain: str = ""):
+    """Register a query; sql is what follows WITH, its double and other columns are listed."""
+
+    def keep(f):
+        _QUERIES[f.__name__] = lambda spark, sf_dir: _rounded(f(spark, sf_dir))
+        _QUERIES[f.__name__].__doc__ = f.__doc__
+        if sql:
+            columns = [*plain.split(), *[f"round({c}, 6) AS {c}" for c in doubles.split()]]
+            ctes, _, last = sql.rpartition("---")
+            _SQL[f.__name__] = f"WITH {_BARS}{', ' + ctes.strip().rstrip(',') if ctes.strip() else ''} SELECT {', '.join(columns)} FROM ({last.strip()}) q"
+        return f
+
+    return keep
+
+
+def _avg(c: str, n: int) -> str:
+    return f"CASE WHEN count({c}) OVER ({_S} ROWS {n - 1} PRECEDING) >= {n} THEN avg({c}) OVER ({_S} ROWS {n - 1} PRECEDING) END"
+
+
+_MOVING = f"m1 AS (SELECT *, {_avg('close', 20)} AS ma_20, {_avg('close', 60)} AS ma_60, {_avg('volume', 20)} AS volume_ma_20, close / lag(close) OVER ({_S}) - 1 AS return_1d, row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS n FROM bars),"
+
+
+@query(f"{_MOVING} --- SELECT symbol, trade_date, close, ma_20, close / ma_20 - 1 AS distance_to_ma20, volume / volume_ma_20 AS volume_ratio_20 FROM m1 WHERE n = 1", "close ma_20 distance_to_ma20 volume_ratio_20", "symbol trade_date")
+def screening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last bar of each symbol with its distance to the mean (PT0, I1, I4)."""
+    return ind.last_rows(ind.add_moving(src.bars_of(spark, sf_dir))).select("symbol", "trade_date", "close", "ma_20", "distance_to_ma20", "volume_ratio_20")
+
+
+@query("--- SELECT * FROM bars", "open close high low volume amount pct_change", "symbol trade_date")
+def bars_source(spark, sf_dir):
+    """Derived bars."""
+    return src.bars_of(spark, sf_dir)
+
+
+@query(f"{_MOVING} --- SELECT symbol, trade_date, ma_20, ma_60, return_1d, CASE WHEN count(return_1d) OVER ({_S} ROWS 9 PRECEDING) >= 10 THEN stddev_samp(return_1d) OVER ({_S} ROWS 9 PRECEDING) * sqrt(10) END AS volatility_10d, CASE WHEN count(close) OVER ({_S} ROWS 9 PRECEDING) >= 10 THEN close / max(close) OVER ({_S} ROWS 9 PRECEDING) - 1 END AS drawdown_10d FROM m1", "ma_20 ma_60 return_1d volatility_10d drawdown_10d", "symbol trade_date")
+def indicators_moving(spark, sf_dir):
+    """Moving indicators of every bar."""
+    return ind.add_moving(src.bars_of(spark, sf_dir)).select("symbol", "trade_date", "ma_20", "ma_60", "return_1d", "volatility_10d", "drawdown_10d")
+
+
+@query(f"p AS (SELECT *, lag(close) OVER ({_S}) AS pc FROM bars), --- SELECT symbol, trade_date, greatest(high - low, abs(high - pc), abs(low - pc)) AS true_range FROM p", "true_range", "symbol trade_date")
+def true_range(spark, sf_dir):
+    """True range."""
+    return src.bars_of(spark, sf_dir).select("symbol", "trade_date", ind.true_range().alias("true_range"))
+
+
+@query()
+def atr_snapshot(spark, sf_dir):
+    """MACD, ATR14, levels, regime and position of the last bar."""
+    df = ind.last_rows(ind.add_recurrences(src.bars_of(spark, sf_dir)))
+    return df.withColumn("position_percent", ind.position_percent(F.col("atr_pct_14"))).select("symbol", "trade_date", "close", "macd_dif", "macd_dea", "macd_hist", "atr_14", "atr_pct_14", "atr_regime", "atr_stop_2", "atr_take_2", "position_percent")
+
+
+@query()
+def macd_state(spark, sf_dir):
+    """MACD cross state, divergences and volume-price divergence."""
+    bars = src.bars_of(spark, sf_dir)
+    df = ind.add_recurrences(bars)
+    div = ind.divergences(df).groupBy("symbol").pivot("kind", ["top", "bottom"]).agg(F.max("signal_date"))
+    return ind.cross_state(df).join(div, "symbol", "left").join(ind.volume_price_divergence(bars).select("symbol", "divergence"), "symbol", "left")
+
+
+@query(f"v AS (SELECT *, lag(close, 5) OVER ({_S}) AS c0, {_avg('volume', 5)} AS v5 FROM bars), w AS (SELECT *, lag(v5, 5) OVER ({_S}) AS v0, row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS n FROM v), --- SELECT symbol, trade_date, CASE WHEN close > c0 AND v5 < 0.9 * v0 THEN 'price_up_volume_down' WHEN close < c0 AND v5 > 1.1 * v0 THEN 'price_down_volume_up' ELSE 'none' END AS divergence FROM w WHERE n = 1", "", "symbol trade_date divergence")
+def volume_price(spark, sf_dir):
+    """Volume-price divergence."""
+    return ind.volume_price_divergence(src.bars_of(spark, sf_dir))
+
+
+@query(f"x AS (SELECT *, close / lag(close) OVER ({_S}) - 1 AS r, high - low <= 0.0005 * close AS locked FROM bars), --- SELECT symbol, min(trade_date) AS first_date, max(trade_date) AS last_date, count(DISTINCT trade_date) AS trading_days, count(*) FILTER (volume = 0) AS zero_volume_days, sum(CASE WHEN locked AND r >= 0.095 THEN 1 ELSE 0 END)::BIGINT AS locked_up, sum(CASE WHEN locked AND r <= -0.095 THEN 1 ELSE 0 END)::BIGINT AS locked_down, count(DISTINCT trade_date) >= 120 AS eligible FROM x GROUP BY symbol", "", "symbol first_date last_date trading_days zero_volume_days locked_up locked_down eligible")
+def audit(spark, sf_dir):
+    """Audit of each symbol (Q1, Q2)."""
+    return ql.audit(src.bars_of(spark, sf_dir)).select("symbol", "first_date", "last_date", "trading_days", "zero_volume_days", "locked_up", "locked_down", "eligible")
+
+
+@query("a AS (SELECT symbol, count(DISTINCT trade_date) AS n FROM bars GROUP BY symbol), --- SELECT count(*) AS symbols, sum(n)::BIGINT AS rows, min(n) AS min_days, CAST(quantile_cont(n, 0.5) AS DOUBLE) AS median_days, max(n) AS max_days, sum(CASE WHEN n >= 120 THEN 1 ELSE 0 END)::BIGINT AS eligible FROM a", "median_days", "symbols rows min_days max_days eligible")
+def audit_summary(spark, sf_dir):
+    """Audit totals (Q3)."""
+    return ql.audit_summary(ql.audit(src.bars_of(spark, sf_dir)))
+
+
+@query(f"x AS (SELECT *, ln(close / lag(close) OVER ({_S})) AS lr FROM bars), y AS (SELECT *, CASE WHEN count(lr) OVER ({_S} ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING) >= 100 THEN quantile_cont(lr, 0.05) OVER ({_S} ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING) END AS th FROM x), z AS (SELECT *, CASE WHEN lr < th THEN 1 ELSE 0 END AS tail_event FROM y), --- SELECT symbol, trade_date, th AS threshold, tail_event, lead(tail_event) OVER ({_S}) AS risk_label FROM z", "threshold", "symbol trade_date tail_event risk_label")
+def tail_risk(spark, sf_dir):
+    """Tail events and labels (L2)."""
+    return lab.tail_risk(src.bars_of(spark, sf_dir)).select("symbol", "trade_date", "threshold", "tail_event", "risk_label")
+
+
+@query(f"x AS (SELECT *, ln(close / lag(close) OVER ({_S})) AS lr FROM bars), --- SELECT symbol, trade_date, lr AS log_return, close / lag(close, 5) OVER ({_S}) - 1 AS return_5d, close / lag(close, 60) OVER ({_S}) - 1 AS return_60d, CASE WHEN count(lr) OVER ({_S} ROWS 19 PRECEDING) >= 20 THEN stddev_samp(lr) OVER ({_S} ROWS 19 PRECEDING) END AS vol_20, (high - low) / close AS range_pct, lead(close, 5) OVER ({_S}) / close - 1 AS future_return_5d, min(close) OVER ({_S} ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) / close - 1 AS future_min_return_5d FROM x", "log_return return_5d return_60d vol_20 range_pct future_return_5d future_min_return_5d", "symbol trade_date")
+def base_features(spark, sf_dir):
+    """Base features and outcomes (L1)."""
+    return lab.base_features(src.bars_of(spark, sf_dir)).select("symbol", "trade_date", "log_return", "return_5d", "return_60d", "vol_20", "range_pct", "future_return_5d", "future_min_return_5d")
+
+
+_BARRIER = f"""x AS (SELECT *, lag(close) OVER ({_S}) AS pc, row_number() OVER ({_S}) AS i FROM bars), t AS (SELECT *, greatest(high - low, abs(high - pc), abs(low - pc)) AS tr FROM x),
+a AS (SELECT *, {_avg('tr', 14)} AS atr, lead(open) OVER ({_S}) AS entry FROM t), e AS (SELECT symbol, trade_date, i, entry, entry - atr AS stop, entry + 2 * atr AS take FROM a WHERE entry IS NOT NULL AND atr IS NOT NULL),
+f AS (SELECT e.symbol, e.trade_date, min(CASE WHEN b.low <= stop THEN b.i END) AS d, min(CASE WHEN b.high >= take THEN b.i END) AS u FROM e JOIN x b ON b.symbol = e.symbol AND b.i BETWEEN e.i + 1 AND e.i + 20 GROUP BY 1, 2),
+g AS (SELECT symbol, trade_date, CASE WHEN d IS NOT NULL AND (u IS NULL OR d <= u) THEN 'down_first' WHEN u IS NOT NULL THEN 'up_first' ELSE 'none' END AS barrier_outcome FROM f),"""
+
+
+@query(f"{_BARRIER} --- SELECT symbol, trade_date, barrier_outcome, CASE WHEN barrier_outcome = 'down_first' THEN 1 ELSE 0 END AS risk_label FROM g", "", "symbol trade_date barrier_outcome risk_label")
+def triple_barrier(spark, sf_dir):
+    """Barrier labels (L4)."""
+    return lab.triple_barrier(src.bars_of(spark, sf_dir)).select("symbol", "trade_date", "barrier_outcome", "risk_label")
+
+
+@query(f"{_BARRIER} h AS (SELECT barrier_outcome AS o, CASE WHEN barrier_outcome = 'down_first' THEN 1 ELSE 0 END AS l FROM g), --- SELECT o AS barrier_outcome, count(*) AS n_rows, avg(l) AS label_rate FROM h GROUP BY o UNION ALL SELECT 'ALL', count(*), avg(l) FROM h", "label_rate", "barrier_outcome n_rows")
+def barrier_distribution(spark, sf_dir):
+    """Label distribution with its total."""
+    return lab.label_distribution(lab.triple_barrier(src.bars_of(spark, sf_dir)))
+
+
+@query()
+def cusum_events(spark, sf_dir):
+    """CUSUM events and threshold."""
+    return lab.cusum_events(src.bars_of(spark, sf_dir))
+
+
+@query("k AS (SELECT *, high - low AS g, greatest(open, close) AS t, least(open, close) AS b FROM bars), --- SELECT symbol, trade_date, (close - open) / open AS KMID, g / open AS KLEN, (close - open) / nullif(g, 0) AS KMID2, (high - t) / open AS KUP, (b - low) / open AS KLOW, (2 * close - high - low) / open AS KSFT, high / close AS HIGH0, amount / volume / close AS VWAP0 FROM k", "KMID KLEN KMID2 KUP KLOW KSFT HIGH0 VWAP0", "symbol trade_date")
+def alpha_candles(spark, sf_dir):
+    """Candle features."""
+    return lab.candle_features(src.bars_of(spark, sf_dir)).select("symbol", "trade_date", "KMID", "KLEN", "KMID2", "KUP", "KLOW", "KSFT", "HIGH0", "VWAP0")
+
+
+_W20 = f"OVER ({_S} ROWS 19 PRECEDING)"
+
+
+@query(f"--- SELECT symbol, trade_date, lag(close, 20) OVER ({_S}) / close AS ROC20, avg(close) {_W20} / close AS MA20, max(high) {_W20} / close AS MAX20, quantile_cont(close, 0.8) {_W20} / close AS QTLU20, (close - min(low) {_W20}) / nullif(max(high) {_W20} - min(low) {_W20}, 0) AS RSV20, avg(volume) {_W20} / volume AS VMA20 FROM bars", "ROC20 MA20 MAX20 QTLU20 RSV20 VMA20", "symbol trade_date")
+def alpha_windows(spark, sf_dir):
+    """Rolling features of 20 bars."""
+    return lab.window_features(src.bars_of(spark, sf_dir), (20,)).select("symbol", "trade_date", "ROC20", "MA20", "MAX20", "QTLU20", "RSV20", "VMA20")
+
+
+@query()
+def alpha158(spark, sf_dir):
+    """All 158 features of the last bar."""
+    return ind.last_rows(lab.window_features(lab.candle_features(src.bars_of(spark, sf_dir))))
+
+
+@query(f"x AS (SELECT *, lead(close, 2) OVER ({_S}) / lead(close) OVER ({_S}) - 1 AS label_raw FROM bars), --- SELECT symbol, trade_date, label_raw, (label_raw - avg(label_raw) OVER (PARTITION BY trade_date)) / CASE WHEN stddev_samp(label_raw) OVER (PARTITION BY trade_date) > 1e-12 THEN stddev_samp(label_raw) OVER (PARTITION BY trade_date) END AS label FROM x", "label_raw label", "symbol trade_date")
+def return_label(spark, sf_dir):
+    """Return label and its z-score."""
+    return lab.return_label(src.bars_of(spark, sf_dir)).select("symbol", "trade_date", "label_raw", "label")
+
+
+@query(f"x AS (SELECT *, close / lag(close) OVER ({_S}) - 1 AS ret, greatest((lead(high) OVER ({_S}) / close - 1 >= 0.099)::INT, (lead(high, 2) OVER ({_S}) / lead(close) OVER ({_S}) - 1 >= 0.099)::INT, (lead(high, 3) OVER ({_S}) / lead(close, 2) OVER ({_S}) - 1 >= 0.099)::INT) AS hit, (least(lead(close) OVER ({_S}), lead(close, 2) OVER ({_S}), lead(close, 3) OVER ({_S})) / close - 1 <= -0.05)::INT AS down, lead(close, 3) OVER ({_S}) AS f FROM bars), --- SELECT symbol, trade_date, hit, down, hit * down AS trap, hit - 1.2::DOUBLE * down - 1.5::DOUBLE * hit * down AS target FROM x WHERE f IS NOT NULL AND coalesce(ret < 0.099, true)", "target", "symbol trade_date hit down trap")
+def limit_up(spark, sf_dir):
+    """Three-day limit-up labels."""
+    return lab.limit_up_3d(src.bars_of(spark, sf_dir)).select("symbol", "trade_date", "hit", "down", "trap", "target")
+
+
+_WEEK = "w0 AS (SELECT symbol, CAST(trade_date + CAST((12 - isodow(trade_date)) % 7 AS INTEGER) AS DATE) AS week_end, arg_max(close, trade_date) AS close FROM bars GROUP BY 1, 2), w1 AS (SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY week_end) - 1 AS weekly_return FROM w0),"
+
+
+@query(f"{_WEEK} --- SELECT * FROM w1", "close weekly_return", "symbol week_end")
+def weekly_returns(spark, sf_dir):
+    """Weekly closes and returns."""
+    return lab.weekly_returns(src.bars_of(spark, sf_dir))
+
+
+@query()
+def crash_measures(spark, sf_dir):
+    """Annual crash measures of residual weekly returns."""
+    return lab.crash_measures(lab.firm_returns(lab.weekly_returns(src.bars_of(spark, sf_dir))))
+
+
+_PANEL = f"p0 AS (SELECT *, close / lag(close) OVER ({_S}) - 1 AS daily_return, lag(amount) OVER ({_S}) AS am, {_avg('close', 20)} AS m20, {_avg('close', 60)} AS m60 FROM bars), panel AS (SELECT trade_date, symbol, daily_return, am AS amount, coalesce(close > m20, false)::INT AS above_ma20, coalesce(close > m60, false)::INT AS above_ma60, (daily_return >= 0.095)::INT AS up, (daily_return <= -0.095)::INT AS dn FROM p0 WHERE daily_return BETWEEN -0.5 AND 1), mkt AS (SELECT trade_date, count(DISTINCT symbol) AS stock_count, avg(daily_return) AS equal_return, quantile_cont(daily_return, 0.5) AS median_return, coalesce(sum(daily_return * amount) / nullif(sum(amount), 0), avg(daily_return)) AS amount_return, avg(above_ma20) AS breadth_ma20, sum(up)::BIGINT AS limit_up, sum(dn)::BIGINT AS limit_down FROM panel GROUP BY trade_date),"
+
+
+@query(f"{_PANEL} --- SELECT * FROM mkt", "equal_return median_return amount_return breadth_ma20", "trade_date stock_count limit_up limit_down")
+def market_daily(spark, sf_dir):
+    """Daily market (M1, M2)."""
+    return mk.daily_market(mk.symbol_panel(src.bars_of(spark, sf_dir))).drop("breadth_ma60")
+
+
+@query(f"{_PANEL} --- SELECT trade_date, exp(sum(ln(1 + equal_return)) OVER (ORDER BY trade_date)) AS equal_index FROM mkt", "equal_index", "trade_date")
+def market_index(spark, sf_dir):
+    """Compounded market index (M3, M4)."""
+    return mk.market_index(mk.daily_market(mk.symbol_panel(src.bars_of(spark, sf_dir)))).select("trade_date", "equal_index")
+
+
+@query(f"{_PANEL} ix AS (SELECT trade_date, exp(sum(ln(1 + equal_return)) OVER (ORDER BY trade_date)) AS v FROM mkt), --- SELECT trade_date, min(v) OVER (ORDER BY trade_date ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) / v - 1 AS future_drawdown, lead(v, 5) OVER (ORDER BY trade_date) / v - 1 AS future_return FROM ix", "future_drawdown future_return", "trade_date")
+def bad_buy_days(spark, sf_dir):
+    """Outcomes behind the trade-day label (M8)."""
+    df = mk.bad_buy_days(mk.market_index(mk.daily_market(mk.symbol_panel(src.bars_of(spark, sf_dir)))))
+    return df.select("trade_date", "future_drawdown", "future_return")
+
+
+@query()
+def trade_day_features(spark, sf_dir):
+    """Trade-day cross-section (M5, M6)."""
+    return mk.trade_day_features(src.bars_of(spark, sf_dir))
+
+
+@query("--- SELECT sector_type, sector_label, trade_date, count(pct_change) AS valid_count, avg(pct_change) AS avg_pct_change, sum(pct_change * amount) / nullif(sum(amount), 0) AS amount_weighted_pct_change, avg((pct_change > 0)::INT) AS up_ratio FROM bars JOIN members USING (symbol) GROUP BY 1, 2, 3", "avg_pct_change amount_weighted_pct_change up_ratio", "sector_type sector_label trade_date valid_count")
+def sector_performance(spark, sf_dir):
+    """Sector days (K4, K6)."""
+    return se.sector_days(src.bars_of(spark, sf_dir), src.membership_of(spark, sf_dir)).drop("amount")
+
+
+_SECTOR = "sd AS (SELECT sector_label, trade_date, avg(pct_change) AS a FROM bars JOIN members USING (symbol) GROUP BY 1, 2), grid AS (SELECT * FROM (SELECT DISTINCT trade_date FROM sd) CROSS JOIN (SELECT DISTINCT sector_label FROM sd)), si AS (SELECT sector_label, trade_date, coalesce(a / 100, 0) AS ret FROM grid LEFT JOIN sd USING (sector_label, trade_date)),"
+
+
+@query(f"{_SECTOR} --- SELECT sector_label, trade_date, ret, exp(sum(ln(1 + ret)) OVER (PARTITION BY sector_label ORDER BY trade_date)) AS sector_index FROM si", "ret sector_index", "sector_label trade_date")
+def sector_index(spark, sf_dir):
+    """Sector indices on the market calendar (K7)."""
+    return se.sector_index(se.sector_days(src.bars_of(spark, sf_dir), src.membership_of(spark, sf_dir))).drop("sector_type")
+
+
+@query(f"{_SECTOR} n AS (SELECT *, row_number() OVER (PARTITION BY sector_label ORDER BY trade_date) AS i FROM si), u AS (SELECT sector_label, i - row_number() OVER (PARTITION BY sector_label ORDER BY i) AS g FROM n WHERE ret > 0), c AS (SELECT sector_label, g, count(*) AS k FROM u GROUP BY 1, 2), --- SELECT sector_label, max(k) AS longest_up_run FROM c GROUP BY 1", "", "sector_label longest_up_run")
+def sector_up_runs(spark, sf_dir):
+    """Longest runs of rising days."""
+    return se.longest_up_run(se.sector_index(se.sector_days(src.bars_of(spark, sf_dir), src.membership_of(spark, sf_dir))))
+
+
+@query()
+def sector_leaders(spark, sf_dir):
+    """Leaders of each sector."""
+    return se.leaders(se.stock_metrics(src.bars_of(spark, sf_dir), src.membership_of(spark, sf_dir)))
+
+
+@query()
+def sector_swings(spark, sf_dir):
+    """Swings of sector indices."""
+    return se.swings(se.sector_index(se.sector_days(src.bars_of(spark, sf_dir), src.membership_of(spark, sf_dir))))
+
+
+_SCORED = f"s0 AS (SELECT symbol, trade_date, -(close / lag(close, 5) OVER ({_S}) - 1) AS score, lead(close, 5) OVER ({_S}) / close - 1 AS outcome FROM bars), s1 AS (SELECT * FROM s0 WHERE score IS NOT NULL AND outcome IS NOT NULL),"
+
+
+def _scored(spark, sf_dir):
+    df = lab.base_features(src.bars_of(spark, sf_dir)).select("symbol", "trade_date", (-F.col("return_5d")).alias("score"), F.col("future_return_5d").alias("outcome"))
+    return df.where("score is not null and outcome is not null")
+
+
+@query(f"{_SCORED} --- SELECT symbol, trade_date, round(100.0 * count(*) OVER (PARTITION BY trade_date ORDER BY score RANGE UNBOUNDED PRECEDING) / count(*) OVER (PARTITION BY trade_date), 2) AS score_100 FROM s1", "score_100", "symbol trade_date")
+def cross_section_scores(spark, sf_dir):
+    """0-100 rank scores by day."""
+    return _scored(spark, sf_dir).select("symbol", "trade_date", sc.score_100("score", ["trade_date"]).alias("score_100"))
+
+
+@query(f"{_SCORED} r AS (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY score, symbol) AS k, count(*) OVER (PARTITION BY trade_date) AS n FROM s1), e AS (SELECT *, CAST(least(greatest(ceil(CAST(k AS DOUBLE) * 10 / n) - 1, 0), 9) AS INT) AS decile FROM r), --- SELECT decile, count(*) AS n_rows, avg(outcome) AS mean_outcome, quantile_cont(outcome, 0.5) AS median_outcome, avg((outcome > 0)::INT) AS hit_rate FROM e GROUP BY decile", "mean_outcome median_outcome hit_rate", "decile n_rows")
+def decile_report(spark, sf_dir):
+    """Outcomes by score decile."""
+    return sc.decile_report(_scored(spark, sf_dir), "score", "outcome", ["trade_date"])
+
+
+@query()
+def daily_ic(spark, sf_dir):
+    """Daily IC and rank IC."""
+    return sc.daily_ic(_scored(spark, sf_dir), "score", "outcome")
+
+
+@query(f"{_SCORED} b AS (SELECT score, (outcome > 0)::INT AS y FROM s1), g AS (SELECT score, sum(y)::DOUBLE AS p, sum(1 - y)::DOUBLE AS n FROM b GROUP BY score), c AS (SELECT *, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS fp FROM g), --- SELECT sum(n * (tp - p / 2)) / (sum(p) * sum(n)) AS roc_auc, sum(p * tp / (tp + fp)) / sum(p) AS average_precision FROM c", "roc_auc average_precision")
+def roc_auc(spark, sf_dir):
+    """AUC and average precision of the score."""
+    return sc.auc(_scored(spark, sf_dir).withColumn("y", (F.col("outcome") > 0).cast("int")), "score", "y")
+
+
+@query(f"{_SCORED} r AS (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY score DESC, symbol) AS k, count(*) OVER (PARTITION BY trade_date) AS n FROM s1), x AS (SELECT rate, outcome, k > ceil(rate * n) AS kept FROM r CROSS JOIN (VALUES (0.1::DOUBLE), (0.2::DOUBLE), (0.3::DOUBLE)) v(rate)), --- SELECT rate, count(*) AS n_rows, sum((NOT kept)::INT)::BIGINT AS removed, avg(outcome) AS baseline, avg(CASE WHEN kept THEN outcome END) AS kept_mean FROM x GROUP BY rate", "rate baseline kept_mean", "n_rows removed")
+def filter_impact(spark, sf_dir):
+    """Effect of removing the riskiest rows."""
+    return sc.filter_impact(_scored(spark, sf_dir), "score", "outcome").drop("delta")
+
+
+@query()
+def top_k_portfolio(spark, sf_dir):
+    """Top-5 portfolio and its summary."""
+    return bt.portfolio(sc.top_k_turnover(_scored(spark, sf_dir), "score", "outcome"))
+
+
+@query(f"x AS (SELECT *, lead(open) OVER ({_S}) AS entry FROM bars), --- SELECT symbol, trade_date, CASE WHEN count(close) OVER ({_S} ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) = 10 THEN lead(close, 10) OVER ({_S}) / entry - 1 END AS return_10d, CASE WHEN count(close) OVER ({_S} ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) = 10 THEN max(high) OVER ({_S} ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) / entry - 1 END AS max_profit_10d FROM x", "return_10d max_profit_10d", "symbol trade_date")
+def forward_outcomes(spark, sf_dir):
+    """Forward outcomes of every bar."""
+    return bt.forward_outcomes(src.bars_of(spark, sf_dir), (10,)).select("symbol", "trade_date", "return_10d", "max_profit_10d")
+
+
+def _trades(spark, sf_dir):
+    bars = src.bars_of(spark, sf_dir)
+    signals = ind.add_moving(bars).where("is_20d_high and volume_ratio_20 > 2").select("symbol", F.col("trade_date").alias("signal_date"))
+    return bt.apply_exit_rules(bt.forward_paths(bars, signals, 10), bt.exit_rules((0.05, 0.08), (0.1, 0.15), (0.06,)))
+
+
+@query()
+def exit_rule_grid(spark, sf_dir):
+    """Trades by exit rule."""
+    return bt.trade_summary(_trades(spark, sf_dir), ["rule_id"])
+
+
+@query(f"{_WEEK} --- SELECT b.symbol, b.trade_date, w.week_end, w.weekly_return FROM bars b ASOF LEFT JOIN w1 w ON b.symbol = w.symbol AND b.trade_date >= w.week_end", "weekly_return", "symbol trade_date week_end")
+def as_of_weekly(spark, sf_dir):
+    """Each bar with the newest finished week."""
+    bars = src.bars_of(spark, sf_dir)
+    weeks = lab.weekly_returns(bars).select("symbol", "week_end", "weekly_return").withColumn("since", F.col("week_end"))
+    return bt.as_of_join(bars.select("symbol", "trade_date"), weeks, ["symbol"], "trade_date", "since").select("symbol", "trade_date", "week_end", "weekly_return")
+
+
+@query("q0 AS (SELECT lpad(CAST(user_id AS VARCHAR), 6, '0') AS symbol, ts, value, event_id FROM events), --- SELECT symbol, CAST(ts AS DATE) AS trade_date, arg_max(value, (ts, event_id)) AS close FROM q0 GROUP BY 1, 2", "close", "symbol trade_date")
+def latest_quotes(spark, sf_dir):
+    """Latest quote by symbol and day (T1), the batch form of the stream."""
+    return qs.latest_quotes(qs.quotes_of(src.table(spark, sf_dir, "events"))).select("symbol", "trade_date", "close")
+
+
+def queries() -> dict[str, Callable]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
