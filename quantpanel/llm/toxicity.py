@@ -27,8 +27,12 @@ from .common import join_ids, small_batches, store
 #: Labelled rows that the models are fitted on at most (in expectation; chosen by a hash of their ids).
 FIT_ROWS = 30_000
 #: Terms of the lexicon at most, those with the most evidence.
-MOST_TERMS = 4000
+MOST_TERMS = 1000
 STEM = (4, 5, 6)
+#: Log of how unlikely a term's toxic documents are by chance.
+EVIDENCE = 14
+#: Log-odds of a term at least.
+ODDS = 3.5
 WINDOW = 60
 _TOKEN = re.compile(r"[^\W_](?:[\w*@$'’-]*[^\W_])?")
 _OPEN, _CLOSE = re.compile(r"[\"“„«‚‘]|(?<!\w)'"), re.compile(r"[\"”“»‘’]|'(?!\w)")
@@ -37,7 +41,7 @@ FEATURES = ("bias", "exact", "stem", "fuzzy", "quoted", "weight", "most", "densi
 
 def allowed(n: int) -> int:
     """Edits that a term of n letters allows."""
-    return 0 if n < 5 else 1 if n < 9 else 2
+    return 0 if n < 5 else 1 if n < 12 else 2
 
 
 def pieces(term: str) -> list[str]:
@@ -45,33 +49,60 @@ def pieces(term: str) -> list[str]:
     return [term[i * len(term) // k : (i + 1) * len(term) // k] for i in range(k)]
 
 
-class Lexicon:
-    """terms: {(term, is it a stem): weight}. match(word) -> (kind, weight) of the best term, or None; remembers words."""
+class _Memo(dict):
+    """word -> match, remembered up to a bound."""
 
     LIMIT = 400_000
 
+    def __init__(self, find):
+        self.find = find
+
+    def __missing__(self, word: str):
+        if len(self) >= self.LIMIT:
+            self.clear()
+        out = self[word] = self.find(word)
+        return out
+
+
+class Lexicon:
+    """terms: {(term, is it a stem): weight}. match(word) -> (kind, weight) of the best term, or None; remembers words.
+
+    A word needs a walk only if it holds a piece of a term no farther from its place in the term than the edits allow,
+    and its length differs by no more; that is so for every word within the edits.
+    """
+
     def __init__(self, terms: dict[tuple[str, bool], float]):
         self.root: dict = {}
-        self.sieve = ahocorasick.Automaton()
-        self.memo: dict[str, tuple[int, float] | None] = {}
+        places: dict[str, list[tuple[int, int, int, int]]] = {}
         for (term, stem), weight in sorted(terms.items()):
-            node = self.root
+            node, k = self.root, 0 if stem else allowed(len(term))
             for c in term:
+                node["most"] = max(node.get("most", 0), k)
                 node = node.setdefault(c, {})
+            node["most"] = max(node.get("most", 0), k)
             node["stem" if stem else "word"] = (term, weight)
+            at = 0
             for piece in [term] if stem else pieces(term):
-                self.sieve.add_word(piece, True)
-        self.sieve.make_automaton()
-        self.any = bool(terms)
-
-    def match(self, word: str) -> tuple[int, float] | None:
-        try:
-            return self.memo[word]
-        except KeyError:
-            if len(self.memo) >= self.LIMIT:
-                self.memo.clear()
-            out = self.memo[word] = self._walk(word) if self.any and next(self.sieve.iter(word), None) else None
-            return out
+                places.setdefault(piece, []).append((at - k, at + k, len(term) - k, 10**9 if stem else len(term) + k))
+                at += len(piece)
+        self.sieve = ahocorasick.Automaton()
+        for piece, spots in places.items():
+            self.sieve.add_word(piece, (len(piece) - 1, spots))
+        if places:
+            self.sieve.make_automaton()
+        self.any = bool(places)
+        self.memo = _Memo(self._find)
+        self.match = self.memo.__getitem__
+
+    def _find(self, word: str) -> tuple[int, float] | None:
+        if self.any:
+            n = len(word)
+            for end, (back, spots) in self.sieve.iter(word):
+                at = end - back
+                for lo, hi, least, most in spots:
+                    if lo <= at <= hi and least <= n <= most:
+                        return self._walk(word)
+        return None
 
     def _walk(self, word: str) -> tuple[int, float] | None:
         """Kinds: 0 the word itself, 1 a stem, 2 a misspelling; an earlier kind wins, then the larger weight."""
@@ -82,23 +113,35 @@ class Lexicon:
             if best is None or (kind, -weight) < (best[0], -best[1]):
                 best = (kind, weight)
 
+        n = len(word)
+
         def visit(node: dict, row: list[int], depth: int, exact: bool):
+            """row: the automaton's state, distances of the path to word[: depth - 2 .. depth + 2]."""
             if exact and "stem" in node:
                 offer(1, node["stem"][1])
-            if "word" in node:
+            if "word" in node and -2 <= n - depth <= 2:
                 term, weight = node["word"]
-                if row[-1] <= allowed(len(term)):
-                    offer(0 if row[-1] == 0 else 2, weight)
+                apart = row[n - depth + 2]
+                if apart <= allowed(len(term)):
+                    offer(0 if apart == 0 else 2, weight)
             for c, child in node.items():
-                if len(c) > 1:
+                if len(c) > 1:  # what the node holds, not a letter
                     continue
-                new = [row[0] + 1]
-                for i, x in enumerate(word, 1):
-                    new.append(min(new[i - 1] + 1, row[i] + 1, row[i - 1] + (x != c)))
-                if min(new) <= 2:
-                    visit(child, new, depth + 1, exact and depth < len(word) and word[depth] == c)
-
-        visit(self.root, list(range(len(word) + 1)), 0, True)
+                new, left = [9, 9, 9, 9, 9], 9
+                for k in range(5):
+                    i = depth + k - 1
+                    if 0 <= i <= n:
+                        best_here = left + 1
+                        if k < 4 and row[k + 1] + 1 < best_here:
+                            best_here = row[k + 1] + 1
+                        if i and (same := row[k] + (word[i - 1] != c)) < best_here:
+                            best_here = same
+                        new[k] = left = best_here
+                along = exact and depth < n and word[depth] == c
+                if along or min(new) <= child["most"]:
+                    visit(child, new, depth + 1, along)
+
+        visit(self.root, [9, 9, 0, 1, 2], 0, True)
         return best
 
 
@@ -109,7 +152,7 @@ def matches(text: str | None, lexicon: Lexicon) -> tuple[int, list[tuple[str, in
     low = text.lower()
     words = _TOKEN.findall(low)
     find = lexicon.match
-    if not any([find(w) is not None for w in words]):
+    if not any(map(find, words)):
         return len(words), []
     out = []
     for m in _TOKEN.finditer(low):
@@ -167,9 +210,22 @@ def learn_lexicon(train: DataFrame, label: str = "toxic") -> dict[tuple[str, boo
     counts = train.select("text", label).mapInPandas(partial(_counted, label=label), "term string, stem boolean, pos long, neg long")
     counts = counts.groupBy("term", "stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     odds = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("neg") + 0.5) / (neg + 1))
-    strong = counts.withColumn("odds", odds).where(f"odds >= 2.5 and pos >= {max(3, pos // 1000)}")
-    top = strong.orderBy(F.col("pos").desc(), "term", "stem").limit(MOST_TERMS).collect()
-    return {(r["term"], r["stem"]): float(r["odds"]) for r in top}
+    evidence = F.col("pos") * F.log(F.col("pos") / (F.col("pos") + F.col("neg")) / (pos / (pos + neg)))
+    strong = counts.where("pos > 0").withColumns({"odds": odds, "evidence": evidence}).where(f"odds >= {ODDS} and evidence >= {EVIDENCE}")
+    top = strong.orderBy(F.col("evidence").desc(), "term", "stem").limit(MOST_TERMS).collect()
+    return tidy({(r["term"], r["stem"]): float(r["odds"]) for r in top})
+
+
+def tidy(terms: dict[tuple[str, bool], float]) -> dict[tuple[str, bool], float]:
+    """Stems that three words or more share, the shortest of nested ones; words without such a stem."""
+    words = [t for t, stem in terms if not stem]
+    strongest = max(terms.values(), default=0.0)
+    terms = {t: w for t, w in terms.items() if w >= 0.6 * strongest}  # the rest rides on a few documents that share words
+    stems: list[str] = []
+    for s in sorted((t for t, stem in terms if stem), key=lambda t: (len(t), t)):
+        if not s.startswith(tuple(stems)) and sum(w.startswith(s) for w in words) >= 3:
+            stems.append(s)
+    return {(t, stem): w for (t, stem), w in terms.items() if (t in stems if stem else not t.startswith(tuple(stems)))}
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
