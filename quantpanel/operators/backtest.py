@@ -5,24 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .indicators import BY_SYMBOL
+from .indicators import by_symbol
 
 
 def forward_outcomes(bars: DataFrame, horizons: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
     """Return, best and worst from the next open over each horizon; null if a bar is missing."""
-    df = bars.withColumn("entry", F.lead("open").over(BY_SYMBOL))
+    df = bars.withColumn("entry", F.lead("open").over(by_symbol()))
     cols = {}
     for h in horizons:
-        w = BY_SYMBOL.rowsBetween(1, h)
+        w = by_symbol().rowsBetween(1, h)
         ok = F.count("close").over(w) == h
         gain = lambda c: F.when(ok, F.try_divide(c, F.col("entry")) - 1)  # noqa: E731, B023
-        cols |= {f"return_{h}d": gain(F.lead("close", h).over(BY_SYMBOL)), f"max_profit_{h}d": gain(F.max("high").over(w)), f"max_drawdown_{h}d": gain(F.min("low").over(w))}
+        cols |= {f"return_{h}d": gain(F.lead("close", h).over(by_symbol())), f"max_profit_{h}d": gain(F.max("high").over(w)), f"max_drawdown_{h}d": gain(F.min("low").over(w))}
     return df.withColumns(cols)
 
 
 def forward_paths(bars: DataFrame, signals: DataFrame, horizon: int) -> DataFrame:
     """The bars 1..horizon after each signal (symbol, signal_date) with the entry at the first open."""
-    idx = bars.withColumn("idx", F.row_number().over(BY_SYMBOL))
+    idx = bars.withColumn("idx", F.row_number().over(by_symbol()))
     at = signals.join(idx.select("symbol", F.col("trade_date").alias("signal_date"), F.col("idx").alias("i0")), ["symbol", "signal_date"])
     at = at.select("symbol", "signal_date", "i0", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("day_offset")).withColumn("idx", F.col("i0") + F.col("day_offset"))  # an equality, not a range
     df = at.join(idx, ["symbol", "idx"]).drop("i0", "idx")

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_SYMBOL = Window.partitionBy("symbol").orderBy("trade_date")
+
+def by_symbol():
+    return Window.partitionBy("symbol").orderBy("trade_date")
 
 
 def last(n: int):
-    return BY_SYMBOL.rowsBetween(1 - n, 0)
+    return by_symbol().rowsBetween(1 - n, 0)
 
 
 def full(f, c: str, n: int, w=None) -> F.Column:
@@ -21,8 +23,8 @@ def full(f, c: str, n: int, w=None) -> F.Column:
 def add_moving(bars: DataFrame) -> DataFrame:
     """Means, highs, returns, drawdown, volatility, ratios."""
     df = bars.withColumns({f"ma_{n}": full(F.avg, "close", n) for n in (5, 10, 20, 60)} | {f"volume_ma_{n}": full(F.avg, "volume", n) for n in (5, 20)} | {
-        "amount_ma_20": full(F.avg, "amount", 20), "close_max_20": full(F.max, "close", 20), "return_1d": F.try_divide(F.col("close"), F.lag("close").over(BY_SYMBOL)) - 1,
-        "return_15d": F.try_divide(F.col("close"), F.lag("close", 15).over(BY_SYMBOL)) - 1, "drawdown_10d": F.try_divide(F.col("close"), full(F.max, "close", 10)) - 1,
+        "amount_ma_20": full(F.avg, "amount", 20), "close_max_20": full(F.max, "close", 20), "return_1d": F.try_divide(F.col("close"), F.lag("close").over(by_symbol())) - 1,
+        "return_15d": F.try_divide(F.col("close"), F.lag("close", 15).over(by_symbol())) - 1, "drawdown_10d": F.try_divide(F.col("close"), full(F.max, "close", 10)) - 1,
         "_h3": full(F.max, "high", 3), "_l3": full(F.min, "low", 3), "_v3": full(F.avg, "volume", 3),
     })
     return df.withColumns({
@@ -33,7 +35,7 @@ def add_moving(bars: DataFrame) -> DataFrame:
 
 
 def true_range() -> F.Column:
-    before = F.lag("close").over(BY_SYMBOL)
+    before = F.lag("close").over(by_symbol())
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
 
 
@@ -73,9 +75,9 @@ def pivots(df: DataFrame, price: str, side: int = 2) -> DataFrame:
     """Strict extrema (high: largest, low: smallest) over `side` bars on both sides, with the confirming date."""
     sign = 1 if price == "high" else -1
     v = F.col(price) * sign
-    before, after = BY_SYMBOL.rowsBetween(-side, -1), BY_SYMBOL.rowsBetween(1, side)
+    before, after = by_symbol().rowsBetween(-side, -1), by_symbol().rowsBetween(1, side)
     ok = (F.count(price).over(before) == side) & (F.count(price).over(after) == side) & (v > F.max(v).over(before)) & (v > F.max(v).over(after))
-    df = df.withColumns({"bar": F.row_number().over(BY_SYMBOL), "bars": F.count(F.lit(1)).over(Window.partitionBy("symbol")), "confirm_date": F.lead("trade_date", side).over(BY_SYMBOL), "pivot": ok})
+    df = df.withColumns({"bar": F.row_number().over(by_symbol()), "bars": F.count(F.lit(1)).over(Window.partitionBy("symbol")), "confirm_date": F.lead("trade_date", side).over(by_symbol()), "pivot": ok})
     return df.where("pivot").drop("pivot")
 
 
@@ -84,7 +86,7 @@ def divergences(df: DataFrame, recent: int = 15) -> DataFrame:
     out = None
     for price, kind, sign in (("high", "top", 1), ("low", "bottom", -1)):
         p = pivots(df, price)
-        part = p.withColumns({"p0": F.lag(price).over(BY_SYMBOL), "d0": F.lag("macd_dif").over(BY_SYMBOL)})
+        part = p.withColumns({"p0": F.lag(price).over(by_symbol()), "d0": F.lag("macd_dif").over(by_symbol())})
         part = part.where((sign * (F.col(price) - F.col("p0")) > 0) & (sign * (F.col("macd_dif") - F.col("d0")) < 0) & (F.col("bar") + 2 > F.col("bars") - recent))
         part = part.groupBy("symbol").agg(F.max("confirm_date").alias("signal_date")).withColumn("kind", F.lit(kind))
         out = part if out is None else out.unionByName(part)
@@ -94,7 +96,7 @@ def divergences(df: DataFrame, recent: int = 15) -> DataFrame:
 def cross_state(df: DataFrame) -> DataFrame:
     """Golden or dead cross within the last 3 bars (golden wins), else above or below the signal."""
     d = F.col("macd_dif") - F.col("macd_dea")
-    before = F.lag(d).over(BY_SYMBOL)
+    before = F.lag(d).over(by_symbol())
     df = df.withColumns({"_g": F.coalesce((before <= 0) & (d > 0), F.lit(False)), "_d": F.coalesce((before >= 0) & (d < 0), F.lit(False)), "_u": d})
     w = Window.partitionBy("symbol").orderBy(F.desc("trade_date"))
     agg = df.withColumn("_n", F.row_number().over(w)).where("_n <= 3").groupBy("symbol").agg(F.bool_or("_g").alias("g"), F.bool_or("_d").alias("d"), F.max_by("_u", "trade_date").alias("u"))
@@ -103,7 +105,7 @@ def cross_state(df: DataFrame) -> DataFrame:
 
 def volume_price_divergence(bars: DataFrame) -> DataFrame:
     """Price against 5-bar mean volume, both against 5 bars before."""
-    df = bars.withColumns({"c0": F.lag("close", 5).over(BY_SYMBOL), "v": full(F.avg, "volume", 5)}).withColumn("v0", F.lag("v", 5).over(BY_SYMBOL))
+    df = bars.withColumns({"c0": F.lag("close", 5).over(by_symbol()), "v": full(F.avg, "volume", 5)}).withColumn("v0", F.lag("v", 5).over(by_symbol()))
     state = F.when((F.col("close") > F.col("c0")) & (F.col("v") < 0.9 * F.col("v0")), "price_up_volume_down").when((F.col("close") < F.col("c0")) & (F.col("v") > 1.1 * F.col("v0")), "price_down_volume_up").otherwise("none")
     return last_rows(df.withColumn("divergence", state)).select("symbol", "trade_date", "divergence")
 

@@ -5,41 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .indicators import BY_SYMBOL, full, last, true_range
+from .indicators import by_symbol, full, last, true_range
 
 
 def ret(n: int) -> F.Column:
-    return F.try_divide(F.col("close"), F.lag("close", n).over(BY_SYMBOL)) - 1
+    return F.try_divide(F.col("close"), F.lag("close", n).over(by_symbol())) - 1
 
 
 def base_features(bars: DataFrame) -> DataFrame:
     """Returns, volatilities, drawdown, distances and the 5-day outcome (L1)."""
-    df = bars.withColumn("log_return", F.log(F.try_divide(F.col("close"), F.lag("close").over(BY_SYMBOL))))
-    ahead = BY_SYMBOL.rowsBetween(1, 5)
+    df = bars.withColumn("log_return", F.log(F.try_divide(F.col("close"), F.lag("close").over(by_symbol()))))
+    ahead = by_symbol().rowsBetween(1, 5)
     df = df.withColumn("_down", F.least("log_return", F.lit(0.0)))
     return df.withColumns({
         "return_5d": ret(5), "return_20d": ret(20), "return_60d": ret(60), "vol_20": full(F.stddev_samp, "log_return", 20), "vol_60": full(F.stddev_samp, "log_return", 60),
         "downside_vol_20": full(F.stddev_samp, "_down", 20), "drawdown_60": F.try_divide(F.col("close"), full(F.max, "close", 60)) - 1,
         "ma20_distance": F.try_divide(F.col("close"), full(F.avg, "close", 20)) - 1, "ma60_distance": F.try_divide(F.col("close"), full(F.avg, "close", 60)) - 1,
         "volume_ratio_20": F.try_divide(F.col("volume"), full(F.avg, "volume", 20)), "log_amount": F.log1p("amount"), "range_pct": F.try_divide(F.col("high") - F.col("low"), F.col("close")),
-        "future_return_5d": F.try_divide(F.lead("close", 5).over(BY_SYMBOL), F.col("close")) - 1, "future_min_return_5d": F.try_divide(F.min("close").over(ahead), F.col("close")) - 1,
+        "future_return_5d": F.try_divide(F.lead("close", 5).over(by_symbol()), F.col("close")) - 1, "future_min_return_5d": F.try_divide(F.min("close").over(ahead), F.col("close")) - 1,
     }).drop("_down")
 
 
 def tail_risk(bars: DataFrame, lookback: int = 100, quantile: float = 0.05, horizon: int = 1) -> DataFrame:
     """Tail event: return under the quantile of the prior returns; the label is the event `horizon` bars on (L2)."""
-    df = bars.withColumn("log_return", F.log(F.try_divide(F.col("close"), F.lag("close").over(BY_SYMBOL))))
-    w = BY_SYMBOL.rowsBetween(-lookback, -1)
+    df = bars.withColumn("log_return", F.log(F.try_divide(F.col("close"), F.lag("close").over(by_symbol()))))
+    w = by_symbol().rowsBetween(-lookback, -1)
     df = df.withColumn("threshold", F.when(F.count("log_return").over(w) >= lookback, F.percentile("log_return", quantile).over(w)))
     df = df.withColumn("tail_event", F.coalesce(F.col("log_return") < F.col("threshold"), F.lit(False)).cast("int"))
-    return df.withColumn("risk_label", F.lead("tail_event", horizon).over(BY_SYMBOL))
+    return df.withColumn("risk_label", F.lead("tail_event", horizon).over(by_symbol()))
 
 
 def triple_barrier(bars: DataFrame, horizon: int = 20, down: float = 1.0, up: float = 2.0) -> DataFrame:
     """Next-open entry, ATR barriers, first touch within the horizon; the stop wins a tie; late rows look as far as there are bars (L4)."""
-    df = bars.withColumns({"tr": true_range(), "idx": F.row_number().over(BY_SYMBOL)}).withColumn("atr", full(F.avg, "tr", 14))
-    df = df.withColumns({"entry": F.lead("open").over(BY_SYMBOL), "entry_date": F.lead("trade_date").over(BY_SYMBOL)}).where("entry is not null and atr is not null")
-    path = F.collect_list(F.struct("low", "high")).over(BY_SYMBOL.rowsBetween(0, horizon - 1))
+    df = bars.withColumns({"tr": true_range(), "idx": F.row_number().over(by_symbol())}).withColumn("atr", full(F.avg, "tr", 14))
+    df = df.withColumns({"entry": F.lead("open").over(by_symbol()), "entry_date": F.lead("trade_date").over(by_symbol())}).where("entry is not null and atr is not null")
+    path = F.collect_list(F.struct("low", "high")).over(by_symbol().rowsBetween(0, horizon - 1))
     # rows from the entry bar on: the frame of the next row, so it is built before the lead
     paths = bars.withColumn("path", path).select("symbol", F.col("trade_date").alias("entry_date"), "path")
     df = df.join(paths, ["symbol", "entry_date"]).withColumns({"stop": F.col("entry") - down * F.col("atr"), "take": F.col("entry") + up * F.col("atr")})
@@ -55,7 +55,7 @@ def label_distribution(labelled: DataFrame) -> DataFrame:
 
 def cusum_events(bars: DataFrame, span: int = 100, mult: float = 1.0) -> DataFrame:
     """Symmetric CUSUM events with reset; the threshold is the mean exponentially weighted deviation."""
-    df = bars.withColumn("lr", F.log(F.try_divide(F.col("close"), F.lag("close").over(BY_SYMBOL))))
+    df = bars.withColumn("lr", F.log(F.try_divide(F.col("close"), F.lag("close").over(by_symbol()))))
     rows = df.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("trade_date", "lr"))).alias("r"))  # bounded by trading days
     keep = 1 - 2 / (span + 1)
     # weights w, squares q, mean m and sum of squares s of the adjusted, bias-corrected deviation
@@ -82,7 +82,7 @@ def candle_features(bars: DataFrame) -> DataFrame:
 def window_features(bars: DataFrame, windows: tuple[int, ...] = (5, 10, 20, 30, 60)) -> DataFrame:
     """The rolling blocks of the 158 features, frames that shrink at the start."""
     d, c = F.try_divide, F.col("close")
-    df = bars.withColumns({"_i": F.row_number().over(BY_SYMBOL).cast("double"), "_p": F.lag("close").over(BY_SYMBOL), "_v0": F.lag("volume").over(BY_SYMBOL)})
+    df = bars.withColumns({"_i": F.row_number().over(by_symbol()).cast("double"), "_p": F.lag("close").over(by_symbol()), "_v0": F.lag("volume").over(by_symbol())})
     df = df.withColumns({"_r": d("close", "_p"), "_vr": F.log(d("volume", "_v0") + 1), "_lv": F.log1p("volume"), "_d": c - F.col("_p"), "_dv": F.col("volume") - F.col("_v0")})
     df = df.withColumns({"_up": F.greatest("_d", F.lit(0.0)), "_ad": F.abs("_d"), "_vup": F.greatest("_dv", F.lit(0.0)), "_vad": F.abs("_dv"), "_pos": F.when(F.col("_d").isNotNull(), (F.col("_d") > 0).cast("double")), "_neg": F.when(F.col("_d").isNotNull(), (F.col("_d") < 0).cast("double")), "_w": F.abs(F.col("_r") - 1) * F.col("volume")})
     cols = {}
@@ -92,7 +92,7 @@ def window_features(bars: DataFrame, windows: tuple[int, ...] = (5, 10, 20, 30,
         arr, hi, lo = F.collect_list("close").over(w), F.collect_list("high").over(w), F.collect_list("low").over(w)
         imax, imin = F.array_position(hi, F.max("high").over(w)).cast("double"), F.array_position(lo, F.min("low").over(w)).cast("double")
         cols |= {
-            f"ROC{n}": d(F.lag("close", n).over(BY_SYMBOL), c), f"MA{n}": d(F.avg("close").over(w), c), f"STD{n}": d(F.stddev_samp("close").over(w), c), f"MAX{n}": d(F.max("high").over(w), c), f"MIN{n}": d(F.min("low").over(w), c),
+            f"ROC{n}": d(F.lag("close", n).over(by_symbol()), c), f"MA{n}": d(F.avg("close").over(w), c), f"STD{n}": d(F.stddev_samp("close").over(w), c), f"MAX{n}": d(F.max("high").over(w), c), f"MIN{n}": d(F.min("low").over(w), c),
             f"QTLU{n}": d(F.percentile("close", 0.8).over(w), c), f"QTLD{n}": d(F.percentile("close", 0.2).over(w), c), f"RSV{n}": d(c - F.min("low").over(w), F.max("high").over(w) - F.min("low").over(w)),
             f"RANK{n}": F.transform(F.array(arr), lambda a: (F.size(F.filter(a, lambda x: x < c)) + (F.size(F.filter(a, lambda x: x == c)) + 1) / 2) / F.size(a))[0],
             f"BETA{n}": d(slope, c), f"RSQR{n}": F.regr_r2("close", "_i").over(w), f"RESI{n}": d(c - fit, c), f"IMAX{n}": imax / n, f"IMIN{n}": imin / n, f"IMXD{n}": (imax - imin) / n,
@@ -106,7 +106,7 @@ def window_features(bars: DataFrame, windows: tuple[int, ...] = (5, 10, 20, 30,
 
 def return_label(bars: DataFrame) -> DataFrame:
     """Return from t+1 to t+2 and its z-score across the day."""
-    df = bars.withColumn("label_raw", F.try_divide(F.lead("close", 2).over(BY_SYMBOL), F.lead("close", 1).over(BY_SYMBOL)) - 1)
+    df = bars.withColumn("label_raw", F.try_divide(F.lead("close", 2).over(by_symbol()), F.lead("close", 1).over(by_symbol())) - 1)
     day = Window.partitionBy("trade_date")
     sd = F.stddev_samp("label_raw").over(day)
     return df.withColumn("label", F.try_divide(F.col("label_raw") - F.avg("label_raw").over(day), F.when(sd > 1e-12, sd)))
@@ -114,7 +114,7 @@ def return_label(bars: DataFrame) -> DataFrame:
 
 def limit_up_3d(bars: DataFrame, up: float = 0.099, down: float = -0.05) -> DataFrame:
     """Hit, down and trap over the next 3 bars and their weighted target; today's limit-ups go."""
-    lead = lambda c, k: F.lead(c, k).over(BY_SYMBOL) if k else F.col(c)
+    lead = lambda c, k: F.lead(c, k).over(by_symbol()) if k else F.col(c)
     hit = F.greatest(*[(F.try_divide(lead("high", k), lead("close", k - 1)) - 1 >= up).cast("int") for k in (1, 2, 3)])
     worst = F.least(*[F.try_divide(lead("close", k), F.col("close")) - 1 for k in (1, 2, 3)])
     df = bars.withColumns({"ret": ret(1), "hit": hit, "down": (worst <= down).cast("int"), "full": lead("close", 3)}).where("full is not null and coalesce(ret < 0.099, true)".replace("0.099", str(up)))

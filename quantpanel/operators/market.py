@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .indicators import BY_SYMBOL, full
+from .indicators import by_symbol, full
 
-BY_DATE = Window.orderBy("trade_date")
+
+def by_date():
+    return Window.orderBy("trade_date")
 
 
 def symbol_panel(bars: DataFrame) -> DataFrame:
     """Valid return, lagged amount, above-mean and limit flags of each bar; a missing mean is not above (M1)."""
-    r = F.try_divide(F.col("close"), F.lag("close").over(BY_SYMBOL)) - 1
+    r = F.try_divide(F.col("close"), F.lag("close").over(by_symbol())) - 1
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
-    df = bars.withColumns({"daily_return": r, "amount": F.lag("amount").over(BY_SYMBOL), "above_ma20": flag(F.col("close") > full(F.avg, "close", 20)), "above_ma60": flag(F.col("close") > full(F.avg, "close", 60))})
+    df = bars.withColumns({"daily_return": r, "amount": F.lag("amount").over(by_symbol()), "above_ma20": flag(F.col("close") > full(F.avg, "close", 20)), "above_ma60": flag(F.col("close") > full(F.avg, "close", 60))})
     df = df.where("daily_return between -0.5 and 1.0")
     return df.select("trade_date", "symbol", "daily_return", "amount", "above_ma20", "above_ma60", flag(F.col("daily_return") >= 0.095).alias("limit_up_like"), flag(F.col("daily_return") <= -0.095).alias("limit_down_like"))
 
@@ -32,14 +34,14 @@ def daily_market(panel: DataFrame, least: int = 1) -> DataFrame:
 
 def market_index(market: DataFrame) -> DataFrame:
     """Compounded index of each return (M3)."""
-    w = BY_DATE.rowsBetween(Window.unboundedPreceding, 0)
+    w = by_date().rowsBetween(Window.unboundedPreceding, 0)
     return market.withColumns({f"{k}_index": F.exp(F.sum(F.log1p(f"{k}_return")).over(w)) for k in ("equal", "median", "amount")})
 
 
 def trade_day_features(bars: DataFrame, least: int = 5) -> DataFrame:
     """Breadth, dispersion and medians across the day (M5, M6)."""
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
-    df = bars.withColumn("r", F.try_divide(F.col("close"), F.lag("close").over(BY_SYMBOL)) - 1)
+    df = bars.withColumn("r", F.try_divide(F.col("close"), F.lag("close").over(by_symbol())) - 1)
     df = df.withColumns({
         "up": flag(F.col("r") > 0), "m20": flag(F.col("close") > full(F.avg, "close", 20)), "m60": flag(F.col("close") > full(F.avg, "close", 60)), "m120": flag(F.col("close") > full(F.avg, "close", 120)),
         "hi20": flag(F.col("close") >= full(F.max, "close", 20)), "lo20": flag(F.col("close") <= full(F.min, "close", 20)), "vol20": full(F.stddev_samp, "r", 20), "dd60": F.try_divide(F.col("close"), full(F.max, "close", 60)) - 1,
@@ -50,13 +52,13 @@ def trade_day_features(bars: DataFrame, least: int = 5) -> DataFrame:
 
 def bad_buy_days(index: DataFrame, column: str = "equal_index", horizon: int = 5, drawdown: float = -0.03, loss: float = -0.02) -> DataFrame:
     """Label 1 where the index falls far enough within the horizon; null at the end (M8)."""
-    ahead = BY_DATE.rowsBetween(1, horizon)
+    ahead = by_date().rowsBetween(1, horizon)
     low = F.try_divide(F.min(column).over(ahead), F.col(column)) - 1
-    end = F.try_divide(F.lead(column, horizon).over(BY_DATE), F.col(column)) - 1
+    end = F.try_divide(F.lead(column, horizon).over(by_date()), F.col(column)) - 1
     return index.withColumns({"future_drawdown": low, "future_return": end}).withColumn("bad_buy_day", F.when(F.col("future_return").isNotNull(), ((F.col("future_drawdown") <= drawdown) | (F.col("future_return") <= loss)).cast("int")))
 
 
 def longest_block(days: DataFrame, blocked: str = "blocked") -> DataFrame:
     """Longest run of blocked days."""
-    df = days.withColumn("_n", F.row_number().over(BY_DATE)).where(blocked).withColumn("_g", F.col("_n") - F.row_number().over(BY_DATE))
+    df = days.withColumn("_n", F.row_number().over(by_date())).where(blocked).withColumn("_g", F.col("_n") - F.row_number().over(by_date()))
     return df.groupBy("_g").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("longest_block"))

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BY_SYMBOL = Window.partitionBy("symbol").orderBy("trade_date")
+
+def by_symbol():
+    return Window.partitionBy("symbol").orderBy("trade_date")
+
 BARS = "symbol string, trade_date date, open double, close double, high double, low double, volume double, amount double, pct_change double"
 
 
@@ -30,8 +33,8 @@ def derive_bars(lineitem: DataFrame, k: float = 0.1) -> DataFrame:
     day = lineitem.groupBy(F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("symbol"), F.to_date("l_shipdate").alias("trade_date"))
     day = day.agg(F.avg("l_extendedprice").alias("e"), F.max("l_tax").alias("tx"), F.max("l_discount").alias("ds"), F.sum("l_quantity").alias("volume"))
     r = k * (F.col("e") / F.avg("e").over(Window.partitionBy("symbol")) - 1)
-    close = F.round(10 * F.exp(F.sum(F.log1p("r")).over(BY_SYMBOL)), 4)
-    df = day.withColumn("r", r).withColumn("close", close).withColumn("open", F.coalesce(F.lag("close").over(BY_SYMBOL), "close"))
+    close = F.round(10 * F.exp(F.sum(F.log1p("r")).over(by_symbol())), 4)
+    df = day.withColumn("r", r).withColumn("close", close).withColumn("open", F.coalesce(F.lag("close").over(by_symbol()), "close"))
     high, low = F.greatest("open", "close") * (1 + F.col("tx") / 4), F.least("open", "close") * (1 - F.col("ds") / 4)
     return df.select("symbol", "trade_date", "open", "close", high.alias("high"), low.alias("low"), "volume", (F.col("volume") * F.col("close")).alias("amount"), (100 * F.col("r")).alias("pct_change"))
 
@@ -51,7 +54,7 @@ def normalise_vendor_bars(raw: DataFrame, symbol: str = "symbol") -> DataFrame:
     """Numbers by try_cast; change, pct_change and amplitude derived where the vendor has none."""
     num = [c for c in ("open", "close", "high", "low", "volume", "amount", "change", "pct_change", "amplitude") if c in raw.columns]
     df = raw.withColumns({c: F.expr(f"try_cast(`{c}` as double)") for c in num}).withColumn("symbol", normalise_symbol(F.col(symbol))).withColumn("trade_date", F.to_date("trade_date"))
-    before = F.lag("close").over(BY_SYMBOL)
+    before = F.lag("close").over(by_symbol())
     have = lambda c: F.col(c) if c in raw.columns else F.lit(None).cast("double")
     return df.withColumns({
         "change": F.coalesce(have("change"), F.col("close") - before),
@@ -77,7 +80,7 @@ def upsert(cached: DataFrame, fresh: DataFrame) -> DataFrame:
 
 def normalise_symbol(c: F.Column) -> F.Column:
     """The last six digits, zero-padded; null without digits (F1)."""
-    digits = F.regexp_replace(F.regexp_replace(c.cast("string"), r"\.0$", ""), "[^0-9]", "")
+    digits = F.regexp_replace(F.regexp_replace(F.regexp_replace(c.cast("string"), '[="\\s]', ''), r"\.0$", ""), "[^0-9]", "")
     return F.when(F.length(digits) > 0, F.substring(F.concat(F.lit("000000"), digits), -6, 6))
 
 
