@@ -6,7 +6,7 @@ H + 1, two linked sets agree in one at least. How many segments take the one-del
 band by cost: signatures that a set emits against chance meetings among the sets that the band has.
 
 Documents with equal sets are one class. Candidates of a signature first meet its most central class only (a star, linear
-in the signatures). What the links found leave in different components may still link: in small signatures such classes
+in the signatures); parity sketches drop pairs that are too far apart before any text moves. What the links found leave in different components may still link: in small signatures such classes
 meet in pairs, of which parity sketches drop those too far apart within the join; in large ones (families of near copies around one text, most of which agree in the segments that nobody
 changed) each class probes with an allocation of its own, which gives the crowded segments no unit and takes
 one-deletion neighbourhoods of uncrowded ones instead. So no link between different classes is lost, and a family is
@@ -29,7 +29,7 @@ from .common import U64, WordCodes, components, gram_hashes, join_ids, mix, smal
 
 #: Undecided signatures of at most so many classes meet in pairs; those of larger ones take allocated probes.
 FEW = 1000
-#: Longs of a parity sketch.
+#: Longs of a parity sketch at least.
 SKETCH = 8
 
 
@@ -203,22 +203,31 @@ def _probing(batches: Iterator[pd.DataFrame], q: int, los: np.ndarray, plans: li
             yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "doc": np.concatenate(docs)})
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parities of the members over buckets: a power of two of them, over half the set's size and SKETCH longs at least."""
+    longs = max(SKETCH, 1 << max(0, (len(s) - 1).bit_length() - 7))
+    odd = np.bincount((mix(s + U64(0x632BE5AB)) % U64(64 * longs)).astype(np.int64), minlength=64 * longs) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sketched(batches: Iterator[pd.DataFrame], q: int) -> Iterator[pd.DataFrame]:
     codes = WordCodes()
     for pdf in batches:
         sets = [shingles(t, q, codes) for t in pdf["text"]]
-        bits = np.zeros((len(sets), 64 * SKETCH), dtype=np.uint8)
-        for row, s in zip(bits, sets, strict=True):
-            row[:] = np.bincount((mix(s + U64(0x632BE5AB)) % U64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
-        longs = np.packbits(bits, axis=1).view(np.int64)
-        yield pd.DataFrame({"doc": pdf["doc_id"], "size": [len(s) for s in sets], **{f"k{i}": longs[:, i] for i in range(SKETCH)}})
+        yield pd.DataFrame({"doc": pdf["doc_id"], "size": [len(s) for s in sets], "k": [sketch(s) for s in sets]})
 
 
 def _may_link(percent: int) -> F.Column:
-    """Of x and y with sizes and sketches: bits of parity that differ are members that differ, so too many are no link."""
-    apart = " + ".join(f"bit_count(x.k{i} ^ y.k{i})" for i in range(SKETCH))
+    """Of x and y with sizes and sketches: bits of parity that differ are members that differ, so too many are no link.
+
+    A sketch twice as long is folded first; sets whose sketches lie farther apart in length are left to the exact check.
+    """
+    folded = "case when size({0}.k) = size({1}.k) * 2 then zip_with(slice({0}.k, 1, size({1}.k)), slice({0}.k, 1 + size({1}.k), size({1}.k)), (p, q) -> p ^ q) else {0}.k end"
+    apart = f"aggregate(zip_with({folded.format('x', 'y')}, {folded.format('y', 'x')}, (p, q) -> bit_count(p ^ q)), 0, (t, n) -> t + n)"
     total = "(x.size + y.size)"
-    return F.expr(f"{percent} * greatest(x.size, y.size) <= 100 * least(x.size, y.size) and {apart} <= {total} - 2 * (({percent} * {total} + {99 + percent}) div {100 + percent})")
+    bound = f"{total} - 2 * (({percent} * {total} + {99 + percent}) div {100 + percent})"
+    comparable = "greatest(size(x.k), size(y.k)) <= 2 * least(size(x.k), size(y.k))"
+    return F.expr(f"case when {percent} * greatest(x.size, y.size) > 100 * least(x.size, y.size) then false when {comparable} then {apart} <= {bound} else true end")
 
 
 def hot_pairs(hot: DataFrame, sketches: DataFrame, texts: DataFrame, q: int, bounds: list, plans: list, percent: int) -> DataFrame:
@@ -286,14 +295,16 @@ def jaccard_groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -
     # the star of a signature is about its most central class: the one that meets the most others in all
     central = store(met.groupBy("sig").count().join(met, "sig").groupBy("doc").agg(F.sum("count").alias("weight")), "central")
     met = store(met.join(central, "doc").withColumn("rep", F.max(F.struct("weight", -F.col("doc"))).over(w)).selectExpr("sig", "doc", "-rep.col2 as rep"), "stars")
-    links = store(verify(met.where("rep <> doc").select(F.least("rep", "doc").alias("a"), F.greatest("rep", "doc").alias("b")).distinct(), texts, q, percent), "links")
+    sketches = store(texts.mapInPandas(partial(_sketched, q=q), "doc long, size long, k array<long>"), "sketches")
+    stars = met.where("rep <> doc").select(F.least("rep", "doc").alias("a"), F.greatest("rep", "doc").alias("b")).distinct()
+    near = stars.join(sketches.alias("x"), F.expr("a = x.doc")).join(sketches.alias("y"), F.expr("b = y.doc")).where(_may_link(percent)).select("a", "b")
+    links = store(verify(store(near, "near"), texts, q, percent), "links")
     comp = components(links)
     # what stands with the centre of its signature is decided; the rest may still link across components
     left = met.where("rep <> doc").select("sig", "doc").join(comp.toDF("doc", "c"), "doc", "left").select("sig", "doc", F.coalesce("c", "doc").alias("c"))
     left = left.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("lo", F.min("c").over(w)).withColumn("hi", F.max("c").over(w)).where("lo < hi")
     left = store(left.select("sig", "doc", "c", "n"), "undecided")
     if not left.isEmpty():
-        sketches = store(texts.mapInPandas(partial(_sketched, q=q), "doc long, size long, " + ", ".join(f"k{i} long" for i in range(SKETCH))), "sketches")
         few = left.where(F.col("n") <= FEW).join(sketches, "doc")
         found = few.alias("x").join(few.alias("y"), F.expr("x.sig = y.sig and x.doc < y.doc and x.c <> y.c") & _may_link(percent))
         found = found.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
