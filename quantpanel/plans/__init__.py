@@ -1,0 +1,3 @@
+from . import catalog, screens  # screens registers its queries in the catalog
+
+__all__ = ["catalog", "screens"]
