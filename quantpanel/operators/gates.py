@@ -66,8 +66,11 @@ def benchmark_excess(daily: DataFrame, index: DataFrame, horizon: int = 5) -> Da
     return daily.join(index.select("trade_date", ahead.alias("benchmark")), "trade_date").withColumn("excess", F.col("outcome") - F.col("benchmark"))
 
 
-def sector_technicals(index: DataFrame) -> DataFrame:
-    """Returns, mean slopes, contraction and new-low flags of the last day of each sector (K9), with its short score."""
+def sector_technicals(index: DataFrame, days: DataFrame) -> DataFrame:
+    """Returns, mean slopes, contraction and new-low flags of the last day of each sector (K9), with its short score.
+
+    days holds the amount-weighted move and the share of gainers; a missing value scores 50.
+    """
     w = by_sector()
     frame = lambda n: w.rowsBetween(1 - n, 0)
     v = F.col("sector_index")
@@ -78,20 +81,26 @@ def sector_technicals(index: DataFrame) -> DataFrame:
         "new_low_in_5d": F.bool_or("at_low").over(frame(5)), "above_ma20": v > F.col("m20"), "volatility_ratio": F.try_divide(full(F.stddev_samp, "ret", 5, frame(5)), full(F.stddev_samp, "ret", 20, frame(20))),
         "up_ratio_3d": F.avg((F.col("ret") > 0).cast("double")).over(frame(3)), "_n": F.row_number().over(Window.partitionBy("sector_label").orderBy(F.desc("trade_date"))),
     }).where("_n = 1")
+    df = df.join(days.select("sector_label", "trade_date", "amount_weighted_pct_change", "up_ratio"), ["sector_label", "trade_date"], "left")
     # Bounds of the linear scores and their weights.
-    parts = ((0.25, "return_5d", -3.0, 8.0), (0.25, "return_20d", -8.0, 18.0), (0.15, "ma5_slope_pct", -0.8, 1.2), (0.20, "ret_pct", -2.0, 5.0), (0.15, "up_ratio_3d", 0.35, 0.80))
-    score = sum((k * linear_score(F.col("ret") * 100 if c == "ret_pct" else F.col(c), lo, hi) for k, c, lo, hi in parts), F.lit(0.0))
-    return df.select("sector_label", "trade_date", "return_5d", "return_20d", "ma5_slope_pct", "ma20_slope_pct", "new_low_in_5d", "above_ma20", "volatility_ratio", "up_ratio_3d", score.alias("short_score"))
+    parts = ((0.25, "return_5d", -3.0, 8.0), (0.25, "return_20d", -8.0, 18.0), (0.15, "ma5_slope_pct", -0.8, 1.2), (0.20, "amount_weighted_pct_change", -2.0, 5.0), (0.15, "up_ratio", 0.35, 0.80))
+    score = sum((k * linear_score(F.col(c), lo, hi) for k, c, lo, hi in parts), F.lit(0.0))
+    return df.select("sector_label", "trade_date", "return_5d", "return_20d", "ma5_slope_pct", "ma20_slope_pct", "new_low_in_5d", "above_ma20", "volatility_ratio", "up_ratio_3d", F.round(score, 2).alias("short_score"))
 
 
 def index_code(c: F.Column) -> F.Column:
-    """Exchange prefix of an index: sz for 399xxx, else sh (F2)."""
-    return F.concat(F.when(c.startswith("399"), "sz").otherwise("sh"), c)
+    """Six digits of an index with its exchange, kept if given, else sz for 399xxx and sh for the rest (F2)."""
+    text = F.regexp_replace(F.lower(F.trim(c)), "[.]", "")
+    given = text.rlike("^s[hz]")
+    code = F.lpad(F.when(given, F.substring(text, 3, 6)).otherwise(text), 6, "0")
+    return F.concat(F.when(given, F.substring(text, 1, 2)).when(code.startswith("399"), "sz").otherwise("sh"), code)
 
 
 def stock_code(c: F.Column) -> F.Column:
-    """Exchange prefix of a stock by its first digit."""
-    return F.concat(F.when(c.rlike("^[569]"), "sh").otherwise("sz"), c)
+    """Six digits of a stock with its exchange: sh for the leading digits below, else sz."""
+    code = F.lpad(c, 6, "0")
+    # Leading digits of the first exchange.
+    return F.concat(F.when(code.rlike("^(600|601|603|605|688|689|900)"), "sh").otherwise("sz"), code)
 
 
 def tail_risk_model(panel: DataFrame, features: list[str], label: str, rows: int = 5_000_000):

@@ -96,10 +96,12 @@ def _linear(c: str, lo: float, hi: float) -> str:
 @query(f"""{_SECTOR} x0 AS (SELECT *, exp(sum(ln(1 + ret)) OVER ({_W})) AS v FROM si), x1 AS (SELECT *, 100 * (v / lag(v, 5) OVER ({_W}) - 1) AS return_5d, 100 * (v / lag(v, 20) OVER ({_W}) - 1) AS return_20d, {_mean('v', 5)} AS m5, {_mean('v', 20)} AS m20, {_mean('v', 20, 'min')} AS low20 FROM x0),
 x2 AS (SELECT *, 100 * (m5 / lag(m5, 5) OVER ({_W}) - 1) AS ma5_slope_pct, 100 * (m20 / lag(m20, 5) OVER ({_W}) - 1) AS ma20_slope_pct, coalesce(v <= low20 * 1.002, false) AS at_low FROM x1),
 x3 AS (SELECT *, bool_or(at_low) OVER ({_W} ROWS 4 PRECEDING) AS new_low_in_5d, v > m20 AS above_ma20, ({_mean('ret', 5, 'stddev_samp')}) / ({_mean('ret', 20, 'stddev_samp')}) AS volatility_ratio, avg((ret > 0)::INT) OVER ({_W} ROWS 2 PRECEDING) AS up_ratio_3d, row_number() OVER (PARTITION BY sector_label ORDER BY trade_date DESC) AS k FROM x2),
---- SELECT *, 0.25 * {_linear('return_5d', -3.0, 8.0)} + 0.25 * {_linear('return_20d', -8.0, 18.0)} + 0.15 * {_linear('ma5_slope_pct', -0.8, 1.2)} + 0.2 * {_linear('ret * 100', -2.0, 5.0)} + 0.15 * {_linear('up_ratio_3d', 0.35, 0.8)} AS short_score FROM x3 WHERE k = 1""", "return_5d return_20d ma5_slope_pct ma20_slope_pct volatility_ratio up_ratio_3d short_score", "sector_label trade_date new_low_in_5d above_ma20")
+pf AS (SELECT sector_label, trade_date, sum(pct_change * amount) / nullif(sum(amount), 0) AS aw, avg((pct_change > 0)::INT) AS up_ratio FROM bars JOIN members USING (symbol) GROUP BY 1, 2),
+--- SELECT *, round(0.25 * {_linear('return_5d', -3.0, 8.0)} + 0.25 * {_linear('return_20d', -8.0, 18.0)} + 0.15 * {_linear('ma5_slope_pct', -0.8, 1.2)} + 0.2 * {_linear('aw', -2.0, 5.0)} + 0.15 * {_linear('up_ratio', 0.35, 0.8)}, 2) AS short_score FROM x3 LEFT JOIN pf USING (sector_label, trade_date) WHERE k = 1""", "return_5d return_20d ma5_slope_pct ma20_slope_pct volatility_ratio up_ratio_3d short_score", "sector_label trade_date new_low_in_5d above_ma20")
 def sector_technicals(spark, sf_dir):
     """Technical state of each sector."""
-    return gt.sector_technicals(se.sector_index(se.sector_days(src.bars_of(spark, sf_dir), src.membership_of(spark, sf_dir))))
+    days = se.sector_days(src.bars_of(spark, sf_dir), src.membership_of(spark, sf_dir))
+    return gt.sector_technicals(se.sector_index(days), days)
 
 
 @query(f"rr0 AS (SELECT *, round(coalesce(pct_change / 100, close / lag(close) OVER ({_S}) - 1), 6) AS daily_return, row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS k FROM bars), --- SELECT symbol, trade_date, daily_return FROM rr0 WHERE k = 1", "daily_return", "symbol trade_date")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantpanel.operators import backtest as bt
+from quantpanel.operators import gates as gt
 from quantpanel.operators import indicators as ind
 from quantpanel.operators import labels as lab
 from quantpanel.operators import scores as sc
@@ -65,6 +66,16 @@ def test_scores_and_position(spark):
     assert one.p == 23.53 and one.s == "600000"
 
 
+def test_codes_and_windows(spark):
+    one = spark.range(1).select(gt.index_code(F.lit("sh.000001")).alias("a"), gt.index_code(F.lit("399001")).alias("b"), gt.stock_code(F.lit("1")).alias("c"), gt.stock_code(F.lit("688001")).alias("d")).first()
+    assert tuple(one) == ("sh000001", "sz399001", "sz000001", "sh688001")
+    df = ramp(spark, range(1, 11))
+    windows = gt.walk_forward(df, 4, 2, 2, 1)
+    assert sorted((r.window_id, r.train_start.day, r.train_end.day, r.valid_start.day, r.valid_end.day) for r in windows.collect()) == [("wf_01", 1, 4, 6, 7), ("wf_02", 3, 6, 8, 9)]
+    rows = gt.slice_windows(df, gt.walk_forward(df, 4, 2, 2, 1, anchored=True)).where("window_id = 'wf_02'").collect()
+    assert sorted(r.trade_date.day for r in rows if r.split == "train") == [1, 2, 3, 4, 5, 6] and sorted(r.trade_date.day for r in rows if r.split == "valid") == [8, 9]
+
+
 def test_upsert_and_gaps(spark):
     old, new = ramp(spark, [1, 2, 3]), ramp(spark, [1, 5]).where("close = 5")
     assert [r.close for r in src.upsert(old, new).orderBy("trade_date").collect()] == [1, 5, 3]
