@@ -1,11 +1,11 @@
-"""Toxicity (4): Levenshtein automata intersected with a lexicon trie, and context windows around what they catch.
-
-The lexicon is learned from a bounded sample of labelled rows: words, and stems that several words share, whose log-odds
-to stand in a toxic document are large. It is kept as a trie. A word of a document is matched by walking the trie along
-the states of its Levenshtein automaton (one row of distances for each node), so all terms within the allowed distance
-are met in one walk; words that share no piece with a term (a term within k edits keeps one of its k + 1 pieces) need
-no walk. Each match looks at the window of text around it: quotation marks on both sides make it quoted, otherwise it is
-abuse. A logistic model on the counts and weights of both kinds gives the score.
+"""Toxicity (4): Levenshtein automata of the terms that a trie of their pieces finds, and context windows around matches.
+
+The lexicon is learned from a bounded sample of labelled rows: words, and stems that several words share, that stand in
+toxic documents more often than chance over all words allows, whatever the size of the sample. A term within k edits
+keeps one of its k + 1 pieces near its place, where the swap of two neighbours is one edit and pieces leave a letter
+between them, so that no edit breaks two. A word runs the automaton (bits of one row of distances) of just the terms
+whose pieces it holds. Each match looks at the window of text around it: quotation marks on both sides make it quoted,
+otherwise it is abuse. A logistic model on the counts and weights of both kinds gives the score.
 """
 
 from __future__ import annotations
@@ -19,20 +19,21 @@ from functools import partial
 import ahocorasick
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_ids, small_batches, store
+from .common import join_ids, mix, small_batches, store
 
 #: Labelled rows that the models are fitted on at most (in expectation; chosen by a hash of their ids).
 FIT_ROWS = 30_000
-#: Terms of the lexicon at most, those with the most evidence.
-MOST_TERMS = 1000
 STEM = (4, 5, 6)
-#: Log of how unlikely a term's toxic documents are by chance.
+#: Log of how unlikely a term's share of toxic documents is by chance, at least: one in a million terms.
 EVIDENCE = 14
 #: Log-odds of a term at least.
-ODDS = 3.5
+ODDS = 2.0
+#: Min-hashes that tell near copies of a text.
+SKETCHES = 4
 WINDOW = 60
 _TOKEN = re.compile(r"[^\W_](?:[\w*@$'’-]*[^\W_])?")
 _OPEN, _CLOSE = re.compile(r"[\"“„«‚‘]|(?<!\w)'"), re.compile(r"[\"”“»‘’]|'(?!\w)")
@@ -41,12 +42,14 @@ FEATURES = ("bias", "exact", "stem", "fuzzy", "quoted", "weight", "most", "densi
 
 def allowed(n: int) -> int:
     """Edits that a term of n letters allows."""
-    return 0 if n < 5 else 1 if n < 12 else 2
+    return 0 if n < 5 else 1 if n < 9 else 2
 
 
-def pieces(term: str) -> list[str]:
+def pieces(term: str) -> list[tuple[int, str]]:
+    """(place, piece) of a term's k + 1 pieces; the letter between two of them is in none."""
     k = allowed(len(term)) + 1
-    return [term[i * len(term) // k : (i + 1) * len(term) // k] for i in range(k)]
+    cuts = [i * (len(term) + 1) // k for i in range(k + 1)]
+    return [(a, term[a : b - 1]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 class _Memo(dict):
@@ -64,85 +67,73 @@ class _Memo(dict):
         return out
 
 
+def automaton(term: str) -> dict[str, int]:
+    """letter -> the places of the term that hold it, as bits."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(term):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def distance(places: dict[str, int], m: int, word: str) -> int:
+    """Edits between word and the term of m letters, the swap of two neighbours as one (Hyyro's bit-parallel rows)."""
+    full, last = (1 << m) - 1, 1 << (m - 1)
+    up, down, diagonal, before, out = full, 0, 0, 0, m
+    for c in word:
+        same = places.get(c, 0)
+        diagonal = ((((~diagonal & same) << 1) & before) | (((same & up) + up) ^ up) | same | down) & full
+        right, left = down | (full & ~(diagonal | up)), diagonal & up
+        out += 1 if right & last else -1 if left & last else 0
+        right, left = (right << 1 | 1) & full, (left << 1) & full
+        up, down, before = left | (full & ~(diagonal | right)), right & diagonal, same
+    return out
+
+
 class Lexicon:
     """terms: {(term, is it a stem): weight}. match(word) -> (kind, weight) of the best term, or None; remembers words.
 
-    A word needs a walk only if it holds a piece of a term no farther from its place in the term than the edits allow,
-    and its length differs by no more; that is so for every word within the edits.
+    Kinds: 0 the word itself, 1 a stem, 2 a misspelling; an earlier kind wins, then the larger weight.
     """
 
     def __init__(self, terms: dict[tuple[str, bool], float]):
-        self.root: dict = {}
-        places: dict[str, list[tuple[int, int, int, int]]] = {}
-        for (term, stem), weight in sorted(terms.items()):
-            node, k = self.root, 0 if stem else allowed(len(term))
-            for c in term:
-                node["most"] = max(node.get("most", 0), k)
-                node = node.setdefault(c, {})
-            node["most"] = max(node.get("most", 0), k)
-            node["stem" if stem else "word"] = (term, weight)
-            at = 0
-            for piece in [term] if stem else pieces(term):
-                places.setdefault(piece, []).append((at - k, at + k, len(term) - k, 10**9 if stem else len(term) + k))
-                at += len(piece)
+        self.words = {t: w for (t, stem), w in terms.items() if not stem}
+        self.stems = {t: w for (t, stem), w in terms.items() if stem}
+        self.sizes = sorted({len(t) for t in self.stems})
+        #: piece -> {(place in a word, letters of the word): terms}
+        spots: dict[str, dict[tuple[int, int], list[tuple]]] = {}
+        for term, weight in sorted(self.words.items()):
+            if k := allowed(len(term)):
+                entry = (term, k, weight, automaton(term))
+                for at, piece in pieces(term):
+                    held = spots.setdefault(piece, {})
+                    for place in range(max(0, at - k), at + k + 1):
+                        for n in range(len(term) - k, len(term) + k + 1):
+                            held.setdefault((place, n), []).append(entry)
         self.sieve = ahocorasick.Automaton()
-        for piece, spots in places.items():
-            self.sieve.add_word(piece, (len(piece) - 1, spots))
-        if places:
+        for piece, held in spots.items():
+            self.sieve.add_word(piece, (len(piece) - 1, held))
+        if spots:
             self.sieve.make_automaton()
-        self.any = bool(places)
+        self.longest = max((len(t) + allowed(len(t)) for t in self.words), default=0) if spots else 0
         self.memo = _Memo(self._find)
         self.match = self.memo.__getitem__
 
     def _find(self, word: str) -> tuple[int, float] | None:
-        if self.any:
-            n = len(word)
-            for end, (back, spots) in self.sieve.iter(word):
-                at = end - back
-                for lo, hi, least, most in spots:
-                    if lo <= at <= hi and least <= n <= most:
-                        return self._walk(word)
-        return None
-
-    def _walk(self, word: str) -> tuple[int, float] | None:
-        """Kinds: 0 the word itself, 1 a stem, 2 a misspelling; an earlier kind wins, then the larger weight."""
-        best = None
-
-        def offer(kind: int, weight: float):
-            nonlocal best
-            if best is None or (kind, -weight) < (best[0], -best[1]):
-                best = (kind, weight)
-
-        n = len(word)
-
-        def visit(node: dict, row: list[int], depth: int, exact: bool):
-            """row: the automaton's state, distances of the path to word[: depth - 2 .. depth + 2]."""
-            if exact and "stem" in node:
-                offer(1, node["stem"][1])
-            if "word" in node and -2 <= n - depth <= 2:
-                term, weight = node["word"]
-                apart = row[n - depth + 2]
-                if apart <= allowed(len(term)):
-                    offer(0 if apart == 0 else 2, weight)
-            for c, child in node.items():
-                if len(c) > 1:  # what the node holds, not a letter
-                    continue
-                new, left = [9, 9, 9, 9, 9], 9
-                for k in range(5):
-                    i = depth + k - 1
-                    if 0 <= i <= n:
-                        best_here = left + 1
-                        if k < 4 and row[k + 1] + 1 < best_here:
-                            best_here = row[k + 1] + 1
-                        if i and (same := row[k] + (word[i - 1] != c)) < best_here:
-                            best_here = same
-                        new[k] = left = best_here
-                along = exact and depth < n and word[depth] == c
-                if along or min(new) <= child["most"]:
-                    visit(child, new, depth + 1, along)
-
-        visit(self.root, [9, 9, 0, 1, 2], 0, True)
-        return best
+        if word in self.words:
+            return 0, self.words[word]
+        stems = [self.stems[word[:k]] for k in self.sizes if word[:k] in self.stems]
+        if stems:
+            return 1, max(stems)
+        n, best, seen = len(word), None, set()
+        if n > self.longest:
+            return None
+        for end, (back, held) in self.sieve.iter(word):
+            for term, k, weight, places in held.get((end - back, n), ()):
+                if (best is None or weight > best) and term not in seen:
+                    seen.add(term)
+                    if distance(places, len(term), word) <= k:
+                        best = weight
+        return None if best is None else (2, best)
 
 
 def matches(text: str | None, lexicon: Lexicon) -> tuple[int, list[tuple[str, int, float, bool]]]:
@@ -202,25 +193,50 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, where: str) ->
     return store(join_ids(docs.select("doc_id", "text"), known, "doc_id", "inner"), "training")
 
 
+def _sources(batches: Iterator[pd.DataFrame], terms: frozenset, label: str) -> Iterator[pd.DataFrame]:
+    """(term, stem, sketch, which, y) of the terms of each text: SKETCHES min-hashes of its pairs of words."""
+    for pdf in batches:
+        out = []
+        for text, y in zip(pdf["text"], pdf[label], strict=True):
+            words = _TOKEN.findall((text or "").lower())
+            once = set(words)
+            held = {(w, False) for w in once} | {(w[:k], True) for w in once for k in STEM if len(w) > k}
+            if held := held & terms:
+                pairs = np.array([xxhash.xxh3_64_intdigest(f"{a} {b}") for a, b in zip(words, words[1:] or [""], strict=False)], dtype=np.uint64)
+                least = [int(mix(pairs + np.uint64(i)).min() >> np.uint64(1)) for i in range(SKETCHES)]
+                out += [(t, stem, x, i, int(y)) for t, stem in held for i, x in enumerate(least)]
+        yield pd.DataFrame(out, columns=["term", "stem", "sketch", "which", "y"])
+
+
+def _strong(counts: DataFrame, pos: int, neg: int) -> DataFrame:
+    """Terms whose share of toxic rows passes ODDS and EVIDENCE."""
+    odds = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("neg") + 0.5) / (neg + 1))
+    share, base = F.col("pos") / (F.col("pos") + F.col("neg")), pos / (pos + neg)
+    evidence = F.col("pos") * F.log(share / base) + F.when(F.col("neg") > 0, F.col("neg") * F.log((1 - share) / (1 - base))).otherwise(0.0)
+    return counts.where("pos > 0").withColumns({"odds": odds, "evidence": evidence}).where(f"odds >= {ODDS} and evidence >= {EVIDENCE}")
+
+
 def learn_lexicon(train: DataFrame, label: str = "toxic") -> dict[tuple[str, bool], float]:
+    """Terms that chance does not explain, counted over rows and then over sources: near copies of a text are one source."""
     sizes = dict(train.groupBy(label).count().collect())
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     if not pos or not neg:
         return {}
     counts = train.select("text", label).mapInPandas(partial(_counted, label=label), "term string, stem boolean, pos long, neg long")
     counts = counts.groupBy("term", "stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    odds = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("neg") + 0.5) / (neg + 1))
-    evidence = F.col("pos") * F.log(F.col("pos") / (F.col("pos") + F.col("neg")) / (pos / (pos + neg)))
-    strong = counts.where("pos > 0").withColumns({"odds": odds, "evidence": evidence}).where(f"odds >= {ODDS} and evidence >= {EVIDENCE}")
-    top = strong.orderBy(F.col("evidence").desc(), "term", "stem").limit(MOST_TERMS).collect()
-    return tidy({(r["term"], r["stem"]): float(r["odds"]) for r in top})
+    odds = {(r["term"], r["stem"]): float(r["odds"]) for r in _strong(counts, pos, neg).collect()}
+    if not odds:
+        return {}
+    seen = train.select("text", label).mapInPandas(partial(_sources, terms=frozenset(odds), label=label), "term string, stem boolean, sketch long, which int, y int")
+    seen = seen.distinct().groupBy("term", "stem", "which").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    # the sketch in which near copies fall together most
+    seen = seen.groupBy("term", "stem").agg(F.min("pos").alias("pos"), F.min("neg").alias("neg"))
+    return tidy({k: odds[k] for r in _strong(seen, pos, neg).collect() if (k := (r["term"], r["stem"])) in odds})
 
 
 def tidy(terms: dict[tuple[str, bool], float]) -> dict[tuple[str, bool], float]:
     """Stems that three words or more share, the shortest of nested ones; words without such a stem."""
     words = [t for t, stem in terms if not stem]
-    strongest = max(terms.values(), default=0.0)
-    terms = {t: w for t, w in terms.items() if w >= 0.6 * strongest}  # the rest rides on a few documents that share words
     stems: list[str] = []
     for s in sorted((t for t, stem in terms if stem), key=lambda t: (len(t), t)):
         if not s.startswith(tuple(stems)) and sum(w.startswith(s) for w in words) >= 3:
