@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import join_ids, shared_path, small_batches, store, width
 
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
-#: Bytes of an archive before the next is begun, of a range that one task scans, and of a header at most.
+#: Bytes of an archive before the next is begun, of a range that one task scans, and of one read behind a range for the header that ends there.
 FILE_BYTES, RANGE_BYTES, HEADER_BYTES = 256 << 20, 8 << 20, 64 << 10
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _BREAKS = re.compile(r"[\x00-\x20\x7f]")
@@ -47,7 +47,7 @@ def record(page: int | None, url: str | None, payload: bytes, refers_to: int | N
     if page is not None:
         head.append(f"X-Page-Id: {page}")
     if url:
-        head.append("WARC-Target-URI: " + _BREAKS.sub(lambda m: f"%{ord(m[0]):02X}", url)[:8000])
+        head.append("WARC-Target-URI: " + _BREAKS.sub(lambda m: f"%{ord(m[0]):02X}", url))
     if refers_to is not None:
         head += [f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, str(refers_to))}>", f"X-Refers-To-Page-Id: {refers_to}", f"WARC-Profile: {PROFILE}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -127,11 +127,19 @@ def _scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             with fs.open_input_file(path) as f:
                 f.seek(lo)
                 raw = f.read(min(size, hi + HEADER_BYTES) - lo)
-            rows = {}
+                # the header that begins last may be longer: on to a blank line behind it
+                last = max((m.start() for m in MAGIC.finditer(raw) if m.start() < hi - lo), default=-1)
+                more, tail = [], raw[last:] if last >= 0 else b"\r\n\r\n"
+                while b"\r\n\r\n" not in tail and (part := f.read(HEADER_BYTES)):
+                    more.append(part)
+                    tail = tail[-3:] + part
+                raw = b"".join([raw, *more])
+            rows, blank = {}, -1
             for m in MAGIC.finditer(raw):
                 if m.start() >= hi - lo:
                     break
-                if head := header_of(raw[m.start() : m.start() + HEADER_BYTES]):
+                blank = raw.find(b"\r\n\r\n", m.start()) if blank < m.start() else blank
+                if blank >= 0 and (head := header_of(raw[m.start() : blank + 4])):
                     after = lo + m.start() + head[1] + int(head[0][b"Content-Length"]) + 4
                     if after <= size:
                         rows[lo + m.start()] = after
