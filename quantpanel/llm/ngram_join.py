@@ -21,25 +21,28 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordCodes, components, gram_hashes, join_ids, mix, small_batches, store
+from .common import U64, codes_of, components, gram_hashes, join_classes, join_counted, join_ids, keyed, map_rows, mix, own_keys, small_batches, store, width
 
 
 #: Undecided signatures of at most so many classes meet in pairs; those of larger ones take allocated probes.
-FEW = 1000
+FEW = 200
+#: Signatures that a task hands over at once, and that a bucket should hold on average.
+OUT_ROWS, BUCKET_ROWS = 1_000_000, 2_000_000
 #: Longs of a parity sketch at least.
 SKETCH = 8
 
 
-def shingles(text: str | None, q: int, codes: WordCodes) -> np.ndarray:
+def shingles(codes: np.ndarray, q: int) -> np.ndarray:
     """Sorted distinct hashes of the q-word shingles; the whole sequence if there are fewer words; empty without words."""
-    words = text.encode().lower().split() if text else []
-    if not words:
-        return np.empty(0, dtype=U64)
-    c = codes.of(words)
-    return np.unique(gram_hashes(c, min(q, len(c))))
+    return np.unique(gram_hashes(codes, min(q, len(codes)))) if len(codes) else codes
+
+
+def sets_of(texts, q: int) -> Iterator[np.ndarray]:
+    return (shingles(c, q) for c in codes_of(texts, lower=True))
 
 
 def band_bounds(percent: int, most: int) -> list[tuple[int, int]]:
@@ -71,15 +74,13 @@ def band_plan(lo: int, hi: int, h: int, sets: int) -> tuple[int, int]:
 
 
 def _profiles(batches: Iterator[pd.DataFrame], q: int) -> Iterator[pd.DataFrame]:
-    codes = WordCodes()
     for pdf in batches:
         rows = []
-        for text in pdf["text"]:
-            s = shingles(text, q, codes)
+        for s in sets_of(pdf["text"], q):
             one, two = mix(s), mix(s ^ U64(0x5851F42D4C957F2D))
-            rows.append((len(s), int(one.sum(dtype=U64).view(np.int64)), int(two.sum(dtype=U64).view(np.int64))))
+            rows.append((len(s), one.sum(dtype=U64), two.sum(dtype=U64)))
         n, one, two = zip(*rows, strict=True)
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": n, "h1": one, "h2": two})
+        yield pdf[["doc_id", "th"]].assign(n_shingles=n, h1=np.array(one, dtype=U64).view(np.int64), h2=np.array(two, dtype=U64).view(np.int64))
 
 
 def signatures(s: np.ndarray, band: int, plan: tuple[int, int]) -> np.ndarray:
@@ -98,33 +99,95 @@ def signatures(s: np.ndarray, band: int, plan: tuple[int, int]) -> np.ndarray:
     return out
 
 
-def _signed(batches: Iterator[pd.DataFrame], q: int, bounds: list, plans: list) -> Iterator[pd.DataFrame]:
-    codes, los = WordCodes(), np.array([lo for lo, _ in bounds])
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The low bytes of whole numbers, each place of a byte on its own, so that the empty ones compress away."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _numbers(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(raw, dtype=np.uint8).reshape(width, -1).T
+    return out.view("<u8").ravel()
+
+
+_LOW = U64((1 << 48) - 1)
+_SENT = "bucket int, kind int, sigs binary, docs binary, names binary"
+
+
+def _batch(sigs: list, sizes: list, docs: list, buckets: int, turn: int) -> pd.DataFrame:
+    """Rows of a batch by bucket. A signature that several of its documents share is settled here: it travels once, and
+    its documents go to a bucket that depends on the batch, whatever the signature."""
+    s, d = np.concatenate(sigs), np.repeat(np.arange(len(docs)), sizes)
+    key = ((s >> U64(48)) % U64(buckets)) << U64(48) | (s & _LOW)
+    order = np.argsort(key, kind="stable")
+    key, d = key[order], d[order]
+    first = np.concatenate(([True], key[1:] != key[:-1]))
+    many = ~first
+    many[:-1] |= ~first[1:]
+    names, out = np.array(docs, dtype="<i8"), []
+    if many.any():
+        used, at = np.unique(d[many], return_inverse=True)
+        out.append((turn % buckets, 1, _planes(key[many], 8), _planes(at, 4), names[used].tobytes()))
+    key, d = key[first], d[first]
+    cuts = np.searchsorted(key >> U64(48), np.arange(buckets + 1).astype(U64))
+    for bucket in np.flatnonzero(np.diff(cuts)).tolist():
+        mine = slice(cuts[bucket], cuts[bucket + 1])
+        used, at = np.unique(d[mine], return_inverse=True)
+        out.append((bucket, 0, _planes(np.diff(key[mine] & _LOW, prepend=U64(0)), 6), _planes(at, 4), names[used].tobytes()))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in _SENT.split(", ")])
+
+
+def _signed(batches: Iterator[pd.DataFrame], q: int, bounds: list, plans: list, buckets: int) -> Iterator[pd.DataFrame]:
+    los, turn = np.array([lo for lo, _ in bounds]), TaskContext.get().partitionId() if TaskContext.get() else 0
+    docs, sigs, sizes, size = [], [], [], 0
     for pdf in batches:
-        ids, sigs = [], []
-        for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-            s = shingles(text, q, codes)
+        for doc, s in zip(pdf["key"], sets_of(pdf["text"], q), strict=True):
             if not len(s):
                 continue
             band = int(np.searchsorted(los, len(s), "right")) - 1
-            for b in (band, band - 1):
-                if b >= 0:
-                    sigs.append(signatures(s, b, plans[b]))
-                    ids.append(np.full(len(sigs[-1]), doc, dtype=np.int64))
-        if ids:
-            yield pd.DataFrame({"sig": np.concatenate(sigs).view(np.int64), "doc": np.concatenate(ids)})
+            mine = [signatures(s, b, plans[b]) for b in (band, band - 1) if b >= 0]
+            sigs += mine
+            docs.append(doc)
+            sizes.append(sum(map(len, mine)))
+            size += sizes[-1]
+            if size >= OUT_ROWS:
+                yield _batch(sigs, sizes, docs, buckets, turn)
+                docs, sigs, sizes, size, turn = [], [], [], 0, turn + 1
+    if docs:
+        yield _batch(sigs, sizes, docs, buckets, turn)
+
+
+def _shared(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    """(sig, doc) of the signatures of one bucket that several documents have."""
+    bucket, sigs, docs, done = U64(int(key[0])) << U64(48), [], [], []
+    for kind, raw, at, names in zip(pdf["kind"], pdf["sigs"], pdf["docs"], pdf["names"], strict=True):
+        who = np.frombuffer(names, dtype="<i8")[_numbers(at, 4).astype(np.int64)]
+        if kind:
+            done.append((_numbers(raw, 8), who))
+        else:
+            sigs.append(np.cumsum(_numbers(raw, 6), dtype=U64) | bucket)
+            docs.append(who)
+    if sigs:
+        s, d = np.concatenate(sigs), np.concatenate(docs)
+        order = np.argsort(s, kind="stable")
+        s, d = s[order], d[order]
+        same = np.concatenate((s[1:] == s[:-1], [False]))
+        many = same.copy()
+        many[1:] |= same[:-1]
+        done.append((s[many], d[many]))
+    s, d = (np.concatenate(x) for x in zip(*done, strict=True))
+    return pd.DataFrame({"sig": s.view(np.int64), "doc": d})
 
 
 def _verified(batches: Iterator[pd.DataFrame], q: int, percent: int) -> Iterator[pd.DataFrame]:
-    codes, seen = WordCodes(), {}
     for pdf in batches:
-        keep = []
-        for a, b, ta, tb in zip(pdf["a"], pdf["b"], pdf["ta"], pdf["tb"], strict=True):
-            if a not in seen:
-                if len(seen) > 50:
-                    seen.clear()
-                seen[a] = shingles(ta, q, codes)
-            x, y = seen[a], shingles(tb, q, codes)
+        keep, last, x = [], None, None
+        texts = [t for a, ta, tb in zip(pdf["a"], pdf["ta"], pdf["tb"], strict=True) for t in ((ta, tb) if a != last else (tb,)) if ((last := a) or True)]
+        sets, last = sets_of(texts, q), None
+        for a in pdf["a"]:
+            if a != last:
+                x, last = next(sets), a
+            y = next(sets)
             ok = percent * max(len(x), len(y)) <= 100 * min(len(x), len(y))
             if ok:
                 common = len(np.intersect1d(x, y, assume_unique=True))
@@ -150,11 +213,9 @@ def _own_plans(s: np.ndarray, los: np.ndarray, plans: list) -> list[tuple[int, i
 
 
 def _indexed(batches: Iterator[pd.DataFrame], q: int, los: np.ndarray, plans: list) -> Iterator[pd.DataFrame]:
-    codes = WordCodes()
     for pdf in batches:
         parts = []
-        for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-            s = shingles(text, q, codes)
+        for doc, s in zip(pdf["key"], sets_of(pdf["text"], q), strict=True):
             for b, m in _own_plans(s, los, plans):
                 exact, seg, _, near = _segments(s, b, m)
                 keys = np.concatenate((exact, near))
@@ -188,11 +249,9 @@ def allocate(m: int, units: int, costs: dict[int, tuple[int, int]]) -> np.ndarra
 
 
 def _probing(batches: Iterator[pd.DataFrame], q: int, los: np.ndarray, plans: list, most: list) -> Iterator[pd.DataFrame]:
-    codes = WordCodes()
     for pdf in batches:
         keys, docs = [], []
-        for doc, text, slots, f1, f2 in zip(pdf["doc_id"], pdf["text"], pdf["slots"], pdf["f1"], pdf["f2"], strict=True):
-            s = shingles(text, q, codes)
+        for doc, s, slots, f1, f2 in zip(pdf["key"], sets_of(pdf["text"], q), pdf["slots"], pdf["f1"], pdf["f2"], strict=True):
             costs = dict(zip(map(int, slots), zip(f1, f2, strict=True), strict=True)) if slots is not None else {}
             for b, m in _own_plans(s, los, plans):
                 exact, seg, _, near = _segments(s, b, m)
@@ -211,10 +270,9 @@ def sketch(s: np.ndarray) -> np.ndarray:
 
 
 def _sketched(batches: Iterator[pd.DataFrame], q: int) -> Iterator[pd.DataFrame]:
-    codes = WordCodes()
     for pdf in batches:
-        sets = [shingles(t, q, codes) for t in pdf["text"]]
-        yield pd.DataFrame({"doc": pdf["doc_id"], "size": [len(s) for s in sets], "k": [sketch(s) for s in sets]})
+        sets = list(sets_of(pdf["text"], q))
+        yield pd.DataFrame({"doc": pdf["key"], "size": [len(s) for s in sets], "k": [sketch(s) for s in sets]})
 
 
 def _may_link(percent: int) -> F.Column:
@@ -231,22 +289,22 @@ def _may_link(percent: int) -> F.Column:
 
 
 def hot_pairs(hot: DataFrame, sketches: DataFrame, texts: DataFrame, q: int, bounds: list, plans: list, percent: int) -> DataFrame:
-    """Candidates (a, b) across components among the documents of large signatures: (sig, doc, c, many).
+    """Candidates (a, b) across components among the documents of large signatures: (sig, doc, c, many, n).
 
     Every such document is indexed with all its segments and their one-deletion neighbourhoods; each that is not of the
     largest component of its signatures probes with an allocation of H + 1 units over its segments that meets the fewest.
     """
     los, most = np.array([lo for lo, _ in bounds]), [difference(percent, hi) for _, hi in bounds]
-    w = Window.partitionBy("sig")
-    docs = hot.withColumn("top", F.max(F.struct("many", "c")).over(w)).groupBy("doc", "c", "many").agg(F.max(F.expr("c <> top.c")).alias("probes"))
+    top = store(hot.groupBy("sig").agg(F.max(F.struct("many", "c")).alias("top"), F.count(F.lit(1)).alias("rows")), "tops")
+    docs = join_counted(hot.drop("n"), top, "sig", "rows").groupBy("doc", "c", "many").agg(F.max(F.expr("c <> top.c")).alias("probes"))
     docs = store(docs, "hot-documents")
-    mine = store(texts.join(docs.toDF("doc_id", "c", "many", "probes"), "doc_id"), "hot-texts")
-    index = store(mine.select("doc_id", "text").mapInPandas(partial(_indexed, q=q, los=los, plans=plans), "key long, doc long, slot long, exact boolean"), "hot-index")
-    met = index.groupBy("key").agg((F.count(F.lit(1)) - 1).alias("f")).where("f > 0")
-    costs = index.join(met, "key").groupBy("doc", "slot").agg(F.sum(F.when(F.col("exact"), F.col("f")).otherwise(0)).alias("f1"), F.sum("f").alias("f2"))
-    costs = costs.groupBy("doc").agg(F.collect_list(F.struct("slot", "f1", "f2")).alias("l")).selectExpr("doc as doc_id", "l.slot as slots", "l.f1 as f1", "l.f2 as f2")  # as many as a document has segments
-    probing = mine.where("probes").select("doc_id", "text").join(costs, "doc_id", "left")
-    probe = probing.mapInPandas(partial(_probing, q=q, los=los, plans=plans, most=most), "key long, doc long")
+    mine = store(texts.join(docs.toDF("key", "c", "many", "probes"), "key"), "hot-texts")
+    index = store(map_rows(mine.select("key", "text"), partial(_indexed, q=q, los=los, plans=plans), "key long, doc long, slot long, exact boolean"), "hot-index")
+    met = store(index.groupBy("key").agg((F.count(F.lit(1)) - 1).alias("f")).where("f > 0"), "hot-keys")
+    costs = join_counted(index, met, "key", "f").groupBy("doc", "slot").agg(F.sum(F.when(F.col("exact"), F.col("f")).otherwise(0)).alias("f1"), F.sum("f").alias("f2"))
+    costs = costs.groupBy("doc").agg(F.collect_list(F.struct("slot", "f1", "f2")).alias("l")).selectExpr("doc as key", "l.slot as slots", "l.f1 as f1", "l.f2 as f2")  # as many as a document has segments
+    probing = mine.where("probes").select("key", "text").join(costs, "key", "left")
+    probe = map_rows(probing, partial(_probing, q=q, los=los, plans=plans, most=most), "key long, doc long")
     known = docs.select("doc", "c", "many").join(sketches, "doc")
     x, y = probe.join(known, "doc").alias("x"), index.select("key", "doc").distinct().join(known, "doc").alias("y")
     met = x.join(y, F.expr("x.key = y.key and struct(x.many, x.c) < struct(y.many, y.c)") & _may_link(percent))
@@ -256,63 +314,84 @@ def hot_pairs(hot: DataFrame, sketches: DataFrame, texts: DataFrame, q: int, bou
 def verify(pairs: DataFrame, texts: DataFrame, q: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that link, by their exact sets."""
     rows = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a")
-    return rows.select("a", "b", "ta", "tb").mapInPandas(partial(_verified, q=q, percent=percent), "a long, b long")
+    return map_rows(rows.select("a", "b", "ta", "tb"), partial(_verified, q=q, percent=percent), "a long, b long")
 
 
 def jaccard_groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id) for each row of docs (doc_id, text).
+    """(doc_id, th, n_shingles, class_id, component_id, kept) for each row of docs (doc_id, text); th is xxhash64 of the text.
+
+    kept: the rows of one document of each component, that of the smallest doc_id but where ids repeat, and all rows
+    that link with nothing.
 
     Null and empty texts, and those of white space only, have an empty set and link with nothing: component_id = doc_id.
-    A repeated doc_id stands for one document; a null doc_id links with nothing and has a null component. Other columns
-    are ignored. An empty table gives no rows.
+    A doc_id that stands for several texts is a document for each: rows get the component of their own text, named by
+    its smallest doc_id. A null doc_id links with nothing and has a null component. Ties do not arise, repeated rows are
+    one document. Other columns are ignored. An empty table gives no rows.
     """
     spark, q = docs.sparkSession, shingle_words
     small_batches(spark)
-    docs = docs.select("doc_id", "text")
-    prof = docs.mapInPandas(partial(_profiles, q=q), "doc_id long, n_shingles long, h1 long, h2 long")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    prof = map_rows(docs, partial(_profiles, q=q), "doc_id long, th long, n_shingles long, h1 long, h2 long")
     prof = store(prof, "profiles")
-    linkable = prof.where("n_shingles > 0 and doc_id is not null")
-    cls = linkable.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("class_id"))
-    ids = store(prof.join(cls, ["n_shingles", "h1", "h2"], "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")), "classes")
-    reps = ids.where("n_shingles > 0 and doc_id = class_id")
+    keys = own_keys(prof)
+    prof = prof if keys is None else store(keyed(prof, keys), "keyed-profiles")
+    prof = keyed(prof, None) if keys is None else prof
+    cls = prof.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "h1", "h2").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    ids = join_classes(prof, cls.drop("rows"), ["n_shingles", "h1", "h2"]).select("doc_id", "th", "key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("head", "key")).alias("class_key"))
+    ids = store(ids, "classes")
+    reps = ids.where("n_shingles > 0 and key = class_key")
     most = reps.agg(F.max("n_shingles")).first()[0]
     if most is None:
-        return ids.withColumn("component_id", F.col("class_id"))
+        return ids.select("doc_id", "th", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
     bounds = band_bounds(percent, most)
     band = F.expr("case " + " ".join(f"when n_shingles <= {hi} then {k}" for k, (_, hi) in enumerate(bounds)) + " end")
     sets = dict(reps.groupBy(band.alias("band")).count().collect())  # one row a band: the logarithm of the largest size
     plans = [band_plan(lo, hi, difference(percent, hi), sets.get(k, 0) + sets.get(k + 1, 0)) for k, (lo, hi) in enumerate(bounds)]
 
-    others = ids.where("doc_id is null or n_shingles = 0 or doc_id <> class_id").select("doc_id").where("doc_id is not null").distinct()
-    own = join_ids(docs.where("doc_id is not null"), others, "doc_id", "left_anti")
-    sig = own.mapInPandas(partial(_signed, q=q, bounds=bounds, plans=plans), "sig long, doc long")
-    w = Window.partitionBy("sig")
-    met = sig.withColumn("rep", F.min("doc").over(w)).withColumn("last", F.max("doc").over(w)).where("rep < last")
-    met = store(met.select("sig", "doc", "rep"), "met")
-    wanted = store(met.select(F.col("doc").alias("doc_id")).distinct(), "wanted")
-    texts = store(join_ids(docs, wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    others = store(ids.where("doc_id is not null and (n_shingles = 0 or key <> class_key)").select("key").distinct(), "others")
+    docs = keyed(docs.where("doc_id is not null"), keys).select("key", "text")
+    own = join_ids(docs, others, "key", "left_anti")
+    emitted = [(m - k) + k * (1 + (lo + hi) / 2 / m) for (m, k), (lo, hi) in zip(plans, bounds, strict=True)]
+    rows = sum(n * (emitted[k] + (emitted[k - 1] if k else 0)) for k, n in sets.items() if k is not None)
+    buckets = min(1 << 14, max(width(spark), int(rows) // BUCKET_ROWS + 1))
+    sent = map_rows(own, partial(_signed, q=q, bounds=bounds, plans=plans, buckets=buckets), _SENT)
+    met = sent.groupBy("bucket").applyInPandas(_shared, "sig long, doc long")
+    met = store(met.distinct(), "met")
+    wanted = store(met.select(F.col("doc").alias("key")).distinct(), "wanted")
+    texts = store(join_ids(docs, wanted, "key", "left_semi").dropDuplicates(["key"]), "texts")  # rows of a key have one text
 
     # the star of a signature is about its most central class: the one that meets the most others in all
-    central = store(met.groupBy("sig").count().join(met, "sig").groupBy("doc").agg(F.sum("count").alias("weight")), "central")
-    met = store(met.join(central, "doc").withColumn("rep", F.max(F.struct("weight", -F.col("doc"))).over(w)).selectExpr("sig", "doc", "-rep.col2 as rep"), "stars")
-    sketches = store(texts.mapInPandas(partial(_sketched, q=q), "doc long, size long, k array<long>"), "sketches")
+    counts = store(met.groupBy("sig").agg(F.count(F.lit(1)).alias("n")), "counts")
+    central = store(join_counted(met, counts, "sig", "n").groupBy("doc").agg(F.sum("n").alias("weight")), "central")
+    centres = met.join(central, "doc").groupBy("sig").agg(F.max(F.struct("weight", -F.col("doc"))).alias("c"), F.count(F.lit(1)).alias("n"))
+    met = store(join_counted(met, store(centres.selectExpr("sig", "-c.col2 as rep", "n"), "centres"), "sig", "n").select("sig", "doc", "rep"), "stars")
+    sketches = store(map_rows(texts, partial(_sketched, q=q), "doc long, size long, k array<long>"), "sketches")
     stars = met.where("rep <> doc").select(F.least("rep", "doc").alias("a"), F.greatest("rep", "doc").alias("b")).distinct()
     near = stars.join(sketches.alias("x"), F.expr("a = x.doc")).join(sketches.alias("y"), F.expr("b = y.doc")).where(_may_link(percent)).select("a", "b")
     links = store(verify(store(near, "near"), texts, q, percent), "links")
     comp = components(links)
     # what stands with the centre of its signature is decided; the rest may still link across components
-    left = met.where("rep <> doc").select("sig", "doc").join(comp.toDF("doc", "c"), "doc", "left").select("sig", "doc", F.coalesce("c", "doc").alias("c"))
-    left = left.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("lo", F.min("c").over(w)).withColumn("hi", F.max("c").over(w)).where("lo < hi")
-    left = store(left.select("sig", "doc", "c", "n"), "undecided")
+    left = store(met.where("rep <> doc").select("sig", "doc").join(comp.toDF("doc", "c"), "doc", "left").select("sig", "doc", F.coalesce("c", "doc").alias("c")), "leaves")
+    split = left.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig", "n")
+    left = store(join_counted(left, store(split, "split"), "sig", "n").select("sig", "doc", "c", "n"), "undecided")
     if not left.isEmpty():
         few = left.where(F.col("n") <= FEW).join(sketches, "doc")
         found = few.alias("x").join(few.alias("y"), F.expr("x.sig = y.sig and x.doc < y.doc and x.c <> y.c") & _may_link(percent))
         found = found.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
         hot = left.where(F.col("n") > FEW)
         sizes = comp.groupBy("component").count().toDF("c", "many")
-        hot = store(hot.join(sizes, "c", "left").select("sig", "doc", "c", F.coalesce("many", F.lit(1)).alias("many")), "hot")
+        hot = store(hot.join(sizes, "c", "left").select("sig", "doc", "c", F.coalesce("many", F.lit(1)).alias("many"), "n"), "hot")
         if not hot.isEmpty():
             found = found.unionAll(hot_pairs(hot, sketches, texts, q, bounds, plans, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         more = store(verify(store(found.distinct(), "pairs"), texts, q, percent), "more-links")
         comp = components(links.union(more))
-    return ids.join(comp.toDF("class_id", "component_id"), "class_id", "left").select("doc_id", "n_shingles", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
+    out = ids.join(comp.toDF("class_key", "component"), "class_key", "left").withColumn("component", F.coalesce("component", "class_key"))
+    out = out.withColumn("kept", F.coalesce(F.col("key") == F.col("component"), F.lit(True)))
+    if keys is None:
+        return out.select("doc_id", "th", "n_shingles", F.col("class_key").alias("class_id"), F.col("component").alias("component_id"), "kept")
+    # keys that are no doc_ids give way to the smallest doc_id of their class and component
+    out = store(out, "keyed-components")
+    for c, name in (("class_key", "class_id"), ("component", "component_id")):
+        least = out.where("doc_id is not null").groupBy(c).agg(F.min("doc_id").alias(name), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+        out = join_classes(out, least.drop("rows"), [c]).withColumn(name, F.coalesce(name, "doc_id"))
+    return out.select("doc_id", "th", "n_shingles", "class_id", "component_id", "kept")

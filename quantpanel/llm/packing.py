@@ -17,14 +17,17 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import small_batches, store
+from .common import map_rows, small_batches, store
 from .tokens import END_ID, crc_of, encoder
 
 CAPACITY = 4096
 OPEN_BINS = 2048
 #: Pieces that one task packs.
 TASK_PIECES = 400_000
+#: Column for the place that a bin itself was given; not to be among the columns of pieces.
+MOVED = "_moved_to"
 
 
 class Packer:
@@ -80,43 +83,47 @@ def _packed(batches: Iterator[pd.DataFrame], capacity: int, open_bins: int, base
     packer = Packer(capacity, open_bins)
     first = base + ((TaskContext.get().partitionId() if TaskContext.get() else 0) << 36)
     for pdf in batches:
+        if not len(pdf):
+            continue
         spots = [packer.place(n) for n in pdf["length"].tolist()]
         bins, offsets = zip(*spots, strict=True)
-        yield pdf.assign(bin=np.array(bins, dtype=np.int64) + first, place=np.array(offsets, dtype=np.int64))
+        yield pdf.assign(sequence_id=np.array(bins, dtype=np.int64) + first, offset=np.array(offsets, dtype=np.int64))
 
 
 def pieces_of(docs: DataFrame, vocabulary: str, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): documents of at most capacity tokens whole, longer ones cut."""
     small_batches(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    return docs.select("doc_id", "text").mapInPandas(partial(_pieces, vocabulary=vocabulary, end_id=end_id, capacity=capacity), schema)
+    return map_rows(docs.select("doc_id", "text"), partial(_pieces, vocabulary=vocabulary, end_id=end_id, capacity=capacity), schema)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
     """pieces with sequence_id and offset: in each sequence the pieces lie gapless from 0 and hold at most capacity.
 
-    length is from 1 to capacity; rows that repeat are packed each on their own; an empty table gives no rows.
+    length is from 1 to capacity; rows that repeat are packed each on their own; an empty table gives no rows. Columns
+    of any other names stay as they are, but sequence_id and offset must not be among them.
     """
     pieces = store(pieces, "pieces")
     n, round_ = pieces.count(), 0
     parts = max(1, -(-n // TASK_PIECES))
     spread = pieces.repartition(parts) if parts > 1 else pieces.coalesce(1)
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    done = store(spread.mapInPandas(partial(_packed, capacity=capacity, open_bins=open_bins, base=0), f"{columns}, bin long, place long"), "packed")
+    spot = StructType.fromDDL("sequence_id long, offset long")
+    done = store(map_rows(spread, partial(_packed, capacity=capacity, open_bins=open_bins, base=0), StructType([*pieces.schema, *spot])), "packed")
     while parts > 1:  # bins with room from some tasks meet as items in fewer tasks
         parts, round_ = -(-parts // 16), round_ + 1
-        fill = done.groupBy("bin").agg(F.sum("length").alias("length")).where(F.col("length") <= 0.98 * capacity)
+        fill = done.groupBy(F.col("sequence_id").alias("bin")).agg(F.sum("length").alias("length")).where(F.col("length") <= 0.98 * capacity)
         again = fill.repartition(parts) if parts > 1 else fill.coalesce(1)
-        base = round_ << 56
-        moved = again.withColumnRenamed("bin", "bin0").mapInPandas(partial(_packed, capacity=capacity, open_bins=open_bins, base=base), "bin0 long, length long, bin long, place long")
-        moved = store(moved.select(F.col("bin0").alias("bin"), F.col("bin").alias("into"), F.col("place").alias("shift")), "moved")
-        done = store(done.join(moved, "bin", "left").withColumn("bin", F.coalesce("into", "bin")).withColumn("place", F.col("place") + F.coalesce("shift", F.lit(0))).drop("into", "shift"), "packed")
-    return done.withColumnRenamed("bin", "sequence_id").withColumnRenamed("place", "offset")
+        moved = map_rows(again, partial(_packed, capacity=capacity, open_bins=open_bins, base=round_ << 56), "bin long, length long, sequence_id long, offset long")
+        moved = store(moved.select(F.struct("sequence_id", "offset").alias(MOVED), F.col("bin").alias("sequence_id")), "moved")
+        done = done.join(moved, "sequence_id", "left").withColumns({"sequence_id": F.coalesce(f"{MOVED}.sequence_id", "sequence_id"), "offset": F.col("offset") + F.coalesce(f"{MOVED}.offset", F.lit(0))})
+        done = store(done.select(*pieces.columns, "sequence_id", "offset"), "packed")
+    return done
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
     """Pieces of docs (doc_id, text) and their places in sequences of at most capacity tokens.
 
-    Null and empty texts are the end id alone; a null doc_id keeps its pieces; other columns are ignored.
+    Null and empty texts are the end id alone; a null doc_id keeps its pieces, and rows that repeat a doc_id are packed
+    each on their own; other columns are ignored; an empty table gives no rows.
     """
     return pack(pieces_of(docs, vocabulary, capacity=capacity), capacity, open_bins)

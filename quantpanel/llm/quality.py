@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import map_rows, small_batches
 from .toxicity import LEARNABLE, training_rows
 
 BINS, PAIR_BINS, PAIRS, ROUNDS, RATE = 64, 12, 10, 300, 0.1
@@ -156,9 +156,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | No
     """
     small_batches(docs.sparkSession)
     train = training_rows(docs if train_docs is None else train_docs, labels, "quality", where)
-    rows = train.mapInPandas(partial(_featured, label="quality"), "x array<double>, y double").toPandas()  # the bounded sample
+    rows = map_rows(train, partial(_featured, label="quality"), "x array<double>, y double").toPandas()  # the bounded sample
     y = rows["y"].to_numpy() if len(rows) else np.zeros(0)
     model: AdditiveModel | float = float(y.mean()) if len(y) else 0.0
     if 0 < model < 1:
         model = AdditiveModel().fit(np.array(rows["x"].tolist()), y)
-    return docs.select("doc_id", "text").mapInPandas(partial(_scored, model=model), "doc_id long, score double")
+    return map_rows(docs.select("doc_id", "text"), partial(_scored, model=model), "doc_id long, score double")

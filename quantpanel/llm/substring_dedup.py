@@ -23,12 +23,13 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordCodes, join_ids, rolling, runs, small_batches, store, width
+from .common import U64, codes_of, join_classes, join_ids, keyed, map_rows, own_keys, rolling, runs, small_batches, store, width
 
 #: Words that a batch gathers before it is sent on.
 BATCH_WORDS = 1_500_000
@@ -50,7 +51,7 @@ def _profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             d = xxhash.xxh3_128_intdigest(joined)
             rows.append((len(words), d >> 65, d & (2**63 - 1), hashlib.sha256(joined).hexdigest()))
         n, one, two, sha = zip(*rows, strict=True)
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": n, "h1": one, "h2": two, "sha": sha})
+        yield pdf[["doc_id", "th"]].assign(n_words=n, h1=one, h2=two, sha=sha)
 
 
 def _pack_places(p: np.ndarray) -> bytes:
@@ -136,11 +137,10 @@ def _candidates(n: int, hits: np.ndarray, window: int, block: int) -> np.ndarray
 
 def _sent(batches: Iterator[pd.DataFrame], run: int, buckets: int, window: int | None, block: int) -> Iterator[pd.DataFrame]:
     """window: None in the filter step; else only the windows that hits allow are sent."""
-    codes, batch = WordCodes(), _Batch(run, buckets, window is None)
+    batch = _Batch(run, buckets, window is None)
     for pdf in batches:
         hits = pdf["hits"] if window is not None else [None] * len(pdf)
-        for doc, text, h in zip(pdf["doc_id"], pdf["text"], hits, strict=True):
-            c = codes.of(words_of(text))
+        for doc, c, h in zip(pdf["key"], codes_of(pdf["text"]), hits, strict=True):
             if len(c) < run:
                 continue
             batch.add(doc, c, None if window is None else _candidates(len(c), _ranges(h), window, block))
@@ -189,19 +189,19 @@ def _by_document(keys, pdf: pd.DataFrame) -> pd.DataFrame:
         if len(mine):
             out.append((doc, mine.astype("<i4").tobytes()))
         at += n
-    return pd.DataFrame(out, columns=["doc_id", "hits"])
+    return pd.DataFrame(out, columns=["key", "hits"])
 
 
 def _exchange(docs: DataFrame, run: int, buckets: int, window: int | None, block: int, tag: str) -> DataFrame:
-    """(doc_id, hits): runs of places of each document that meet an equal run of words elsewhere."""
-    sent = docs.mapInPandas(partial(_sent, run=run, buckets=buckets, window=window, block=block), _SENT)
+    """(key, hits): runs of places of each document that meet an equal run of words elsewhere."""
+    sent = map_rows(docs, partial(_sent, run=run, buckets=buckets, window=window, block=block), _SENT)
     sent = store(sent, f"{tag}-sent")
     met = sent.where("kind = 0").select("bucket", "batch", "hashes", "places", "blocks").groupBy("bucket")
     met = met.applyInPandas(lambda key, pdf: _met(key, pdf, window is not None), "batch long, hits binary")
     heads = sent.where("kind = 1").select("batch", "docs", "lengths", "near", F.lit(None).cast("binary").alias("hits"))
     empty = F.lit(None).cast("binary")
     both = heads.unionByName(met.select("batch", empty.alias("docs"), empty.alias("lengths"), empty.alias("near"), "hits"))
-    return store(both.groupBy("batch").applyInPandas(_by_document, "doc_id long, hits binary"), f"{tag}-hits")
+    return store(both.groupBy("batch").applyInPandas(_by_document, "key long, hits binary"), f"{tag}-hits")
 
 
 def _cut(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame]:
@@ -221,64 +221,79 @@ def _cut(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame]
         yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": n, "n_removed": removed, "kept_sha256": sha, "kept_text": kept, "removed": spans})
 
 
-def _cut_rows(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        done = next(_cut(iter([pdf.rename(columns={"__full": "full", "__hits": "hits"})[["doc_id", "text", "full", "hits"]]]), window))
-        yield pdf.drop(columns=["__full", "__hits"]).assign(text=done["kept_text"].where(pdf["text"].notna().to_numpy(), None).to_numpy())
+def _cut_rows(batches: Iterator[pa.RecordBatch], window: int, at: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows as they are but for the text, their column `at`."""
+    for b in batches:
+        pdf = b.select(["text", "full", "hits"]).to_pandas().assign(doc_id=0)
+        kept = next(_cut(iter([pdf]), window))["kept_text"] if len(pdf) else []
+        columns = b.column("row").flatten()
+        columns[at] = pa.array([k if t is not None else None for k, t in zip(kept, pdf["text"], strict=True)], pa.string())
+        yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def _identified(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
 
 
-def repeated_windows(docs: DataFrame, window: int = 35) -> tuple[DataFrame, DataFrame]:
-    """(classes, hits): (doc_id, n_words, sha, class_id, copies) of each row, and the repeated windows of class heads."""
+def repeated_windows(docs: DataFrame, window: int = 35) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(classes, hits, keys): (key, doc_id, n_words, sha, copies) of each row, the repeated windows of class heads, own_keys."""
     spark = docs.sparkSession
     small_batches(spark)
-    prof = store(docs.select("doc_id", "text").mapInPandas(_profiles, "doc_id long, n_words long, h1 long, h2 long, sha string"), "word-profiles")
-    cls = prof.where("doc_id is not null and n_words > 0").groupBy("h1", "h2", "n_words").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
-    classes = store(prof.join(cls, ["h1", "h2", "n_words"], "left").select("doc_id", "n_words", "sha", "class_id", F.coalesce("copies", F.lit(1)).alias("copies")), "word-classes")
+    docs = _identified(docs)
+    prof = store(map_rows(docs, _profiles, "doc_id long, th long, n_words long, h1 long, h2 long, sha string"), "word-profiles")
+    keys = own_keys(prof, nulls=True)
+    prof = keyed(prof, keys) if keys is None else store(keyed(prof, keys), "keyed-profiles")
+    cls = prof.where("n_words > 0").groupBy("h1", "h2", "n_words").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    classes = join_classes(prof.select("key", "doc_id", "n_words", "h1", "h2", "sha"), cls, ["h1", "h2", "n_words"])
+    classes = store(classes.select("key", "doc_id", "n_words", "sha", F.coalesce("head", "key").alias("head"), F.coalesce("copies", F.lit(1)).alias("copies")), "word-classes")
     block = (window + 1) // 2
-    words = classes.where("doc_id = class_id").agg(F.sum("n_words")).first()[0] or 0
-    others = classes.where("doc_id is not null and (class_id is null or doc_id <> class_id or n_words < " + str(window) + ")").select("doc_id").distinct()
-    own = join_ids(docs.where("doc_id is not null").select("doc_id", "text"), others, "doc_id", "left_anti")
+    words = classes.where("key = head").agg(F.sum("n_words")).first()[0] or 0
+    others = store(classes.where(f"key <> head or n_words < {window}").select("key").distinct(), "others")
+    docs = keyed(docs, keys).select("key", "text")
     buckets = max(width(spark), words // BUCKET_ENTRIES + 1)
-    anchors = _exchange(own, block, int(buckets), None, block, "anchors")
-    probed = join_ids(docs.select("doc_id", "text"), anchors, "doc_id", "inner")
-    hits = _exchange(probed, window, int(buckets), window, block, "windows")
-    return classes, hits
+    anchors = _exchange(join_ids(docs, others, "key", "left_anti"), block, int(buckets), None, block, "anchors")
+    hits = _exchange(join_ids(docs, anchors, "key", "inner", ("hits",)), window, int(buckets), window, block, "windows")
+    return classes, hits, keys
 
 
-def _known(joined: DataFrame) -> DataFrame:
-    return store(joined.where("doc_id is not null and (full = 1 or hits is not null)").select("doc_id", "full", "hits").dropDuplicates(["doc_id"]), "cuts")
+def _known(classes: DataFrame, hits: DataFrame, window: int) -> DataFrame:
+    """(key, full, hits) of each document that loses words; full: all of them."""
+    full = F.expr(f"cast(copies > 1 and n_words >= {window} as int)")
+    joined = classes.select("key", full.alias("full")).distinct().join(hits.dropDuplicates(["key"]), "key", "left")
+    return store(joined.where("full = 1 or hits is not null"), "cuts")
 
 
 def cut_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
-    """The rows and columns of docs with the text as remove_repeats keeps it: null stays null, a text that loses all is empty."""
-    classes, hits = repeated_windows(docs, window)
-    joined = classes.join(hits.dropDuplicates(["doc_id"]), "doc_id", "left").withColumn("full", F.expr(f"cast(copies > 1 and n_words >= {window} as int)"))
-    rows = join_ids(docs, _known(joined).toDF("doc_id", "__full", "__hits"), "doc_id", "left").select(*docs.columns, "__full", "__hits")
-    return rows.mapInPandas(partial(_cut_rows, window=window), docs.schema)
+    """The rows and columns of docs, whatever their names, with the text as remove_repeats keeps it.
+
+    A null text stays null, a text that loses all is empty.
+    """
+    classes, hits, keys = repeated_windows(docs, window)
+    rows = keyed(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text"), keys)
+    rows = join_ids(rows, _known(classes, hits, window), "key", "left", ("hits",)).select("row", "text", "full", "hits")
+    return rows.mapInArrow(partial(_cut_rows, window=window, at=docs.columns.index("text"), names=docs.columns), docs.schema)
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, texts: bool = True) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept_text, removed]) for each row of docs (doc_id, text).
 
     Each word that a window covers whose word sequence also starts elsewhere, in the same document or another, goes;
-    windows are judged on the input. kept_sha256 is of the other words joined by one blank; kept_text is that, or the
-    text itself where nothing goes; removed lists [start, end) runs of words. Null and wordless texts have no words and
-    keep none; a text of fewer words than a window loses nothing. Rows with a repeated doc_id and equal words are copies
-    of each other. A null doc_id loses words only as a copy of a document that has an id. Other columns are ignored; an
-    empty table gives no rows. With texts=False, documents that lose nothing or everything are not read again.
+    windows are judged on the input, by 64-bit hashes of their words. kept_sha256 is of the other words joined by one
+    blank; kept_text is that, or the text itself where nothing goes; removed lists [start, end) runs of words. Null and
+    wordless texts have no words and keep none; a text of fewer words than a window loses nothing. Each row counts as a
+    place: rows that repeat a doc_id and its words are copies of each other, other texts of a doc_id are documents of
+    their own, and so are texts whose doc_id is null. Other columns are ignored; an empty table gives no rows. With
+    texts=False, documents that lose nothing or everything are not read again.
     """
-    classes, hits = repeated_windows(docs, window)
-    full = f"copies > 1 and n_words >= {window}"
-    joined = classes.join(hits.dropDuplicates(["doc_id"]), "doc_id", "left").withColumn("full", F.expr(f"cast({full} as int)"))
+    classes, hits, keys = repeated_windows(docs, window)
+    known = _known(classes, hits, window)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, removed array<int>"
-    read = docs.select("doc_id", "text")
+    read = keyed(_identified(docs), keys).select("key", "doc_id", "text")
     if texts:
-        known = _known(joined)
-        return join_ids(read, known, "doc_id", "left").select("doc_id", "text", "full", "hits").mapInPandas(partial(_cut, window=window), schema)
-    joined = store(joined, "cuts")
+        return map_rows(join_ids(read, known, "key", "left", ("hits",)).select("doc_id", "text", "full", "hits"), partial(_cut, window=window), schema)
     nothing = hashlib.sha256(b"").hexdigest()
-    gone = joined.where("full = 1").select("doc_id", "n_words", F.col("n_words").alias("n_removed"), F.lit(nothing).alias("kept_sha256"))
-    same = joined.where("full = 0 and hits is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
-    some = joined.where("full = 0 and hits is not null").select("doc_id", "full", "hits").dropDuplicates(["doc_id"])
-    cut = join_ids(read, some, "doc_id", "inner").select("doc_id", "text", "full", "hits").mapInPandas(partial(_cut, window=window), schema)
+    rows = store(join_ids(classes, store(known.select("key", "full"), "cut-keys"), "key", "left").select("doc_id", "n_words", "sha", "full"), "cut-rows")
+    gone = rows.where("full = 1").select("doc_id", "n_words", F.col("n_words").alias("n_removed"), F.lit(nothing).alias("kept_sha256"))
+    same = rows.where("full is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
+    cut = map_rows(join_ids(read, store(known.where("full = 0"), "cut-parts"), "key", "inner", ("hits",)).select("doc_id", "text", "full", "hits"), partial(_cut, window=window), schema)
     return cut.select("doc_id", "n_words", "n_removed", "kept_sha256").unionByName(gone).unionByName(same)

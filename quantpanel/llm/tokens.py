@@ -22,17 +22,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, mix, shared_path, small_batches, store, width
+from .common import U64, Remembered, held, map_rows, mix, shared_path, small_batches, store, width
 
 MAGIC = b"TOKSHARD1\0"
 END_ID = 1
+#: Slots that are tried at once when an index is built.
+TRIES = 100_000
 _MASK = 2**64 - 1
-_ENCODERS: dict[tuple, "Encoder"] = {}
 
 
 class Encoder:
@@ -43,24 +43,34 @@ class Encoder:
     holds a special token's opening goes to the library whole.
     """
 
-    LIMIT = 700_000
+    #: Words of a generation that are remembered: twice as many take some 150 MB.
+    WORDS = 500_000
 
     def __init__(self, path: str, end_id: int = END_ID):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
-        self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        wide = self.tokenizer.get_vocab_size() > 1 << 16
+        self.dtype, self.kind = np.dtype("<u4" if wide else "<u2"), "I" if wide else "H"
         self.end = np.array([end_id], dtype=self.dtype).tobytes()
-        self.model, self.memo = self.tokenizer.model, {}
+        self.model, self.memo = self.tokenizer.model, Remembered(self._word)
+        self.memo.LIMIT = self.WORDS
         # words may be taken alone only where white space is dropped between pieces of a Split pattern
         pre = [p for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if p["type"] == "Split"]
         self.by_word = bool(pre) and pre[0]["behavior"] == "Removed" and pre[0]["invert"] and "\\s+" in json.dumps(spec.get("normalizer")).replace("\\\\", "\\")
-        self.pieces = regex.compile(pre[0]["pattern"]["Regex"]) if self.by_word else None
+        self.pieces = re.compile(self._latin(pre[0]["pattern"]["Regex"])).findall if self.by_word else None
         opening = {t["content"][:2] for t in spec["added_tokens"]}
         self.special = re.compile("|".join(map(re.escape, opening))) if opening else None
         self.bytes = self._byte_letters()
 
+    @staticmethod
+    def _latin(pattern: str) -> str:
+        """The pattern with its letters and numbers listed up to U+00FF, beyond which a word goes to the library."""
+        for name, kind in ((r"\p{L}", "L"), (r"\p{N}", "N")):
+            pattern = pattern.replace(name, "".join(re.escape(chr(c)) for c in range(256) if unicodedata.category(chr(c))[0] == kind))
+        return pattern
+
     @staticmethod
     def _byte_letters() -> list[str]:
         """The byte-level alphabet: printable Latin-1 characters stand for themselves, other bytes follow from U+0100."""
@@ -69,38 +79,32 @@ class Encoder:
         return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
     def _word(self, word: str) -> bytes:
-        low = word.lower()
-        if low and max(low) <= "ÿ" and max(word) <= "ÿ" and min(low) > " " and unicodedata.is_normalized("NFC", word):
-            ids = []
-            for piece in self.pieces.findall(low):
-                ids += [t.id for t in self.model.tokenize(piece if piece.isascii() else "".join(map(self.bytes.__getitem__, piece.encode())))]
+        low, tokenize = word.lower(), self.model.tokenize
+        if word.isascii():
+            plain = word.isprintable()
         else:
+            plain = max(low) <= "ÿ" and max(word) <= "ÿ" and min(low) > " "
+        if not word or not plain:
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        return np.array(ids, dtype=self.dtype).tobytes()
+        elif low.isalpha() and low.isascii():
+            ids = [t.id for t in tokenize(low)]
+        else:
+            ids = []
+            for piece in self.pieces(low):
+                ids += [t.id for t in tokenize(piece if piece.isascii() else "".join(map(self.bytes.__getitem__, piece.encode())))]
+        return struct.pack(f"<{len(ids)}{self.kind}", *ids)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return self.end
         if not self.by_word or (self.special and self.special.search(text)):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes() + self.end
-        words, memo = text.replace("\n", " ").split(" "), self.memo
-        try:
-            return b"".join(map(memo.__getitem__, words)) + self.end
-        except KeyError:
-            if len(memo) > self.LIMIT:
-                memo.clear()
-            for w in words:
-                if w not in memo:
-                    memo[w] = self._word(w)
-            return b"".join(map(memo.__getitem__, words)) + self.end
+        return b"".join(map(self.memo.__getitem__, text.replace("\n", " ").split(" "))) + self.end
 
 
 def encoder(path: str, end_id: int = END_ID) -> Encoder:
     """One for each worker process, so words are remembered across its tasks."""
-    if (path, end_id) not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[path, end_id] = Encoder(path, end_id)
-    return _ENCODERS[path, end_id]
+    return held(("encoder", path, end_id), lambda: Encoder(path, end_id))
 
 
 def crc_of(raw: bytes, dtype: np.dtype) -> int:
@@ -111,14 +115,16 @@ def crc_of(raw: bytes, dtype: np.dtype) -> int:
 # -- minimal perfect hash ---------------------------------------------------------------------------------------------
 
 
-def _mix1(x: int) -> int:
-    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _MASK
-    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _MASK
-    return x ^ (x >> 31)
+def _slots(h: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
+    return (mix(h + d.astype(U64) * U64(0x9E3779B97F4A7C15)) % U64(n)).astype(np.int64)
 
 
 def build_index(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(displacements, fingerprints, order) for distinct int64 keys: order[slot] is the key's place among keys."""
+    """(displacements, fingerprints, order) for distinct int64 keys: order[slot] is the key's place among keys.
+
+    Buckets of a size, largest first, try a run of displacements all at once; those whose first fit meets no bucket of an
+    earlier place keep it, the rest go on. A bucket of one names its slot.
+    """
     n = len(keys)
     if not n:
         return np.empty(0, "<i4"), np.empty(0, "<u4"), np.empty(0, "<u4")
@@ -126,29 +132,35 @@ def build_index(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     r = (n + 3) // 4
     bucket = ((h >> U64(32)) % U64(r)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(r + 1))
-    sizes = np.diff(cuts)
-    disp, taken, slot_of = np.zeros(r, "<i4"), bytearray(n), np.zeros(n, dtype=np.int64)
-    hs, free = h.tolist(), None
-    for b in np.argsort(-sizes, kind="stable").tolist():
-        members = order[cuts[b] : cuts[b + 1]].tolist()
-        if not members:
-            break
-        if len(members) == 1:  # a bucket of one names its slot
-            if free is None:
-                free = iter([i for i in range(n) if not taken[i]])
-            slot = next(free)
-            taken[slot], slot_of[members[0]], disp[b] = 1, slot, -slot - 1
-            continue
-        d = 0
-        while True:
-            d += 1
-            slots = [_mix1((hs[m] + d * 0x9E3779B97F4A7C15) & _MASK) % n for m in members]
-            if len(set(slots)) == len(slots) and not any(taken[s] for s in slots):
-                break
-        disp[b] = d
-        for m, s in zip(members, slots, strict=True):
-            taken[s], slot_of[m] = 1, s
+    sizes = np.bincount(bucket, minlength=r)
+    starts = np.cumsum(sizes) - sizes
+    disp, taken, slot_of = np.zeros(r, "<i4"), np.zeros(n, dtype=bool), np.zeros(n, dtype=np.int64)
+    first = np.full(n, r, dtype=np.int64)
+    for size in range(int(sizes.max()), 1, -1):
+        left = np.flatnonzero(sizes == size)
+        d = np.ones(len(left), dtype=np.int64)
+        while len(left):
+            members = order[starts[left][:, None] + np.arange(size)]
+            tries = d[:, None] + np.arange(max(1, min(4096, TRIES // (len(left) * size))))
+            slots = _slots(h[members][:, None, :], tries[:, :, None], n)
+            ok = ~taken[slots].any(axis=2) & (np.diff(np.sort(slots, axis=2), axis=2) > 0).all(axis=2)
+            fits, pick = ok.any(axis=1), ok.argmax(axis=1)
+            d = np.where(fits, tries[np.arange(len(left)), pick], tries[:, -1] + 1)
+            fit = np.flatnonzero(fits)
+            chosen = slots[fit, pick[fit]]
+            np.minimum.at(first, chosen.ravel(), np.repeat(fit, size))
+            won = (first[chosen] == fit[:, None]).all(axis=1)
+            first[chosen.ravel()] = r
+            at, chosen = fit[won], chosen[won]
+            disp[left[at]], slot_of[members[at]] = d[at], chosen
+            taken[chosen.ravel()] = True
+            rest = np.ones(len(left), dtype=bool)
+            rest[at] = False
+            left, d = left[rest], d[rest]
+    alone = np.flatnonzero(sizes == 1)
+    free = np.flatnonzero(~taken)[: len(alone)]
+    disp[alone] = -free - 1
+    slot_of[order[starts[alone]]] = free
     place = np.zeros(n, "<u4")
     place[slot_of] = np.arange(n)
     prints = np.zeros(n, "<u4")
@@ -163,8 +175,7 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
 def slots_of(keys: np.ndarray, disp: np.ndarray, n: int) -> np.ndarray:
     h = mix(keys.view(U64) + U64(0x51ED270B))
     d = disp[((h >> U64(32)) % U64(len(disp))).astype(np.int64)].astype(np.int64)
-    out = (mix(h + d.astype(U64) * U64(0x9E3779B97F4A7C15)) % U64(n)).astype(np.int64)
-    return np.where(d < 0, -d - 1, out)
+    return np.where(d < 0, -d - 1, _slots(h, d, n))
 
 
 # -- shard files ------------------------------------------------------------------------------------------------------
@@ -182,22 +193,24 @@ class ShardWriter:
         self.part = f"{self.path}.{uuid.uuid4().hex}"
         self.out, self.dtype = self.fs.open_output_stream(self.part), dtype
         self.out.write(MAGIC)
-        self.keys, self.firsts, self.nulls, self.n = [], [0], [], 0
+        self.keys, self.firsts, self.nulls, self.n = [], [np.zeros(1, dtype=np.int64)], [], 0
 
-    def add(self, key: int | None, raw: bytes):
-        self.out.write(raw)
-        self.n += len(raw) // self.dtype.itemsize
-        self.nulls.append(key is None)
-        self.keys.append(0 if key is None else key)
-        self.firsts.append(self.n)
+    def add(self, keys: pd.Series, raws: list[bytes]):
+        """Documents of a batch: their keys (nullable) and packed ids."""
+        self.out.write(b"".join(raws))
+        ends = self.n + np.cumsum(np.fromiter(map(len, raws), dtype=np.int64, count=len(raws))) // self.dtype.itemsize
+        self.firsts.append(ends)
+        self.n = int(ends[-1])
+        self.nulls.append(keys.isna().to_numpy(dtype=bool))
+        self.keys.append(keys.fillna(0).to_numpy(dtype="<i8"))
 
     def close(self) -> dict:
-        keys, nulls = np.array(self.keys, dtype="<i8"), np.array(self.nulls, dtype=bool)
+        keys, nulls, firsts = np.concatenate(self.keys), np.concatenate(self.nulls), np.concatenate(self.firsts)
         at = np.flatnonzero(~nulls)
         distinct, first = np.unique(keys[at], return_index=True)
         disp, prints, place = build_index(distinct)
         place = at[first][place].astype("<u4") if len(place) else place
-        parts, meta, offset = [keys, np.array(self.firsts, "<i8"), nulls.astype(np.uint8), disp, prints, place], {}, len(MAGIC) + self.n * self.dtype.itemsize
+        parts, meta, offset = [keys, firsts.astype("<i8"), nulls.astype(np.uint8), disp, prints, place], {}, len(MAGIC) + self.n * self.dtype.itemsize
         for name, a in zip(("keys", "firsts", "nulls", "disp", "prints", "place"), parts, strict=True):
             meta[name] = [offset, len(a), a.dtype.str]
             self.out.write(a.tobytes())
@@ -246,8 +259,8 @@ def _written(batches: Iterator[pd.DataFrame], root: str, vocabulary: str, end_id
     for pdf in batches:
         if out is None and len(pdf):
             out = ShardWriter(uri, enc.dtype)
-        for key, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-            out.add(None if pd.isna(key) else int(key), enc.encode(text))
+        if len(pdf):
+            out.add(pdf["doc_id"], [enc.encode(t) for t in pdf["text"]])
     if out is not None:
         yield pd.DataFrame([{"shard": shard, "uri": uri, **out.close()}])
 
@@ -288,7 +301,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, root: str | None = None, end_
     fs, path = open_fs(root)
     fs.create_dir(path, recursive=True)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(width(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    done = rows.mapInPandas(partial(_written, root=root, vocabulary=vocabulary, end_id=end_id), "shard long, uri string, n_docs long, n_tokens long, first_id long, last_id long")
+    done = map_rows(rows, partial(_written, root=root, vocabulary=vocabulary, end_id=end_id), "shard long, uri string, n_docs long, n_tokens long, first_id long, last_id long")
     done = store(done, "shards")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard, not a document
     return done.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long")))
@@ -297,7 +310,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, root: str | None = None, end_
 def read_tokens(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the shards, by way of their indexes."""
     parts = manifest.select("uri", "base", "shard").repartition(width(manifest.sparkSession), "shard")
-    return parts.mapInPandas(_list_read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard_start long")
+    return map_rows(parts, _list_read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard_start long")
 
 
 def _looked_up(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

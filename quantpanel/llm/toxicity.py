@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_ids, mix, small_batches, store
+from .common import Remembered, held, join_ids, map_rows, mix, small_batches, store
 
 #: Labelled rows that the models are fitted on at most (in expectation; chosen by a hash of their ids).
 FIT_ROWS = 30_000
@@ -52,21 +52,6 @@ def pieces(term: str) -> list[tuple[int, str]]:
     return [(a, term[a : b - 1]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-class _Memo(dict):
-    """word -> match, remembered up to a bound."""
-
-    LIMIT = 400_000
-
-    def __init__(self, find):
-        self.find = find
-
-    def __missing__(self, word: str):
-        if len(self) >= self.LIMIT:
-            self.clear()
-        out = self[word] = self.find(word)
-        return out
-
-
 def automaton(term: str) -> dict[str, int]:
     """letter -> the places of the term that hold it, as bits."""
     out: dict[str, int] = {}
@@ -115,7 +100,7 @@ class Lexicon:
         if spots:
             self.sieve.make_automaton()
         self.longest = max((len(t) + allowed(len(t)) for t in self.words), default=0) if spots else 0
-        self.memo = _Memo(self._find)
+        self.memo = Remembered(self._find)
         self.match = self.memo.__getitem__
 
     def _find(self, word: str) -> tuple[int, float] | None:
@@ -136,6 +121,11 @@ class Lexicon:
         return None if best is None else (2, best)
 
 
+def lexicon_of(terms: dict[tuple[str, bool], float]) -> Lexicon:
+    """One for each worker process, so words are remembered across its tasks."""
+    return held(("lexicon", *sorted(terms.items())), lambda: Lexicon(terms))
+
+
 def matches(text: str | None, lexicon: Lexicon) -> tuple[int, list[tuple[str, int, float, bool]]]:
     """(words, [(word, kind, weight, quoted)]) of a whole text."""
     if not text:
@@ -185,8 +175,11 @@ def _rows(seen: dict[int, Counter]) -> pd.DataFrame:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, where: str) -> DataFrame:
-    """(doc_id, text, label) of the bounded sample of labelled rows that the condition `where` on doc_id allows."""
-    known = labels.where(F.expr(where) & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).select("doc_id", label).dropDuplicates(["doc_id"])
+    """(doc_id, text, label) of the bounded sample of labelled rows that the condition `where` on doc_id allows.
+
+    Of several labels of a doc_id the largest counts; each of its texts is a row.
+    """
+    known = labels.where(F.expr(where) & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias(label))
     n = known.count()
     share = min(1.0, FIT_ROWS / n) if n else 1.0
     known = store(known.where(F.expr(f"pmod(xxhash64(doc_id), 1000000) < {math.ceil(share * 1_000_000)}")), "labelled")
@@ -222,12 +215,12 @@ def learn_lexicon(train: DataFrame, label: str = "toxic") -> dict[tuple[str, boo
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     if not pos or not neg:
         return {}
-    counts = train.select("text", label).mapInPandas(partial(_counted, label=label), "term string, stem boolean, pos long, neg long")
+    counts = map_rows(train.select("text", label), partial(_counted, label=label), "term string, stem boolean, pos long, neg long")
     counts = counts.groupBy("term", "stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     odds = {(r["term"], r["stem"]): float(r["odds"]) for r in _strong(counts, pos, neg).collect()}
     if not odds:
         return {}
-    seen = train.select("text", label).mapInPandas(partial(_sources, terms=frozenset(odds), label=label), "term string, stem boolean, sketch long, which int, y int")
+    seen = map_rows(train.select("text", label), partial(_sources, terms=frozenset(odds), label=label), "term string, stem boolean, sketch long, which int, y int")
     seen = seen.distinct().groupBy("term", "stem", "which").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
     # the sketch in which near copies fall together most
     seen = seen.groupBy("term", "stem").agg(F.min("pos").alias("pos"), F.min("neg").alias("neg"))
@@ -258,16 +251,16 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
 
 
 def _featured(batches: Iterator[pd.DataFrame], terms: dict, label: str) -> Iterator[pd.DataFrame]:
-    lexicon = Lexicon(terms)
+    lexicon = lexicon_of(terms)
     for pdf in batches:
         yield pd.DataFrame({"x": [features(t, lexicon) for t in pdf["text"]], "y": pdf[label].astype(float)})
 
 
 def _scored(batches: Iterator[pd.DataFrame], terms: dict, weights: np.ndarray) -> Iterator[pd.DataFrame]:
-    lexicon = Lexicon(terms)
+    lexicon = lexicon_of(terms)
     for pdf in batches:
         x = np.array([features(t, lexicon) for t in pdf["text"]]).reshape(-1, len(FEATURES))
-        yield pdf[["doc_id"]].assign(score=1 / (1 + np.exp(-np.clip(x @ weights, -30, 30))))
+        yield pdf[["doc_id", "th"]].assign(score=1 / (1 + np.exp(-np.clip(x @ weights, -30, 30))))
 
 
 #: Rows whose labels may be learned from.
@@ -275,19 +268,19 @@ LEARNABLE = "pmod(crc32(cast(doc_id as string)), 4) <> 2"
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = None, where: str = LEARNABLE) -> DataFrame:
-    """(doc_id, score) for each row of docs (doc_id, text), score from 0 to 1.
+    """(doc_id, th, score) for each row of docs (doc_id, text), score from 0 to 1; th is xxhash64 of the text.
 
     The model is fitted on the labelled rows of train_docs (docs if None) that `where` allows, FIT_ROWS of them at most.
-    Null and empty texts get the score of a text without matches. Labels that are null or neither 0 nor 1 are ignored;
+    Words of more than 40 letters are no terms of the lexicon. Null and empty texts get the score of a text without matches. Labels that are null or neither 0 nor 1 are ignored;
     without labels of both kinds the score is the share of label 1 (0 without any). A repeated doc_id is scored row by
     row. Other columns are ignored; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     train = training_rows(docs if train_docs is None else train_docs, labels, "toxic", where)
     terms = learn_lexicon(train)
-    rows = train.mapInPandas(partial(_featured, terms=terms, label="toxic"), "x array<double>, y double").toPandas()  # FIT_ROWS rows of a few numbers
+    rows = map_rows(train, partial(_featured, terms=terms, label="toxic"), "x array<double>, y double").toPandas()  # FIT_ROWS rows of a few numbers
     if len(rows):
         weights = fit_logistic(np.array(rows["x"].tolist()), rows["y"].to_numpy())
     else:
         weights = np.array([-30.0] + [0.0] * (len(FEATURES) - 1))
-    return docs.select("doc_id", "text").mapInPandas(partial(_scored, terms=terms, weights=weights), "doc_id long, score double")
+    return map_rows(docs.select("doc_id", F.xxhash64("text").alias("th"), "text"), partial(_scored, terms=terms, weights=weights), "doc_id long, th long, score double")

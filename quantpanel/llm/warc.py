@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_ids, shared_path, small_batches, store, width
+from .common import join_classes, join_ids, map_rows, shared_path, small_batches, store, width
 
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 #: Bytes of an archive before the next is begun, of a range that one task scans, and of one read behind a range for the header that ends there.
@@ -114,9 +114,9 @@ def write_archives(pages: DataFrame, root: str | None = None, least_bytes: int =
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     seen = store(pages.where("page_id is not null").select("page_id", F.sha1("html").alias("digest"), F.octet_length("html").alias("bytes")), "payloads")
     last = seen.where(f"bytes >= {least_bytes}").groupBy("digest", "bytes").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("first")).where("first < refers_to")
-    revisits = store(seen.join(last, ["digest", "bytes"]).where("page_id < refers_to").select("page_id", "refers_to").distinct(), "revisits")
+    revisits = store(join_classes(seen, last.drop("first"), ["digest", "bytes"], "inner").where("page_id < refers_to").select("page_id", "refers_to").distinct(), "revisits")
     rows = join_ids(pages, revisits, "page_id", "left").select("page_id", "url", "html", "refers_to")
-    return store(rows.mapInPandas(partial(_written, root=root), "uri string, size long"), "archives")
+    return store(map_rows(rows, partial(_written, root=root), "uri string, size long"), "archives")
 
 
 def _scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,7 +167,7 @@ def record_places(manifest: DataFrame) -> DataFrame:
     spark = manifest.sparkSession
     ranges = manifest.where("size > 0").select("uri", "size", F.explode(F.expr(f"sequence(0L, size - 1, {RANGE_BYTES}L)")).alias("lo"))
     ranges = ranges.withColumn("hi", F.least("size", F.col("lo") + RANGE_BYTES)).repartition(width(spark), "uri", "lo")
-    found = store(ranges.mapInPandas(_scanned, "uri string, lo long, off long, next long, exit long"), "candidates")
+    found = store(map_rows(ranges, _scanned, "uri string, lo long, off long, next long, exit long"), "candidates")
     starts = manifest.where("size > 0").select("uri", F.lit(0).cast("long").alias("off"))
     targets = found.select("uri", F.col("exit").alias("off")).union(starts).distinct()
     jump = store(found.join(targets, ["uri", "off"]).select("uri", "off", F.col("exit").alias("to")), "jumps")
@@ -210,4 +210,6 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_archives(manifest: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record; payloads are checked."""
     places = record_places(manifest)
-    return places.mapInPandas(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    # dealt by range: what a row of a few numbers names is a record of any size
+    places = places.withColumn("lo", F.expr(f"off - off % {RANGE_BYTES}")).repartition(4 * width(manifest.sparkSession), "uri", "lo").sortWithinPartitions("uri", "off")
+    return map_rows(places, _read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
