@@ -14,40 +14,42 @@ from quantpanel.llm.queries import TOXIC_AT, vocabulary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that toxicity scores at TOXIC_AT or more go, by doc_id; rows with a null doc_id stay."""
+    """Rows that toxicity scores at TOXIC_AT or more go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    scores = toxicity.score_toxicity(docs, labels)
-    bad = common.store(scores.where((F.col("score") >= TOXIC_AT) & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "toxic")
-    return common.join_ids(docs, bad, "doc_id", "left_anti").select(docs.columns)
+    return common.without(docs, toxicity.score_toxicity(docs, labels).where(F.col("score") >= TOXIC_AT))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of 5-word-shingle Jaccard similarity 0.8 or more stays.
+    """One document of each group of 5-word-shingle Jaccard similarity 0.8 or more stays, that of the smallest doc_id.
 
-    Documents without words link with nothing and stay; of rows that repeat a doc_id one stays.
+    Documents without words link with nothing and stay, and so do rows with a null doc_id. Of rows that repeat a doc_id
+    and its text the first by the values of all columns stays; other texts of a doc_id are documents of their own.
     """
-    groups = ngram_join.jaccard_groups(docs, shingle_words=5, percent=80)
-    gone = common.store(groups.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    left = common.join_ids(docs, gone, "doc_id", "left_anti").select(docs.columns)
-    repeated = common.store(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    n = repeated.count()
-    if not n:
+    groups = common.store(ngram_join.jaccard_groups(docs, shingle_words=5, percent=80).where("doc_id is not null"), "groups")
+    left = common.without(docs, groups.where("not kept"))
+    again = common.store(groups.where("kept").groupBy("doc_id", "th").count().where("count > 1").select("doc_id", "th"), "repeated")
+    if again.isEmpty():
         return left
-    once = common.join_ids(left, repeated, "doc_id", "left_semi", n).dropDuplicates(["doc_id"]).select(docs.columns)
-    return common.join_ids(left, repeated, "doc_id", "left_anti", n).select(docs.columns).unionByName(once)
+    once = common.without(left, again)
+    row = common.unused(docs, "row")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = left.select(F.struct(*columns).alias(row), F.col("doc_id"), F.xxhash64("text").alias("th")).join(again, ["doc_id", "th"], "left_semi")
+    first = rows.groupBy("doc_id", "th").agg(F.min(row).alias(row)).select(f"{row}.*")
+    return once.unionByName(first)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in repeated 35-word windows go; the text and n_chars change, rows stay."""
     out = substring_dedup.cut_repeats(docs, window=35)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else out
+    if "n_chars" not in docs.columns:
+        return out
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*[f"`{c}`" for c in docs.columns])
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that benchmark passages contaminate go, by doc_id; rows with a null doc_id stay."""
+    """Rows that benchmark passages contaminate go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    bad = decontaminate.contamination(docs, items).where("contaminated and doc_id is not null").select("doc_id").distinct()
-    return common.join_ids(docs, common.store(bad, "contaminated"), "doc_id", "left_anti").select(docs.columns)
+    return common.without(docs, decontaminate.contamination(docs, items).where("contaminated"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
