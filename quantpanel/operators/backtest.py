@@ -30,29 +30,91 @@ def forward_paths(bars: DataFrame, signals: DataFrame, horizon: int) -> DataFram
     return df.withColumns({"entry_open": F.min_by("open", "day_offset").over(w), "_n": F.count(F.lit(1)).over(w)}).where(F.col("_n") == horizon).drop("_n")
 
 
-def exit_rules(stops: tuple[float, ...], takes: tuple[float, ...], trails: tuple[float, ...]) -> list[tuple]:
-    """(rule_id, stop, take, trail) of the grid; a null trail is a fixed rule."""
-    fixed = [(f"s{s}_t{t}", s, t, None) for s in stops for t in takes]
-    return fixed + [(f"s{s}_tr{x}", s, None, x) for s in stops for x in trails]
-
-
-def apply_exit_rules(paths: DataFrame, rules: list[tuple]) -> DataFrame:
-    """First exit of each path under each rule: stop from the high so far, gaps at the open, the stop before the take."""
-    table = paths.sparkSession.createDataFrame(rules, "rule_id string, stop double, take double, trail double")
-    so_far = Window.partitionBy("symbol", "signal_date", "rule_id").orderBy("day_offset")
-    df = paths.join(F.broadcast(table))  # the grid: some hundred rows
-    peak = F.greatest("entry_open", F.coalesce(F.max("high").over(so_far.rowsBetween(Window.unboundedPreceding, -1)), F.col("entry_open")))
-    level = F.greatest(F.col("entry_open") * (1 - F.col("stop")), F.coalesce(peak * (1 - F.col("trail")), F.lit(0.0)))
-    goal = F.col("entry_open") * (1 + F.col("take"))
-    df = df.withColumns({"level": level, "goal": goal, "final": F.max("day_offset").over(Window.partitionBy("symbol", "signal_date", "rule_id"))})
-    reason = F.when(F.col("low") <= F.col("level"), F.when(F.col("high") >= F.col("goal"), "stop_loss_first").otherwise("stop_loss")).when(F.col("high") >= F.col("goal"), "take_profit").when(F.col("day_offset") == F.col("final"), "timeout")
-    df = df.withColumn("exit_reason", reason).where("exit_reason is not null").withColumn("_n", F.row_number().over(so_far)).where("_n = 1")
-    price = F.when(F.col("exit_reason").startswith("stop"), F.least("open", "level")).when(F.col("exit_reason") == "take_profit", F.greatest("open", "goal")).otherwise(F.col("close"))
-    return df.select("symbol", "signal_date", "rule_id", "exit_reason", F.col("day_offset").alias("holding_days"), (F.try_divide(price, F.col("entry_open")) - 1).alias("trade_return"))
+# The grids of the exit rules.
+STOPS, TAKES, TRAILS, TRIGGERS, TIME_DAYS, TIME_RETURNS = (0.06, 0.08, 0.10), (0.08, 0.10, 0.12, 0.15, 0.20), (0.06, 0.08, 0.10), (0.08, 0.10), (5, 10), (0.02, 0.03)
+_RULE = "rule_id string, family string, stop double, take double, breakeven double, trail_start double, trail double, time_days int, time_return double, no_stop boolean"
+
+
+def exit_rules(stops=STOPS, takes=TAKES, trails=TRAILS, triggers=TRIGGERS, days=TIME_DAYS, returns=TIME_RETURNS) -> list[tuple]:
+    """The grid of exit rules, in the columns of _RULE: fixed horizon, fixed, breakeven, trailing and time stops."""
+    pct = lambda x: f"{round(x * 1000):03d}"
+    out = [("fixed_horizon", "fixed_horizon", stops[0], None, None, None, None, None, None, True)]
+    out += [(f"fixed_sl{pct(s)}_tp{pct(t)}", "fixed", s, t, None, None, None, None, None, False) for s in stops for t in takes]
+    out += [(f"breakeven_sl{pct(s)}_be{pct(g)}_tp{pct(t)}", "breakeven", s, t, g, None, None, None, None, False) for s in stops for g in triggers for t in takes]
+    out += [(f"trailing_sl{pct(s)}_start{pct(g)}_trail{pct(x)}", "trailing", s, None, None, g, x, None, None, False) for s in stops for g in triggers for x in trails]
+    return out + [(f"time_sl{pct(s)}_tp{pct(t)}_d{d}_min{pct(m)}", "time_stop", s, t, None, None, None, d, m, False) for s in stops for t in takes for d in days for m in returns]
+
+
+def apply_exit_rules(paths: DataFrame, rules: list[tuple], horizon: int, keys: tuple[str, ...] = ("symbol", "signal_date")) -> DataFrame:
+    """One trade for each path and rule: the first day on which the rule leaves, else the close of the horizon.
+
+    A day is judged in this order: an open at the stop, an open at the take, low and high both met (the stop wins), the
+    low, the high, the time stop by its close. The stop is raised by what the days before it have reached: to the entry
+    once a high has met the breakeven trigger, and below the highest high once one has met the trail's start. A path is
+    one array of at most `horizon` days, and the rules are a table of some hundred rows, so nothing is shuffled for them.
+    """
+    table = paths.sparkSession.createDataFrame([r for r in rules if r[7] is None or r[7] <= horizon], _RULE)
+    day = F.struct("day_offset", "trade_date", "open", "high", "low", "close")
+    one = paths.where(F.col("day_offset") <= horizon).groupBy(*keys).agg(F.sort_array(F.collect_list(day)).alias("path"), F.min_by("open", "day_offset").alias("entry"))
+    one = one.where(f"size(path) = {horizon} and entry > 0")
+    so_far = "transform(path, (x, i) -> named_struct('x', x, 'top', greatest(entry, if(i = 0, entry, array_max(transform(slice(path, 1, i), y -> y.high))))))"
+    df = one.withColumn("path", F.expr(so_far)).crossJoin(F.broadcast(table))  # the grid
+    up = "x.top / entry - 1"
+    first = "if(no_stop, cast(null as double), entry * (1 - stop))"
+    level = f"case when {up} >= breakeven and entry > {first} then entry else {first} end"
+    kind = f"case when {up} >= breakeven and entry > {first} then 'breakeven_stop' else 'stop_loss' end"
+    trailed = f"({up} >= trail_start and x.top * (1 - trail) > {level})"
+    days = f"transform(path, x -> named_struct('x', x.x, 'level', if({trailed}, x.top * (1 - trail), {level}), 'kind', if({trailed}, 'trailing_stop', {kind}), 'goal', entry * (1 + take)))"
+    reason = "case when d.x.open <= d.level then concat(d.kind, '_open_gap') when d.x.open >= d.goal then 'take_profit_open_gap' when d.x.low <= d.level and d.x.high >= d.goal then concat(d.kind, '_first') when d.x.low <= d.level then d.kind when d.x.high >= d.goal then 'take_profit' when d.x.day_offset = time_days and d.x.close / entry - 1 < time_return then 'time_stop' end"
+    price = "case when d.x.open <= d.level or d.x.open >= d.goal then d.x.open when d.x.low <= d.level then d.level when d.x.high >= d.goal then d.goal else d.x.close end"
+    exits = f"filter(transform({days}, d -> named_struct('reason', {reason}, 'price', {price}, 'day', d.x.day_offset, 'date', d.x.trade_date)), e -> e.reason is not null)"
+    last = f"named_struct('reason', 'timeout', 'price', path[{horizon} - 1].x.close, 'day', path[{horizon} - 1].x.day_offset, 'date', path[{horizon} - 1].x.trade_date)"
+    df = df.withColumn("e", F.expr(f"coalesce(try_element_at({exits}, 1), {last})")).where("e.price is not null")
+    seen = "slice(path, 1, e.day)"
+    return df.select(
+        *keys, "rule_id", "family", F.lit(horizon).alias("horizon"), F.col("entry").alias("entry_open"), F.col("e.date").alias("exit_date"), F.col("e.price").alias("exit_price"), F.col("e.reason").alias("exit_reason"), F.col("e.day").alias("holding_days"),
+        (F.col("e.price") / F.col("entry") - 1).alias("trade_return"), ((F.col("e.price") / F.col("entry") - 1) / F.col("stop")).alias("trade_r"), (F.expr(f"array_max(transform({seen}, y -> y.x.high)) / entry - 1")).alias("max_profit"), (F.expr(f"array_min(transform({seen}, y -> y.x.low)) / entry - 1")).alias("max_drawdown"),
+    )
+
+
+def exit_summary(trades: DataFrame, by: list[str]) -> DataFrame:
+    """Means, win and exit rates, payoff and the balanced score of the trades of each rule."""
+    r, days = F.col("trade_return"), F.greatest("holding_days", F.lit(1))
+    share = lambda p: F.avg(F.col("exit_reason").startswith(p).cast("double"))
+    agg = trades.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("trade_count"), F.avg(r).alias("avg_return"), F.avg(r / days).alias("avg_daily_return"), F.avg((r > 0).cast("double")).alias("win_rate"), F.avg("trade_r").alias("avg_r"), F.avg(F.when(r > 0, r)).alias("avg_gain"), F.avg(F.when(r < 0, r)).alias("avg_loss"),
+        F.avg("max_profit").alias("avg_max_profit"), F.avg("max_drawdown").alias("avg_max_drawdown"), F.avg(days).alias("avg_holding_days"), share("stop_loss").alias("stop_loss_rate"), share("take_profit").alias("take_profit_rate"), share("trailing_stop").alias("trailing_stop_rate"),
+        share("breakeven_stop").alias("breakeven_stop_rate"), share("time_stop").alias("time_stop_rate"), F.max("horizon").alias("_h"),
+    )
+    agg = agg.withColumn("payoff_ratio", F.try_divide("avg_gain", F.abs("avg_loss")))
+    # Weights of the balanced score.
+    score = F.col("avg_r") + 0.3 * F.col("win_rate") + 0.2 * F.least(F.coalesce("payoff_ratio", F.lit(0.0)), F.lit(5.0)) - 0.5 * F.abs("avg_max_drawdown") - 0.3 * F.col("stop_loss_rate") - 0.05 * F.col("avg_holding_days") / F.greatest("_h", F.lit(1))
+    return agg.withColumn("balanced_score", score).drop("_h")
+
+
+def split_label(day: F.Column, tune_end: str = "2023-12-29", test_start: str = "2024-01-01") -> F.Column:
+    """tune up to one date, test from another, gap between (F8)."""
+    return F.when(day <= F.lit(tune_end).cast("date"), "tune").when(day >= F.lit(test_start).cast("date"), "test").otherwise("gap")
+
+
+def select_rules(by_split: DataFrame, keys: list[str], rule: str = "rule_id", score: str = "balanced_score") -> DataFrame:
+    """The rule of the best tuning score of each key beside its test figures (B20); ties go to the first rule by name."""
+    numbers = [c for c in by_split.columns if c not in (*keys, rule, "split")]
+    w = Window.partitionBy(*keys).orderBy(F.desc(score), rule)
+    tune = by_split.where("split = 'tune'").withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*keys, rule, *[F.col(c).alias(f"tune_{c}") for c in numbers])
+    test = by_split.where("split = 'test'").select(*keys, rule, *[F.col(c).alias(f"test_{c}") for c in numbers])
+    return tune.join(test, [*keys, rule], "left")
+
+
+def signal_dates(bars: DataFrame, horizon: int, n: int | None = None) -> DataFrame:
+    """Market days with at least `horizon` days after them, the newest n (B1). Days are few."""
+    days = bars.select("trade_date").distinct().withColumn("_k", F.row_number().over(Window.orderBy(F.desc("trade_date"))))
+    days = days.where(F.col("_k") > horizon)
+    return (days if n is None else days.where(F.col("_k") <= horizon + n)).select("trade_date")
 
 
 def trade_summary(trades: DataFrame, by: list[str]) -> DataFrame:
-    """Win rate, payoff, expectancy, medians and tails."""
+    """Win rate, payoff, expectancy, medians and tails."""
     r = F.col("trade_return")
     agg = trades.groupBy(*by).agg(F.count(F.lit(1)).alias("n_trades"), F.avg(r).alias("mean_return"), F.percentile(r, 0.5).alias("median_return"), F.percentile(r, 0.05).alias("q05"), F.avg((r > 0).cast("double")).alias("win_rate"), F.avg(F.when(r > 0, r)).alias("_w"), F.avg(F.when(r <= 0, -r)).alias("_l"), F.avg("holding_days").alias("mean_days"))
     return agg.withColumn("payoff", F.try_divide("_w", "_l")).drop("_w", "_l")

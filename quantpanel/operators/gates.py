@@ -13,6 +13,7 @@ from .sectors import by_sector
 
 def market_gate(index: DataFrame) -> DataFrame:
     """0 (trade) above a rising 20-day mean with breadth of 0.45 and few limit-down rows, else 1 (M9). One row a day."""
+    # Least breadth and largest share of limit-down rows.
     mean = full(F.avg, "equal_index", 20, by_date().rowsBetween(-19, 0))
     df = index.withColumn("m", mean).withColumn("slope", F.try_divide("m", F.lag("m", 5).over(by_date())) - 1)
     allow = (F.col("equal_index") > F.col("m")) & (F.col("slope") > 0) & (F.col("breadth_ma20") >= 0.45) & (F.try_divide("limit_down", "stock_count") <= 0.03)
@@ -40,10 +41,12 @@ def walk_forward(panel: DataFrame, train: int, valid: int, step: int, embargo: i
 
 
 def slice_windows(panel: DataFrame, windows: DataFrame) -> DataFrame:
-    """Rows of each window with their split; windows are counted in dozens by construction of their step (V9)."""
+    """Rows of each window with their split (V9): windows meet the distinct days, and those the rows by date."""
+    days = panel.select("trade_date").distinct()
     at = (F.col("trade_date") >= F.col("train_start")) & (F.col("trade_date") <= F.col("valid_end"))
     split = F.when(F.col("trade_date") <= F.col("train_end"), "train").when(F.col("trade_date") >= F.col("valid_start"), "valid")
-    return panel.join(windows, at).withColumn("split", split).where("split is not null")
+    dealt = days.join(F.broadcast(windows), at).withColumn("split", split).where("split is not null")  # dozens of windows
+    return panel.join(dealt, "trade_date")
 
 
 def exclude_risk(df: DataFrame, score: str, rate: float = 0.2) -> DataFrame:

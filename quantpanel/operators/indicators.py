@@ -20,6 +20,13 @@ def full(f, c: str, n: int, w=None) -> F.Column:
     return F.when(F.count(c).over(w) >= n, f(c).over(w))
 
 
+def corr(a: str, b: str, w=None) -> F.Column:
+    """Correlation of two columns over rows that have both, null where one does not vary."""
+    over = (lambda c: c) if w is None else (lambda c: c.over(w))
+    x, y = F.when(F.col(b).isNotNull(), F.col(a)).cast("double"), F.when(F.col(a).isNotNull(), F.col(b)).cast("double")
+    return F.try_divide(over(F.covar_pop(x, y)), over(F.stddev_pop(x)) * over(F.stddev_pop(y)))
+
+
 def add_moving(bars: DataFrame) -> DataFrame:
     """Means, highs, returns, drawdown, volatility, ratios."""
     df = bars.withColumns({f"ma_{n}": full(F.avg, "close", n) for n in (5, 10, 20, 60)} | {f"volume_ma_{n}": full(F.avg, "volume", n) for n in (5, 20)} | {

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .indicators import by_symbol, full, last, true_range
+from .indicators import by_symbol, corr, full, last, true_range
 
 
 def ret(n: int) -> F.Column:
@@ -35,17 +35,45 @@ def tail_risk(bars: DataFrame, lookback: int = 100, quantile: float = 0.05, hori
     return df.withColumn("risk_label", F.lead("tail_event", horizon).over(by_symbol()))
 
 
-def triple_barrier(bars: DataFrame, horizon: int = 20, down: float = 1.0, up: float = 2.0) -> DataFrame:
-    """Next-open entry, ATR barriers, first touch within the horizon; the stop wins a tie; late rows look as far as there are bars (L4)."""
-    df = bars.withColumns({"tr": true_range(), "idx": F.row_number().over(by_symbol())}).withColumn("atr", full(F.avg, "tr", 14))
-    df = df.withColumns({"entry": F.lead("open").over(by_symbol()), "entry_date": F.lead("trade_date").over(by_symbol())}).where("entry is not null and atr is not null")
-    path = F.collect_list(F.struct("low", "high")).over(by_symbol().rowsBetween(0, horizon - 1))
-    # rows from the entry bar on: the frame of the next row, so it is built before the lead
-    paths = bars.withColumn("path", path).select("symbol", F.col("trade_date").alias("entry_date"), "path")
-    df = df.join(paths, ["symbol", "entry_date"]).withColumns({"stop": F.col("entry") - down * F.col("atr"), "take": F.col("entry") + up * F.col("atr")})
-    df = df.withColumns({"d": F.expr("array_position(transform(path, b -> b.low <= stop), true)"), "u": F.expr("array_position(transform(path, b -> b.high >= take), true)")})
-    outcome = F.when((F.col("d") > 0) & ((F.col("u") == 0) | (F.col("d") <= F.col("u"))), "down_first").when(F.col("u") > 0, "up_first").otherwise("none")
-    return df.withColumns({"barrier_outcome": outcome, "risk_label": (outcome == "down_first").cast("int")}).drop("path", "tr", "idx")
+def triple_barrier(bars: DataFrame, horizon: int = 20, down: float = 1.0, up: float | None = 2.0, down_pct: float | None = None, up_pct: float | None = None, variant: str = "barrier_down_first") -> DataFrame:
+    """Next-open entry, barriers by ATR or percent, first touch within the horizon, the lower one on a tie (L4).
+
+    Late rows look as far as there are bars. barrier_outcome is down_first, up_first or timeout; the label is a first touch
+    of the lower barrier or, with max_drawdown_exceed, a low at it at any time. The path of a row is a frame of its own
+    window, of at most `horizon` bars, so nothing is joined.
+    """
+    df = bars.withColumns({"tr": true_range()}).withColumns({"atr": full(F.avg, "tr", 14), "entry": F.lead("open").over(by_symbol()), "entry_date": F.lead("trade_date").over(by_symbol())})
+    df = df.withColumn("path", F.collect_list(F.struct("trade_date", "low", "high", "close")).over(by_symbol().rowsBetween(1, horizon)))
+    df = df.where("entry > 0 and atr > 0").drop("tr")
+    below = F.col("entry") * down_pct if down_pct is not None else F.col("atr") * down
+    above = F.col("entry") * up_pct if up_pct is not None else F.col("atr") * up if up is not None else F.lit(None).cast("double")
+    df = df.withColumns({"below": below, "stop": F.col("entry") - below, "take": F.col("entry") + above})
+    first = F.expr("array_position(transform(path, b -> coalesce(b.low <= stop, false) or coalesce(b.high >= take, false)), true)").cast("int")
+    df = df.withColumn("hit", first).withColumn("bar", F.when(F.col("hit") > 0, F.expr("path[hit - 1]")).otherwise(F.expr("path[size(path) - 1]")))
+    outcome = F.when(F.col("hit") == 0, "timeout").when(F.col("bar.low") <= F.col("stop"), "down_first").otherwise("up_first")
+    df = df.withColumn("barrier_outcome", outcome).withColumn("barrier_max_drawdown", F.try_divide(F.array_min("path.low"), F.col("entry")) - 1)
+    price = F.when(F.col("barrier_outcome") == "down_first", F.col("stop")).when(F.col("barrier_outcome") == "up_first", F.col("take")).otherwise(F.col("bar.close"))
+    label = F.col("barrier_outcome") == "down_first" if variant == "barrier_down_first" else F.coalesce(F.col("barrier_max_drawdown") <= -F.col("below") / F.col("entry"), F.lit(False))
+    df = df.withColumns({"risk_label": label.cast("int"), "exit_date": F.col("bar.trade_date"), "exit_price": price, "barrier_return": F.try_divide(price, F.col("entry")) - 1, "forward_log_return": F.log(F.try_divide(F.when(price > 0, price), F.col("entry")))})
+    return df.drop("path", "hit", "bar", "below")
+
+
+def event_barrier(bars: DataFrame, events: DataFrame, horizon: int = 20, up: float = 1.0, down: float = 1.0, min_target: float = 0.005) -> DataFrame:
+    """Barriers of a multiple of the deviation on closes after each event.
+
+    events: (symbol, event_date, vol, threshold) as cusum_state gives them. bins: -1 down first, 1 up first, 0 neither.
+    """
+    path = F.collect_list(F.struct("trade_date", "close", "low")).over(by_symbol().rowsBetween(1, horizon))
+    df = bars.withColumn("path", path).join(events.withColumnRenamed("event_date", "trade_date"), ["symbol", "trade_date"])
+    df = df.where(f"vol >= {min_target} and size(path) > 0 and close > 0").withColumns({"top": F.lit(up) * F.col("vol"), "bottom": F.lit(-down) * F.col("vol")})
+    df = df.withColumn("hit", F.expr("array_position(transform(path, b -> b.close > 0 and (b.close / close - 1 <= bottom or b.close / close - 1 >= top)), true)").cast("int"))
+    df = df.withColumn("bar", F.when(F.col("hit") > 0, F.expr("path[hit - 1]")).otherwise(F.expr("path[size(path) - 1]")))
+    r = F.try_divide("bar.close", "close") - 1
+    bins = F.when(F.col("hit") == 0, 0).when(r <= F.col("bottom"), -1).otherwise(1)
+    return df.select(
+        "symbol", "trade_date", F.col("close").alias("entry_price"), F.col("bar.trade_date").alias("exit_date"), F.col("bar.close").alias("exit_price"), F.element_at(F.array(F.lit("down_first"), F.lit("vertical"), F.lit("up_first")), bins + 2).alias("barrier_outcome"),
+        bins.alias("barrier_bin"), (bins == -1).cast("int").alias("risk_label"), r.alias("barrier_return"), (F.try_divide(F.array_min("path.low"), F.col("close")) - 1).alias("barrier_max_drawdown"), F.log(r + 1).alias("forward_log_return"), F.col("vol").alias("target"), "threshold",
+    )
 
 
 def label_distribution(labelled: DataFrame) -> DataFrame:
@@ -53,19 +81,40 @@ def label_distribution(labelled: DataFrame) -> DataFrame:
     return labelled.rollup("barrier_outcome").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("risk_label").alias("label_rate"), F.grouping("barrier_outcome").alias("g")).select(F.when(F.col("g") == 1, "ALL").otherwise(F.col("barrier_outcome")).alias("barrier_outcome"), "n_rows", "label_rate")
 
 
-def cusum_events(bars: DataFrame, span: int = 100, mult: float = 1.0) -> DataFrame:
-    """Symmetric CUSUM events with reset; the threshold is the mean exponentially weighted deviation."""
-    df = bars.withColumn("lr", F.log(F.try_divide(F.col("close"), F.lag("close").over(by_symbol()))))
-    rows = df.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("trade_date", "lr"))).alias("r"))  # bounded by trading days
+def cusum_state(bars: DataFrame, span: int = 100, mult: float = 1.0) -> DataFrame:
+    """(symbol, trade_date, vol, threshold, is_event) of each bar: exponentially weighted deviation, its mean, and symmetric
+    CUSUM events with reset (L5, L6, L8).
+
+    A symbol's bars are one group by construction; its recurrences run over them in arrays of their own.
+    """
+    import numpy as np
+    import pandas as pd
+
     keep = 1 - 2 / (span + 1)
-    # weights w, squares q, mean m and sum of squares s of the adjusted, bias-corrected deviation
-    step = f"struct({keep}D * a.w + 1 as w, {keep * keep}D * a.q + 1 as q, a.m + (x.lr - a.m) / ({keep}D * a.w + 1) as m, {keep}D * a.s + ({keep}D * a.w / ({keep}D * a.w + 1)) * (x.lr - a.m) * (x.lr - a.m) as s, a.o as o)"
-    vol = "if(a.w * a.w > a.q, sqrt((a.s / a.w) * (a.w * a.w) / (a.w * a.w - a.q)), null)"
-    fold = f"aggregate(r, struct(0D as w, 0D as q, 0D as m, 0D as s, cast(array() as array<double>) as o), (b, x) -> if(x.lr is null, b, transform(array({step.replace('a.', 'b.')}), a -> struct(a.w as w, a.q as q, a.m as m, a.s as s, concat(a.o, array({vol})) as o))[0])).o"
-    rows = rows.withColumn("vol", F.expr(fold)).withColumn("h", F.expr(f"{mult}D * aggregate(filter(vol, v -> v is not null), 0D, (s, v) -> s + v) / nullif(size(filter(vol, v -> v is not null)), 0)"))
-    up, down = "greatest(0D, a.p + x.lr)", "least(0D, a.n + x.lr)"
-    events = f"aggregate(filter(r, x -> x.lr is not null), struct(0D as p, 0D as n, cast(array() as array<date>) as o), (a, x) -> if({up} > h or {down} < -h, struct(0D as p, 0D as n, concat(a.o, array(x.trade_date)) as o), struct({up} as p, {down} as n, a.o as o))).o"
-    return rows.select("symbol", F.col("h").alias("threshold"), F.explode(F.expr(events)).alias("event_date"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("trade_date", kind="stable")
+        r = np.log(pdf["close"].where(pdf["close"] > 0)).diff()
+        vol = r.ewm(alpha=1 - keep, min_periods=span).std()
+        threshold = float(vol.mean() * mult) if vol.notna().any() else float("nan")
+        events, up, down = np.zeros(len(pdf), dtype=bool), 0.0, 0.0
+        if threshold > 0:
+            for k, x in enumerate(r.to_numpy()):
+                if x == x:
+                    up, down = max(0.0, up + x), min(0.0, down + x)
+                    if down < -threshold:  # the side that fires starts again, the other goes on
+                        events[k], down = True, 0.0
+                    elif up > threshold:
+                        events[k], up = True, 0.0
+        at = threshold if threshold > 0 else None
+        return pd.DataFrame({"symbol": pdf["symbol"], "trade_date": pdf["trade_date"], "vol": vol.astype(object).where(vol.notna(), None), "threshold": at, "is_event": events})
+
+    return bars.select("symbol", "trade_date", "close").groupBy("symbol").applyInPandas(run, "symbol string, trade_date date, vol double, threshold double, is_event boolean")
+
+
+def cusum_events(bars: DataFrame, span: int = 100, mult: float = 1.0) -> DataFrame:
+    """(symbol, event_date, vol, threshold) of the events."""
+    return cusum_state(bars, span, mult).where("is_event").select("symbol", F.col("trade_date").alias("event_date"), "vol", "threshold")
 
 
 def candle_features(bars: DataFrame) -> DataFrame:
@@ -96,7 +145,7 @@ def window_features(bars: DataFrame, windows: tuple[int, ...] = (5, 10, 20, 30,
             f"QTLU{n}": d(F.percentile("close", 0.8).over(w), c), f"QTLD{n}": d(F.percentile("close", 0.2).over(w), c), f"RSV{n}": d(c - F.min("low").over(w), F.max("high").over(w) - F.min("low").over(w)),
             f"RANK{n}": F.transform(F.array(arr), lambda a: (F.size(F.filter(a, lambda x: x < c)) + (F.size(F.filter(a, lambda x: x == c)) + 1) / 2) / F.size(a))[0],
             f"BETA{n}": d(slope, c), f"RSQR{n}": F.regr_r2("close", "_i").over(w), f"RESI{n}": d(c - fit, c), f"IMAX{n}": imax / n, f"IMIN{n}": imin / n, f"IMXD{n}": (imax - imin) / n,
-            f"CORR{n}": F.corr("close", "_lv").over(w), f"CORD{n}": F.corr("_r", "_vr").over(w), f"CNTP{n}": F.avg("_pos").over(w), f"CNTN{n}": F.avg("_neg").over(w), f"CNTD{n}": F.avg("_pos").over(w) - F.avg("_neg").over(w),
+            f"CORR{n}": corr("close", "_lv", w), f"CORD{n}": corr("_r", "_vr", w), f"CNTP{n}": F.avg("_pos").over(w), f"CNTN{n}": F.avg("_neg").over(w), f"CNTD{n}": F.avg("_pos").over(w) - F.avg("_neg").over(w),
             f"SUMP{n}": d(F.sum("_up").over(w), F.sum("_ad").over(w)), f"SUMN{n}": 1 - d(F.sum("_up").over(w), F.sum("_ad").over(w)), f"SUMD{n}": 2 * d(F.sum("_up").over(w), F.sum("_ad").over(w)) - 1,
             f"VMA{n}": d(F.avg("volume").over(w), F.col("volume")), f"VSTD{n}": d(F.stddev_samp("volume").over(w), F.col("volume")), f"WVMA{n}": d(F.stddev_samp("_w").over(w), F.avg("_w").over(w)),
             f"VSUMP{n}": d(F.sum("_vup").over(w), F.sum("_vad").over(w)), f"VSUMN{n}": 1 - d(F.sum("_vup").over(w), F.sum("_vad").over(w)), f"VSUMD{n}": 2 * d(F.sum("_vup").over(w), F.sum("_vad").over(w)) - 1,
@@ -112,14 +161,24 @@ def return_label(bars: DataFrame) -> DataFrame:
     return df.withColumn("label", F.try_divide(F.col("label_raw") - F.avg("label_raw").over(day), F.when(sd > 1e-12, sd)))
 
 
-def limit_up_3d(bars: DataFrame, up: float = 0.099, down: float = -0.05) -> DataFrame:
-    """Hit, down and trap over the next 3 bars and their weighted target; today's limit-ups go."""
+# Thresholds and weights of the three-day target.
+LIMIT_UP, DOWN_3D, HIT, DOWN, TRAP = 0.099, -0.05, 1.0, 1.2, 1.5
+
+
+def limit_up_3d(bars: DataFrame) -> DataFrame:
+    """Hit, down and trap over the next 3 bars and their weighted target.
+
+    A hit is a high of a later day above the close before it; down is the close of the third day. Days whose own high
+    passes the limit go, and so do the last three of a symbol.
+    """
     lead = lambda c, k: F.lead(c, k).over(by_symbol()) if k else F.col(c)
-    hit = F.greatest(*[(F.try_divide(lead("high", k), lead("close", k - 1)) - 1 >= up).cast("int") for k in (1, 2, 3)])
-    worst = F.least(*[F.try_divide(lead("close", k), F.col("close")) - 1 for k in (1, 2, 3)])
-    df = bars.withColumns({"ret": ret(1), "hit": hit, "down": (worst <= down).cast("int"), "full": lead("close", 3)}).where("full is not null and coalesce(ret < 0.099, true)".replace("0.099", str(up)))
-    df = df.withColumn("trap", (F.col("hit") * F.col("down")).cast("int"))
-    return df.withColumn("target", 1.0 * F.col("hit") - 1.2 * F.col("down") - 1.5 * F.col("trap")).drop("ret", "full")
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    rise = [F.try_divide(lead("high", k), lead("close", k - 1)) - 1 for k in (1, 2, 3)]
+    today = F.try_divide(F.col("high"), F.lag("close").over(by_symbol())) - 1
+    df = bars.withColumns({"today": today, "future_max_high_return_3d": F.greatest(*rise), "future_return_3d": F.try_divide(lead("close", 3), F.col("close")) - 1, "future_max_drawdown_3d": F.try_divide(F.least(*[lead("low", k) for k in (1, 2, 3)]), F.col("close")) - 1})
+    df = df.where("future_return_3d is not null").where(~F.coalesce(F.col("today") > LIMIT_UP, F.lit(False)))
+    df = df.withColumns({"hit": flag(F.col("future_max_high_return_3d") > LIMIT_UP), "down": flag(F.col("future_return_3d") < DOWN_3D)}).withColumn("trap", F.col("hit") * F.col("down"))
+    return df.withColumn("target", HIT * F.col("hit") - DOWN * F.col("down") - TRAP * F.col("trap")).drop("today")
 
 
 def weekly_returns(bars: DataFrame) -> DataFrame:
@@ -144,9 +203,57 @@ def crash_measures(weekly: DataFrame, least: int = 26) -> DataFrame:
     y = Window.partitionBy("symbol", "year")
     df = df.withColumns({"n": F.count("firm_return").over(y), "m": F.avg("firm_return").over(y), "sd": F.stddev_samp("firm_return").over(y)}).where(F.col("n") >= least)
     x = F.col("firm_return")
-    up, dn = x > F.col("m"), x <= F.col("m")
+    up, dn = x >= F.col("m"), x < F.col("m")
     agg = df.groupBy("symbol", "year").agg(F.first("n").alias("n"), F.sum((x < F.col("m") - 3.2 * F.col("sd")).cast("int")).alias("crash_count"), F.sum(x * x * x).alias("s3"), F.sum(x * x).alias("s2"), F.sum(F.when(dn, x * x)).alias("d2"), F.sum(F.when(up, x * x)).alias("u2"), F.sum(dn.cast("int")).alias("nd"), F.sum(up.cast("int")).alias("nu"), F.avg(x).alias("ret"), F.first("sd").alias("sigma"), F.min(x).alias("min_ret"))
     n = F.col("n").cast("double")
     ncskew = F.try_divide(-(n * F.pow(n - 1, 1.5) * F.col("s3")), (n - 1) * (n - 2) * F.pow("s2", 1.5))
     duvol = F.log(F.try_divide((F.col("nu") - 1) * F.col("d2"), (F.col("nd") - 1) * F.col("u2")))
     return agg.select("symbol", "year", "n", (F.col("crash_count") > 0).cast("int").alias("crash"), "crash_count", ncskew.alias("ncskew"), duvol.alias("duvol"), "ret", "sigma", "min_ret")
+
+
+# 0.975 quantiles of chi-square with one to three degrees of freedom.
+CHI_SQUARE = {1: 5.0238861873148845, 2: 7.377758908227871, 3: 9.348403604496145}
+CRASH_MEASURES = ("negoutlier", "crash", "ncskew", "duvol", "ret", "sigma", "min_ret")
+
+
+def negative_outliers(measures: DataFrame) -> DataFrame:
+    """Outliers of a year on the negative side, by distance in medians and median deviations of three measures.
+
+    Years of fewer than ten complete rows have none. A median deviation of 0 gives way to the standard deviation.
+    """
+    names, year = ("ncskew", "duvol", "min_ret"), Window.partitionBy("year")
+    whole = F.col("ncskew").isNotNull() & F.col("duvol").isNotNull() & F.col("min_ret").isNotNull()
+    value = {c: F.when(whole, F.col(c)) for c in names}
+    df = measures.withColumns({f"_m_{c}": F.percentile(v, 0.5).over(year) for c, v in value.items()}).withColumn("_n", F.count(F.when(whole, 1)).over(year))
+    df = df.withColumns({f"_s_{c}": F.coalesce(F.nullif(F.percentile(F.abs(v - F.col(f"_m_{c}")), 0.5).over(year), F.lit(0.0)), F.nullif(F.stddev_samp(v).over(year), F.lit(0.0))) for c, v in value.items()})
+    apart = sum((F.coalesce(F.pow(F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")), 2), F.lit(0.0)) for c in names), F.lit(0.0))
+    side = (F.col("min_ret") < F.col("_m_min_ret")) | (F.col("ncskew") > F.col("_m_ncskew"))
+    out = F.coalesce(whole & (F.col("_n") >= 10) & (apart > CHI_SQUARE[3]) & side, F.lit(False)).cast("int")
+    return df.withColumn("negoutlier", out).drop("_n", *[f"_{k}_{c}" for k in "ms" for c in names])
+
+
+def crash_distribution(measures: DataFrame) -> DataFrame:
+    """Counts and means of the annual measures by year and for all."""
+    means = {"negoutlier": "negoutlier_rate", "crash": "crash_rate", "crash_count": "crash_count_mean", "ncskew": "ncskew_mean", "duvol": "duvol_mean", "ret": "ret_mean", "sigma": "sigma_mean", "min_ret": "min_ret_mean"}
+    agg = measures.rollup("year").agg(F.grouping("year").alias("_g"), F.count(F.lit(1)).alias("firm_years"), *[F.avg(c).alias(k) for c, k in means.items()])
+    return agg.withColumn("year", F.when(F.col("_g") == 1, "all").otherwise(F.col("year").cast("string"))).drop("_g")
+
+
+def crash_correlation(measures: DataFrame) -> DataFrame:
+    """Correlation of each pair of annual measures over the rows that have both."""
+    pairs = [(a, b) for a in CRASH_MEASURES for b in CRASH_MEASURES]
+    one = measures.agg(*[corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    long = one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("measure_left"), F.lit(b).alias("measure_right"), F.col(f"{a}|{b}").alias("correlation")) for a, b in pairs])).alias("x"))
+    return long.select("x.*")
+
+
+def drop_empty_features(df: DataFrame, features: list[str]) -> DataFrame:
+    """df without the features that are null in every row (Q5)."""
+    counts = df.agg(*[F.count(c).alias(c) for c in features]).first()
+    return df.drop(*[c for c in features if not counts[c]])
+
+
+def risk_panel(features: DataFrame, labelled: DataFrame, needed: list[str]) -> DataFrame:
+    """Features with the labels of the same symbol and date, complete in the needed columns."""
+    extra = [c for c in labelled.columns if c in ("symbol", "trade_date") or c not in features.columns]
+    return features.join(labelled.select(*extra), ["symbol", "trade_date"]).dropna(subset=needed)

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .indicators import corr
+
 
 def score_100(value: str, by: list[str], higher_is_better: bool = True) -> F.Column:
-    """Rank percent with ties at their largest rank, 2 digits; null stays null."""
+    """Largest rank of ties from 0 to 100, 2 digits; 100 for a single value, null stays null."""
     v = F.col(value) if higher_is_better else -F.col(value)
     w = Window.partitionBy(*by)
-    upto = w.orderBy(v).rangeBetween(Window.unboundedPreceding, 0)
-    return F.when(F.col(value).isNotNull(), F.round(100.0 * F.count(v).over(upto) / F.count(v).over(w), 2))
+    upto, n = F.count(v).over(w.orderBy(v).rangeBetween(Window.unboundedPreceding, 0)), F.count(v).over(w)
+    return F.when(F.col(value).isNotNull(), F.when(n == 1, 100.0).otherwise(F.round(F.try_divide(upto - 1, n - 1) * 100, 2)))
 
 
 def percentile_score(value: str, by: list[str], higher_is_better: bool = True) -> F.Column:
@@ -23,6 +25,12 @@ def percentile_score(value: str, by: list[str], higher_is_better: bool = True) -
     return F.when(F.col(value).isNull(), 50.0).when(n == 1, 100.0).otherwise((rank - 1) * 100.0 / (n - 1))
 
 
+def winsorised(value: str, by: list[str], low: float = 0.01, high: float = 0.99) -> F.Column:
+    """The value within its quantiles across the group."""
+    w = Window.partitionBy(*by)
+    return F.when(F.col(value).isNotNull(), F.least(F.greatest(F.col(value), F.percentile(value, low).over(w)), F.percentile(value, high).over(w)))
+
+
 def linear_score(c: F.Column, low: float, high: float) -> F.Column:
     """0 at low to 100 at high, clipped; 50 for null."""
     return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(100.0), (c - low) / (high - low) * 100)), F.lit(50.0))
@@ -56,7 +64,7 @@ def daily_ic(df: DataFrame, score: str = "score", label: str = "label") -> DataF
     """Correlation and rank correlation of score and label by day."""
     df = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
     df = df.withColumns({"_s": average_rank(score, ["trade_date"]), "_l": average_rank(label, ["trade_date"])})
-    agg = df.groupBy("trade_date").agg(F.count(F.lit(1)).alias("n"), F.corr(score, label).alias("ic"), F.corr("_s", "_l").alias("rank_ic"))
+    agg = df.groupBy("trade_date").agg(F.count(F.lit(1)).alias("n"), corr(score, label).alias("ic"), corr("_s", "_l").alias("rank_ic"))
     return agg.where("n >= 3")
 
 
@@ -74,11 +82,25 @@ def classification_metrics(df: DataFrame, score: str, label: str, at: float = 0.
     return agg.withColumn("f1", F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
+def running_totals(df: DataFrame, order: str, columns: list[str], parts: int = 64) -> DataFrame:
+    """Running sums of columns by falling order over distinct values: ranges of the order, sums of ranges, then within each.
+
+    Only the `parts` sums of ranges come together in one task.
+    """
+    cuts = df.agg(F.percentile_approx(order, [k / parts for k in range(1, parts)], 10000).alias("c"))
+    df = df.crossJoin(F.broadcast(cuts)).withColumn("_part", F.expr(f"size(filter(c, x -> x < {order}))")).drop("c")  # one row of cuts
+    before = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    base = df.groupBy("_part").agg(*[F.sum(c).alias(f"_s_{c}") for c in columns])
+    base = base.select("_part", *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in columns])
+    w = Window.partitionBy("_part").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    out = df.join(F.broadcast(base), "_part")  # a row a range
+    return out.withColumns({f"run_{c}": F.col(f"_b_{c}") + F.sum(c).over(w) for c in columns}).drop("_part", *[f"_b_{c}" for c in columns])
+
+
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """ROC AUC by counts at each distinct score, average precision; null with one class (V11). Partial sums by score first."""
     by = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(score).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("n"))
-    w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    by = by.withColumns({"tp": F.sum("p").over(w), "fp": F.sum("n").over(w)})
+    by = running_totals(by, score, ["p", "n"]).withColumnsRenamed({"run_p": "tp", "run_n": "fp"})
     agg = by.agg(F.sum("p").alias("P"), F.sum("n").alias("N"), F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)).alias("area"), F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("ap"))
     both = (F.col("P") > 0) & (F.col("N") > 0)
     return agg.select(F.when(both, F.col("area") / (F.col("P") * F.col("N"))).alias("roc_auc"), F.when(both, F.col("ap") / F.col("P")).alias("average_precision"))

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .indicators import by_symbol
-from .scores import percentile_score
-
 
 def by_sector():
     return Window.partitionBy("sector_label").orderBy("trade_date")
@@ -37,32 +34,3 @@ def longest_up_run(index: DataFrame) -> DataFrame:
     """Most days in a row that a sector rose."""
     df = index.withColumn("n", F.row_number().over(by_sector())).where("ret > 0").withColumn("g", F.col("n") - F.row_number().over(by_sector()))
     return df.groupBy("sector_label", "g").count().groupBy("sector_label").agg(F.max("count").alias("longest_up_run"))
-
-
-def stock_metrics(bars: DataFrame, members: DataFrame, least: int = 60) -> DataFrame:
-    """Total return, new highs, distance to high, drawdown and recovery of members with enough history (K15), scored."""
-    run = by_symbol().rowsBetween(Window.unboundedPreceding, 0)
-    df = bars.withColumns({"top": F.max("close").over(run), "high120": F.max("close").over(by_symbol().rowsBetween(-120, -1))})
-    df = df.withColumns({"dd": F.try_divide("close", "top") - 1, "fresh": F.coalesce(F.col("close") > F.col("high120"), F.lit(False)).cast("int")})
-    agg = df.groupBy("symbol").agg(F.count(F.lit(1)).alias("days"), (F.try_divide(F.max_by("close", "trade_date"), F.min_by("close", "trade_date")) - 1).alias("total_return"), F.sum("fresh").alias("new_highs"), (F.try_divide(F.max_by("close", "trade_date"), F.max("close")) - 1).alias("to_high"), F.min("dd").alias("max_drawdown"), F.sum("amount").alias("amount"))
-    df = agg.where(F.col("days") >= least).join(members, "symbol")
-    by = ["sector_type", "sector_label"]
-    parts = {c: percentile_score(c, by) for c in ("total_return", "new_highs", "to_high", "max_drawdown", "amount")}
-    df = df.withColumns({f"{c}_score": s for c, s in parts.items()})
-    weights = {"total_return": 0.35, "new_highs": 0.2, "to_high": 0.15, "max_drawdown": 0.15, "amount": 0.15}
-    score = sum((w * F.col(f"{c}_score") for c, w in weights.items()), F.lit(0.0))
-    return df.withColumn("leader_score", F.round(score, 4))
-
-
-def leaders(metrics: DataFrame, n: int = 3) -> DataFrame:
-    """The n best of each sector."""
-    w = Window.partitionBy("sector_type", "sector_label").orderBy(F.desc("leader_score"), "symbol")
-    return metrics.withColumn("leader_rank", F.row_number().over(w)).where(F.col("leader_rank") <= n)
-
-
-def swings(index: DataFrame, shortest: int = 5, longest: int = 60, rise: float = 0.08) -> DataFrame:
-    """For each start the best end within shortest..longest bars that rises enough."""
-    path = F.collect_list(F.struct("sector_index", "trade_date")).over(by_sector().rowsBetween(shortest, longest))
-    best = F.expr("array_max(transform(path, p -> struct(p.sector_index as v, -datediff(p.trade_date, date'1970-01-01') as d, p.trade_date as end_date)))")
-    df = index.withColumn("path", path).withColumn("best", best).withColumn("swing_return", F.try_divide("best.v", "sector_index") - 1)
-    return df.where(F.col("swing_return") >= rise).select("sector_label", F.col("trade_date").alias("start_date"), F.col("best.end_date").alias("end_date"), "swing_return")

@@ -1,3 +1,3 @@
-from . import catalog, screens  # screens registers its queries in the catalog
+from . import catalog, lists, screens  # lists and screens register their queries in the catalog
 
-__all__ = ["catalog", "screens"]
+__all__ = ["catalog", "lists", "screens"]

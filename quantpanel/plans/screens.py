@@ -13,11 +13,11 @@ from quantpanel.sources import bars as src
 
 from .catalog import _PANEL, _S, _SCORED, _SECTOR, _avg, _scored, query
 
-_I = f"i0 AS (SELECT *, {_avg('close', 20)} AS ma_20, {_avg('close', 60)} AS ma_60, {_avg('volume', 5)} AS v5, {_avg('volume', 20)} AS v20, row_number() OVER ({_S}) AS idx, count(*) OVER (PARTITION BY symbol) AS n_bars FROM bars),"
-_TOP = f"""{_I} v0 AS (SELECT *, count(*) OVER ({_S} ROWS BETWEEN 40 PRECEDING AND 40 FOLLOWING) = 81 AND high >= max(high) OVER ({_S} ROWS BETWEEN 40 PRECEDING AND 40 FOLLOWING) AS peak, min(low) OVER ({_S} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS la, bool_or(low < ma_60) OVER ({_S} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS broke,
+_I = f"i0 AS MATERIALIZED (SELECT *, {_avg('close', 20)} AS ma_20, {_avg('close', 60)} AS ma_60, {_avg('volume', 5)} AS v5, {_avg('volume', 20)} AS v20, row_number() OVER ({_S}) AS idx, count(*) OVER (PARTITION BY symbol) AS n_bars FROM bars),"
+_TOP = f"""{_I} v0 AS MATERIALIZED (SELECT *, count(*) OVER ({_S} ROWS BETWEEN 40 PRECEDING AND 40 FOLLOWING) = 81 AND high >= max(high) OVER ({_S} ROWS BETWEEN 40 PRECEDING AND 40 FOLLOWING) AS peak, min(low) OVER ({_S} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS la, bool_or(low < ma_60) OVER ({_S} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS broke,
 close > open AND high > low AND (close - low) / (high - low) >= 0.6 AND (high - greatest(open, close)) / (high - low) <= 0.35 AND abs(close - open) / (high - low) >= 0.25 AND count(*) OVER ({_S} ROWS BETWEEN 90 PRECEDING AND 1 PRECEDING) = 90 AND volume > max(volume) OVER ({_S} ROWS BETWEEN 90 PRECEDING AND 1 PRECEDING) AS launch FROM i0),
-old AS (SELECT symbol, idx AS i0, trade_date AS old_high_date, high AS old_high, (high - la) / high AS max_drawdown, n_bars - idx AS days_since_old_high FROM v0 WHERE peak AND broke AND n_bars > 90 AND idx <= n_bars - 60 AND (high - la) / high >= 0.1),
-fb AS (SELECT o.symbol, o.i0, min(b.idx) AS higher, min(CASE WHEN launch THEN b.idx END) AS breakout FROM old o JOIN v0 b ON o.symbol = b.symbol AND b.idx > o.i0 AND b.high > o.old_high GROUP BY 1, 2),
+old AS MATERIALIZED (SELECT symbol, idx AS i0, trade_date AS old_high_date, high AS old_high, (high - la) / high AS max_drawdown, n_bars - idx AS days_since_old_high FROM v0 WHERE peak AND broke AND n_bars > 90 AND idx <= n_bars - 60 AND (high - la) / high >= 0.1),
+fb AS MATERIALIZED (SELECT o.symbol, o.i0, min(b.idx) AS higher, min(CASE WHEN launch THEN b.idx END) AS breakout FROM old o JOIN (SELECT symbol, idx, high, launch FROM v0) b ON o.symbol = b.symbol AND b.idx > o.i0 AND b.high > o.old_high GROUP BY 1, 2),
 ev AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY i0 DESC) AS k FROM old LEFT JOIN fb USING (symbol, i0) WHERE higher IS NULL OR higher = breakout),"""
 
 
@@ -27,10 +27,24 @@ def volume_top(spark, sf_dir):
     return pt.volume_top(src.bars_of(spark, sf_dir)).select("symbol", "old_high_date", "old_high", "max_drawdown", "days_since_old_high", "breakout_date")
 
 
-@query()
+@query(f"""{_TOP} e0 AS (SELECT * FROM ev WHERE k = 1), e1 AS (SELECT e.symbol, b.idx, b.trade_date, b.close, b.high, b.volume, b.ma_20, b.v5, b.v20, e.old_high_date, e.old_high, e.breakout, b.n_bars, first_value(b.close) OVER (PARTITION BY b.symbol ORDER BY b.idx) AS c0, b.close >= b.ma_20 * 0.98 AS ok FROM e0 e JOIN i0 b ON b.symbol = e.symbol AND b.idx >= coalesce(e.breakout, b.n_bars)),
+e2 AS (SELECT symbol, old_high_date, any_value(old_high) AS old_high, any_value(breakout) AS breakout, max(trade_date) AS trade_date, arg_max(close, idx) AS close, arg_max(volume, idx) AS volume, arg_max(ma_20, idx) AS ma_20, arg_max(v5, idx) AS v5, arg_max(v20, idx) AS v20, max(idx) - min(idx) AS days, max(high) / any_value(c0) - 1 AS ext, bool_and(ok) AS held FROM e1 GROUP BY 1, 2),
+--- SELECT *, CASE WHEN breakout IS NULL AND (old_high - close) / old_high BETWEEN 0 AND 0.05 AND volume / v20 <= 1.5 THEN 'pre_breakout' WHEN breakout IS NOT NULL AND days BETWEEN 1 AND 10 AND ext <= 0.1 AND held AND close > old_high THEN 'breakout' WHEN breakout IS NOT NULL AND days BETWEEN 1 AND 10 AND ext <= 0.1 AND held AND close < old_high AND close >= ma_20 * 0.98 AND volume < v5 THEN 'follow_through' END AS state FROM e2""", "close", "symbol old_high_date trade_date state")
 def volume_top_states(spark, sf_dir):
     """Patterns before, at and after the breakout (PT1-PT3)."""
-    return pt.volume_top_states(src.bars_of(spark, sf_dir))
+    return pt.volume_top_states(src.bars_of(spark, sf_dir)).select("symbol", "old_high_date", "trade_date", "state", "close")
+
+
+@query()
+def pattern_report(spark, sf_dir):
+    """All patterns of the last bars (PT0, PT4, PT6-PT8); the least mean amount fits the supplied volumes."""
+    return pt.pattern_report(src.bars_of(spark, sf_dir), least_amount=100.0)
+
+
+@query(f"{_I} a0 AS (SELECT *, close / lag(close, 4) OVER ({_S}) - 1 AS rise, {_avg('amount', 20)} AS am FROM i0), --- SELECT symbol FROM a0 WHERE idx > n_bars - 196 GROUP BY symbol HAVING max(n_bars) >= 200 AND max(CASE WHEN idx = n_bars THEN am END) >= 100 AND max(rise) >= 0.1", "", "symbol")
+def pattern_eligible(spark, sf_dir):
+    """Symbols that the patterns look at (PT0, PT0b, PT0c)."""
+    return pt.eligible(src.bars_of(spark, sf_dir), least_amount=100.0)
 
 
 _RISE = " AND ".join(f"lag({c}, {n}) OVER ({_S}) > 0 AND {c} > lag({c}, {n}) OVER ({_S})" for c in ("ma_20", "ma_60") for n in (1, 10))

@@ -17,15 +17,72 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def read_bars(spark: SparkSession, path: str, symbols: list[str] | None = None) -> DataFrame:
-    """Scan of stored bars; a symbol predicate reaches the files, unreadable files are skipped."""
-    df = spark.read.schema(BARS).option("ignoreCorruptFiles", "true").parquet(path)
+    """Scan of stored bars; a symbol predicate reaches the files, an unreadable file fails the scan."""
+    df = spark.read.schema(BARS).option("ignoreCorruptFiles", "false").parquet(path)
     return df.where(F.col("symbol").isin(symbols)) if symbols else df
 
 
-def write_bars(bars: DataFrame, path: str) -> None:
-    """Bars by month; a month that is written again replaces itself only."""
+def scan_state(universe: DataFrame, bars: DataFrame) -> DataFrame:
+    """(symbol, n_bars, state) of each symbol asked for: missing where no bars are stored, else stored."""
+    n = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_bars"))
+    df = universe.select("symbol").distinct().join(n, "symbol", "left").withColumn("n_bars", F.coalesce("n_bars", F.lit(0)))
+    return df.withColumn("state", F.when(F.col("n_bars") > 0, "stored").otherwise("missing"))
+
+
+def history(bars: DataFrame, as_of, days: int) -> DataFrame:
+    """The last `days` bars of each symbol up to a date, with return_pct from the vendor or the closes."""
+    df = bars.where(F.col("trade_date") <= F.lit(as_of).cast("date")).select("symbol", "trade_date", "close", "amount", "pct_change")
+    df = df.withColumn("return_pct", F.coalesce("pct_change", (F.try_divide("close", F.lag("close").over(by_symbol())) - 1) * 100))
+    newest = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("trade_date")))
+    return df.withColumn("_n", newest).where(F.col("_n") <= days).drop("_n", "pct_change")
+
+
+def write_bars(bars: DataFrame, path: str, parts: int = 8) -> None:
+    """Bars by month, a month in `parts` files; a month that is written again replaces itself only."""
     monthly = bars.withColumn("month", F.date_format("trade_date", "yyyy-MM"))
-    monthly.repartition("month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+    dealt = monthly.repartition("month", F.pmod(F.hash("symbol"), F.lit(parts)))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """A report as CSV with a header."""
+    df.write.mode("overwrite").option("header", "true").csv(path)
+
+
+def read_report(spark: SparkSession, path: str, schema: str, aliases: dict[str, str], key: str = "symbol") -> DataFrame:
+    """A stored report under its own column names, the first row of each key."""
+    raw = spark.read.option("header", "true").csv(path)
+    df = raw.withColumnsRenamed({a: c for a, c in aliases.items() if a in raw.columns})
+    df = df.select(*[F.expr(f"try_cast(`{n.split()[0]}` as {n.split()[1]})").alias(n.split()[0]) for n in (x.strip() for x in schema.split(","))])
+    order = F.row_number().over(Window.partitionBy(key).orderBy(*[F.col(c).asc_nulls_last() for c in df.columns if c != key]))
+    return df.withColumn("_n", order).where("_n = 1").drop("_n")
+
+
+def newest_reports(reports: DataFrame, as_of, n: int) -> DataFrame:
+    """Rows of the n newest report dates up to a date."""
+    df = reports.where(F.col("trade_date") <= F.lit(as_of).cast("date"))
+    days = df.select("trade_date").distinct().orderBy(F.desc("trade_date")).limit(n)
+    return df.join(F.broadcast(days), "trade_date", "left_semi")  # n rows
+
+
+def refresh(fresh: DataFrame, cached: DataFrame) -> DataFrame:
+    """The new universe, or the stored one where the new is empty."""
+    return cached if fresh.isEmpty() else fresh
+
+
+def first_names(*sources: DataFrame) -> DataFrame:
+    """(symbol, name) with the name of the first source that has one."""
+    both = None
+    for k, df in enumerate(sources):
+        part = df.where("name is not null and name <> ''").select("symbol", "name", F.lit(k).alias("_k"))
+        both = part if both is None else both.unionByName(part)
+    return both.groupBy("symbol").agg(F.min(F.struct("_k", "name")).alias("n")).select("symbol", "n.name")
+
+
+def replace_date(stored: DataFrame, current: DataFrame, score: str = "score") -> DataFrame:
+    """A rolling report with the rows of current's dates replaced, newest date and largest score first."""
+    days = current.select("trade_date").distinct()
+    return stored.join(F.broadcast(days), "trade_date", "left_anti").unionByName(current).orderBy(F.desc("trade_date"), F.desc(score), "symbol")  # a date or a few
 
 
 def derive_bars(lineitem: DataFrame, k: float = 0.1) -> DataFrame:
@@ -35,7 +92,8 @@ def derive_bars(lineitem: DataFrame, k: float = 0.1) -> DataFrame:
     r = k * (F.col("e") / F.avg("e").over(Window.partitionBy("symbol")) - 1)
     close = F.round(10 * F.exp(F.sum(F.log1p("r")).over(by_symbol())), 4)
     df = day.withColumn("r", r).withColumn("close", close).withColumn("open", F.coalesce(F.lag("close").over(by_symbol()), "close"))
-    high, low = F.greatest("open", "close") * (1 + F.col("tx") / 4), F.least("open", "close") * (1 - F.col("ds") / 4)
+    # a tenth of a millionth keeps products of four digits and quarters of percents off the edges of rounding
+    high, low = F.round(F.greatest("open", "close") * (1 + F.col("tx") / 4) + 1e-7, 4), F.round(F.least("open", "close") * (1 - F.col("ds") / 4) + 1e-7, 4)
     return df.select("symbol", "trade_date", "open", "close", high.alias("high"), low.alias("low"), "volume", (F.col("volume") * F.col("close")).alias("amount"), (100 * F.col("r")).alias("pct_change"))
 
 
@@ -91,6 +149,15 @@ def classify_board(instruments: DataFrame) -> DataFrame:
     return df.where("board is not null and not is_st")
 
 
+def normalise_quotes(raw: DataFrame) -> DataFrame:
+    """Quotes with the date of quote_datetime, else quote_date, else today; numbers by try_cast; provisional."""
+    num = [c for c in ("open", "close", "high", "low", "pre_close", "volume", "amount") if c in raw.columns]
+    at = F.expr("try_to_timestamp(cast(quote_datetime as string))")
+    df = raw.withColumns({c: F.expr(f"try_cast(`{c}` as double)") for c in num}).withColumn("quote_datetime", at).withColumn("symbol", normalise_symbol(F.col("symbol")))
+    day = F.coalesce(F.to_date("quote_datetime"), F.expr("try_cast(quote_date as date)"), F.current_date())
+    return df.withColumns({"trade_date": day, "is_provisional": F.lit(True)}).where("symbol is not null")
+
+
 def parse_quote_lines(lines: DataFrame) -> DataFrame:
     """Columns of raw feed lines `var hq_str_xx000000="name,open,..."` in `value`."""
     f = F.split(F.regexp_extract("value", '"([^"]*)"', 1), ",")
