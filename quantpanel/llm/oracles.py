@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licences import LEAST, TEMPLATES
+from .licences import KNOWN, LEAST, MARKS, TEMPLATES
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
@@ -51,11 +51,15 @@ def _licence_words(text: str) -> str:
 
 
 _NOTICES = ", ".join("('" + n + "', '" + t.replace("'", "''") + "')" for n, t in TEMPLATES.items())
+_LIKE = f"10 * len(list_filter({{0}}, lambda x: list_contains(vocabulary, x))) >= {KNOWN} * len({{0}})"
 _OP5 = f"""WITH t AS (SELECT licence, {_licence_words('notice')} AS ws FROM (VALUES {_NOTICES}) v(licence, notice)),
 tg AS (SELECT DISTINCT licence, ws[i] || ' ' || ws[i + 1] AS g FROM (SELECT licence, ws, unnest(range(1, len(ws))) AS i FROM t)),
 tn AS (SELECT licence, count(*) AS m FROM tg GROUP BY 1),
-l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
-u AS (SELECT doc_id, row_number() OVER () AS unit, {_licence_words('u')} AS ws FROM (SELECT doc_id, unnest(CASE WHEN len(ls) > 1 THEN list_append(ls, text) ELSE ls END) AS u FROM l)),
+vo AS (SELECT list(DISTINCT w) AS vocabulary FROM (SELECT unnest(ws) AS w FROM t)),
+sg AS (SELECT doc_id, i, s, {_licence_words('s')} AS ws FROM (SELECT doc_id, unnest(ss) AS s, unnest(range(1, len(ss) + 1)) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '([.;:])[ \\t]+', '\\1' || chr(10), 'g'), chr(10)) AS ss FROM documents WHERE regexp_matches(text, '(?i){MARKS}')))),
+re AS (SELECT doc_id, unnest(string_split(string_agg(CASE WHEN {_LIKE.format('ws')} THEN s ELSE chr(1) END, chr(10) ORDER BY i), chr(1))) AS u FROM sg, vo GROUP BY doc_id),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS u FROM documents UNION ALL SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, u FROM re),
+u AS (SELECT doc_id, ws, row_number() OVER () AS unit FROM (SELECT DISTINCT doc_id, {_licence_words('u')} AS ws FROM l), vo WHERE {_LIKE.format('ws')}),
 ug AS (SELECT DISTINCT doc_id, unit, ws[i] || ' ' || ws[i + 1] AS g FROM (SELECT doc_id, unit, ws, unnest(range(1, len(ws))) AS i FROM u)),
 un AS (SELECT doc_id, unit, count(*) AS n FROM ug GROUP BY 1, 2),
 d AS (SELECT doc_id, unit, licence, 2.0::DOUBLE * k / (n + m) AS dice FROM (SELECT doc_id, unit, licence, count(*) AS k FROM ug JOIN tg USING (g) GROUP BY 1, 2, 3) JOIN un USING (doc_id, unit) JOIN tn USING (licence)),
