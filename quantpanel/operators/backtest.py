@@ -138,3 +138,102 @@ def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, sinc
     both = a.withColumn("_left", F.lit(True)).unionByName(b.withColumn("_left", F.lit(False)))
     both = both.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_left")
     return both.select(*left.columns, *[F.col(f"_v.{c}").alias(c) for c in value])
+
+
+def barrier_trades(paths: DataFrame, horizon: int, stop: float = 0.08, take: float = 0.15, keys: tuple[str, ...] = ("symbol", "signal_date")) -> DataFrame:
+    """Trades that leave at the first low at the stop or high at the take, the stop on both, else at the last close.
+
+    Unlike the exit rules, an open beyond a level still leaves at the level.
+    """
+    day = F.struct("day_offset", "trade_date", "low", "high", "close")
+    one = paths.where(F.col("day_offset") <= horizon).groupBy(*keys).agg(F.sort_array(F.collect_list(day)).alias("p"), F.min_by("open", "day_offset").alias("entry_price"))
+    df = one.where(f"size(p) = {horizon} and entry_price > 0").withColumns({"s": F.col("entry_price") * (1 - stop), "t": F.col("entry_price") * (1 + take)})
+    df = df.withColumn("hit", F.expr("try_element_at(filter(p, x -> x.low <= s or x.high >= t), 1)")).withColumn("last", F.expr("element_at(p, -1)"))
+    reason = F.when(F.col("hit").isNull(), "timeout").when((F.col("hit.low") <= F.col("s")) & (F.col("hit.high") >= F.col("t")), "stop_loss_first").when(F.col("hit.low") <= F.col("s"), "stop_loss").otherwise("take_profit")
+    price = F.when(reason == "timeout", F.col("last.close")).when(reason == "take_profit", F.col("t")).otherwise(F.col("s"))
+    gain = lambda c: F.try_divide(c, F.col("entry_price")) - 1
+    return df.select(*keys, F.lit(horizon).alias("horizon"), "entry_price", F.coalesce("hit.trade_date", "last.trade_date").alias("exit_date"), reason.alias("exit_reason"), price.alias("exit_price"), F.coalesce("hit.day_offset", F.lit(horizon)).alias("holding_days"), gain(F.col("last.close")).alias("raw_return"), gain(price).alias("barrier_return"), gain(F.array_min("p.low")).alias("max_drawdown"), gain(F.array_max("p.high")).alias("max_profit"))
+
+
+def daily_portfolio(trades: DataFrame, by: list[str]) -> DataFrame:
+    """Means of the trades of each signal date."""
+    hit = lambda p: F.avg(F.col("exit_reason").startswith(p).cast("double"))
+    return trades.groupBy(*by).agg(F.count(F.lit(1)).alias("trade_count"), *[F.avg(c).alias(c) for c in ("raw_return", "barrier_return", "max_drawdown")], hit("stop_loss").alias("stop_loss_rate"), hit("take_profit").alias("take_profit_rate"))
+
+
+# Order of the patterns by their number.
+PRIORITY = {1: 5.0, 2: 2.0, 3: 3.0, 4: 1.0, 5: 6.0, 6: 4.0}
+
+
+def base_frame(universe: DataFrame, scores: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Universe of a day with scores, patterns, their priority and the seeded order.
+
+    scores: one row a symbol and date with phase1_excluded, phase2_excluded, the 0-100 scores and phase4_return.
+    """
+    weight = F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv])
+    hits = patterns.groupBy("symbol").agg(F.array_join(F.sort_array(F.collect_set(F.col("pattern_id").cast("string"))), ",").alias("pattern_ids"), F.max(weight[F.col("pattern_id")]).alias("pattern_priority"))
+    df = universe.join(scores, "symbol", "left").join(hits, "symbol", "left")
+    seed = F.md5(F.concat(F.date_format("trade_date", "yyyy-MM-dd"), F.lit(":"), F.col("symbol")).cast("binary"))
+    mixed = F.round(F.col("phase4_score_100") + 0.2 * F.col("phase1_score_100") + 0.2 * F.col("phase2_score_100"), 4)
+    return df.withColumns({"pattern_match": F.col("pattern_ids").isNotNull(), "mixed_score": mixed, "seed": seed, "phase1_pass": ~F.coalesce("phase1_excluded", F.lit(True)), "phase2_pass": ~F.coalesce("phase2_excluded", F.lit(True))})
+
+
+def component_strategies(base: DataFrame, n: int = 20, phase4_n: int = 20, permission: str = "allow") -> DataFrame:
+    """The picks of each component strategy: a filter, an order and the first n (B4, B10). All are ranked in one pass each.
+
+    phase1_phase2_phase4_all90 keeps all that pass. The gate closes its strategies on a day without permission.
+    """
+    one, two, hit, open_ = F.col("phase1_pass"), F.col("phase2_pass"), F.col("pattern_match"), F.lit(permission == "allow")
+    seed, p4, mixed, pattern = [F.asc("seed")], [F.col("phase4_return").desc_nulls_last()], [F.col("mixed_score").desc_nulls_last(), F.col("phase4_score_100").desc_nulls_last()], [F.col("pattern_priority").desc_nulls_last()]
+    high = (F.col("phase1_score_100") >= 90) & (F.col("phase2_score_100") >= 90) & (F.col("phase4_score_100") >= 90)
+    inside = one & two
+    base = base.withColumn("_m", F.when(inside, F.row_number().over(Window.partitionBy("trade_date", inside).orderBy(*mixed, "symbol"))))
+    now = inside & (hit | (F.col("_m") <= phase4_n))
+    listed = [F.when(hit, 0).otherwise(1).asc(), *mixed]
+    rules = [
+        ("full_market_random", F.lit(True), seed), ("phase1_filter_only", one, seed), ("phase2_filter_only", two, seed), ("phase4_top", F.lit(True), p4), ("phase1_phase2_phase4_mixed_top20", F.col("mixed_score").isNotNull(), mixed), ("phase1_phase2_phase4_all90", high, mixed),
+        ("phase5_group_only", F.col("phase5_score_100").isNotNull(), [F.desc("phase5_score_100")]), ("phase7_gate_only", open_, seed), ("phase1_filter_phase4_top", one, p4), ("phase2_filter_phase4_top", two, p4), ("phase1_phase2_filter_phase4_top", inside, p4), ("patterns_only", hit, pattern),
+        ("patterns_phase1_phase2_filter", hit & inside, pattern), ("patterns_phase4_sort", hit, [*p4, *pattern]), ("current_watchlist_without_phase7", now, listed), ("current_watchlist_with_phase7", now & open_, listed),
+    ]
+    ranks = {}
+    for name, keep, order in rules:
+        kept = F.coalesce(keep, F.lit(False))
+        rank = F.when(kept, F.row_number().over(Window.partitionBy("trade_date", kept).orderBy(*order, "symbol")))
+        ranks[name] = rank if name.endswith("all90") else F.when(rank <= n, rank)
+    df = base.withColumns({f"_{k}": c for k, c in ranks.items()})
+    long = df.select(F.col("trade_date").alias("signal_date"), "symbol", F.explode(F.array(*[F.struct(F.lit(k).alias("strategy"), F.col(f"_{k}").alias("selected_rank")) for k in ranks])).alias("x"))
+    return long.where("x.selected_rank is not null").select("x.strategy", "signal_date", "symbol", "x.selected_rank")
+
+
+def compare_strategies(daily: DataFrame, base: str = "full_market_random", column: str = "barrier_return") -> DataFrame:
+    """Means, win rate and tail of each strategy beside those of the random one."""
+    agg = daily.groupBy("strategy").agg(F.count(F.lit(1)).alias("n_days"), F.avg(column).alias("mean_return"), F.avg((F.col(column) > 0).cast("double")).alias("win_rate"), F.percentile(column, 0.05).alias("q05"))
+    other = agg.where(F.col("strategy") == base).select(F.col("mean_return").alias("base_return"))
+    return agg.join(F.broadcast(other), how="left").withColumn("excess", F.col("mean_return") - F.col("base_return"))  # one row
+
+
+# Risk of the account, largest position, weights of the entries, multiples of the range and of R.
+RISK, POSITION, ENTRIES, RANGE, TAKES_R = 0.02, 0.40, (0.30, 0.30, 0.20, 0.20), 2.0, (1.5, 2.5)
+
+
+def staged_levels(paths: DataFrame, ranges: DataFrame, horizon: int) -> DataFrame:
+    """Entries, takes and stop of a staged position and the first day that meets each.
+
+    paths as forward_paths gives them; ranges: (symbol, signal_date, atr_pct). R is twice the range, at most the share of
+    the position that the account's risk allows.
+    """
+    cap = RISK / (POSITION * (ENTRIES[0] + ENTRIES[1] / 2))
+    df = paths.where(F.col("day_offset") <= horizon).join(ranges.where("atr_pct > 0"), ["symbol", "signal_date"]).withColumn("r_pct", F.least(RANGE * F.col("atr_pct"), F.lit(cap)))
+    e = F.col("entry_open")
+    levels = {"stop": e * (1 - F.col("r_pct")), "add2": e * (1 - F.col("r_pct") / 2), "add3": e * (1 + F.col("r_pct")), "add4": e * (1 + 2 * F.col("r_pct")), "take1": e * (1 + TAKES_R[0] * F.col("r_pct")), "take2": e * (1 + TAKES_R[1] * F.col("r_pct"))}
+    df = df.withColumns(levels)
+    met = lambda c: F.min(F.when((F.col("low") <= F.col(c)) if c in ("stop", "add2") else (F.col("high") >= F.col(c)), F.col("day_offset"))).alias(f"{c}_day")
+    return df.groupBy("symbol", "signal_date").agg(F.max("entry_open").alias("entry_open"), F.max("r_pct").alias("r_pct"), *[F.max(c).alias(c) for c in levels], *[met(c) for c in levels])
+
+
+def stability(df: DataFrame, value: str) -> DataFrame:
+    """Rolling mean less half the rolling deviation, and its decile of the day (B15, B16). df as rolling_score gives it."""
+    from .scores import decile
+
+    df = df.withColumn("stability_score", F.col(f"{value}_mean") - 0.5 * F.col(f"{value}_std")).where("stability_score is not null")
+    return df.withColumn("stability_decile", decile("stability_score", ["trade_date"], "c"))

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quantpanel.functions import scalars as fn
 from quantpanel.operators import backtest as bt
 from quantpanel.operators import gates as gt
 from quantpanel.operators import indicators as ind
 from quantpanel.operators import labels as lab
 from quantpanel.operators import leaders as ld
 from quantpanel.operators import market as mk
+from quantpanel.operators import models as md
+from quantpanel.operators import phase9 as p9
 from quantpanel.operators import pullback as pb
 from quantpanel.operators import quality as ql
 from quantpanel.operators import routes as rt
@@ -284,7 +287,7 @@ def concern_table(spark, sf_dir):
 
 def _routes(spark, sf_dir):
     members = _leader_scores(spark, sf_dir).select("symbol", *rt.KEY, F.col("combined_score").alias("leader_score"))
-    return _sectors(spark, sf_dir), members, _stocks(spark, sf_dir)[-1]
+    return tuple(df.persist() for df in (_sectors(spark, sf_dir), members, _stocks(spark, sf_dir)[-1]))  # a row a sector or symbol, read several times
 
 
 @query()
@@ -311,5 +314,162 @@ def intraday_pool(spark, sf_dir):
 @query()
 def watchlist_payloads(spark, sf_dir):
     """Routes as nested lists and JSON, read back in order."""
-    payloads = rt.candidate_structs(rt.all_routes(*_routes(spark, sf_dir)))
-    return rt.listed_symbols(payloads).join(payloads.select("route", "candidate_count"), "route")
+    return rt.listed_symbols(rt.candidate_structs(rt.all_routes(*_routes(spark, sf_dir))))
+
+
+# -- buy model of sectors ----------------------------------------------------------------------------------------------
+
+_P9 = f"""{_BACK} q0 AS (SELECT *, {', '.join(f'(v / lag(v, {n}) OVER ({_P}) - 1) * 100 AS r{n}, (v / lag(v, {n}) OVER ({_P}) - b / lag(b, {n}) OVER ({_P})) * 100 AS e{n}' for n in (5, 20, 252, 504))}, {_pm('v', 120)} AS m120, CASE WHEN pos >= 60 THEN (v / max(v) OVER ({_P} ROWS 251 PRECEDING) - 1) * 100 END AS dd252, CASE WHEN pos >= 60 THEN pos - (arg_max(pos, (v, -pos)) OVER ({_P} ROWS 251 PRECEDING)) END AS since252, ({_pm('ret', 5, 'stddev_samp')}) / nullif({_pm('ret', 20, 'stddev_samp')}, 0) AS vr, (b / lag(b) OVER ({_P}) - 1) * 100 AS b1, lead(v, 20) OVER ({_P}) / v - 1 AS fr, max(v) OVER ({_P} ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING) / v - 1 AS fx FROM g2),
+q1 AS (SELECT *, CASE WHEN pos >= 120 THEN avg(coalesce(ret > b1 + 0.000000001::DOUBLE, false)::INT) OVER ({_P} ROWS 251 PRECEDING) END AS op252, (m60 / lag(m60, 5) OVER ({_P}) - 1) * 100 AS s60, (m120 / lag(m120, 5) OVER ({_P}) - 1) * 100 AS s120, (v / m60 - 1) * 100 AS d60, (v / m120 - 1) * 100 AS d120 FROM q0),"""
+
+
+def _lin(c: str, lo: float, hi: float) -> str:
+    return f"coalesce(greatest(0, least(100, ({c} - ({lo})) / ({hi - lo})::DOUBLE * 100)), 50)"
+
+
+_LONG9 = f"""0.25::DOUBLE * {_lin('e504', -10, 60)} + 0.2::DOUBLE * {_lin('e252', -5, 40)} + 0.2::DOUBLE * {_lin('op252', 0.45, 0.6)} + 0.2::DOUBLE * (0.35::DOUBLE * {_lin('s60', -2, 2)} + 0.35::DOUBLE * {_lin('s120', -3, 3)} + 0.15::DOUBLE * {_lin('d60', -8, 8)} + 0.15::DOUBLE * {_lin('d120', -12, 12)})
++ 0.15::DOUBLE * (0.7::DOUBLE * CASE WHEN dd252 IS NULL THEN 50 WHEN dd252 >= -8 THEN 100 WHEN dd252 >= -20 THEN 60 + (dd252 + 20) / 12 * 40 WHEN dd252 >= -35 THEN 25 + (dd252 + 35) / 15 * 35 ELSE 15 END + 0.3::DOUBLE * CASE WHEN vr IS NULL THEN 50 WHEN vr <= 0.9 THEN 100 WHEN vr <= 1.3 THEN 100 - (vr - 0.9) / 0.4 * 45 WHEN vr <= 1.8 THEN 55 - (vr - 1.3) / 0.5 * 30 ELSE 15 END)"""
+
+
+@query(f"{_P9} --- SELECT sector_label, trade_date, r5 AS return_5d, e20 AS excess_return_20d, dd252 AS drawdown_from_peak_252d_pct, since252 AS days_since_peak_252d, op252 AS outperform_ratio_252d, fr AS future_return_20d_close, fx AS future_max_return_20d, CASE WHEN fr IS NOT NULL THEN (fr >= 0.05)::INT END AS phase9_label, {_LONG9} AS long_mainline_score FROM q1", "return_5d excess_return_20d drawdown_from_peak_252d_pct days_since_peak_252d outperform_ratio_252d future_return_20d_close future_max_return_20d long_mainline_score", "sector_label trade_date phase9_label")
+def sector_panel(spark, sf_dir):
+    """Features, label and long score of each sector and day."""
+    df = p9.sector_panel(src.bars_of(spark, sf_dir), src.membership_of(spark, sf_dir))
+    return df.select("sector_label", "trade_date", "phase9_label", "return_5d", "excess_return_20d", "drawdown_from_peak_252d_pct", "days_since_peak_252d", "outperform_ratio_252d", "future_return_20d_close", "future_max_return_20d", "long_mainline_score")
+
+
+@query(f"{_P9} kk AS (SELECT sector_label, trade_date, {_LONG9} AS s FROM q1), kl AS (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY s DESC, sector_label)::DOUBLE / count(*) OVER (PARTITION BY trade_date) AS p FROM kk), --- SELECT sector_label, trade_date, s AS long_mainline_score FROM kl WHERE s >= 70 OR p <= 0.2", "long_mainline_score", "sector_label trade_date")
+def mainline_rows(spark, sf_dir):
+    """Rows of sectors in a long main line."""
+    return p9.keep_mainline(p9.sector_panel(src.bars_of(spark, sf_dir), src.membership_of(spark, sf_dir))).select("sector_label", "trade_date", "long_mainline_score")
+
+
+# -- models ------------------------------------------------------------------------------------------------------------
+
+_FEATURES = ["log_return", "return_5d", "vol_20", "range_pct"]
+
+
+def _risk_panel(spark, sf_dir):
+    bars = src.bars_of(spark, sf_dir)
+    features = lab.base_features(bars).select("symbol", "trade_date", *_FEATURES, "future_return_5d")
+    return lab.risk_panel(features, lab.tail_risk(bars).select("symbol", "trade_date", "risk_label"), ["risk_label"])
+
+
+def _walk(spark, sf_dir, name):
+    panel = _risk_panel(spark, sf_dir)
+    return md.walk_forward_scores(panel, gt.walk_forward(panel, 1000, 250, 500, 11), _FEATURES, "risk_label", name)
+
+
+@query()
+def walk_forward_report(spark, sf_dir):
+    """Windows of a logistic model of tail risk out of sample."""
+    return md.window_report(_walk(spark, sf_dir, "logistic"), "risk_label", "future_return_5d")
+
+
+@query()
+def target_comparison(spark, sf_dir):
+    """Scores of a tree and of the prior out of sample, compared."""
+    return md.compare_targets({n: _walk(spark, sf_dir, n) for n in ("tree", "prior")}, "risk_label", "future_return_5d")
+
+
+# -- strategies --------------------------------------------------------------------------------------------------------
+
+_ALL = "1998-06-30"
+
+
+def _base(spark, sf_dir):
+    """The base frame of one day, with the stand-in scores of the last bars up to it."""
+    bars = src.bars_of(spark, sf_dir)
+    df = ind.last_rows(lab.base_features(bars), _ALL).withColumns({"trade_date": F.lit(_ALL).cast("date"), "p1": F.col("vol_20"), "p2": -F.col("drawdown_60"), "p4": -F.col("return_5d")})
+    scores = rt.phase_risk(df, "p1", "phase1").join(rt.phase_risk(df, "p2", "phase2"), ["trade_date", "symbol"], "full").join(rt.phase_return(df, "p4"), ["trade_date", "symbol"], "full")
+    crash = rt.crash_score(lab.negative_outliers(lab.crash_measures(lab.firm_returns(lab.weekly_returns(bars)))), 1998)
+    hits = ind.last_rows(ind.add_moving(bars), _ALL).where("close > ma_20").select("symbol", (F.length("symbol") % 6 + 1).alias("pattern_id"))
+    return bt.base_frame(rt.stock_base(bars), scores.join(crash, "symbol", "left"), hits)
+
+
+@query()
+def component_picks(spark, sf_dir):
+    """Picks of the component strategies of a day."""
+    return bt.component_strategies(_base(spark, sf_dir))
+
+
+@query()
+def component_comparison(spark, sf_dir):
+    """The strategies' trades over ten days, by day and compared."""
+    bars = src.bars_of(spark, sf_dir)
+    picks = bt.component_strategies(_base(spark, sf_dir))
+    at = bars.where(F.col("trade_date") <= _ALL).groupBy("symbol").agg(F.max("trade_date").alias("at"))
+    signals = picks.join(at, "symbol").select("strategy", "symbol", F.col("at").alias("signal_date"))
+    paths = bt.forward_paths(bars, signals.select("symbol", "signal_date").distinct(), 10)
+    trades = signals.join(bt.barrier_trades(paths, 10), ["symbol", "signal_date"])
+    return bt.compare_strategies(bt.daily_portfolio(trades, ["strategy", "signal_date"]))
+
+
+_SIGNALS = f"y0 AS (SELECT *, row_number() OVER ({_S}) AS i, {_avg('volume', 20)} AS v20, CASE WHEN count(close) OVER ({_S} ROWS 19 PRECEDING) >= 20 THEN max(close) OVER ({_S} ROWS 19 PRECEDING) END AS t20 FROM bars), y1 AS (SELECT symbol, trade_date AS signal_date, i, (high - low) / close AS a FROM y0 WHERE close >= t20 AND volume / v20 > 2), y2 AS (SELECT y1.symbol, signal_date, a, y0.i - y1.i AS k, y0.*  EXCLUDE (symbol, i), first_value(y0.open) OVER (PARTITION BY y1.symbol, signal_date ORDER BY y0.i) AS entry, count(*) OVER (PARTITION BY y1.symbol, signal_date) AS n FROM y1 JOIN y0 ON y0.symbol = y1.symbol AND y0.i BETWEEN y1.i + 1 AND y1.i + 10),"
+
+
+def _signals(spark, sf_dir):
+    bars = src.bars_of(spark, sf_dir)
+    signals = ind.add_moving(bars).where("is_20d_high and volume_ratio_20 > 2").select("symbol", F.col("trade_date").alias("signal_date"), F.try_divide(F.col("high") - F.col("low"), F.col("close")).alias("atr_pct"))
+    return bt.forward_paths(bars, signals.drop("atr_pct"), 10), signals
+
+
+@query(f"{_SIGNALS} y3 AS (SELECT symbol, signal_date, any_value(entry) AS entry, min(CASE WHEN low <= entry * 0.92::DOUBLE THEN k END) AS d, min(CASE WHEN high >= entry * 1.15::DOUBLE THEN k END) AS u, arg_max(close, k) AS last, min(low) AS lo, max(high) AS hi FROM y2 WHERE n = 10 GROUP BY 1, 2), --- SELECT symbol, signal_date, CASE WHEN d IS NULL AND u IS NULL THEN 'timeout' WHEN u IS NULL OR d < u THEN 'stop_loss' WHEN d = u THEN 'stop_loss_first' ELSE 'take_profit' END AS exit_reason, coalesce(least(d, u), 10) AS holding_days, last / entry - 1 AS raw_return, CASE WHEN d IS NULL AND u IS NULL THEN last / entry - 1 WHEN u IS NULL OR d <= u THEN -0.08 ELSE 0.15 END AS barrier_return, lo / entry - 1 AS max_drawdown, hi / entry - 1 AS max_profit FROM y3", "raw_return barrier_return max_drawdown max_profit", "symbol signal_date exit_reason holding_days")
+def barrier_trades(spark, sf_dir):
+    """Trades by stop and take over ten days."""
+    paths, _ = _signals(spark, sf_dir)
+    return bt.barrier_trades(paths, 10).select("symbol", "signal_date", "exit_reason", "holding_days", "raw_return", "barrier_return", "max_drawdown", "max_profit")
+
+
+@query(f"{_SIGNALS} y3 AS (SELECT *, least(2 * a, 0.02::DOUBLE / (0.4::DOUBLE * 0.45::DOUBLE)) AS r FROM y2 WHERE n = 10 AND a > 0), --- SELECT symbol, signal_date, any_value(r) AS r_pct, any_value(entry * (1 - r)) AS stop, any_value(entry * (1 + 2.5::DOUBLE * r)) AS take2, min(CASE WHEN low <= entry * (1 - r) THEN k END) AS stop_day, min(CASE WHEN low <= entry * (1 - r / 2) THEN k END) AS add2_day, min(CASE WHEN high >= entry * (1 + r) THEN k END) AS add3_day, min(CASE WHEN high >= entry * (1 + 1.5::DOUBLE * r) THEN k END) AS take1_day FROM y3 GROUP BY 1, 2", "r_pct stop take2", "symbol signal_date stop_day add2_day add3_day take1_day")
+def staged_levels(spark, sf_dir):
+    """Levels of staged positions and when they are met."""
+    paths, signals = _signals(spark, sf_dir)
+    return bt.staged_levels(paths, signals, 10).select("symbol", "signal_date", "r_pct", "stop", "take2", "stop_day", "add2_day", "add3_day", "take1_day")
+
+
+@query(f"{_SCORED} ss AS (SELECT symbol, trade_date, outcome, CASE WHEN count(score) OVER ({_S} ROWS 4 PRECEDING) >= 3 THEN avg(score) OVER ({_S} ROWS 4 PRECEDING) - 0.5::DOUBLE * stddev_pop(score) OVER ({_S} ROWS 4 PRECEDING) END AS st FROM s1), su AS (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY round(st, 12), symbol)::DOUBLE AS k, count(*) OVER (PARTITION BY trade_date) AS n FROM ss WHERE st IS NOT NULL), --- SELECT CASE WHEN n < 10 THEN floor((k - 1) / n * 10) ELSE greatest(ceil((k - 1) * 10 / (n - 1)) - 1, 0) END::INT AS stability_decile, count(*) AS n_rows FROM su GROUP BY 1", "", "stability_decile n_rows")
+def stability_deciles(spark, sf_dir):
+    """Deciles of steady scores."""
+    df = bt.stability(sc.rolling_score(_scored(spark, sf_dir), "score"), "score")
+    return df.groupBy("stability_decile").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("cd AS (SELECT DISTINCT trade_date FROM bars), sp AS (SELECT symbol, min(trade_date) AS a, max(trade_date) AS b FROM bars GROUP BY 1), --- SELECT symbol, count(*) AS trading_days FROM sp JOIN cd ON trade_date BETWEEN a AND b GROUP BY 1", "", "symbol trading_days")
+def trading_days(spark, sf_dir):
+    """Market days within each symbol's span."""
+    bars = src.bars_of(spark, sf_dir)
+    spans = bars.groupBy("symbol").agg(F.min("trade_date").alias("start_date"), F.max("trade_date").alias("end_date"))
+    return fn.trading_days(spans, bars).select("symbol", "trading_days")
+
+
+@query(f"hp AS (SELECT symbol, close / lag(close, 10) OVER ({_S}) - 1 AS r, volume, lag(volume) OVER ({_S}) AS v1 FROM bars), --- SELECT symbol, avg(coalesce(r > 0, false)::INT) AS up_rate, quantile_cont(r, 0.5) AS median_return, avg((volume * 2 + coalesce(v1, 0)) / (2 + CASE WHEN v1 IS NULL THEN 0 ELSE 1 END)) AS mean_volume FROM hp GROUP BY 1", "up_rate median_return mean_volume", "symbol")
+def scalar_helpers(spark, sf_dir):
+    """Rates, medians, lookback returns and weighted means."""
+    w = Window.partitionBy("symbol").orderBy("trade_date")
+    df = src.bars_of(spark, sf_dir).withColumns({"r": fn.safe_return(F.col("close"), F.lag("close", 10).over(w)), "m": fn.weighted_mean([F.col("volume"), F.lag("volume").over(w)], [2.0, 1.0])})
+    return df.groupBy("symbol").agg(fn.rate(F.col("r") > 0).alias("up_rate"), fn.median("r").alias("median_return"), F.avg("m").alias("mean_volume"))
+
+
+# -- the day's quotes over sectors ------------------------------------------------------------------------------------------
+
+
+@query("qz AS (SELECT lpad(CAST(user_id % 100 + 1 AS VARCHAR), 6, '0') AS symbol, arg_max(value, (ts, event_id)) % 7 - 3 AS pct FROM events GROUP BY 1), qy AS (SELECT sector_type, sector_label, round(avg(pct), 4) AS leader_pct_change, count(pct) AS valid_leaders FROM members LEFT JOIN qz USING (symbol) GROUP BY 1, 2), --- SELECT *, CASE WHEN leader_pct_change IS NOT NULL THEN rank() OVER (ORDER BY leader_pct_change DESC NULLS LAST) END AS strength_rank FROM qy", "leader_pct_change", "sector_type sector_label valid_leaders strength_rank")
+def intraday_strength(spark, sf_dir):
+    """Strength of sectors by the quotes of their members."""
+    e = src.table(spark, sf_dir, "events").withColumn("user_id", F.col("user_id") % 100 + 1)
+    latest = qs.quotes_of(e).groupBy("symbol").agg(F.max_by("close", F.struct("quote_datetime", "event_id")).alias("close"))
+    snapshots = qs.snapshot(latest.withColumn("pct_change", F.col("close") % 7 - 3)).select("symbol", "intraday_pct_change")
+    members = src.membership_of(spark, sf_dir)
+    sectors = members.select("sector_type", "sector_label").distinct().withColumn("phase9_score_100", F.lit(50.0))
+    return qs.sector_strength(snapshots, members, sectors).select("sector_type", "sector_label", "leader_pct_change", "valid_leaders", "strength_rank")
+
+
+@query()
+def intraday_routes(spark, sf_dir):
+    """Routes of the day by the strength of sectors."""
+    stocks = _stocks(spark, sf_dir)[-1].join(src.membership_of(spark, sf_dir), "symbol").withColumn("intraday_pct_change", F.col("daily_return_pct"))
+    pool = qs.pool_source(stocks.where("public"), stocks)
+    sectors = _sectors(spark, sf_dir).select("sector_type", "sector_label", "phase9_score_100")
+    strength = qs.sector_strength(pool.select("symbol", "intraday_pct_change"), pool.select("sector_type", "sector_label", "symbol"), sectors)
+    return qs.intraday_routes(pool, strength).select("route", "route_rank", "symbol", "sector_label", "pool_score")

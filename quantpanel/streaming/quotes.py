@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -43,3 +43,48 @@ def overlay(history: DataFrame, provisional: DataFrame) -> DataFrame:
 def run_latest(events: DataFrame, sink, checkpoint: str):
     """Start the stream of latest quotes; sink(batch, id) gets what changed."""
     return latest_quotes(quotes_of(events)).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(availableNow=True).start()
+
+
+def snapshot(latest: DataFrame) -> DataFrame:
+    """Latest quotes with the percent change of the feed, else from the close before."""
+    have = lambda c: F.col(c) if c in latest.columns else F.lit(None).cast("double")
+    return latest.withColumn("intraday_pct_change", F.coalesce(have("pct_change"), (F.try_divide(F.col("close"), have("pre_close")) - 1) * 100))
+
+
+def sector_strength(snapshots: DataFrame, pool: DataFrame, sectors: DataFrame) -> DataFrame:
+    """Mean change of each sector's leaders, how many have a quote, and ranks of ties at the smallest.
+
+    snapshots: (symbol, intraday_pct_change), a batch of the stream or its latest table; pool: (sector_type, sector_label,
+    symbol), static. A row a sector.
+    """
+    key = ["sector_type", "sector_label"]
+    agg = pool.join(snapshots, "symbol", "left").groupBy(*key).agg(F.round(F.avg("intraday_pct_change"), 4).alias("leader_pct_change"), F.count("intraday_pct_change").alias("valid_leaders"), F.array_join(F.sort_array(F.collect_set("symbol")), "/").alias("leader_symbols"))
+    df = agg.join(sectors, key, "left").withColumn("_all", F.lit(1))
+    rank = lambda c: F.when(F.col(c).isNotNull(), F.rank().over(Window.partitionBy("_all").orderBy(F.col(c).desc_nulls_last())))
+    return df.withColumns({"strength_rank": rank("leader_pct_change"), "phase9_rank": rank("phase9_score_100")}).drop("_all")
+
+
+def intraday_routes(candidates: DataFrame, strength: DataFrame, n: int = 10) -> DataFrame:
+    """Candidates of the n strongest sectors of either rank, by the filters of the routes.
+
+    candidates: (symbol, sector_label, phase1_score_100, phase2_score_100, phase4_score_100, intraday_pct_change).
+    """
+    # Least risk scores of both routes and of the second, largest change of the day.
+    least, more, most = 20.0, 40.0, 9.9
+    df = candidates.join(strength.select("sector_label", "strength_rank", "phase9_rank", "phase9_score_100"), "sector_label")
+    public = (F.col("phase1_score_100") > least) & (F.col("phase2_score_100") > least) & F.coalesce(F.col("intraday_pct_change") <= most, F.lit(True))
+    df = df.where(public).withColumn("pool_score", F.round(F.col("phase4_score_100") + 0.2 * F.col("phase1_score_100") + 0.2 * F.col("phase2_score_100"), 4))
+    strong = df.where(F.col("strength_rank") <= n).withColumns({"route": F.lit("recent"), "_o": F.col("phase9_score_100")})
+    turn = df.where((F.col("phase9_rank") <= n) & (F.col("phase1_score_100") > more) & (F.col("phase2_score_100") > more)).withColumns({"route": F.lit("rotation"), "_o": F.col("pool_score")})
+    both = strong.unionByName(turn)
+    order = (F.col("_o").desc_nulls_last(), F.col("pool_score").desc_nulls_last(), F.asc("symbol"))
+    best = both.withColumn("_n", F.row_number().over(Window.partitionBy("route", "symbol").orderBy(*order, "sector_label"))).where("_n = 1")
+    return best.withColumn("route_rank", F.row_number().over(Window.partitionBy("route").orderBy(*order))).drop("_n", "_o")  # a pool of a day
+
+
+def pool_source(today: DataFrame, earlier: DataFrame) -> DataFrame:
+    """Today's full-market pool, else the newest earlier one."""
+    if not today.isEmpty():
+        return today
+    newest = earlier.agg(F.max("trade_date").alias("trade_date"))
+    return earlier.join(F.broadcast(newest), "trade_date", "left_semi")  # one row
