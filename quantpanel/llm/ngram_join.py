@@ -356,7 +356,7 @@ def jaccard_groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -
     buckets = min(1 << 14, max(width(spark), int(rows) // BUCKET_ROWS + 1))
     sent = map_rows(own, partial(_signed, q=q, bounds=bounds, plans=plans, buckets=buckets), _SENT)
     met = sent.groupBy("bucket").applyInPandas(_shared, "sig long, doc long")
-    met = store(met.distinct(), "met")
+    met = store(met, "met")  # rows may repeat, which only weighs them more
     wanted = store(met.select(F.col("doc").alias("key")).distinct(), "wanted")
     texts = store(join_ids(docs, wanted, "key", "left_semi").dropDuplicates(["key"]), "texts")  # rows of a key have one text
 

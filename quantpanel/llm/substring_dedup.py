@@ -207,7 +207,7 @@ def _exchange(docs: DataFrame, run: int, buckets: int, window: int | None, block
 def _cut(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for text, full, hits in zip(pdf["text"], pdf["full"], pdf["hits"], strict=True):
+        for text, full, hits in zip(pdf["text"], pdf["full"].fillna(0), pdf["hits"], strict=True):
             words = words_of(text)
             gone = np.zeros(len(words) + 1, dtype=np.int64)
             for lo, hi in [(0, len(words))] if full == 1 else _ranges(hits):

@@ -333,5 +333,5 @@ def lookup(manifest: DataFrame, keys: DataFrame) -> DataFrame:
     step = max(1, (hi - lo) // n + 1)
     cells = manifest.where("first_id is not null").select("shard", "uri", "first_id", "last_id", F.explode(F.expr(f"sequence((first_id - {lo}) div {step}, (last_id - {lo}) div {step})")).alias("cell"))
     asked = keys.select("doc_id").distinct().withColumn("cell", F.expr(f"(doc_id - {lo}) div {step}"))
-    met = asked.join(cells, "cell").where("doc_id between first_id and last_id").select("shard", "doc_id")
-    return manifest.select("shard", "uri").groupBy("shard").cogroup(met.groupBy("shard")).applyInPandas(_looked_up, "doc_id long, ids array<long>")
+    met = asked.join(cells, "cell").where("doc_id between first_id and last_id").select(F.col("shard").alias("at"), "doc_id")
+    return manifest.select("shard", "uri").groupBy("shard").cogroup(met.groupBy("at")).applyInPandas(_looked_up, "doc_id long, ids array<long>")
