@@ -36,7 +36,7 @@ def sector_panel(bars: DataFrame, members: DataFrame, least: int = 1) -> DataFra
     share = lambda c, n, least: seen(F.avg(F.coalesce(c, F.lit(False)).cast("double")).over(f(n)), n, least)
     up, better = F.col("ret") > 0, F.col("ret") > F.col("bench_1d") + TIE
     peak = lambda n, least: seen((F.try_divide(F.col("v"), F.max("v").over(f(n))) - 1) * 100, n, least)
-    since = lambda n, least: seen(F.col("pos") + F.max(F.struct("v", (-F.col("pos")).alias("p"))).over(f(n))["p"], n, least)
+    since = lambda n, least: seen(F.col("pos") + F.max(F.struct(F.round("v", 9).alias("v"), (-F.col("pos")).alias("p"))).over(f(n))["p"], n, least)
     cols = {f"return_{n}d": back("v", n) for n in RETURNS} | {f"benchmark_return_{n}d": back("b", n) for n in RETURNS} | {f"excess_return_{n}d": back("v", n) - back("b", n) for n in RETURNS}
     cols |= {f"close_above_ma{n}": F.coalesce(F.col("v") > F.col(f"m{n}"), F.lit(False)).cast("double") for n in MEANS} | {f"ma{n}_slope_pct": back(f"m{n}", 5) for n in MEANS} | {f"distance_to_ma{n}_pct": (F.try_divide("v", f"m{n}") - 1) * 100 for n in MEANS}
     cols |= {"drawdown_from_peak_120d_pct": peak(120, 20), "drawdown_from_peak_252d_pct": peak(252, 60), "days_since_peak_120d": since(120, 20).cast("double"), "days_since_peak_252d": since(252, 60).cast("double")} | {f"distance_to_recent_low_{n}d_pct": (F.try_divide("v", f"low{n}") - 1) * 100 for n in (20, 60)}

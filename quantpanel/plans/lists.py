@@ -319,7 +319,7 @@ def watchlist_payloads(spark, sf_dir):
 
 # -- buy model of sectors ----------------------------------------------------------------------------------------------
 
-_P9 = f"""{_BACK} q0 AS (SELECT *, {', '.join(f'(v / lag(v, {n}) OVER ({_P}) - 1) * 100 AS r{n}, (v / lag(v, {n}) OVER ({_P}) - b / lag(b, {n}) OVER ({_P})) * 100 AS e{n}' for n in (5, 20, 252, 504))}, {_pm('v', 120)} AS m120, CASE WHEN pos >= 60 THEN (v / max(v) OVER ({_P} ROWS 251 PRECEDING) - 1) * 100 END AS dd252, CASE WHEN pos >= 60 THEN pos - (arg_max(pos, (v, -pos)) OVER ({_P} ROWS 251 PRECEDING)) END AS since252, ({_pm('ret', 5, 'stddev_samp')}) / nullif({_pm('ret', 20, 'stddev_samp')}, 0) AS vr, (b / lag(b) OVER ({_P}) - 1) * 100 AS b1, lead(v, 20) OVER ({_P}) / v - 1 AS fr, max(v) OVER ({_P} ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING) / v - 1 AS fx FROM g2),
+_P9 = f"""{_BACK} q0 AS (SELECT *, {', '.join(f'(v / lag(v, {n}) OVER ({_P}) - 1) * 100 AS r{n}, (v / lag(v, {n}) OVER ({_P}) - b / lag(b, {n}) OVER ({_P})) * 100 AS e{n}' for n in (5, 20, 252, 504))}, {_pm('v', 120)} AS m120, CASE WHEN pos >= 60 THEN (v / max(v) OVER ({_P} ROWS 251 PRECEDING) - 1) * 100 END AS dd252, CASE WHEN pos >= 60 THEN pos - (arg_max(pos, (round(v, 9), -pos)) OVER ({_P} ROWS 251 PRECEDING)) END AS since252, ({_pm('ret', 5, 'stddev_samp')}) / nullif({_pm('ret', 20, 'stddev_samp')}, 0) AS vr, (b / lag(b) OVER ({_P}) - 1) * 100 AS b1, lead(v, 20) OVER ({_P}) / v - 1 AS fr, max(v) OVER ({_P} ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING) / v - 1 AS fx FROM g2),
 q1 AS (SELECT *, CASE WHEN pos >= 120 THEN avg(coalesce(ret > b1 + 0.000000001::DOUBLE, false)::INT) OVER ({_P} ROWS 251 PRECEDING) END AS op252, (m60 / lag(m60, 5) OVER ({_P}) - 1) * 100 AS s60, (m120 / lag(m120, 5) OVER ({_P}) - 1) * 100 AS s120, (v / m60 - 1) * 100 AS d60, (v / m120 - 1) * 100 AS d120 FROM q0),"""
 
 
