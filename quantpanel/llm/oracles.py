@@ -41,6 +41,35 @@ s AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(
 SELECT page_id, payload_bytes, (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + 5 * (j // 4), 5))::BIGINT >> (15 - 5 * (j % 4))::BIGINT) & 31)::BIGINT, 1), '' ORDER BY j) FROM range(32) r(j)) AS payload_digest,
 CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> head THEN head END AS refers_to FROM s"""
 
+_OP12 = """WITH RECURSIVE ids AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
+crc AS (SELECT c, 0 AS step, 4294967295::BIGINT AS v FROM ids UNION ALL SELECT c, step + 1, CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END
+FROM (SELECT c, step, CASE WHEN step % 8 = 0 THEN xor(v, ascii(substr(c::VARCHAR, step // 8 + 1, 1))::BIGINT) ELSE v END AS x FROM crc WHERE step < 8 * length(c::VARCHAR))),
+h AS (SELECT c, xor(v, 4294967295::BIGINT) % 6 AS h FROM crc WHERE step = 8 * length(c::VARCHAR)),
+r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, strlen(role) || ':' || role || text AS item, length(text) AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(role) || ':' || role || text)) AS pos FROM r),
+b AS (SELECT c, 0 AS own, pos, item, chars FROM h JOIN o ON conv_id = c - c % 100 AND pos <= h UNION ALL SELECT c, 1, pos, item, chars FROM h JOIN o ON conv_id = c AND pos > h),
+s AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, pos) AS d, item, chars FROM b),
+p AS (SELECT c, 0 AS d, 0 AS chars, '' AS k FROM ids UNION ALL SELECT c, d, chars, md5(array_to_string(list(md5(item)) OVER (PARTITION BY c ORDER BY d), ' ')) FROM s),
+u AS (SELECT x.c, x.d, x.chars, x.k, y.k AS pk, x.d = max(x.d) OVER (PARTITION BY x.c) AS ends FROM p x LEFT JOIN p y ON y.c = x.c AND y.d = x.d - 1),
+n AS (SELECT d, k, min(pk) AS pk, min(chars) AS chars, count(*) AS n, min(c) AS c, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS e FROM u GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, pk AS k, count(*) AS m FROM n WHERE d > 0 GROUP BY 1, 2),
+a AS (SELECT n.*, coalesce(m, 0) AS m, q.c AS pc FROM n LEFT JOIN kids ON kids.d = n.d AND kids.k = n.k LEFT JOIN n q ON q.d = n.d - 1 AND q.k = n.pk),
+t AS (SELECT u.d, u.k, sum((a.n - 1) * a.chars) AS saved, count(*) FILTER (a.m = 0) AS leaves FROM a JOIN u ON u.c = a.c AND u.d <= a.d GROUP BY 1, 2)
+SELECT a.c::BIGINT AS conv_id, a.d::BIGINT AS depth, a.pc::BIGINT AS parent_conv_id, a.n::BIGINT AS n_convs, a.m::BIGINT AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, e AS ends_sha256 FROM a JOIN t ON t.d = a.d AND t.k = a.k"""
+
+_OP13 = rf"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format('text')}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM p),
+t AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY 1),
+g AS (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k)),
+f AS (SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS g, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, k, g, f, string_split(g, ' ') AS ws FROM f WHERE k > 1),
+cut AS (SELECT lang, k, g, f, at, array_to_string(ws[: at], ' ') AS x, array_to_string(ws[at + 1 :], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS at FROM c)),
+s AS (SELECT cut.lang, cut.k, cut.g, cut.f AS a, at, fx.f AS l, fy.f AS r, (2000000::HUGEINT * cut.f) // (fx.f + fy.f) AS score FROM cut JOIN f fx ON fx.lang = cut.lang AND fx.g = x JOIN f fy ON fy.lang = cut.lang AND fy.g = y),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, at) = 1),
+i AS (SELECT lang, array_to_string(ws[at : at + m - 1], ' ') AS g, max(f) AS longer FROM (SELECT *, unnest(range(1, k - m + 2)) AS at FROM (SELECT *, unnest(range(2, k)) AS m FROM c)) GROUP BY 1, 2)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.g) AS rank, b.g AS phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM b JOIN t ON t.lang = b.lang LEFT JOIN i ON i.lang = b.lang AND i.g = b.g WHERE longer IS NULL OR 100 * longer < 80 * a QUALIFY rank <= 2000"""
+
 
 def _licence_words(text: str) -> str:
     """Two passes take away runs of dots, as the pattern language has no look-ahead."""
@@ -68,4 +97,4 @@ SELECT doc_id, licence, round(dice, 6) AS dice, coalesce(n_units, 0)::BIGINT AS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": _OP2, "op5_licence_scan": _OP5, "op8_decontamination": _OP8, "op9_substring_dedup": _OP9, "op10_warc": _OP10}
+    return {"op2_ngram_join": _OP2, "op5_licence_scan": _OP5, "op8_decontamination": _OP8, "op9_substring_dedup": _OP9, "op10_warc": _OP10, "op12_conversation_trie": _OP12, "op13_phrase_collocations": _OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, licences, ngram_join, packing, quality, substring_dedup, tokens, toxicity, warc
+from . import collocations, conversation_trie, decontaminate, embedding_dedup, licences, mixing, ngram_join, packing, quality, substring_dedup, tokens, toxicity, warc
 
 TOXIC_AT, QUALITY_AT = 0.3, 0.7
 
@@ -69,6 +69,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages", "page_id", "url", "html")))
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix_sources(table(spark, sf_dir, "documents", "doc_id", "text", "source"), weights=(5, 2, 1))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return conversation_trie.prefix_nodes(conversation_trie.rebuilt(turns))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents", "lang", "text"))
+
+
 def queries() -> dict:
-    ops = (op1_token_output, op2_ngram_join, op3_embedding_dedup, op4_toxicity, op5_licence_scan, op6_quality, op7_best_fit_packing, op8_decontamination, op9_substring_dedup, op10_warc)
+    ops = (op1_token_output, op2_ngram_join, op3_embedding_dedup, op4_toxicity, op5_licence_scan, op6_quality, op7_best_fit_packing, op8_decontamination, op9_substring_dedup, op10_warc, op11_source_mix, op12_conversation_trie, op13_phrase_collocations)
     return {f.__name__: f for f in ops}

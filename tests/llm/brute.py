@@ -107,3 +107,83 @@ def token_ids(text, tokenizer):
 
 def crc(ids):
     return zlib.crc32(np.array(ids, dtype="<u4").tobytes())
+
+
+def source_targets(sizes, weights, most):
+    """sizes: name -> words. Exact fractions; names in order, None last."""
+    from fractions import Fraction
+
+    names = sorted(sizes, key=lambda x: (x is None, (x or "").encode()))
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    out, open_, left = {}, set(names), Fraction(sum(sizes.values()))
+    while open_:
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        above = {s for s in open_ if share[s] > most * sizes[s]}
+        if not above:
+            return out | share
+        out |= {s: Fraction(most * sizes[s]) for s in above}
+        left -= sum(out[s] for s in above)
+        open_ -= above
+    return out
+
+
+def rebuilt(turns):
+    """conv_id -> list of (role, text); turns: (conv_id, turn, role, text)."""
+    own = defaultdict(list)
+    for c, turn, role, text in turns:
+        if c is not None:
+            role, text = role or "", text or ""
+            tie = hashlib.md5(f"{len(role.encode())}:{role}{text}".encode()).digest()
+            own[c].append((turn is not None, turn or 0, tie, role, text))
+    own = {c: [x[3:] for x in sorted(v)] for c, v in own.items()}
+    h = {c: zlib.crc32(str(c).encode()) % 6 for c in own}
+    base = {c: c - int(np.fmod(c, 100)) for c in own}
+    return {c: own.get(base[c], [])[: h[c]] + own[c][h[c] :] for c in own}
+
+
+def trie(turns):
+    convs = rebuilt(turns)
+    nodes = defaultdict(list)
+    for c in sorted(convs):
+        for d in range(len(convs[c]) + 1):
+            nodes[tuple(convs[c][:d])].append(c)
+    kids = defaultdict(set)
+    for k in nodes:
+        if k:
+            kids[k[:-1]].add(k)
+    sums = {}
+    for k in sorted(nodes, key=len, reverse=True):
+        own = (len(nodes[k]) - 1) * len(k[-1][1]) if k else 0
+        sums[k] = (sum(sums[x][0] for x in kids[k]) or 1, own + sum(sums[x][1] for x in kids[k]))
+    out = []
+    for k, members in nodes.items():
+        ends = ",".join(str(c) for c in members if len(convs[c]) == len(k))
+        out.append((members[0], len(k), nodes[k[:-1]][0] if k else None, len(members), len(kids[k]), *sums[k], hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out)
+
+
+def collocations(docs, least=30, top=2000, share=80):
+    """docs: (lang, text)."""
+    n, f = defaultdict(int), defaultdict(int)
+    for lang, text in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\x0a-\x0d]", lower(text)):
+            w = tuple(re.findall("[^\x20\x09]+", piece))
+            n[lang] += len(w)
+            for k in range(len(w)):
+                for m in range(1, 5):
+                    if k + m <= len(w):
+                        f[lang, w[k : k + m]] += 1
+    cand = {k: a for k, a in f.items() if len(k[1]) > 1 and a >= least}
+    gone = set()
+    for (lang, w), a in cand.items():
+        for m in range(2, len(w)):
+            for k in range(len(w) - m + 1):
+                if 100 * a >= share * f[lang, w[k : k + m]]:
+                    gone.add((lang, w[k : k + m]))
+    rows = defaultdict(list)
+    for (lang, w), a in cand.items():
+        if (lang, w) not in gone:
+            score, k = min((2000000 * a // (f[lang, w[:k]] + f[lang, w[k:]]), k) for k in range(1, len(w)))
+            rows[lang].append((-score, -a, " ".join(w).encode(), " ".join(w), f[lang, w[:k]], f[lang, w[k:]]))
+    return sorted((lang, r, p, -a, l, rr, n[lang], -s) for lang, x in rows.items() for r, (s, a, _, p, l, rr) in enumerate(sorted(x)[:top], 1))

@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
 def test_sql_gives_the_same_rows(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "conversations"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.execute(oracles.oracle_sql()[name])
     columns = sorted(c[0] for c in want.description)
