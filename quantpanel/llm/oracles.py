@@ -63,10 +63,10 @@ t AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY 1),
 g AS (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k)),
 f AS (SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS g, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
 c AS (SELECT lang, k, g, f, string_split(g, ' ') AS ws FROM f WHERE k > 1),
-cut AS (SELECT lang, k, g, f, at, array_to_string(ws[: at], ' ') AS x, array_to_string(ws[at + 1 :], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS at FROM c)),
-s AS (SELECT cut.lang, cut.k, cut.g, cut.f AS a, at, fx.f AS l, fy.f AS r, (2000000::HUGEINT * cut.f) // (fx.f + fy.f) AS score FROM cut JOIN f fx ON fx.lang = cut.lang AND fx.g = x JOIN f fy ON fy.lang = cut.lang AND fy.g = y),
-b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, at) = 1),
-i AS (SELECT lang, array_to_string(ws[at : at + m - 1], ' ') AS g, max(f) AS longer FROM (SELECT *, unnest(range(1, k - m + 2)) AS at FROM (SELECT *, unnest(range(2, k)) AS m FROM c)) GROUP BY 1, 2)
+cut AS (SELECT lang, k, g, f, j, array_to_string(ws[: j], ' ') AS x, array_to_string(ws[j + 1 :], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+s AS (SELECT cut.lang, cut.k, cut.g, cut.f AS a, j, fx.f AS l, fy.f AS r, (2000000::HUGEINT * cut.f) // (fx.f + fy.f) AS score FROM cut JOIN f fx ON fx.lang = cut.lang AND fx.g = x JOIN f fy ON fy.lang = cut.lang AND fy.g = y),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+i AS (SELECT lang, array_to_string(ws[j : j + m - 1], ' ') AS g, max(f) AS longer FROM (SELECT *, unnest(range(1, k - m + 2)) AS j FROM (SELECT *, unnest(range(2, k)) AS m FROM c)) GROUP BY 1, 2)
 SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.g) AS rank, b.g AS phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
 FROM b JOIN t ON t.lang = b.lang LEFT JOIN i ON i.lang = b.lang AND i.g = b.g WHERE longer IS NULL OR 100 * longer < 80 * a QUALIFY rank <= 2000"""
 
