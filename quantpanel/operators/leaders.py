@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from .indicators import by_symbol
 from .scores import percentile_score, winsorised
+from .sectors import newest_days
 
 KEY = ["sector_type", "sector_label"]
-# Least history and members, weights of the scores.
-DAYS, MEMBERS, TOP, EVENT_TOP = 180, 5, 10, 10
+# Market days looked at, least history and members, weights of the scores.
+LOOKBACK, DAYS, MEMBERS, TOP, EVENT_TOP = 504, 180, 5, 10, 10
 LONG = {"return": 0.25, "excess": 0.25, "outperform": 0.15, "new_high": 0.10, "liquidity": 0.15, "drawdown_quality": 0.10}
 EVENT = {"early_return": 0.25, "early_excess": 0.20, "total_return": 0.25, "total_excess": 0.20, "volume_expansion": 0.10}
 
@@ -23,13 +24,14 @@ def _clip(c: F.Column) -> F.Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), c))
 
 
-def sector_history(bars: DataFrame, members: DataFrame, days: int = DAYS, least: int = MEMBERS) -> tuple[DataFrame, DataFrame]:
+def sector_history(bars: DataFrame, members: DataFrame, days: int = DAYS, least: int = MEMBERS, lookback: int = LOOKBACK) -> tuple[DataFrame, DataFrame]:
     """(rows, index): bars of members with enough history, and the index of each sector over days of enough members.
 
-    index has ret (percent), total_amount, sector_index from 100, and pos from 0.
+    Only the last `lookback` market dates of members count. index has ret (percent), total_amount, sector_index from 100, and pos from 0.
     """
     r = F.coalesce(F.col("pct_change"), (F.try_divide(F.col("close"), F.lag("close").over(by_symbol())) - 1) * 100)
-    df = bars.select("symbol", "trade_date", "close", "amount", r.alias("return_pct")).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("symbol")))
+    df = bars.select("symbol", "trade_date", "close", "amount", r.alias("return_pct")).join(members.select("symbol").distinct(), "symbol", "left_semi")
+    df = newest_days(df, lookback).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("symbol")))
     rows = df.where(F.col("_n") >= days).drop("_n").join(members.select("symbol", *KEY).distinct(), "symbol")
     day = rows.groupBy(*KEY, "trade_date").agg(F.avg("return_pct").alias("ret"), F.count("return_pct").alias("valid_count"), F.sum("amount").alias("total_amount")).where(F.col("valid_count") >= least)
     w = Window.partitionBy(*KEY).orderBy("trade_date")
@@ -69,11 +71,11 @@ def swing_candidates(index: DataFrame, shortest: int = 5, longest: int = 60, ris
 
 
 def select_swings(candidates: DataFrame) -> DataFrame:
-    """Swings that do not overlap, the largest first; the first candidate on ties (K19). event_index counts by start.
+    """Swings that do not overlap, the largest first; the first candidate on ties to nine digits (K19). event_index counts by start.
 
     A sector's candidates are two for each day at most, so they are one sorted array folded into the few that stay.
     """
-    row = F.struct((-F.col("return_pct")).alias("r"), "kind", "start_pos", "end_pos", "start_date", "end_date")
+    row = F.struct((-F.round("return_pct", 9)).alias("r"), "kind", "start_pos", "end_pos", "start_date", "end_date")
     one = candidates.groupBy(*KEY).agg(F.sort_array(F.collect_list(row)).alias("all"))
     keep = "aggregate(all, slice(all, 1, 0), (kept, c) -> if(exists(kept, k -> c.start_pos <= k.end_pos and k.start_pos <= c.end_pos), kept, concat(kept, array(c))))"
     df = one.select(*KEY, F.explode(F.expr(keep)).alias("s")).select(*KEY, "s.start_pos", "s.end_pos", "s.start_date", "s.end_date", (-F.col("s.r")).alias("return_pct"))

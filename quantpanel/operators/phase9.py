@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .indicators import full
-from .pullback import KEY, benchmark, pieces, prepared_members
+from .pullback import KEY, MEMBERS, PARTS, benchmark, buy_parts, pieces, prepared_members
 from .scores import linear_score
 
 # Spans of the features, pieces and weights of the long score, label.
@@ -18,7 +18,7 @@ TIE = 1e-9
 HORIZON, RISE, KEPT_SCORE, KEPT_SHARE = 20, 0.05, 70.0, 0.20
 
 
-def sector_panel(bars: DataFrame, members: DataFrame, least: int = 1) -> DataFrame:
+def sector_panel(bars: DataFrame, members: DataFrame, least: int = MEMBERS) -> DataFrame:
     """Features, long score and label of each sector and day of the market calendar."""
     members = prepared_members(members, least)
     day = bars.join(members, "symbol").groupBy(*KEY, "trade_date").agg(F.avg("pct_change").alias("ret"), F.count("pct_change").alias("valid_count"), F.sum("amount").alias("amount"))
@@ -63,3 +63,19 @@ def keep_mainline(panel: DataFrame) -> DataFrame:
     w = Window.partitionBy("trade_date")
     rank = F.row_number().over(w.orderBy(F.desc("long_mainline_score"), *KEY))
     return panel.withColumn("_p", rank / F.count(F.lit(1)).over(w)).where((F.col("long_mainline_score") >= KEPT_SCORE) | (F.col("_p") <= KEPT_SHARE)).drop("_p")
+
+
+def rule_buy_scores(panel: DataFrame) -> DataFrame:
+    """panel with the rule buy score and its five parts for every sector and day.
+
+    The rules of the last day's scores, on the panel's own columns: the peak is the highest value of the last 120 days. A
+    missing age of the peak counts as none; other missing values as the rules say.
+    """
+    true = lambda c: F.when(F.col(c).isNotNull(), F.col(c) >= 0.5)
+    as_is = ["sector_type", "return_3d", "return_5d", "excess_return_3d", "up_ratio_3d"]
+    df = panel.select(
+        F.struct("*").alias("_row"), *as_is, F.col("drawdown_from_peak_120d_pct").alias("drawdown_from_peak_pct"), F.coalesce("days_since_peak_120d", F.lit(0.0)).alias("days_since_peak"), F.col("volatility_ratio_5d_20d").alias("volatility_ratio"),
+        F.col("distance_to_recent_low_20d_pct").alias("distance_to_recent_low"), F.col("down_amount_ratio_10d").alias("down_amount_ratio"), *[F.col(f"ma{n}_slope_pct").alias(f"slope_{n}") for n in (5, 10, 20, 60)],
+        *[true(c).alias(c) for c in ("no_new_20d_low_in_5d", "no_new_60d_low_in_5d", "no_new_20d_low_in_10d", "close_above_ma5", "close_above_ma10", "close_above_ma20")],
+    )
+    return buy_parts(df).select("_row.*", F.col("buy_score").alias("rule_buy_score"), *[F.col(c).alias(f"rule_{c}") for c in PARTS])

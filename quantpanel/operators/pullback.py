@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .indicators import full
+from .indicators import by_symbol, full
+from .sectors import newest_days
 
 KEY = ["sector_type", "sector_label"]
-# Half the width of a peak, days of a slope, days of the run counts.
-PEAK, SLOPE, YEAR = 60, 5, 252
+# Half the width of a peak, days of a slope, days of the run counts, market days looked at, least members.
+PEAK, SLOPE, YEAR, HISTORY, MEMBERS = 60, 5, 252, 420, 5
 
 # Pieces of the scores, each (upper end or null, lower x, upper x, score there, score here); a null lower x is a constant.
 SLOPE_SCORE = [("x < -2", None, None, 20, 20), ("x < -1", -2, -1, 30, 60), ("x < -0.5", -1, -0.5, 60, 80), ("x < 0", -0.5, 0, 80, 100), (None, None, None, 100, 100)]
@@ -44,19 +45,20 @@ def truth(c: str, score: float) -> str:
     return f"if(coalesce({c}, false), {float(score)}D, 0D)"
 
 
-#: Composite scores of the columns of `metrics`.
+# Weights of the composite scores of the columns of `metrics`.
 STABLE = weighted([(f"{truth('no_new_20d_low_in_5d', 45)} + {truth('no_new_60d_low_in_5d', 35)} + {truth('no_new_20d_low_in_10d', 20)}", 0.25), (weighted([(pieces(f"slope_{n}", SLOPE_SCORE), w) for n, w in ((5, 0.30), (10, 0.30), (20, 0.25), (60, 0.15))]), 0.35), (f"{truth('close_above_ma5', 40)} + {truth('close_above_ma10', 30)} + {truth('close_above_ma20', 30)}", 0.20), (pieces("volatility_ratio", VOLATILITY_SCORE), 0.20)])
 REBOUND = weighted([(pieces("return_3d", REBOUND_SCORE), 0.30), (pieces("return_5d", REBOUND_SCORE), 0.25), (pieces("excess_return_3d", EXCESS_SCORE), 0.25), ("greatest(0D, least(100D, coalesce(up_ratio_3d * 100, 50D)))", 0.20)])
-RISK = weighted([(pieces("greatest(0D, distance_to_recent_low)", DISTANCE_SCORE), 0.35), (pieces("return_5d", SPEED_SCORE), 0.25), (pieces("down_amount_ratio", AMOUNT_SCORE), 0.20), (pieces("slope_20", SLOPE_SCORE), 0.20)])
+RISK = weighted([(pieces("if(distance_to_recent_low is null, null, greatest(0D, distance_to_recent_low))", DISTANCE_SCORE), 0.35), (pieces("return_5d", SPEED_SCORE), 0.25), (pieces("down_amount_ratio", AMOUNT_SCORE), 0.20), (pieces("slope_20", SLOPE_SCORE), 0.20)])
 # What caps the score, at how much, and its flag.
 CAPS = [
     ("not no_new_20d_low_in_5d", 55, "近5日创20日新低"), ("not no_new_60d_low_in_5d", 50, "近5日创60日新低"), ("slope_5 < -0.5 and slope_10 < -0.5 and slope_20 < -0.5", 50, "短中均线明显下行"), ("return_3d > 10", 70, "反抽偏高"),
     ("drawdown_from_peak_pct > -5 and return_5d > 5", 60, "回调过浅且短涨"), ("volatility_ratio > 1.3 and down_amount_ratio > 1.1", 55, "放量下跌波动放大"),
 ]
+PARTS = {"pullback_depth_score": 0.15, "pullback_timing_score": 0.10, "stabilization_score": 0.40, "rebound_confirmation_score": 0.20, "risk_control_score": 0.15}
 LEVELS = [(80, "重点观察/布局"), (65, "可以试仓"), (50, "观察等确认"), (35, "有回调未企稳"), (None, "暂不适合买")]
 
 
-def prepared_members(members: DataFrame, least: int = 1) -> DataFrame:
+def prepared_members(members: DataFrame, least: int = MEMBERS) -> DataFrame:
     """Members of sectors with at least `least` symbols, pairs once (K5)."""
     m = members.select("symbol", *KEY).distinct()
     n = m.groupBy(*KEY).agg(F.countDistinct("symbol").alias("member_count")).where(F.col("member_count") >= least)
@@ -68,9 +70,14 @@ def benchmark(bars: DataFrame) -> DataFrame:
     return bars.groupBy("trade_date").agg(F.avg("pct_change").alias("bench_ret"))
 
 
-def metrics(bars: DataFrame, members: DataFrame, least: int = 1) -> DataFrame:
-    """Technical metrics of the last day of each sector (K8-K10): windows of a sector, one row a sector and day."""
+def metrics(bars: DataFrame, members: DataFrame, least: int = MEMBERS, history: int = HISTORY) -> DataFrame:
+    """Technical metrics of the last day of each sector (K8-K10): windows of a sector, one row a sector and day.
+
+    Only the last `history` market dates count: index, peaks, runs and the highest value where no peak is confirmed.
+    """
     members = prepared_members(members, least)
+    bars = bars.withColumn("pct_change", F.coalesce("pct_change", (F.try_divide(F.col("close"), F.lag("close").over(by_symbol())) - 1) * 100)).where("pct_change is not null")
+    bars = newest_days(bars, history)
     day = bars.join(members, "symbol").groupBy(*KEY, "trade_date").agg(F.avg("pct_change").alias("ret"), F.count("pct_change").alias("valid_count"), F.sum("amount").alias("amount"), F.max("member_count").alias("member_count"))
     # calendar and sectors are dimensions
     grid = benchmark(bars).crossJoin(F.broadcast(members.select(*KEY, "member_count").distinct()))
@@ -108,15 +115,19 @@ def metrics(bars: DataFrame, members: DataFrame, least: int = 1) -> DataFrame:
     return one.drop("confirmed", "top", "n")
 
 
-def buy_scores(m: DataFrame) -> DataFrame:
-    """Pullback, timing, stabilisation, rebound and risk scores, their sum with caps and flags, level and reason."""
-    depth = "greatest(0D, -drawdown_from_peak_pct)"
+def buy_parts(m: DataFrame) -> DataFrame:
+    """Pullback, timing, stabilisation, rebound and risk scores, and their sum under the caps, of the columns of `metrics`."""
+    depth = "if(drawdown_from_peak_pct is null, null, greatest(0D, -drawdown_from_peak_pct))"
     kinds = f"if(sector_type = 'industry', {pieces(depth, depth_score(*DEPTH['industry']))}, {pieces(depth, depth_score(*DEPTH['other']))})"
     df = m.withColumns({"pullback_depth_score": F.expr(kinds), "pullback_timing_score": F.expr(pieces("days_since_peak", TIMING_SCORE)), "stabilization_score": F.expr(STABLE), "rebound_confirmation_score": F.expr(REBOUND), "risk_control_score": F.expr(RISK)})
-    raw = "0.15D * pullback_depth_score + 0.10D * pullback_timing_score + 0.40D * stabilization_score + 0.20D * rebound_confirmation_score + 0.15D * risk_control_score"
     caps = ", ".join(f"if(coalesce({c}, false), {float(at)}D, 100D)" for c, at, _ in CAPS)
+    return df.withColumn("buy_score", F.expr(f"least({weighted(list(PARTS.items()))}, {caps})"))
+
+
+def buy_scores(m: DataFrame) -> DataFrame:
+    """Scores of the last day with flags of the caps, level and reason."""
     flags = F.array_compact(F.array(*[F.when(F.expr(c), flag) for c, _, flag in CAPS]))
-    df = df.withColumn("buy_score", F.expr(f"least({raw}, {caps})")).withColumn("buy_flags", F.array_join(flags, "/"))
+    df = buy_parts(m).withColumn("buy_flags", F.array_join(flags, "/"))
     level = "case " + " ".join(f"when buy_score >= {at} then '{name}'" if at is not None else f"else '{name}'" for at, name in LEVELS) + " end"
     df = df.withColumn("buy_level", F.expr(level))
     df = df.withColumn("buy_reason", F.when(F.col("buy_flags") != "", F.concat("buy_level", F.lit("；风险："), "buy_flags")).otherwise(F.col("buy_level")))

@@ -10,10 +10,10 @@ def by_sector():
     return Window.partitionBy("sector_label").orderBy("trade_date")
 
 
-def clean_membership(m: DataFrame, ignored: tuple[str, ...] = (), longest: int = 24) -> DataFrame:
-    """Ignored and descriptive names go, pairs once (K1)."""
-    df = m.where(~F.col("sector_label").isin(*ignored)) if ignored else m
-    return df.where(F.length("sector_label") <= longest).dropDuplicates(["symbol", "sector_type", "sector_label"])
+def newest_days(bars: DataFrame, days: int) -> DataFrame:
+    """Bars of the last `days` market dates that bars holds; the first of them is one row."""
+    first = bars.select("trade_date").distinct().orderBy(F.desc("trade_date")).limit(days).agg(F.min("trade_date").alias("_first"))
+    return bars.join(F.broadcast(first), F.col("trade_date") >= F.col("_first")).drop("_first")
 
 
 def sector_days(bars: DataFrame, members: DataFrame) -> DataFrame:

@@ -345,7 +345,7 @@ def sector_up_runs(spark, sf_dir):
     return se.longest_up_run(se.sector_index(se.sector_days(src.bars_of(spark, sf_dir), src.membership_of(spark, sf_dir))))
 
 
-_LEAD = f"""h0 AS (SELECT *, coalesce(pct_change, 100 * (close / lag(close) OVER ({_S}) - 1)) AS rp, count(*) OVER (PARTITION BY symbol) AS nb FROM bars), h1 AS (SELECT h0.*, sector_type, sector_label FROM h0 JOIN members USING (symbol) WHERE nb >= 180),
+_LEAD = f"""hr AS (SELECT *, coalesce(pct_change, 100 * (close / lag(close) OVER ({_S}) - 1)) AS rp FROM bars WHERE symbol IN (SELECT symbol FROM members)), hd AS (SELECT DISTINCT trade_date FROM hr ORDER BY trade_date DESC LIMIT 504), h0 AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS nb FROM hr WHERE trade_date >= (SELECT min(trade_date) FROM hd)), h1 AS (SELECT h0.*, sector_type, sector_label FROM h0 JOIN members USING (symbol) WHERE nb >= 180),
 h2 AS (SELECT sector_type, sector_label, trade_date, avg(rp) AS sr, sum(amount) AS sa FROM h1 GROUP BY 1, 2, 3 HAVING count(rp) >= 5),
 h3 AS (SELECT *, row_number() OVER w - 1 AS pos, 100 * exp(sum(ln(1 + sr / 100)) OVER w) AS v, count(*) OVER (PARTITION BY sector_label) AS nd FROM h2 WINDOW w AS (PARTITION BY sector_label ORDER BY trade_date)), h4 AS (SELECT * FROM h3 WHERE nd >= 180),"""
 

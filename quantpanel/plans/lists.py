@@ -12,6 +12,7 @@ from quantpanel.operators import indicators as ind
 from quantpanel.operators import labels as lab
 from quantpanel.operators import leaders as ld
 from quantpanel.operators import market as mk
+from quantpanel.operators import membership as mb
 from quantpanel.operators import models as md
 from quantpanel.operators import phase9 as p9
 from quantpanel.operators import pullback as pb
@@ -24,6 +25,47 @@ from quantpanel.streaming import quotes as qs
 
 from .catalog import _PANEL, _S, _SCORED, _avg, _scored, query
 
+# -- membership -------------------------------------------------------------------------------------------------------
+
+_BATCH = """mo AS (SELECT DISTINCT date_trunc('month', l_shipdate)::DATE AS m, l_suppkey, l_partkey FROM lineitem),
+ba AS (SELECT DISTINCT m AS batch_date, lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS symbol, 'industry' AS sector_type, r_name AS sector_label FROM mo JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE (year(m) * 12 + month(m) + l_suppkey) % 5 > 0
+UNION SELECT DISTINCT m, lpad(CAST(l_suppkey AS VARCHAR), 6, '0'), 'concept', p_brand FROM mo JOIN part ON p_partkey = l_partkey WHERE month(m) % 3 > 0 AND length(p_brand) > 0),"""
+_VERSIONS = """nb AS (SELECT *, row_number() OVER (PARTITION BY sector_type ORDER BY batch_date) AS no, lead(batch_date) OVER (PARTITION BY sector_type ORDER BY batch_date) AS nd FROM (SELECT DISTINCT sector_type, batch_date FROM ba)),
+nr AS (SELECT symbol, ba.sector_type, sector_label, batch_date, no, nd, no - row_number() OVER (PARTITION BY symbol, ba.sector_type, sector_label ORDER BY no) AS run FROM ba JOIN nb USING (sector_type, batch_date)),
+vs AS (SELECT symbol, sector_type, sector_label, min(batch_date) AS valid_from, arg_max(nd, no) FILTER (nd IS NOT NULL) AS x, max_by(coalesce(nd, DATE '9999-01-01'), no) AS y FROM nr GROUP BY symbol, sector_type, sector_label, run),"""
+
+
+def _batches(spark, sf_dir):
+    """Monthly batches: symbols of the month by region, most of them, and by the brands they sold; every third has no brands."""
+    t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+    month = t("lineitem").select(F.trunc("l_shipdate", "month").cast("date").alias("batch_date"), "l_suppkey", "l_partkey").distinct()
+    symbol = F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("symbol")
+    region = t("supplier").join(t("nation"), F.expr("s_nationkey = n_nationkey")).join(t("region"), F.expr("n_regionkey = r_regionkey")).select(F.col("s_suppkey").alias("l_suppkey"), "r_name")
+    kept = (F.year("batch_date") * 12 + F.month("batch_date") + F.col("l_suppkey")) % 5 > 0
+    a = month.join(region, "l_suppkey").where(kept).select("batch_date", symbol, F.lit("industry").alias("sector_type"), F.col("r_name").alias("sector_label"))
+    b = month.join(t("part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey").where(F.month("batch_date") % 3 > 0).select("batch_date", symbol, F.lit("concept").alias("sector_type"), F.col("p_brand").alias("sector_label"))
+    return a.union(b).distinct()
+
+
+@query(f"{_BATCH} {_VERSIONS} --- SELECT symbol, sector_type, sector_label, valid_from, nullif(y, DATE '9999-01-01') AS valid_to FROM vs", "", "symbol sector_type sector_label valid_from valid_to")
+def membership_versions(spark, sf_dir):
+    """Versions of membership over monthly batches, some without a type (K2)."""
+    return mb.versions(_batches(spark, sf_dir))
+
+
+@query(f"{_BATCH} {_VERSIONS} --- SELECT symbol, trade_date, sector_type, sector_label FROM bars JOIN vs USING (symbol) WHERE trade_date >= valid_from AND trade_date < y AND trade_date >= DATE '1998-06-01'", "", "symbol trade_date sector_type sector_label")
+def membership_as_of(spark, sf_dir):
+    """Sectors of each bar from 1998-06 on, on its own day (K2)."""
+    days = src.bars_of(spark, sf_dir).where("trade_date >= date '1998-06-01'").select("symbol", "trade_date")
+    return mb.as_of_days(days, mb.versions(_batches(spark, sf_dir)))
+
+
+@query(f"{_BATCH} fs AS (SELECT symbol, sector_type, sector_label, min(batch_date) AS seen FROM ba GROUP BY 1, 2, 3), --- SELECT symbol, coalesce(string_agg(sector_label, '/' ORDER BY seen, sector_label) FILTER (sector_type = 'industry'), '') AS industry_names, coalesce(string_agg(sector_label, '/' ORDER BY seen, sector_label) FILTER (sector_type = 'concept'), '') AS concept_names FROM fs GROUP BY 1", "", "symbol industry_names concept_names")
+def sector_names(spark, sf_dir):
+    """Names of a symbol's sectors in the order of the batches that brought them (K3)."""
+    return mb.sector_names(mb.clean_membership(_batches(spark, sf_dir).groupBy("symbol", "sector_type", "sector_label").agg(F.min("batch_date").alias("batch_date"))), "batch_date")
+
+
 # -- sources ----------------------------------------------------------------------------------------------------------
 
 
@@ -192,12 +234,15 @@ def _pm(c: str, n: int, f: str = "avg") -> str:
     return f"CASE WHEN count({c}) OVER ({_P} ROWS {n - 1} PRECEDING) >= {n} THEN {f}({c}) OVER ({_P} ROWS {n - 1} PRECEDING) END"
 
 
-_BACK = f"""bm AS (SELECT trade_date, avg(pct_change) AS bench FROM bars GROUP BY 1), sd0 AS (SELECT sector_label, trade_date, avg(pct_change) AS ret, sum(amount) AS amount FROM bars JOIN members USING (symbol) GROUP BY 1, 2), g0 AS (SELECT sector_label, trade_date, coalesce(ret, 0) AS ret, coalesce(amount, 0) AS amount, bench FROM (SELECT DISTINCT sector_label FROM members) CROSS JOIN bm LEFT JOIN sd0 USING (sector_label, trade_date)),
+_RETURNS = f"wr AS (SELECT * REPLACE (coalesce(pct_change, (close / lag(close) OVER ({_S}) - 1) * 100) AS pct_change) FROM bars), wd AS (SELECT DISTINCT trade_date FROM wr WHERE pct_change IS NOT NULL ORDER BY trade_date DESC LIMIT 420), cb AS (SELECT * FROM wr WHERE pct_change IS NOT NULL AND trade_date >= (SELECT min(trade_date) FROM wd)),"
+_BACK = f"""@fm AS (SELECT * FROM members WHERE sector_label IN (SELECT sector_label FROM members GROUP BY 1 HAVING count(DISTINCT symbol) >= 5)), bm AS (SELECT trade_date, avg(pct_change) AS bench FROM cb GROUP BY 1), sd0 AS (SELECT sector_label, trade_date, avg(pct_change) AS ret, sum(amount) AS amount FROM cb JOIN fm USING (symbol) GROUP BY 1, 2), g0 AS (SELECT sector_label, trade_date, coalesce(ret, 0) AS ret, coalesce(amount, 0) AS amount, bench FROM (SELECT DISTINCT sector_label FROM fm) CROSS JOIN bm LEFT JOIN sd0 USING (sector_label, trade_date)),
 g1 AS (SELECT *, 100 * exp(sum(ln(1 + ret / 100)) OVER ({_P})) AS v, 100 * exp(sum(ln(1 + bench / 100)) OVER ({_P})) AS b, row_number() OVER ({_P}) AS pos, count(*) OVER (PARTITION BY sector_label) AS n FROM g0),
 g2 AS (SELECT *, {', '.join(f'{_pm("v", k)} AS m{k}' for k in (5, 10, 20, 60))}, v <= ({_pm('v', 20, 'min')}) * 1.002 AS al20, v <= ({_pm('v', 60, 'min')}) * 1.002 AS al60, last_value(v) OVER (PARTITION BY sector_label ORDER BY trade_date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS latest, count(*) OVER ({_P} ROWS BETWEEN 60 PRECEDING AND 60 FOLLOWING) = 121 AND v >= max(v) OVER ({_P} ROWS BETWEEN 60 PRECEDING AND 60 FOLLOWING) AS peak FROM g1),
-g3 AS (SELECT *, {', '.join(f'(v / lag(v, {k}) OVER ({_P}) - 1) * 100 AS return_{k}d' for k in (1, 3, 5))}, (v / lag(v, 3) OVER ({_P}) - b / lag(b, 3) OVER ({_P})) * 100 AS excess_return_3d, {', '.join(f'(m{k} / lag(m{k}, 5) OVER ({_P}) - 1) * 100 AS slope_{k}' for k in (5, 10, 20, 60))}, NOT bool_or(coalesce(al20, false)) OVER ({_P} ROWS 4 PRECEDING) AS no_new_20d_low_in_5d, NOT bool_or(coalesce(al60, false)) OVER ({_P} ROWS 4 PRECEDING) AS no_new_60d_low_in_5d,
+g3 AS (SELECT *, {', '.join(f'(v / lag(v, {k}) OVER ({_P}) - 1) * 100 AS return_{k}d' for k in (1, 3, 5))}, (v / lag(v, 3) OVER ({_P}) - b / lag(b, 3) OVER ({_P})) * 100 AS excess_return_3d, {', '.join(f'(m{k} / lag(m{k}, 5) OVER ({_P}) - 1) * 100 AS slope_{k}' for k in (5, 10, 20, 60))}, NOT bool_or(coalesce(al20, false)) OVER ({_P} ROWS 4 PRECEDING) AS no_new_20d_low_in_5d, NOT bool_or(coalesce(al60, false)) OVER ({_P} ROWS 4 PRECEDING) AS no_new_60d_low_in_5d, NOT bool_or(coalesce(al20, false)) OVER ({_P} ROWS 9 PRECEDING) AS no_new_20d_low_in_10d, avg((ret > 0)::INT) OVER ({_P} ROWS 2 PRECEDING) AS up_ratio_3d,
 stddev_samp(ret) OVER ({_P} ROWS 4 PRECEDING) / stddev_samp(ret) OVER ({_P} ROWS 19 PRECEDING) AS volatility_ratio, (v / min(v) OVER ({_P} ROWS 19 PRECEDING) - 1) * 100 AS distance_to_recent_low, coalesce(avg(CASE WHEN ret < 0 THEN amount END) OVER ({_P} ROWS 9 PRECEDING) / nullif(avg(amount) OVER ({_P} ROWS 9 PRECEDING), 0), 0) AS down_amount_ratio FROM g2),
 pk AS (SELECT sector_label, max(CASE WHEN peak AND v >= latest THEN pos END) AS p1, arg_min(pos, (-v, pos)) AS p0, max(n) AS n FROM g2 GROUP BY 1), pq AS (SELECT sector_label, n - coalesce(p1, p0) AS days_since_peak, p1 IS NOT NULL AS peak_confirmed, g2.trade_date AS previous_peak_date, g2.v AS peak_v FROM pk JOIN g2 USING (sector_label, n) WHERE g2.pos = coalesce(p1, p0)),"""
+_ALL = _BACK.replace("@", "cb AS (SELECT * FROM bars), ")
+_BACK = _BACK.replace("@", _RETURNS)
 _BACK_COLUMNS = "return_1d return_3d return_5d excess_return_3d slope_5 slope_10 slope_20 slope_60 volatility_ratio distance_to_recent_low down_amount_ratio drawdown_from_peak_pct"
 
 
@@ -207,10 +252,51 @@ def sector_pullback(spark, sf_dir):
     return pb.metrics(src.bars_of(spark, sf_dir), src.membership_of(spark, sf_dir)).select("sector_label", "trade_date", "no_new_20d_low_in_5d", "no_new_60d_low_in_5d", "days_since_peak", "peak_confirmed", "previous_peak_date", *_BACK_COLUMNS.split())
 
 
-@query()
+
+def _ramp(x: str, lo: float, hi: float, a: float, b: float) -> str:
+    return f"{a} + ({b - a}) * greatest(0, least(1, ({x} - ({lo})) / ({hi - lo})::DOUBLE))"
+
+
+def _steps(x: str, *rows) -> str:
+    """CASE of (condition, score) pairs and a last score; 50 for a null."""
+    return f"CASE WHEN ({x}) IS NULL THEN 50 " + " ".join(f"WHEN {x} {c} THEN {v}" for c, v in rows[:-1]) + f" ELSE {rows[-1]} END"
+
+
+def _slope_sql(x: str) -> str:
+    return _steps(x, ("< -2", 20), ("< -1", _ramp(x, -2, -1, 30, 60)), ("< -0.5", _ramp(x, -1, -0.5, 60, 80)), ("< 0", _ramp(x, -0.5, 0, 80, 100)), 100)
+
+
+def _rebound_sql(x: str) -> str:
+    return _steps(x, ("< -3", 20), ("< 0", _ramp(x, -3, 0, 40, 70)), ("<= 5", _ramp(x, 0, 5, 80, 100)), ("<= 10", _ramp(x, 5, 10, 80, 60)), 45)
+
+
+def _buy_sql(age: str, depth: str) -> dict[str, str]:
+    """The five parts and the capped sum, from the columns of g3 (industry sectors), the age of the peak and the depth below it."""
+    no = lambda c, v: f"CASE WHEN {c} THEN {v} ELSE 0 END"
+    x, d, r5, da = "volatility_ratio", "greatest(distance_to_recent_low, 0)", "return_5d", "down_amount_ratio"
+    e = "excess_return_3d"
+    parts = {
+        "depth": _steps(f"({depth})", ("<= 0", 20), ("< 5", _ramp(f"({depth})", 0, 5, 30, 85)), ("<= 15", 100), ("<= 30", _ramp(f"({depth})", 15, 30, 70, 35)), 25),
+        "timing": _steps(age, ("<= 3", _ramp(age, 0, 3, 20, 50)), ("<= 45", 100), ("<= 90", _ramp(age, 46, 90, 75, 45)), 35),
+        "stable": f"0.25 * ({no('no_new_20d_low_in_5d', 45)} + {no('no_new_60d_low_in_5d', 35)} + {no('no_new_20d_low_in_10d', 20)}) + 0.35 * (0.3 * ({_slope_sql('slope_5')}) + 0.3 * ({_slope_sql('slope_10')}) + 0.25 * ({_slope_sql('slope_20')}) + 0.15 * ({_slope_sql('slope_60')})) + 0.2 * ({no('v > m5', 40)} + {no('v > m10', 30)} + {no('v > m20', 30)}) + 0.2 * ({_steps(x, ('<= 0.7', 100), ('<= 1', _ramp(x, 0.7, 1, 100, 70)), ('<= 1.3', _ramp(x, 1, 1.3, 70, 40)), 25)})",
+        "rebound": f"0.3 * ({_rebound_sql('return_3d')}) + 0.25 * ({_rebound_sql(r5)}) + 0.25 * ({_steps(e, ('< -3', 25), ('< 0', _ramp(e, -3, 0, 45, 70)), ('<= 5', _ramp(e, 0, 5, 80, 100)), 70)}) + 0.2 * greatest(0, least(100, coalesce(up_ratio_3d * 100, 50)))",
+        "risk": f"0.35 * ({_steps(d, ('< 3', _ramp(d, 0, 3, 45, 90)), ('<= 10', 100), ('<= 20', _ramp(d, 10, 20, 80, 50)), 35)}) + 0.25 * ({_steps(r5, ('< -8', 15), ('< -5', _ramp(r5, -8, -5, 20, 40)), ('< -1', _ramp(r5, -5, -1, 40, 80)), 100)}) + 0.2 * ({_steps(da, ('<= 0.8', 100), ('<= 1.2', _ramp(da, 0.8, 1.2, 80, 50)), ('<= 1.5', _ramp(da, 1.2, 1.5, 50, 25)), 20)}) + 0.2 * ({_slope_sql('slope_20')})",
+    }
+    caps = [("NOT no_new_20d_low_in_5d", 55), ("NOT no_new_60d_low_in_5d", 50), ("slope_5 < -0.5 AND slope_10 < -0.5 AND slope_20 < -0.5", 50), ("return_3d > 10", 70), (f"-({depth}) > -5 AND return_5d > 5", 60), ("volatility_ratio > 1.3 AND down_amount_ratio > 1.1", 55)]
+    total = f"0.15 * ({parts['depth']}) + 0.1 * ({parts['timing']}) + 0.4 * ({parts['stable']}) + 0.2 * ({parts['rebound']}) + 0.15 * ({parts['risk']})"
+    return parts | {"score": f"least({total}, {', '.join(f'CASE WHEN {c} THEN {v} ELSE 100 END' for c, v in caps)})"}
+
+
+_BUY = {k: f"({v})::DOUBLE" for k, v in _buy_sql("days_since_peak", "CASE WHEN peak_v > 0 THEN greatest(0, (1 - v / peak_v) * 100) END").items()}
+_LEVEL = "CASE WHEN s >= 80 THEN '重点观察/布局' WHEN s >= 65 THEN '可以试仓' WHEN s >= 50 THEN '观察等确认' WHEN s >= 35 THEN '有回调未企稳' ELSE '暂不适合买' END"
+
+
+@query(f"{_BACK} bs AS (SELECT sector_label, trade_date, {_BUY['depth']} AS d, {_BUY['timing']} AS t, {_BUY['stable']} AS st, {_BUY['rebound']} AS rb, {_BUY['risk']} AS rk, {_BUY['score']} AS s FROM g3 JOIN pq USING (sector_label) WHERE pos = n), --- SELECT sector_label, trade_date, round(d, 2) AS pullback_depth_score, round(t, 2) AS pullback_timing_score, round(st, 2) AS stabilization_score, round(rb, 2) AS rebound_confirmation_score, round(rk, 2) AS risk_control_score, round(s, 2) AS buy_score, {_LEVEL} AS buy_level FROM bs", "pullback_depth_score pullback_timing_score stabilization_score rebound_confirmation_score risk_control_score buy_score", "sector_label trade_date buy_level")
 def sector_buy_scores(spark, sf_dir):
-    """Buy scores of sectors with caps, level and reason."""
-    return pb.buy_scores(pb.metrics(src.bars_of(spark, sf_dir), src.membership_of(spark, sf_dir)))
+    """Buy scores of sectors with caps and level."""
+    df = pb.buy_scores(pb.metrics(src.bars_of(spark, sf_dir), src.membership_of(spark, sf_dir)))
+    return df.select("sector_label", "trade_date", "buy_level", *pb.PARTS, "buy_score")
+
 
 
 def _stocks(spark, sf_dir):
@@ -319,7 +405,7 @@ def watchlist_payloads(spark, sf_dir):
 
 # -- buy model of sectors ----------------------------------------------------------------------------------------------
 
-_P9 = f"""{_BACK} q0 AS (SELECT *, {', '.join(f'(v / lag(v, {n}) OVER ({_P}) - 1) * 100 AS r{n}, (v / lag(v, {n}) OVER ({_P}) - b / lag(b, {n}) OVER ({_P})) * 100 AS e{n}' for n in (5, 20, 252, 504))}, {_pm('v', 120)} AS m120, CASE WHEN pos >= 60 THEN (v / max(v) OVER ({_P} ROWS 251 PRECEDING) - 1) * 100 END AS dd252, CASE WHEN pos >= 60 THEN pos - (arg_max(pos, (round(v, 9), -pos)) OVER ({_P} ROWS 251 PRECEDING)) END AS since252, ({_pm('ret', 5, 'stddev_samp')}) / nullif({_pm('ret', 20, 'stddev_samp')}, 0) AS vr, (b / lag(b) OVER ({_P}) - 1) * 100 AS b1, lead(v, 20) OVER ({_P}) / v - 1 AS fr, max(v) OVER ({_P} ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING) / v - 1 AS fx FROM g2),
+_P9 = f"""{_ALL} q0 AS (SELECT *, {', '.join(f'(v / lag(v, {n}) OVER ({_P}) - 1) * 100 AS r{n}, (v / lag(v, {n}) OVER ({_P}) - b / lag(b, {n}) OVER ({_P})) * 100 AS e{n}' for n in (5, 20, 252, 504))}, {_pm('v', 120)} AS m120, CASE WHEN pos >= 60 THEN (v / max(v) OVER ({_P} ROWS 251 PRECEDING) - 1) * 100 END AS dd252, CASE WHEN pos >= 60 THEN pos - (arg_max(pos, (round(v, 9), -pos)) OVER ({_P} ROWS 251 PRECEDING)) END AS since252, ({_pm('ret', 5, 'stddev_samp')}) / nullif({_pm('ret', 20, 'stddev_samp')}, 0) AS vr, (b / lag(b) OVER ({_P}) - 1) * 100 AS b1, lead(v, 20) OVER ({_P}) / v - 1 AS fr, max(v) OVER ({_P} ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING) / v - 1 AS fx FROM g2),
 q1 AS (SELECT *, CASE WHEN pos >= 120 THEN avg(coalesce(ret > b1 + 0.000000001::DOUBLE, false)::INT) OVER ({_P} ROWS 251 PRECEDING) END AS op252, (m60 / lag(m60, 5) OVER ({_P}) - 1) * 100 AS s60, (m120 / lag(m120, 5) OVER ({_P}) - 1) * 100 AS s120, (v / m60 - 1) * 100 AS d60, (v / m120 - 1) * 100 AS d120 FROM q0),"""
 
 
@@ -338,6 +424,16 @@ def sector_panel(spark, sf_dir):
     return df.select("sector_label", "trade_date", "phase9_label", "return_5d", "excess_return_20d", "drawdown_from_peak_252d_pct", "days_since_peak_252d", "outperform_ratio_252d", "future_return_20d_close", "future_max_return_20d", "long_mainline_score")
 
 
+_RULE = {k: f"({v})::DOUBLE" for k, v in _buy_sql("since120", "greatest(0, -dd120)").items()}
+
+
+@query(f"{_ALL} k0 AS (SELECT *, CASE WHEN pos >= 20 THEN (v / max(v) OVER ({_P} ROWS 119 PRECEDING) - 1) * 100 END AS dd120, coalesce(CASE WHEN pos >= 20 THEN pos - (arg_max(pos, (round(v, 9), -pos)) OVER ({_P} ROWS 119 PRECEDING)) END, 0) AS since120 FROM g3), k1 AS (SELECT * REPLACE (CASE WHEN pos >= 20 THEN no_new_20d_low_in_5d END AS no_new_20d_low_in_5d, CASE WHEN pos >= 60 THEN no_new_60d_low_in_5d END AS no_new_60d_low_in_5d, CASE WHEN pos >= 20 THEN no_new_20d_low_in_10d END AS no_new_20d_low_in_10d, CASE WHEN pos >= 3 THEN up_ratio_3d END AS up_ratio_3d, CASE WHEN pos >= 20 THEN volatility_ratio END AS volatility_ratio, CASE WHEN pos >= 20 THEN distance_to_recent_low END AS distance_to_recent_low, CASE WHEN pos >= 10 THEN avg(CASE WHEN ret < 0 THEN amount ELSE 0 END) OVER ({_P} ROWS 9 PRECEDING) / nullif(avg(amount) OVER ({_P} ROWS 9 PRECEDING), 0) END AS down_amount_ratio) FROM k0), --- SELECT sector_label, trade_date, {_RULE['depth']} AS rule_pullback_depth_score, {_RULE['timing']} AS rule_pullback_timing_score, {_RULE['stable']} AS rule_stabilization_score, {_RULE['rebound']} AS rule_rebound_confirmation_score, {_RULE['risk']} AS rule_risk_control_score, {_RULE['score']} AS rule_buy_score FROM k1", "rule_pullback_depth_score rule_pullback_timing_score rule_stabilization_score rule_rebound_confirmation_score rule_risk_control_score rule_buy_score", "sector_label trade_date")
+def sector_rule_scores(spark, sf_dir):
+    """Rule buy score and its parts for every sector and day."""
+    df = p9.rule_buy_scores(p9.sector_panel(src.bars_of(spark, sf_dir), src.membership_of(spark, sf_dir)))
+    return df.select("sector_label", "trade_date", *[f"rule_{c}" for c in pb.PARTS], "rule_buy_score")
+
+
 @query(f"{_P9} kk AS (SELECT sector_label, trade_date, {_LONG9} AS s FROM q1), kl AS (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY s DESC, sector_label)::DOUBLE / count(*) OVER (PARTITION BY trade_date) AS p FROM kk), --- SELECT sector_label, trade_date, s AS long_mainline_score FROM kl WHERE s >= 70 OR p <= 0.2", "long_mainline_score", "sector_label trade_date")
 def mainline_rows(spark, sf_dir):
     """Rows of sectors in a long main line."""
