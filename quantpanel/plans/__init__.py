@@ -1,3 +1,3 @@
-from . import catalog, lists, screens  # lists and screens register their queries in the catalog
+from . import catalog, lists, screens, watch  # lists, screens and watch register their queries in the catalog
 
-__all__ = ["catalog", "lists", "screens"]
+__all__ = ["catalog", "lists", "screens", "watch"]

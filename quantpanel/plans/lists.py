@@ -390,8 +390,8 @@ def leader_pool(spark, sf_dir):
 
 
 @query(f"{_STOCK} a0 AS (SELECT symbol, 0 AS source, row_number() OVER (ORDER BY centered_risk_score DESC, symbol) AS ord, 'pattern' AS tag FROM st WHERE public AND pattern_match), a1 AS (SELECT symbol, 1 AS source, phase4_rank AS ord, 'p4' AS tag FROM st WHERE public AND phase4_rank <= 20), a2 AS (SELECT * FROM a0 UNION ALL SELECT * FROM a1), a3 AS (SELECT symbol, min(struct_pack(s := source, o := ord)) AS first_at, string_agg(tag, '/' ORDER BY source) AS tags FROM a2 GROUP BY 1), --- SELECT symbol, tags FROM a3 ORDER BY first_at, symbol LIMIT 30", "", "symbol tags")
-def intraday_pool(spark, sf_dir):
-    """The pool of patterns, filled up by return rank to 30 symbols."""
+def filled_pool(spark, sf_dir):
+    """The pool of patterns, filled up by return rank to 30 symbols."""
     stocks = _stocks(spark, sf_dir)[-1].where("public")
     order = F.row_number().over(Window.partitionBy("trade_date").orderBy(F.desc("centered_risk_score"), "symbol"))
     return rt.fill_pool(30, ("pattern", stocks.where("pattern_match").withColumn("order", order)), ("p4", stocks.where("phase4_rank <= 20").withColumn("order", F.col("phase4_rank")))).select("symbol", "tags")
