@@ -4,7 +4,8 @@ Documents are encoded once into pieces of at most CAPACITY tokens; only the rows
 keeps a fixed number of open bins, filed by free space, and a bitset with a bit for each free space that some open bin
 has: the tightest bin for a piece is the lowest set bit at or above its length, found by a shift. When a piece fits in
 no open bin and all are in use, the fullest closes. Each task packs some hundred thousand pieces; what its bins still
-lack at the end goes as whole bins to the next, narrower round, where bins that fit together are joined by the same rule.
+lack at the end goes as whole bins to further rounds, where bins that fit together are joined by the same rule: only bins
+that the emptiest one fits into take part, dealt over tasks of TASK_PIECES, until one task sees them all or a round saves little.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ CAPACITY = 4096
 OPEN_BINS = 2048
 #: Pieces that one task packs.
 TASK_PIECES = 400_000
+#: Bins filled to this share rest; rounds end when one saves less than this share of its bins.
+FULL, WORTH = 0.98, 0.01
 #: Column for the place that a bin itself was given; not to be among the columns of pieces.
 MOVED = "_moved_to"
 
@@ -109,15 +112,35 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
     spread = pieces.repartition(parts) if parts > 1 else pieces.coalesce(1)
     spot = StructType.fromDDL("sequence_id long, offset long")
     done = store(map_rows(spread, partial(_packed, capacity=capacity, open_bins=open_bins, base=0), StructType([*pieces.schema, *spot])), "packed")
-    while parts > 1:  # bins with room from some tasks meet as items in fewer tasks
-        parts, round_ = -(-parts // 16), round_ + 1
-        fill = done.groupBy(F.col("sequence_id").alias("bin")).agg(F.sum("length").alias("length")).where(F.col("length") <= 0.98 * capacity)
-        again = fill.repartition(parts) if parts > 1 else fill.coalesce(1)
-        moved = map_rows(again, partial(_packed, capacity=capacity, open_bins=open_bins, base=round_ << 56), "bin long, length long, sequence_id long, offset long")
-        moved = store(moved.select(F.struct("sequence_id", "offset").alias(MOVED), F.col("bin").alias("sequence_id")), "moved")
-        done = done.join(moved, "sequence_id", "left").withColumns({"sequence_id": F.coalesce(f"{MOVED}.sequence_id", "sequence_id"), "offset": F.col("offset") + F.coalesce(f"{MOVED}.offset", F.lit(0))})
-        done = store(done.select(*pieces.columns, "sequence_id", "offset"), "packed")
-    return done
+    if parts == 1:
+        return done
+    # bins with room from different tasks meet as items; at tells the place of each first bin
+    at = store(done.groupBy(F.col("sequence_id").alias("bin")).agg(F.sum("length").alias("length")).withColumns({"seq": F.col("bin"), "off": F.lit(0).cast("long")}), "bins")
+    while parts > 1:
+        round_ += 1
+        open_, n = _may_combine(at, capacity)
+        parts = -(-n // TASK_PIECES)
+        if n < 2:
+            break
+        again = open_.repartition(parts) if parts > 1 else open_.coalesce(1)
+        moved = store(map_rows(again, partial(_packed, capacity=capacity, open_bins=open_bins, base=round_ << 56), "bin long, length long, sequence_id long, offset long"), "moved")
+        saved = n - moved.select("sequence_id").distinct().count()
+        if saved:
+            new = moved.select(F.col("bin").alias("seq"), F.col("sequence_id").alias("new_seq"), F.col("offset").alias("more"))
+            at = store(at.join(new, "seq", "left").select("bin", "length", F.coalesce("new_seq", "seq").alias("seq"), (F.col("off") + F.coalesce("more", F.lit(0))).alias("off")), "bins")
+        if saved < WORTH * n:
+            break
+    found = at.where("bin <> seq or off <> 0").select(F.col("bin").alias("sequence_id"), F.struct(F.col("seq").alias("sequence_id"), F.col("off").alias("offset")).alias(MOVED))
+    done = done.join(found, "sequence_id", "left").withColumns({"sequence_id": F.coalesce(f"{MOVED}.sequence_id", "sequence_id"), "offset": F.col("offset") + F.coalesce(f"{MOVED}.offset", F.lit(0))})
+    return done.select(*pieces.columns, "sequence_id", "offset")
+
+
+def _may_combine(at: DataFrame, capacity: int) -> tuple[DataFrame, int]:
+    """(bin, length) of the bins of at (seq, length) that the emptiest other bin fits into, and their number."""
+    fill = store(at.groupBy(F.col("seq").alias("bin")).agg(F.sum("length").alias("length")), "fill")
+    least = fill.agg(F.min("length")).first()[0]
+    open_ = fill.where(F.col("length") <= min(FULL * capacity, capacity - (least or 0)))
+    return open_, open_.count()
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:

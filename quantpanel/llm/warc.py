@@ -119,6 +119,13 @@ def write_archives(pages: DataFrame, root: str | None = None, least_bytes: int =
     return store(map_rows(rows, partial(_written, root=root), "uri string, size long"), "archives")
 
 
+def _last_field(raw: bytes, start: int, end: int, name: bytes) -> tuple[int, bytes]:
+    """Place and value of the last line between start and end that has the field; -1 if none has."""
+    key = b"\r\n" + name + b": "
+    at = raw.rfind(key, start, end)
+    return (at, raw[at + len(key) : raw.find(b"\r\n", at + 2, end + 2)]) if at >= 0 else (-1, b"")
+
+
 def _scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Candidates of each range: off, next (its successor) and exit (the first place beyond the range that it leads to)."""
     for pdf in batches:
@@ -136,13 +143,20 @@ def _scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 raw = b"".join([raw, *more])
             rows, blank = {}, -1
             for m in MAGIC.finditer(raw):
-                if m.start() >= hi - lo:
+                at = m.start()
+                if at >= hi - lo:
                     break
-                blank = raw.find(b"\r\n\r\n", m.start()) if blank < m.start() else blank
-                if blank >= 0 and (head := header_of(raw[m.start() : blank + 4])):
-                    after = lo + m.start() + head[1] + int(head[0][b"Content-Length"]) + 4
+                if blank < at:  # magics up to a blank line have the header fields that follow them before it
+                    blank = raw.find(b"\r\n\r\n", at)
+                    if blank < 0:
+                        break
+                    length_at, length = _last_field(raw, at, blank, b"Content-Length")
+                    type_at, _ = _last_field(raw, at, blank, b"WARC-Type")
+                    known = length.isdigit() and len(length) < 19
+                if known and at < length_at and at < type_at:
+                    after = lo + blank + 8 + int(length)
                     if after <= size:
-                        rows[lo + m.start()] = after
+                        rows[lo + at] = after
             exits: dict[int, int] = {}
             for off in sorted(rows, reverse=True):
                 after = rows[off]
@@ -203,8 +217,8 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         raise ValueError(f"the payload at {off} of {uri} is not the one that was written")
                     page = fields.get(b"X-Page-Id")
                     out.append((page and int(page), n, said, kind, to and int(to)))
-        frame = pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-        yield frame.astype({"page_id": "Int64", "refers_to": "Int64"})
+        page, n, said, kind, to = zip(*out, strict=True) if out else ((), (), (), (), ())
+        yield pd.DataFrame({"page_id": pd.array(page, dtype="Int64"), "payload_bytes": n, "payload_digest": said, "record_type": kind, "refers_to": pd.array(to, dtype="Int64")})
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
