@@ -26,7 +26,7 @@ LONGEST = 4
 #: 2 ** SIEVE bits tell which words and pairs may be frequent: 8 MB.
 SIEVE = 26
 #: Words whose counts a task gathers before it hands them on.
-GATHERED = 2_000_000
+GATHERED = 1_000_000
 #: Texts of a language that are hashed together, in bytes.
 BLOB = 4 << 20
 _COLUMNS = ["c1", "c2", "c3", "c4"]
