@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import HOT_ROWS, U64, join_counted, mix, store, width
 
 #: Documents of a source that meet in one task, and those with a fraction left that meet at a level of the tree.
-BLOCK, FAN = 20_000, 512
+BLOCK, FAN = 2_000, 512
 #: A fraction this near to a whole number is one.
 EPS = 1e-9
 _ROW = "name string, doc_id long, no_id boolean, size long, no long, whole long, p double"
