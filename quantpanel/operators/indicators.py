@@ -71,6 +71,52 @@ def add_recurrences(bars: DataFrame) -> DataFrame:
     return out.withColumns({"atr_pct_14": pct, "atr_regime": regime, **levels})
 
 
+def _advanced(a: str, close: str, tr: str) -> dict[str, str]:
+    """SQL of each part of a symbol's state after one more bar, from the state `a`, the bar's close and its true range."""
+    ema = lambda part, x, span: f"case when {x} is null then {a}.{part} when {a}.{part} is null then {x} else {2 / (span + 1)}D * {x} + {1 - 2 / (span + 1)}D * {a}.{part} end"
+    fast, slow, n = ema("fast", close, 12), ema("slow", close, 26), f"{a}.n + if({close} is null, 0, 1)"
+    dif = f"if({n} >= 26, ({fast}) - ({slow}), null)"
+    dea, n_dif = ema("dea", f"({dif})", 9), f"{a}.n_dif + if({n} >= 26, 1, 0)"
+    atr = f"case when {tr} is null then {a}.atr when {a}.n_tr < 13 then {a}.atr + {tr} when {a}.n_tr = 13 then ({a}.atr + {tr}) / 14 else ({a}.atr * 13 + {tr}) / 14 end"
+    gap = f"if({n_dif} >= 9, ({dif}) - ({dea}), null)"
+    return {"fast": fast, "slow": slow, "n": n, "dea": dea, "n_dif": n_dif, "atr": atr, "n_tr": f"{a}.n_tr + if({tr} is null, 0, 1)", "close": f"coalesce({close}, {a}.close)", "gaps": f"slice(concat({a}.gaps, array({gap})), -4, 4)"}
+
+
+_START = {"fast": "cast(null as double)", "slow": "cast(null as double)", "n": "0", "dea": "cast(null as double)", "n_dif": "0", "atr": "0D", "n_tr": "0", "close": "cast(null as double)", "gaps": "cast(array(null, null, null, null) as array<double>)"}
+
+
+def _state(parts: dict[str, str]) -> str:
+    return "struct(" + ", ".join(f"{v} as {k}" for k, v in parts.items()) + ")"
+
+
+def recurrence_state(bars: DataFrame) -> DataFrame:
+    """(symbol, last_date, state): all that MACD, ATR14 and their crossings of the next bar need, a fixed size a symbol."""
+    df = bars.withColumn("tr", true_range())
+    rows = df.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("trade_date", "close", "tr"))).alias("r"))  # three numbers a trading day
+    return rows.select("symbol", F.element_at("r", -1)["trade_date"].alias("last_date"), F.expr(f"aggregate(r, {_state(_START)}, (a, x) -> {_state(_advanced('a', 'x.close', 'x.tr'))})").alias("state"))
+
+
+def advanced(state: DataFrame, bars: DataFrame) -> DataFrame:
+    """bars (symbol, high, low, close, ...), one new bar a symbol, with the state after it; work a bar is constant.
+
+    A symbol without a state begins with this bar.
+    """
+    df = bars.join(state.select("symbol", "last_date", "state"), "symbol", "left").withColumn("state", F.coalesce("state", F.expr(_state(_START))))
+    df = df.withColumn("_tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("state.close")), F.abs(F.col("low") - F.col("state.close"))))
+    return df.withColumn("state", F.expr(_state(_advanced("state", "close", "_tr")))).drop("_tr")
+
+
+def technicals(df: DataFrame) -> DataFrame:
+    """Columns of a state: DIF, DEA, histogram, ATR14, its share of the close and the crossing of the last three bars."""
+    s = "state"
+    dif, dea = F.expr(f"if({s}.n >= 26, {s}.fast - {s}.slow, null)"), F.expr(f"if({s}.n_dif >= 9, {s}.dea, null)")
+    met = lambda a, b: F.expr(f"exists(sequence(0, 2), k -> coalesce({s}.gaps[k] {a} 0 and {s}.gaps[k + 1] {b} 0, false))")
+    last = F.element_at("state.gaps", -1)
+    cross = F.when(met("<=", ">"), "golden_cross").when(met(">=", "<"), "dead_cross").when(last > 0, "above_signal").when(last <= 0, "below_signal")
+    atr = F.expr(f"if({s}.n_tr >= 14, {s}.atr, null)")
+    return df.withColumns({"macd_dif": dif, "macd_dea": dea, "macd_hist": (dif - dea) * 2, "atr_14": atr, "atr_pct_14": F.try_divide(atr, F.col("state.close")), "macd_state": cross}).drop("state")
+
+
 def last_rows(df: DataFrame, as_of: str | None = None) -> DataFrame:
     """The last row of each symbol up to a date."""
     df = df if as_of is None else df.where(F.col("trade_date") <= F.lit(as_of).cast("date"))

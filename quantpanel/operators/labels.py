@@ -26,6 +26,13 @@ def base_features(bars: DataFrame) -> DataFrame:
     }).drop("_down")
 
 
+def latest_features(bars: DataFrame, lookback: int = 61) -> DataFrame:
+    """Base features of each symbol's last bar from its last `lookback` bars (L3); the outcomes ahead are left out."""
+    w = Window.partitionBy("symbol").orderBy(F.desc("trade_date"))
+    tail = bars.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= lookback)
+    return base_features(tail).where("_n = 1").drop("_n", "future_return_5d", "future_min_return_5d")
+
+
 def tail_risk(bars: DataFrame, lookback: int = 100, quantile: float = 0.05, horizon: int = 1) -> DataFrame:
     """Tail event: return under the quantile of the prior returns; the label is the event `horizon` bars on (L2)."""
     df = bars.withColumn("log_return", F.log(F.try_divide(F.col("close"), F.lag("close").over(by_symbol()))))

@@ -21,9 +21,10 @@ from quantpanel.operators import routes as rt
 from quantpanel.operators import scores as sc
 from quantpanel.operators import sectors as se
 from quantpanel.sources import bars as src
+from quantpanel.streaming import candidates as ca
 from quantpanel.streaming import quotes as qs
 
-from .catalog import _PANEL, _S, _SCORED, _avg, _scored, query
+from .catalog import _EMA, _PANEL, _S, _SCORED, _avg, _scored, query
 
 # -- membership -------------------------------------------------------------------------------------------------------
 
@@ -561,11 +562,36 @@ def intraday_strength(spark, sf_dir):
     return qs.sector_strength(snapshots, members, sectors).select("sector_type", "sector_label", "leader_pct_change", "valid_leaders", "strength_rank")
 
 
+_OVER = """fq AS (SELECT lpad(CAST(user_id AS VARCHAR), 6, '0') AS symbol, CAST(ts AS DATE) AS trade_date, arg_max(value, (ts, event_id)) AS close FROM events GROUP BY 1, 2), f1 AS (SELECT * FROM fq QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY trade_date) = 1),
+ob AS (SELECT bars.symbol, bars.trade_date, bars.open, bars.close, bars.high, bars.low, bars.volume, bars.amount FROM bars JOIN f1 USING (symbol) WHERE bars.trade_date < f1.trade_date UNION ALL SELECT symbol, trade_date, close, close, close, close, 0, 0 FROM f1), """
+
+
+def _quoted(spark, sf_dir):
+    """The last quote of each symbol on its first day, and states and tails of the bars before it."""
+    latest = qs.latest_quotes(qs.quotes_of(src.table(spark, sf_dir, "events")))
+    w = Window.partitionBy("symbol").orderBy("trade_date")
+    latest = latest.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    history = ca.before_today(src.bars_of(spark, sf_dir), latest)
+    return latest, ind.recurrence_state(history), ca.history_tail(history)
+
+
+@query(f"{_OVER} {_EMA.replace('FROM bars', 'FROM ob')} z0 AS (SELECT *, dif - dea AS u, lag(dif - dea) OVER ({_S}) AS u0, lag(close) OVER ({_S}) AS pre, ln(close / lag(close) OVER ({_S})) AS lr, close / lag(close, 5) OVER ({_S}) - 1 AS r5, {_avg('close', 20)} AS m20 FROM ind), z1 AS (SELECT *, {_avg('lr', 20).replace('avg(', 'stddev_samp(')} AS v20 FROM z0), z2 AS (SELECT symbol, bool_or(u0 <= 0 AND u > 0) AS g, bool_or(u0 >= 0 AND u < 0) AS d FROM z1 WHERE i > n - 3 GROUP BY 1), --- SELECT symbol, trade_date, close, dif AS macd_dif, dea AS macd_dea, 2 * (dif - dea) AS macd_hist, atr AS atr_14, atr / close AS atr_pct_14, CASE WHEN g THEN 'golden_cross' WHEN d THEN 'dead_cross' WHEN u > 0 THEN 'above_signal' WHEN u <= 0 THEN 'below_signal' END AS macd_state, (close / pre - 1) * 100 AS intraday_pct_change, r5 AS return_5d, v20 AS vol_20, close / m20 - 1 AS ma20_distance FROM z1 LEFT JOIN z2 USING (symbol) WHERE i = n", "close macd_dif macd_dea macd_hist atr_14 atr_pct_14 intraday_pct_change return_5d vol_20 ma20_distance", "symbol trade_date macd_state", True)
+def intraday_analysis(spark, sf_dir):
+    """Indicators and features of the first quoted day of each symbol, from states advanced by its provisional bar."""
+    latest, state, tail = _quoted(spark, sf_dir)
+    df = ca.analysis(latest, state, tail)
+    return df.select("symbol", "trade_date", "close", "macd_dif", "macd_dea", "macd_hist", "atr_14", "atr_pct_14", "macd_state", "intraday_pct_change", "return_5d", "vol_20", "ma20_distance")
+
+
 @query()
 def intraday_routes(spark, sf_dir):
     """Routes of the day by the strength of sectors."""
-    stocks = _stocks(spark, sf_dir)[-1].join(src.membership_of(spark, sf_dir), "symbol").withColumn("intraday_pct_change", F.col("daily_return_pct"))
+    scored = _stocks(spark, sf_dir)[-1].join(src.membership_of(spark, sf_dir), "symbol")
+    latest, state, tail = _quoted(spark, sf_dir)
+    change = ca.analysis(latest, state, tail).select("symbol", "intraday_pct_change")
+    stocks = scored.join(change, "symbol")
     pool = qs.pool_source(stocks.where("public"), stocks)
     sectors = _sectors(spark, sf_dir).select("sector_type", "sector_label", "phase9_score_100")
     strength = qs.sector_strength(pool.select("symbol", "intraday_pct_change"), pool.select("sector_type", "sector_label", "symbol"), sectors)
-    return qs.intraday_routes(pool, strength).select("route", "route_rank", "symbol", "sector_label", "pool_score")
+    pool = pool.join(sectors.select("sector_label", "phase9_score_100"), "sector_label", "left")
+    return qs.intraday_routes(pool, strength).select("route", "route_rank", "display_rank", "symbol", "sector_label", "pool_score")

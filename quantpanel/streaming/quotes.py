@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantpanel.operators.scores import centred, mixed_scores
+
 
 def quotes_of(events: DataFrame) -> DataFrame:
     """(symbol, quote_datetime, close, event_id) of events, batch or stream."""
@@ -64,22 +66,36 @@ def sector_strength(snapshots: DataFrame, pool: DataFrame, sectors: DataFrame) -
     return df.withColumns({"strength_rank": rank("leader_pct_change"), "phase9_rank": rank("phase9_score_100")}).drop("_all")
 
 
+def route_sectors(strength: DataFrame, n: int = 10) -> DataFrame:
+    """The first n sectors by the leaders' change, and by the buy score, each then by the other, nulls last.
+
+    (route, sector_label, place): exactly n a route where there are as many; rows that tie in both go by name.
+    """
+    change, buy = F.col("leader_pct_change").desc_nulls_last(), F.col("phase9_score_100").desc_nulls_last()
+    both = strength.select("sector_label", "leader_pct_change", "phase9_score_100", F.explode(F.array(F.lit("recent"), F.lit("rotation"))).alias("route"))
+    of = lambda *order: F.row_number().over(Window.partitionBy("route").orderBy(*order, "sector_label"))
+    df = both.withColumn("place", F.when(F.col("route") == "recent", of(change, buy)).otherwise(of(buy, change)))  # sectors of a day
+    return df.where(F.col("place") <= n).select("route", "sector_label", "place")
+
+
 def intraday_routes(candidates: DataFrame, strength: DataFrame, n: int = 10) -> DataFrame:
-    """Candidates of the n strongest sectors of either rank, by the filters of the routes.
+    """Candidates of the first n sectors of either order, by the filters of the routes.
 
-    candidates: (symbol, sector_label, phase1_score_100, phase2_score_100, phase4_score_100, intraday_pct_change).
+    candidates: (symbol, sector_label, phase1_score_100, phase2_score_100, phase4_score_100, phase9_score_100,
+    intraday_pct_change), a row for each sector of a symbol. A null score or change passes no filter. route_rank orders a
+    route by its leading score, then the centred score and its parts; display_rank counts both routes, "recent" first.
     """
     # Least risk scores of both routes and of the second, largest change of the day.
     least, more, most = 20.0, 40.0, 9.9
-    df = candidates.join(strength.select("sector_label", "strength_rank", "phase9_rank", "phase9_score_100"), "sector_label")
-    public = (F.col("phase1_score_100") > least) & (F.col("phase2_score_100") > least) & F.coalesce(F.col("intraday_pct_change") <= most, F.lit(True))
-    df = df.where(public).withColumn("pool_score", F.round(F.col("phase4_score_100") + 0.2 * F.col("phase1_score_100") + 0.2 * F.col("phase2_score_100"), 4))
-    strong = df.where(F.col("strength_rank") <= n).withColumns({"route": F.lit("recent"), "_o": F.col("phase9_score_100")})
-    turn = df.where((F.col("phase9_rank") <= n) & (F.col("phase1_score_100") > more) & (F.col("phase2_score_100") > more)).withColumns({"route": F.lit("rotation"), "_o": F.col("pool_score")})
-    both = strong.unionByName(turn)
-    order = (F.col("_o").desc_nulls_last(), F.col("pool_score").desc_nulls_last(), F.asc("symbol"))
-    best = both.withColumn("_n", F.row_number().over(Window.partitionBy("route", "symbol").orderBy(*order, "sector_label"))).where("_n = 1")
-    return best.withColumn("route_rank", F.row_number().over(Window.partitionBy("route").orderBy(*order))).drop("_n", "_o")  # a pool of a day
+    fit = (F.col("phase1_score_100") > least) & (F.col("phase2_score_100") > least) & (F.col("intraday_pct_change") <= most)
+    calm = (F.col("phase1_score_100") > more) & (F.col("phase2_score_100") > more)
+    df = mixed_scores(candidates).where(fit).join(F.broadcast(route_sectors(strength, n)), "sector_label").where((F.col("route") == "recent") | calm)
+    df = df.withColumn("pool_score", F.col("centered_risk_score"))
+    lead = F.when(F.col("route") == "recent", F.col("phase9_score_100")).otherwise(F.col("pool_score"))
+    order = [c.desc_nulls_last() for c in (lead, F.col("pool_score"), F.col("phase4_score_100"), centred(F.col("phase1_score_100")), centred(F.col("phase2_score_100")))] + [F.col("symbol").asc()]
+    best = df.withColumn("_n", F.row_number().over(Window.partitionBy("route", "symbol").orderBy("place"))).where("_n = 1").drop("_n", "place")
+    best = best.withColumn("route_rank", F.row_number().over(Window.partitionBy("route").orderBy(*order)))  # a pool of a day
+    return best.withColumn("display_rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("route", "route_rank")))
 
 
 def pool_source(today: DataFrame, earlier: DataFrame) -> DataFrame:

@@ -275,6 +275,48 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {(r.symbol, r.trade_date): r.close for r in seen} == want
 
 
+def test_analysis_of_a_stream_is_that_of_the_whole_bars(spark, tmp_path):
+    """A state advanced by the provisional bar is the recurrence over history and that bar; a batch run twice changes nothing."""
+    from quantpanel.streaming import candidates as ca
+
+    d = date(2024, 1, 1)
+    rows = [(s, d + timedelta(days=i), p, p, p * 1.02, p * 0.99, 5.0, 50.0, None) for s, k in (("000001", 3), ("000002", 7)) for i in range(90) for p in (20 + (i * k) % 11 + 0.1 * i,)]
+    history = spark.createDataFrame(rows, src.BARS)
+    quotes = [(s, datetime(2024, 4, 1, h, 0), 30.0 + h, h) for s in ("000001", "000002") for h in (10, 11)]
+    kind = "symbol string, quote_datetime timestamp, close double, event_id long"
+    for k in (0, 1):
+        spark.createDataFrame(quotes[k::2], kind).coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
+    state, tail = ind.recurrence_state(history), ca.history_tail(history)
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    ca.run_analysis(stream, state, tail, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(240)
+    got = {r.symbol: r for r in ca.refreshed(spark, str(tmp_path / "out")).collect()}
+    bar = qs.provisional_bars(qs.latest_quotes(spark.createDataFrame(quotes, kind)))
+    whole = {r.symbol: r for r in ind.last_rows(ind.add_recurrences(qs.overlay(history, bar))).collect()}
+    crossed = {r.symbol: r.macd_state for r in ind.cross_state(ind.add_recurrences(qs.overlay(history, bar))).collect()}
+    features = {r.symbol: r for r in ind.last_rows(lab.base_features(qs.overlay(history, bar))).collect()}
+    assert got.keys() == {"000001", "000002"} and all(r.close == 41 for r in got.values())
+    for s, r in got.items():
+        assert [r.macd_dif, r.macd_dea, r.macd_hist, r.atr_14] == pytest.approx([whole[s].macd_dif, whole[s].macd_dea, whole[s].macd_hist, whole[s].atr_14]) and r.macd_state == crossed[s]
+        assert [r.vol_60, r.drawdown_60, r.return_60d] == pytest.approx([features[s].vol_60, features[s].drawdown_60, features[s].return_60d])
+    again = ca.analysis(qs.latest_quotes(spark.createDataFrame(quotes, kind)), state, tail).withColumn("batch", F.lit(1).cast("long"))
+    again.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(str(tmp_path / "out"))
+    assert {r.symbol: r.macd_dif for r in ca.refreshed(spark, str(tmp_path / "out")).collect()} == pytest.approx({s: r.macd_dif for s, r in got.items()})
+    short = ind.technicals(ind.advanced(ind.recurrence_state(history.limit(0)), bar)).first()
+    assert short.macd_dif is None and short.atr_14 is None
+
+
+def test_routes_take_ten_sectors_whatever_ties(spark):
+    sectors = [("industry", f"S{k:02d}", 2.0 if k < 12 else 1.0 - k, 50.0 + (k == 13)) for k in range(14)] + [("industry", "none", None, None)]
+    strength = spark.createDataFrame(sectors, "sector_type string, sector_label string, leader_pct_change double, phase9_score_100 double")
+    got = qs.route_sectors(strength).orderBy("route", "place").collect()
+    assert [r.sector_label for r in got if r.route == "recent"] == [f"S{k:02d}" for k in range(10)]
+    assert [r.sector_label for r in got if r.route == "rotation"] == ["S13"] + [f"S{k:02d}" for k in range(9)]
+    rows = [("a", "S00", 50.0, 50.0, 60.0, 50.0, 1.0), ("b", "S00", 30.0, 50.0, 70.0, 50.0, 1.0), ("c", "S01", 50.0, 50.0, 80.0, 50.0, None), ("d", "S11", 90.0, 90.0, 90.0, 50.0, 1.0), ("e", "S13", 60.0, 60.0, 10.0, 51.0, 9.95)]
+    pool = spark.createDataFrame(rows, "symbol string, sector_label string, phase1_score_100 double, phase2_score_100 double, phase4_score_100 double, phase9_score_100 double, intraday_pct_change double")
+    got = qs.intraday_routes(pool, strength).orderBy("display_rank").collect()
+    assert [(r.route, r.route_rank, r.symbol, r.pool_score) for r in got] == [("recent", 1, "b", 74.8), ("recent", 2, "a", 68.0), ("rotation", 1, "a", 68.0)]
+
+
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_sql_gives_the_same_rows(spark, name):
     con = duckdb.connect()
