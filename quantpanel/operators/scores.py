@@ -111,15 +111,6 @@ def decile_report(df: DataFrame, score: str, outcome: str, by: list[str], rule:
     return d.groupBy("decile").agg(F.count(F.lit(1)).alias("n_rows"), F.avg(outcome).alias("mean_outcome"), F.percentile(outcome, 0.5).alias("median_outcome"), F.avg((F.col(outcome) > 0).cast("double")).alias("hit_rate"))
 
 
-def filter_impact(df: DataFrame, score: str, outcome: str, rates: tuple[float, ...] = (0.1, 0.2, 0.3)) -> DataFrame:
-    """What removing the riskiest share of each day does to the mean outcome."""
-    w = Window.partitionBy("trade_date")
-    df = df.where(F.col(score).isNotNull() & F.col(outcome).isNotNull()).withColumns({"r": F.row_number().over(w.orderBy(F.desc(score), "symbol")), "n": F.count(F.lit(1)).over(w)})
-    df = df.withColumn("rate", F.explode(F.array(*[F.lit(x) for x in rates]))).withColumn("kept", F.col("r") > F.ceil(F.col("rate") * F.col("n")))
-    agg = df.groupBy("rate").agg(F.count(F.lit(1)).alias("n_rows"), F.sum((~F.col("kept")).cast("long")).alias("removed"), F.avg(outcome).alias("baseline"), F.avg(F.when(F.col("kept"), F.col(outcome))).alias("kept_mean"))
-    return agg.withColumn("delta", F.col("kept_mean") - F.col("baseline"))
-
-
 def rolling_score(df: DataFrame, value: str, n: int = 5, least: int = 3) -> DataFrame:
     """Rolling mean, population deviation and change of a score."""
     w = Window.partitionBy("symbol").orderBy("trade_date")

@@ -1,3 +1,3 @@
-from . import catalog, lists, screens, watch  # lists, screens and watch register their queries in the catalog
+from . import catalog, lists, screens, validation, watch  # all but the catalog register their queries in it
 
-__all__ = ["catalog", "lists", "screens", "watch"]
+__all__ = ["catalog", "lists", "screens", "validation", "watch"]

@@ -417,12 +417,6 @@ def roc_auc(spark, sf_dir):
     return sc.auc(_scored(spark, sf_dir).withColumn("y", (F.col("outcome") > 0).cast("int")), "score", "y")
 
 
-@query(f"{_SCORED} r AS (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY score DESC, symbol) AS k, count(*) OVER (PARTITION BY trade_date) AS n FROM s1), x AS (SELECT rate, outcome, k > ceil(rate * n) AS kept FROM r CROSS JOIN (VALUES (0.1::DOUBLE), (0.2::DOUBLE), (0.3::DOUBLE)) v(rate)), --- SELECT rate, count(*) AS n_rows, sum((NOT kept)::INT)::BIGINT AS removed, avg(outcome) AS baseline, avg(CASE WHEN kept THEN outcome END) AS kept_mean FROM x GROUP BY rate", "rate baseline kept_mean", "n_rows removed")
-def filter_impact(spark, sf_dir):
-    """Effect of removing the riskiest rows."""
-    return sc.filter_impact(_scored(spark, sf_dir), "score", "outcome").drop("delta")
-
-
 _TOPK = f"""{_SCORED} k0 AS (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY score DESC, symbol) AS k FROM s1), k1 AS (SELECT trade_date, list(symbol) AS held, avg(outcome) AS gross FROM k0 WHERE k <= 5 GROUP BY 1), k2 AS (SELECT *, coalesce(lag(held) OVER (ORDER BY trade_date), []) AS old FROM k1),
 k3 AS (SELECT trade_date, gross - (0.0005::DOUBLE * len(list_filter(held, lambda x: NOT list_contains(old, x))) + 0.0015::DOUBLE * len(list_filter(old, lambda x: NOT list_contains(held, x)))) / 5 AS net FROM k2), k4 AS (SELECT *, exp(sum(ln(1 + net)) OVER (ORDER BY trade_date)) AS v FROM k3), k5 AS (SELECT *, v / greatest(1, max(v) OVER (ORDER BY trade_date)) - 1 AS dd FROM k4),"""
 

@@ -13,7 +13,6 @@ from quantpanel.operators import labels as lab
 from quantpanel.operators import leaders as ld
 from quantpanel.operators import market as mk
 from quantpanel.operators import membership as mb
-from quantpanel.operators import models as md
 from quantpanel.operators import phase9 as p9
 from quantpanel.operators import pullback as pb
 from quantpanel.operators import quality as ql
@@ -441,34 +440,6 @@ def mainline_rows(spark, sf_dir):
     return p9.keep_mainline(p9.sector_panel(src.bars_of(spark, sf_dir), src.membership_of(spark, sf_dir))).select("sector_label", "trade_date", "long_mainline_score")
 
 
-# -- models ------------------------------------------------------------------------------------------------------------
-
-_FEATURES = ["log_return", "return_5d", "vol_20", "range_pct"]
-
-
-def _risk_panel(spark, sf_dir):
-    bars = src.bars_of(spark, sf_dir)
-    features = lab.base_features(bars).select("symbol", "trade_date", *_FEATURES, "future_return_5d")
-    return lab.risk_panel(features, lab.tail_risk(bars).select("symbol", "trade_date", "risk_label"), ["risk_label"])
-
-
-def _walk(spark, sf_dir, name):
-    panel = _risk_panel(spark, sf_dir)
-    return md.walk_forward_scores(panel, gt.walk_forward(panel, 1000, 250, 500, 11), _FEATURES, "risk_label", name)
-
-
-@query()
-def walk_forward_report(spark, sf_dir):
-    """Windows of a logistic model of tail risk out of sample."""
-    return md.window_report(_walk(spark, sf_dir, "logistic"), "risk_label", "future_return_5d")
-
-
-@query()
-def target_comparison(spark, sf_dir):
-    """Scores of a tree and of the prior out of sample, compared."""
-    return md.compare_targets({n: _walk(spark, sf_dir, n) for n in ("tree", "prior")}, "risk_label", "future_return_5d")
-
-
 # -- strategies --------------------------------------------------------------------------------------------------------
 
 _ALL = "1998-06-30"

@@ -327,7 +327,7 @@ def test_sql_gives_the_same_rows(spark, name):
     columns = sorted(got.columns)
     assert sorted(want.columns) == columns and len(got) == len(want)
     key = [c for c in columns if got[c].dtype != float]
-    got, want = (x[columns].assign(**{c: x[c].astype(str).str.replace(" 00:00:00", "", regex=False).replace("NaT", "None") for c in key}).sort_values(key or columns).reset_index(drop=True) for x in (got, want))
+    got, want = (x[columns].assign(**{c: x[c].astype(str).str.replace(" 00:00:00", "", regex=False).replace("NaT", "None") for c in key}).sort_values([*key, *[c for c in columns if c not in key]]).reset_index(drop=True) for x in (got, want))
     for c in columns:
         if c in key:
             assert list(got[c]) == list(want[c]), c
