@@ -135,27 +135,37 @@ def candle_features(bars: DataFrame) -> DataFrame:
     })
 
 
+# Fixed value: what is added to denominators.
+GUARD = 1e-12
+
+
 def window_features(bars: DataFrame, windows: tuple[int, ...] = (5, 10, 20, 30, 60)) -> DataFrame:
-    """The rolling blocks of the 158 features, frames that shrink at the start."""
-    d, c = F.try_divide, F.col("close")
+    """The rolling blocks of the 158 features, frames that shrink at the start.
+
+    Ranges and sums in a denominator have GUARD added, so a flat window gives 0. The first bar has no change: it counts as
+    neither rise nor fall, and sums over it alone are null.
+    """
+    d, c, g = F.try_divide, F.col("close"), F.lit(GUARD)
     df = bars.withColumns({"_i": F.row_number().over(by_symbol()).cast("double"), "_p": F.lag("close").over(by_symbol()), "_v0": F.lag("volume").over(by_symbol())})
     df = df.withColumns({"_r": d("close", "_p"), "_vr": F.log(d("volume", "_v0") + 1), "_lv": F.log1p("volume"), "_d": c - F.col("_p"), "_dv": F.col("volume") - F.col("_v0")})
-    df = df.withColumns({"_up": F.greatest("_d", F.lit(0.0)), "_ad": F.abs("_d"), "_vup": F.greatest("_dv", F.lit(0.0)), "_vad": F.abs("_dv"), "_pos": F.when(F.col("_d").isNotNull(), (F.col("_d") > 0).cast("double")), "_neg": F.when(F.col("_d").isNotNull(), (F.col("_d") < 0).cast("double")), "_w": F.abs(F.col("_r") - 1) * F.col("volume")})
+    clip = lambda x: F.when(x.isNotNull(), F.greatest(x, F.lit(0.0)))
+    df = df.withColumns({"_up": clip(F.col("_d")), "_dn": clip(-F.col("_d")), "_ad": F.abs("_d"), "_vup": clip(F.col("_dv")), "_vdn": clip(-F.col("_dv")), "_vad": F.abs("_dv"), "_pos": F.coalesce(F.col("_d") > 0, F.lit(False)).cast("double"), "_neg": F.coalesce(F.col("_d") < 0, F.lit(False)).cast("double"), "_w": F.abs(F.col("_r") - 1) * F.col("volume")})
     cols = {}
     for n in windows:
         w = last(n)
         slope, fit = F.regr_slope("close", "_i").over(w), F.regr_intercept("close", "_i").over(w) + F.regr_slope("close", "_i").over(w) * F.col("_i")
         arr, hi, lo = F.collect_list("close").over(w), F.collect_list("high").over(w), F.collect_list("low").over(w)
+        up, down, moved, vup, vdown, vmoved = (F.sum(x).over(w) + (g if x.endswith("ad") else 0) for x in ("_up", "_dn", "_ad", "_vup", "_vdn", "_vad"))
         imax, imin = F.array_position(hi, F.max("high").over(w)).cast("double"), F.array_position(lo, F.min("low").over(w)).cast("double")
         cols |= {
             f"ROC{n}": d(F.lag("close", n).over(by_symbol()), c), f"MA{n}": d(F.avg("close").over(w), c), f"STD{n}": d(F.stddev_samp("close").over(w), c), f"MAX{n}": d(F.max("high").over(w), c), f"MIN{n}": d(F.min("low").over(w), c),
-            f"QTLU{n}": d(F.percentile("close", 0.8).over(w), c), f"QTLD{n}": d(F.percentile("close", 0.2).over(w), c), f"RSV{n}": d(c - F.min("low").over(w), F.max("high").over(w) - F.min("low").over(w)),
+            f"QTLU{n}": d(F.percentile("close", 0.8).over(w), c), f"QTLD{n}": d(F.percentile("close", 0.2).over(w), c), f"RSV{n}": d(c - F.min("low").over(w), F.max("high").over(w) - F.min("low").over(w) + g),
             f"RANK{n}": F.transform(F.array(arr), lambda a: (F.size(F.filter(a, lambda x: x < c)) + (F.size(F.filter(a, lambda x: x == c)) + 1) / 2) / F.size(a))[0],
             f"BETA{n}": d(slope, c), f"RSQR{n}": F.regr_r2("close", "_i").over(w), f"RESI{n}": d(c - fit, c), f"IMAX{n}": imax / n, f"IMIN{n}": imin / n, f"IMXD{n}": (imax - imin) / n,
             f"CORR{n}": corr("close", "_lv", w), f"CORD{n}": corr("_r", "_vr", w), f"CNTP{n}": F.avg("_pos").over(w), f"CNTN{n}": F.avg("_neg").over(w), f"CNTD{n}": F.avg("_pos").over(w) - F.avg("_neg").over(w),
-            f"SUMP{n}": d(F.sum("_up").over(w), F.sum("_ad").over(w)), f"SUMN{n}": 1 - d(F.sum("_up").over(w), F.sum("_ad").over(w)), f"SUMD{n}": 2 * d(F.sum("_up").over(w), F.sum("_ad").over(w)) - 1,
-            f"VMA{n}": d(F.avg("volume").over(w), F.col("volume")), f"VSTD{n}": d(F.stddev_samp("volume").over(w), F.col("volume")), f"WVMA{n}": d(F.stddev_samp("_w").over(w), F.avg("_w").over(w)),
-            f"VSUMP{n}": d(F.sum("_vup").over(w), F.sum("_vad").over(w)), f"VSUMN{n}": 1 - d(F.sum("_vup").over(w), F.sum("_vad").over(w)), f"VSUMD{n}": 2 * d(F.sum("_vup").over(w), F.sum("_vad").over(w)) - 1,
+            f"SUMP{n}": d(up, moved), f"SUMN{n}": d(down, moved), f"SUMD{n}": d(up - down, moved),
+            f"VMA{n}": d(F.avg("volume").over(w), F.col("volume") + g), f"VSTD{n}": d(F.stddev_samp("volume").over(w), F.col("volume") + g), f"WVMA{n}": d(F.stddev_samp("_w").over(w), F.avg("_w").over(w) + g),
+            f"VSUMP{n}": d(vup, vmoved), f"VSUMN{n}": d(vdown, vmoved), f"VSUMD{n}": d(vup - vdown, vmoved),
         }
     return df.withColumns(cols).drop(*[x for x in df.columns if x.startswith("_")])
 

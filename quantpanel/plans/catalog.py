@@ -189,25 +189,47 @@ def event_barrier(spark, sf_dir):
     return lab.event_barrier(bars, lab.cusum_events(bars)).select("symbol", "trade_date", "barrier_outcome", "exit_date", "barrier_return", "barrier_max_drawdown")
 
 
-@query("k AS (SELECT *, high - low AS g, greatest(open, close) AS t, least(open, close) AS b FROM bars), --- SELECT symbol, trade_date, (close - open) / open AS KMID, g / open AS KLEN, (close - open) / nullif(g, 0) AS KMID2, (high - t) / open AS KUP, (b - low) / open AS KLOW, (2 * close - high - low) / open AS KSFT, high / close AS HIGH0, amount / volume / close AS VWAP0 FROM k", "KMID KLEN KMID2 KUP KLOW KSFT HIGH0 VWAP0", "symbol trade_date")
+_CANDLES = {"KMID": "(close - open) / open", "KLEN": "(high - low) / open", "KMID2": "(close - open) / nullif(high - low, 0)", "KUP": "(high - greatest(open, close)) / open", "KUP2": "(high - greatest(open, close)) / nullif(high - low, 0)", "KLOW": "(least(open, close) - low) / open", "KLOW2": "(least(open, close) - low) / nullif(high - low, 0)", "KSFT": "(2 * close - high - low) / open", "KSFT2": "(2 * close - high - low) / nullif(high - low, 0)", "OPEN0": "open / close", "HIGH0": "high / close", "LOW0": "low / close", "VWAP0": "amount / volume / close"}
+
+
+@query(f"--- SELECT symbol, trade_date, {', '.join(f'{v} AS {k}' for k, v in _CANDLES.items())} FROM bars", " ".join(_CANDLES), "symbol trade_date")
 def alpha_candles(spark, sf_dir):
-    """Candle features."""
-    return lab.candle_features(src.bars_of(spark, sf_dir)).select("symbol", "trade_date", "KMID", "KLEN", "KMID2", "KUP", "KLOW", "KSFT", "HIGH0", "VWAP0")
+    """All candle features of every bar."""
+    return lab.candle_features(src.bars_of(spark, sf_dir)).select("symbol", "trade_date", *_CANDLES)
+
 
+def _windowed(n: int) -> dict[str, str]:
+    """SQL of the rolling features of n bars, over a0."""
+    w, e = f"OVER ({_S} ROWS {n - 1} PRECEDING)", "1e-12::DOUBLE"
+    fit = lambda f: f"CASE WHEN i >= 2 THEN regr_{f}(close, i) {w} END"
+    known = lambda x: f"nullif({x}, 'nan'::DOUBLE)"
+    top, low = f"list_position(list(high) {w}, max(high) {w})", f"list_position(list(low) {w}, min(low) {w})"
+    share = lambda a, b: f"(sum({a}) {w}) / ((sum({b}) {w}) + {e})"
+    return {
+        f"ROC{n}": f"lag(close, {n}) OVER ({_S}) / close", f"MA{n}": f"avg(close) {w} / close", f"STD{n}": f"stddev_samp(close) {w} / close", f"MAX{n}": f"max(high) {w} / close", f"MIN{n}": f"min(low) {w} / close", f"QTLU{n}": f"quantile_cont(close, 0.8) {w} / close", f"QTLD{n}": f"quantile_cont(close, 0.2) {w} / close",
+        f"RSV{n}": f"(close - min(low) {w}) / (max(high) {w} - min(low) {w} + {e})", f"RANK{n}": f"(len(list_filter(list(close) {w}, lambda x: x < close)) + (len(list_filter(list(close) {w}, lambda x: x = close)) + 1) / 2.0::DOUBLE) / (count(*) {w})",
+        f"BETA{n}": f"({fit('slope')}) / close", f"RSQR{n}": known(fit("r2")), f"RESI{n}": f"(close - ({fit('intercept')}) - ({fit('slope')}) * i) / close", f"IMAX{n}": f"{top} / {n}::DOUBLE", f"IMIN{n}": f"{low} / {n}::DOUBLE", f"IMXD{n}": f"({top} - {low}) / {n}::DOUBLE",
+        f"CORR{n}": known(f"corr(close, lv) {w}"), f"CORD{n}": known(f"corr(r, vr) {w}"), f"CNTP{n}": f"avg(coalesce(dc > 0, false)::INT) {w}", f"CNTN{n}": f"avg(coalesce(dc < 0, false)::INT) {w}", f"CNTD{n}": f"avg(coalesce(dc > 0, false)::INT) {w} - avg(coalesce(dc < 0, false)::INT) {w}",
+        f"SUMP{n}": share("CASE WHEN dc > 0 THEN dc ELSE dc * 0 END", "abs(dc)"), f"SUMN{n}": share("CASE WHEN dc < 0 THEN -dc ELSE dc * 0 END", "abs(dc)"), f"SUMD{n}": share("dc", "abs(dc)"),
+        f"VMA{n}": f"avg(volume) {w} / (volume + {e})", f"VSTD{n}": f"stddev_samp(volume) {w} / (volume + {e})", f"WVMA{n}": f"stddev_samp(abs(r - 1) * volume) {w} / (avg(abs(r - 1) * volume) {w} + {e})",
+        f"VSUMP{n}": share("CASE WHEN dv > 0 THEN dv ELSE dv * 0 END", "abs(dv)"), f"VSUMN{n}": share("CASE WHEN dv < 0 THEN -dv ELSE dv * 0 END", "abs(dv)"), f"VSUMD{n}": share("dv", "abs(dv)"),
+    }
 
-_W20 = f"OVER ({_S} ROWS 19 PRECEDING)"
 
+_ALPHA = _CANDLES | {k: v for n in (5, 10, 20, 30, 60) for k, v in _windowed(n).items()}
+_A0 = f"a0 AS (SELECT *, row_number() OVER ({_S})::DOUBLE AS i, close / lag(close) OVER ({_S}) AS r, ln(volume / lag(volume) OVER ({_S}) + 1) AS vr, ln(1 + volume) AS lv, close - lag(close) OVER ({_S}) AS dc, volume - lag(volume) OVER ({_S}) AS dv FROM bars),"
 
-@query(f"--- SELECT symbol, trade_date, lag(close, 20) OVER ({_S}) / close AS ROC20, avg(close) {_W20} / close AS MA20, max(high) {_W20} / close AS MAX20, quantile_cont(close, 0.8) {_W20} / close AS QTLU20, (close - min(low) {_W20}) / nullif(max(high) {_W20} - min(low) {_W20}, 0) AS RSV20, avg(volume) {_W20} / volume AS VMA20 FROM bars", "ROC20 MA20 MAX20 QTLU20 RSV20 VMA20", "symbol trade_date")
+
+@query(f"{_A0} --- SELECT symbol, trade_date, {', '.join(f'{v} AS {k}' for k, v in _windowed(20).items())} FROM a0", " ".join(_windowed(20)), "symbol trade_date")
 def alpha_windows(spark, sf_dir):
-    """Rolling features of 20 bars."""
-    return lab.window_features(src.bars_of(spark, sf_dir), (20,)).select("symbol", "trade_date", "ROC20", "MA20", "MAX20", "QTLU20", "RSV20", "VMA20")
+    """All rolling features of 20 bars of every bar."""
+    return lab.window_features(src.bars_of(spark, sf_dir), (20,)).select("symbol", "trade_date", *_windowed(20))
 
 
-@query()
+@query(f"{_A0} a1 AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS k FROM a0), a2 AS (SELECT symbol, trade_date, k, {', '.join(f'{v} AS {k}' for k, v in _ALPHA.items())} FROM a1), --- SELECT * FROM a2 WHERE k = 1", " ".join(_ALPHA), "symbol trade_date")
 def alpha158(spark, sf_dir):
     """All 158 features of the last bar."""
-    return ind.last_rows(lab.window_features(lab.candle_features(src.bars_of(spark, sf_dir))))
+    return ind.last_rows(lab.window_features(lab.candle_features(src.bars_of(spark, sf_dir)))).select("symbol", "trade_date", *_ALPHA)
 
 
 @query(f"x AS (SELECT *, lead(close, 2) OVER ({_S}) / lead(close) OVER ({_S}) - 1 AS label_raw FROM bars), --- SELECT symbol, trade_date, label_raw, (label_raw - avg(label_raw) OVER (PARTITION BY trade_date)) / CASE WHEN stddev_samp(label_raw) OVER (PARTITION BY trade_date) > 1e-12 THEN stddev_samp(label_raw) OVER (PARTITION BY trade_date) END AS label FROM x", "label_raw label", "symbol trade_date")

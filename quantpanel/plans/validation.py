@@ -74,8 +74,7 @@ def _tail_panel(spark, sf_dir):
     return lab.risk_panel(features, lab.tail_risk(bars).select("symbol", "trade_date", "risk_label"), ["risk_label"])
 
 
-def _barrier_panel(bars, features, horizon=10, width=1.0, least=0.005):
-    events = lab.cusum_events(bars)
+def _barrier_panel(bars, features, events, horizon=10, width=1.0, least=0.005):
     labels = lab.event_barrier(bars, events, horizon, width, width, least).select("symbol", "trade_date", "risk_label", "barrier_outcome")
     return features.join(labels, ["symbol", "trade_date"])
 
@@ -100,7 +99,7 @@ def target_comparison(spark, sf_dir):
     bars, features = _features(spark, sf_dir)
     tail = lab.risk_panel(features, lab.tail_risk(bars).select("symbol", "trade_date", "risk_label"), ["risk_label"])
     out = None
-    for name, panel, embargo in (("tail", tail, 1), ("barrier", _barrier_panel(bars, features), 10)):
+    for name, panel, embargo in (("tail", tail, 1), ("barrier", _barrier_panel(bars, features, lab.cusum_events(bars)), 10)):
         scored = wf.walk_forward(panel, gt.walk_forward(panel, TRAIN, VALID, STEP, embargo), _FEATURES, "risk_label", ("prior", "logistic", "gaussian"))
         part = _judged(scored, ["model_name"]).withColumn("risk_target", F.lit(name))
         out = part if out is None else out.unionByName(part)
@@ -111,9 +110,10 @@ def target_comparison(spark, sf_dir):
 def barrier_grid(spark, sf_dir):
     """Horizon, width and least deviation of the barriers by window: all cells fitted together, the best first."""
     bars, features = _features(spark, sf_dir)
+    events = lab.cusum_events(bars)  # one plan, whose exchange the cells share
     cells, panel = [(h, w, m) for h in (5, 10) for w in (1.0, 2.0) for m in (0.003, 0.005)], None
     for h, w, m in cells:
-        part = _barrier_panel(bars, features, h, w, m).withColumn("config_id", F.lit(f"mlfin_h{h}_pt{w:g}_sl{w:g}_minret{m:g}"))
+        part = _barrier_panel(bars, features, events, h, w, m).withColumn("config_id", F.lit(f"mlfin_h{h}_pt{w:g}_sl{w:g}_minret{m:g}"))
         panel = part if panel is None else panel.unionByName(part)
     scored = wf.walk_forward(panel, gt.walk_forward(panel, TRAIN, VALID, STEP, 10), _FEATURES, "risk_label", ("logistic", "gaussian"), by=("config_id",))
     rates = panel.groupBy("config_id").agg(F.count(F.lit(1)).alias("label_rows"), F.avg("risk_label").alias("risk_label_rate"))
