@@ -161,7 +161,8 @@ def daily_portfolio(trades: DataFrame, by: list[str]) -> DataFrame:
     return trades.groupBy(*by).agg(F.count(F.lit(1)).alias("trade_count"), *[F.avg(c).alias(c) for c in ("raw_return", "barrier_return", "max_drawdown")], hit("stop_loss").alias("stop_loss_rate"), hit("take_profit").alias("take_profit_rate"))
 
 
-# Order of the patterns by their number.
+# Order of the patterns by their number, least risk scores of the mixed picks.
+FLOOR = 40.0
 PRIORITY = {1: 5.0, 2: 2.0, 3: 3.0, 4: 1.0, 5: 6.0, 6: 4.0}
 
 
@@ -179,19 +180,21 @@ def base_frame(universe: DataFrame, scores: DataFrame, patterns: DataFrame) -> D
 
 
 def component_strategies(base: DataFrame, n: int = 20, phase4_n: int = 20, permission: str = "allow") -> DataFrame:
-    """The picks of each component strategy: a filter, an order and the first n (B4, B10). All are ranked in one pass each.
+    """The picks of each component strategy: a filter, an order and the first n (B4). All are ranked in one pass each.
 
     phase1_phase2_phase4_all90 keeps all that pass. The gate closes its strategies on a day without permission.
     """
     one, two, hit, open_ = F.col("phase1_pass"), F.col("phase2_pass"), F.col("pattern_match"), F.lit(permission == "allow")
-    seed, p4, mixed, pattern = [F.asc("seed")], [F.col("phase4_return").desc_nulls_last()], [F.col("mixed_score").desc_nulls_last(), F.col("phase4_score_100").desc_nulls_last()], [F.col("pattern_priority").desc_nulls_last()]
+    seed, p4, mixed, pattern = [F.asc("seed")], [F.col("phase4_return").desc_nulls_last()], [F.col(c).desc_nulls_last() for c in ("mixed_score", "phase4_score_100", "phase1_score_100", "phase2_score_100")], [F.col("pattern_priority").desc_nulls_last()]
+    floor = (F.col("phase1_score_100") >= FLOOR) & (F.col("phase2_score_100") >= FLOOR)
     high = (F.col("phase1_score_100") >= 90) & (F.col("phase2_score_100") >= 90) & (F.col("phase4_score_100") >= 90)
     inside = one & two
-    base = base.withColumn("_m", F.when(inside, F.row_number().over(Window.partitionBy("trade_date", inside).orderBy(*mixed, "symbol"))))
+    mixes = F.coalesce(inside & floor & F.col("mixed_score").isNotNull(), F.lit(False))
+    base = base.withColumn("_m", F.when(mixes, F.row_number().over(Window.partitionBy("trade_date", mixes).orderBy(*mixed, "symbol"))))
     now = inside & (hit | (F.col("_m") <= phase4_n))
-    listed = [F.when(hit, 0).otherwise(1).asc(), *mixed]
+    listed = [F.when(hit, 0).otherwise(1).asc(), *mixed[:2]]
     rules = [
-        ("full_market_random", F.lit(True), seed), ("phase1_filter_only", one, seed), ("phase2_filter_only", two, seed), ("phase4_top", F.lit(True), p4), ("phase1_phase2_phase4_mixed_top20", F.col("mixed_score").isNotNull(), mixed), ("phase1_phase2_phase4_all90", high, mixed),
+        ("full_market_random", F.lit(True), seed), ("phase1_filter_only", one, seed), ("phase2_filter_only", two, seed), ("phase4_top", F.lit(True), p4), ("phase1_phase2_phase4_mixed_top20", floor & F.col("mixed_score").isNotNull(), mixed), ("phase1_phase2_phase4_all90", high, mixed),
         ("phase5_group_only", F.col("phase5_score_100").isNotNull(), [F.desc("phase5_score_100")]), ("phase7_gate_only", open_, seed), ("phase1_filter_phase4_top", one, p4), ("phase2_filter_phase4_top", two, p4), ("phase1_phase2_filter_phase4_top", inside, p4), ("patterns_only", hit, pattern),
         ("patterns_phase1_phase2_filter", hit & inside, pattern), ("patterns_phase4_sort", hit, [*p4, *pattern]), ("current_watchlist_without_phase7", now, listed), ("current_watchlist_with_phase7", now & open_, listed),
     ]

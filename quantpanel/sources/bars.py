@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,10 +40,24 @@ def history(bars: DataFrame, as_of, days: int) -> DataFrame:
 
 
 def write_bars(bars: DataFrame, path: str, parts: int = 8) -> None:
-    """Bars by month, a month in `parts` files; a month that is written again replaces itself only."""
+    """Bars by month, a month in `parts` files (S3, S16). Rows of a symbol and date that are written again replace the stored
+    ones; other symbols and dates of their months stay, and so do other months.
+
+    Months that change are merged beside the store first, as a table can't be read and replaced at once.
+    """
+    spark = bars.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
     monthly = bars.withColumn("month", F.date_format("trade_date", "yyyy-MM"))
+    staged = f"{path.rstrip('/')}-merge-{uuid.uuid4().hex}"
+    if fs.exists(target):
+        stored = spark.read.schema(monthly.schema).parquet(path).join(F.broadcast(monthly.select("month").distinct()), "month", "left_semi")  # months are a calendar
+        kept = stored.join(monthly.select("symbol", "trade_date").distinct(), ["symbol", "trade_date"], "left_anti")
+        kept.unionByName(monthly).write.parquet(staged)
+        monthly = spark.read.schema(monthly.schema).parquet(staged)
     dealt = monthly.repartition("month", F.pmod(F.hash("symbol"), F.lit(parts)))
     dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+    fs.delete(spark._jvm.org.apache.hadoop.fs.Path(staged), True)
 
 
 def write_report(df: DataFrame, path: str) -> None:
@@ -50,12 +66,12 @@ def write_report(df: DataFrame, path: str) -> None:
 
 
 def read_report(spark: SparkSession, path: str, schema: str, aliases: dict[str, str], key: str = "symbol") -> DataFrame:
-    """A stored report under its own column names, the first row of each key."""
-    raw = spark.read.option("header", "true").csv(path)
+    """A stored report under its own column names, the first row of each key in the order of the file."""
+    raw = spark.read.option("header", "true").csv(path).withColumn("_at", F.struct("_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id()))
     df = raw.withColumnsRenamed({a: c for a, c in aliases.items() if a in raw.columns})
-    df = df.select(*[F.expr(f"try_cast(`{n.split()[0]}` as {n.split()[1]})").alias(n.split()[0]) for n in (x.strip() for x in schema.split(","))])
-    order = F.row_number().over(Window.partitionBy(key).orderBy(*[F.col(c).asc_nulls_last() for c in df.columns if c != key]))
-    return df.withColumn("_n", order).where("_n = 1").drop("_n")
+    df = df.select(*[F.expr(f"try_cast(`{n.split()[0]}` as {n.split()[1]})").alias(n.split()[0]) for n in (x.strip() for x in schema.split(","))], "_at")
+    order = F.row_number().over(Window.partitionBy(key).orderBy("_at"))
+    return df.withColumn("_n", order).where("_n = 1").drop("_n", "_at")
 
 
 def newest_reports(reports: DataFrame, as_of, n: int) -> DataFrame:
