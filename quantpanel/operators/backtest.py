@@ -50,30 +50,42 @@ def apply_exit_rules(paths: DataFrame, rules: list[tuple], horizon: int, keys: t
 
     A day is judged in this order: an open at the stop, an open at the take, low and high both met (the stop wins), the
     low, the high, the time stop by its close. The stop is raised by what the days before it have reached: to the entry
-    once a high has met the breakeven trigger, and below the highest high once one has met the trail's start. A path is
-    one array of at most `horizon` days, and the rules are a table of some hundred rows, so nothing is shuffled for them.
+    once a high has met the breakeven trigger, and below the highest high once one has met the trail's start.
+
+    The rules share few levels. One aggregate of a path's days finds the first day that meets each; a rule leaves on the
+    least of its levels' days, and only that day is looked at. The rules are a table of some hundred rows.
     """
-    table = paths.sparkSession.createDataFrame([r for r in rules if r[7] is None or r[7] <= horizon], _RULE)
-    day = F.struct("day_offset", "trade_date", "open", "high", "low", "close")
-    one = paths.where(F.col("day_offset") <= horizon).groupBy(*keys).agg(F.sort_array(F.collect_list(day)).alias("path"), F.min_by("open", "day_offset").alias("entry"))
-    one = one.where(f"size(path) = {horizon} and entry > 0")
-    so_far = "transform(path, (x, i) -> named_struct('x', x, 'top', greatest(entry, if(i = 0, entry, array_max(transform(slice(path, 1, i), y -> y.high))))))"
-    df = one.withColumn("path", F.expr(so_far)).crossJoin(F.broadcast(table))  # the grid
-    up = "x.top / entry - 1"
-    first = "if(no_stop, cast(null as double), entry * (1 - stop))"
-    level = f"case when {up} >= breakeven and entry > {first} then entry else {first} end"
-    kind = f"case when {up} >= breakeven and entry > {first} then 'breakeven_stop' else 'stop_loss' end"
-    trailed = f"({up} >= trail_start and x.top * (1 - trail) > {level})"
-    days = f"transform(path, x -> named_struct('x', x.x, 'level', if({trailed}, x.top * (1 - trail), {level}), 'kind', if({trailed}, 'trailing_stop', {kind}), 'goal', entry * (1 + take)))"
-    reason = "case when d.x.open <= d.level then concat(d.kind, '_open_gap') when d.x.open >= d.goal then 'take_profit_open_gap' when d.x.low <= d.level and d.x.high >= d.goal then concat(d.kind, '_first') when d.x.low <= d.level then d.kind when d.x.high >= d.goal then 'take_profit' when d.x.day_offset = time_days and d.x.close / entry - 1 < time_return then 'time_stop' end"
-    price = "case when d.x.open <= d.level or d.x.open >= d.goal then d.x.open when d.x.low <= d.level then d.level when d.x.high >= d.goal then d.goal else d.x.close end"
-    exits = f"filter(transform({days}, d -> named_struct('reason', {reason}, 'price', {price}, 'day', d.x.day_offset, 'date', d.x.trade_date)), e -> e.reason is not null)"
-    last = f"named_struct('reason', 'timeout', 'price', path[{horizon} - 1].x.close, 'day', path[{horizon} - 1].x.day_offset, 'date', path[{horizon} - 1].x.trade_date)"
-    df = df.withColumn("e", F.expr(f"coalesce(try_element_at({exits}, 1), {last})")).where("e.price is not null")
-    seen = "slice(path, 1, e.day)"
+    rules = [r for r in rules if r[7] is None or r[7] <= horizon]
+    of = lambda *k: sorted({tuple(r[i] for i in k) for r in rules if all(r[i] is not None for i in k)})
+    stops, takes, rises, trails = of(2), of(3), of(4), of(5, 6)
+    place = lambda known, *x: known.index(x) + 1 if all(v is not None for v in x) else None
+    rows = [(*r, None if r[9] else place(stops, r[2]), place(takes, r[3]), place(rises, r[4]), place(trails, r[5], r[6])) for r in rules]
+    table = paths.sparkSession.createDataFrame(rows, f"{_RULE}, stop_at int, take_at int, rise_at int, trail_at int")
+    w = Window.partitionBy(*keys).orderBy("day_offset")
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    df = paths.where(F.col("day_offset") <= horizon).withColumns({"entry": F.first("open").over(upto), "hi": F.max("high").over(upto), "lo": F.min("low").over(upto), "top": F.max("high").over(before)})
+    df = df.withColumns({"top": F.greatest("entry", "top"), "_l": F.least("low", "open"), "_h": F.greatest("high", "open")})
+    entry, up = F.col("entry"), F.col("top") / F.col("entry") - 1
+    met = lambda conditions: F.array(*[F.min(F.when(c, F.col("day_offset"))) for c in conditions] or [F.lit(None).cast("int")])
+    one = df.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("day_offset", "trade_date", "open", "high", "low", "close", "hi", "lo", "top"))).alias("path"), F.max("entry").alias("entry"), met([F.col("_l") <= entry * (1 - s) for (s,) in stops]).alias("stop_days"), met([F.col("_h") >= entry * (1 + t) for (t,) in takes]).alias("take_days"),
+        met([(up >= g) & (F.col("_l") <= entry) for (g,) in rises]).alias("rise_days"), met([(up >= g) & (F.col("_l") <= F.col("top") * (1 - x)) for g, x in trails]).alias("trail_days"),
+    )
+    df = one.where(f"size(path) = {horizon} and entry > 0").crossJoin(F.broadcast(table))  # the grid
+    late = F.when(F.expr("get(path, time_days - 1).close / entry - 1 < time_return"), F.col("time_days"))
+    day = F.least(*[F.try_element_at(f"{k}_days", F.col(f"{k}_at")) for k in ("stop", "take", "rise", "trail")], late)
+    df = df.withColumn("day", day).withColumn("x", F.expr(f"get(path, coalesce(day, {horizon}) - 1)")).withColumn("up", F.expr("x.top / entry - 1"))
+    df = df.withColumns({"level": F.expr("if(no_stop, cast(null as double), entry * (1 - stop))"), "kind": F.lit("stop_loss"), "goal": F.expr("entry * (1 + take)")})
+    raised = F.expr("coalesce(up >= breakeven and entry > level, false)")
+    df = df.withColumns({"kind": F.when(raised, "breakeven_stop").otherwise(F.col("kind")), "level": F.when(raised, F.col("entry")).otherwise(F.col("level"))})
+    trailed = F.expr("coalesce(up >= trail_start and x.top * (1 - trail) > level, false)")
+    df = df.withColumns({"kind": F.when(trailed, "trailing_stop").otherwise(F.col("kind")), "level": F.when(trailed, F.expr("x.top * (1 - trail)")).otherwise(F.col("level"))})
+    reason = "case when day is null then 'timeout' when x.open <= level then concat(kind, '_open_gap') when x.open >= goal then 'take_profit_open_gap' when x.low <= level and x.high >= goal then concat(kind, '_first') when x.low <= level then kind when x.high >= goal then 'take_profit' else 'time_stop' end"
+    price = "case when day is null then x.close when x.open <= level or x.open >= goal then x.open when x.low <= level then level when x.high >= goal then goal else x.close end"
+    df = df.withColumns({"exit_reason": F.expr(reason), "exit_price": F.expr(price)}).where("exit_price is not null")
     return df.select(
-        *keys, "rule_id", "family", F.lit(horizon).alias("horizon"), F.col("entry").alias("entry_open"), F.col("e.date").alias("exit_date"), F.col("e.price").alias("exit_price"), F.col("e.reason").alias("exit_reason"), F.col("e.day").alias("holding_days"),
-        (F.col("e.price") / F.col("entry") - 1).alias("trade_return"), ((F.col("e.price") / F.col("entry") - 1) / F.col("stop")).alias("trade_r"), (F.expr(f"array_max(transform({seen}, y -> y.x.high)) / entry - 1")).alias("max_profit"), (F.expr(f"array_min(transform({seen}, y -> y.x.low)) / entry - 1")).alias("max_drawdown"),
+        *keys, "rule_id", "family", F.lit(horizon).alias("horizon"), F.col("entry").alias("entry_open"), F.col("x.trade_date").alias("exit_date"), "exit_price", "exit_reason", F.col("x.day_offset").alias("holding_days"),
+        (F.col("exit_price") / entry - 1).alias("trade_return"), ((F.col("exit_price") / entry - 1) / F.col("stop")).alias("trade_r"), (F.col("x.hi") / entry - 1).alias("max_profit"), (F.col("x.lo") / entry - 1).alias("max_drawdown"),
     )
 
 
