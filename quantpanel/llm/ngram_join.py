@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, codes_of, components, gram_hashes, join_classes, join_counted, join_ids, keyed, map_rows, mix, own_keys, small_batches, store, width
+from .common import U64, codes_of, components, gram_hashes, join_classes, join_counted, join_ids, keyed, map_rows, mix, own_keys, release, small_batches, store, width
 
 
 #: Undecided signatures of at most so many classes meet in pairs; those of larger ones take allocated probes.
@@ -357,6 +357,7 @@ def jaccard_groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -
     sent = map_rows(own, partial(_signed, q=q, bounds=bounds, plans=plans, buckets=buckets), _SENT)
     met = sent.groupBy("bucket").applyInPandas(_shared, "sig long, doc long")
     met = store(met, "met")  # rows may repeat, which only weighs them more
+    release(spark)
     wanted = store(met.select(F.col("doc").alias("key")).distinct(), "wanted")
     texts = store(join_ids(docs, wanted, "key", "left_semi").dropDuplicates(["key"]), "texts")  # rows of a key have one text
 
@@ -364,16 +365,24 @@ def jaccard_groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -
     counts = store(met.groupBy("sig").agg(F.count(F.lit(1)).alias("n")), "counts")
     central = store(join_counted(met, counts, "sig", "n").groupBy("doc").agg(F.sum("n").alias("weight")), "central")
     centres = met.join(central, "doc").groupBy("sig").agg(F.max(F.struct("weight", -F.col("doc"))).alias("c"), F.count(F.lit(1)).alias("n"))
-    met = store(join_counted(met, store(centres.selectExpr("sig", "-c.col2 as rep", "n"), "centres"), "sig", "n").select("sig", "doc", "rep"), "stars")
+    centres = store(centres.selectExpr("sig", "-c.col2 as rep", "n"), "centres")
+    release(spark)
+    plain, met = met, store(join_counted(met, centres, "sig", "n").select("sig", "doc", "rep"), "stars")
+    release(spark, plain, counts, central, centres, wanted)
     sketches = store(map_rows(texts, partial(_sketched, q=q), "doc long, size long, k array<long>"), "sketches")
     stars = met.where("rep <> doc").select(F.least("rep", "doc").alias("a"), F.greatest("rep", "doc").alias("b")).distinct()
     near = stars.join(sketches.alias("x"), F.expr("a = x.doc")).join(sketches.alias("y"), F.expr("b = y.doc")).where(_may_link(percent)).select("a", "b")
-    links = store(verify(store(near, "near"), texts, q, percent), "links")
+    near = store(near, "near")
+    release(spark)
+    links = store(verify(near, texts, q, percent), "links")
+    release(spark, near)
     comp = components(links)
     # what stands with the centre of its signature is decided; the rest may still link across components
     left = store(met.where("rep <> doc").select("sig", "doc").join(comp.toDF("doc", "c"), "doc", "left").select("sig", "doc", F.coalesce("c", "doc").alias("c")), "leaves")
     split = left.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig", "n")
-    left = store(join_counted(left, store(split, "split"), "sig", "n").select("sig", "doc", "c", "n"), "undecided")
+    leaves, split = left, store(split, "split")
+    left = store(join_counted(leaves, split, "sig", "n").select("sig", "doc", "c", "n"), "undecided")
+    release(spark, met, leaves, split)
     if not left.isEmpty():
         few = left.where(F.col("n") <= FEW).join(sketches, "doc")
         found = few.alias("x").join(few.alias("y"), F.expr("x.sig = y.sig and x.doc < y.doc and x.c <> y.c") & _may_link(percent))
@@ -383,8 +392,12 @@ def jaccard_groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -
         hot = store(hot.join(sizes, "c", "left").select("sig", "doc", "c", F.coalesce("many", F.lit(1)).alias("many"), "n"), "hot")
         if not hot.isEmpty():
             found = found.unionAll(hot_pairs(hot, sketches, texts, q, bounds, plans, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        more = store(verify(store(found.distinct(), "pairs"), texts, q, percent), "more-links")
+        found = store(found.distinct(), "pairs")
+        release(spark, left)
+        more = store(verify(found, texts, q, percent), "more-links")
+        release(spark, found)
         comp = components(links.union(more))
+    release(spark, texts, sketches, others)
     out = ids.join(comp.toDF("class_key", "component"), "class_key", "left").withColumn("component", F.coalesce("component", "class_key"))
     out = out.withColumn("kept", F.coalesce(F.col("key") == F.col("component"), F.lit(True)))
     if keys is None:
