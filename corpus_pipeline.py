@@ -26,6 +26,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     and its text the first by the values of all columns stays; other texts of a doc_id are documents of their own.
     """
     groups = common.store(ngram_join.jaccard_groups(docs, shingle_words=5, percent=80).where("doc_id is not null"), "groups")
+    common.release(spark)
     left = common.without(docs, groups.where("not kept"))
     again = common.store(groups.where("kept").groupBy("doc_id", "th").count().where("count > 1").select("doc_id", "th"), "repeated")
     if again.isEmpty():
