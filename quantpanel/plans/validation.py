@@ -61,6 +61,12 @@ def walk_summary(spark, sf_dir):
     return out.select("windows", "avg_pr_auc", "avg_pr_auc_baseline", "avg_roc_auc", "top_decile_higher_risk_rate", "top_decile_worse_drawdown_rate", "passed")
 
 
+@query(f"""{_SCORED} n0 AS (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY score DESC, symbol) AS k, row_number() OVER (PARTITION BY trade_date ORDER BY md5(strftime(trade_date, '%Y-%m-%d') || ':' || symbol), symbol) AS j FROM s1), n1 AS (SELECT 'all' AS selection, trade_date, outcome FROM n0 UNION ALL SELECT 'top5', trade_date, outcome FROM n0 WHERE k <= 5 UNION ALL SELECT 'random5', trade_date, outcome FROM n0 WHERE j <= 5), --- SELECT selection, count(*) AS rows, count(DISTINCT trade_date) AS days, avg(outcome) AS mean_outcome, avg((outcome > 0)::INT) AS hit_rate, avg(outcome) - (SELECT avg(outcome) FROM n1 WHERE selection = 'all') AS excess FROM n1 GROUP BY 1""", "mean_outcome hit_rate excess", "selection rows days")
+def selection_summary(spark, sf_dir):
+    """The five best rows of each day beside five random ones and all."""
+    return wf.selection_summary(_scored(spark, sf_dir), 5, "score", "outcome").drop("median_outcome")
+
+
 # -- fitted windows ----------------------------------------------------------------------------------------------------
 
 

@@ -8,9 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quantpanel.operators import gates as gt
 from quantpanel.operators import indicators as ind
 from quantpanel.operators import labels as lab
 from quantpanel.operators import routes as rt
+from quantpanel.operators import scores as sc
 from quantpanel.operators import watchlist as wl
 from quantpanel.sources import bars as src
 
@@ -91,3 +93,18 @@ def intraday_pool(spark, sf_dir):
     """The pool of each day: two patterns, four scores, then phase 8 until it has eight symbols."""
     rows, patterns, _, _ = _evaluated(spark, sf_dir)
     return wl.intraday_pool(rows, patterns, pattern_limit=2, top=4, size=8)
+
+
+@query(f"{_SCORES} wl AS (SELECT trade_date, symbol FROM dr WHERE bp OR kr <= 20), --- SELECT trade_date, symbol FROM wl WHERE trade_date = (SELECT max(trade_date) FROM wl WHERE trade_date < DATE '1997-01-01')", "", "trade_date symbol")
+def prior_watchlist(spark, sf_dir):
+    """The newest list before a date."""
+    return rt.prior_list(wl.daily_watchlist(_evaluated(spark, sf_dir)[0]).select("trade_date", "symbol"), "1997-01-01")
+
+
+@query("cx AS (SELECT symbol, trade_date, CASE WHEN trade_date = min(trade_date) OVER (PARTITION BY symbol) THEN NULL ELSE pct_change END AS x FROM bars), --- SELECT symbol, trade_date, CASE WHEN symbol[1:3] IN ('600', '601', '603', '605', '688', '689', '900') THEN 'sh' ELSE 'sz' END || symbol AS stock_code, CASE WHEN symbol[4:6] = '399' THEN 'sz' ELSE 'sh' END || symbol[4:6] || symbol[1:3] AS index_code, coalesce(greatest(0, least(100, (x + 3) / 11.0::DOUBLE * 100)), 50) AS linear_score FROM cx", "linear_score", "symbol trade_date stock_code index_code")
+def code_helpers(spark, sf_dir):
+    """Exchange codes of stocks and indices and the clipped linear score of each bar's change."""
+    first = F.min("trade_date").over(Window.partitionBy("symbol"))
+    df = src.bars_of(spark, sf_dir).withColumn("x", F.when(F.col("trade_date") != first, F.col("pct_change")))
+    swapped = F.concat(F.substring("symbol", 4, 3), F.substring("symbol", 1, 3))
+    return df.select("symbol", "trade_date", gt.stock_code(F.col("symbol")).alias("stock_code"), gt.index_code(swapped).alias("index_code"), sc.linear_score(F.col("x"), -3.0, 8.0).alias("linear_score"))
