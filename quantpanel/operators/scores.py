@@ -112,11 +112,11 @@ def decile_report(df: DataFrame, score: str, outcome: str, by: list[str], rule:
 
 
 def rolling_score(df: DataFrame, value: str, n: int = 5, least: int = 3) -> DataFrame:
-    """Rolling mean, population deviation and change of a score."""
+    """Rolling mean, population deviation and distance from the mean of a score."""
     w = Window.partitionBy("symbol").orderBy("trade_date")
     f = w.rowsBetween(1 - n, 0)
     ok = F.count(value).over(f) >= least
-    return df.withColumns({f"{value}_mean": F.when(ok, F.avg(value).over(f)), f"{value}_std": F.when(ok, F.stddev_pop(value).over(f)), f"{value}_delta": F.col(value) - F.lag(value, n - 1).over(w)})
+    return df.withColumns({f"{value}_mean": F.when(ok, F.avg(value).over(f)), f"{value}_std": F.when(ok, F.stddev_pop(value).over(f)), f"{value}_delta": F.when(ok, F.col(value) - F.avg(value).over(f))})
 
 
 def streaks(lists: DataFrame) -> DataFrame:

@@ -81,8 +81,12 @@ def strict_picks(scores: DataFrame, strategies: tuple[str, ...] = STRATEGIES, n:
 
     scores as day_scores gives them, with phase7_trade_permission and phase5_score_100 (null where unknown).
     """
+    return _picked(scores, _rules(strategies), n)
+
+
+def _picked(scores: DataFrame, rules: list, n: int) -> DataFrame:
     ranks = {}
-    for name, keep, order, cut in _rules(strategies):
+    for name, keep, order, cut in rules:
         kept = F.coalesce(keep, F.lit(False))
         rank = F.when(kept, F.row_number().over(Window.partitionBy("trade_date", kept).orderBy(*order, "symbol")))
         ranks[name] = F.when(rank <= n, rank) if cut else rank
@@ -91,6 +95,48 @@ def strict_picks(scores: DataFrame, strategies: tuple[str, ...] = STRATEGIES, n:
     return long.where("x.selected_rank is not null").select("x.strategy", "trade_date", "symbol", "x.selected_rank")
 
 
+# Days of the rolling figures, what a deviation costs, least means, names of the strategies.
+DAYS, COST, MEANS = 5, {"phase1": 0.05, "phase2": 0.05, "phase4": 0.10}, {"phase1": 40.0, "phase2": 50.0, "phase4": 70.0}
+ROLLING = ("random_top20", "centered_risk_top20", "rolling5_phase4_mean_top20", "rolling5_mean_top20", "rolling5_stable_top20")
+
+
+def rolling_features(scores: DataFrame, days: int = DAYS, least: int | None = None) -> DataFrame:
+    """scores with mean, population deviation and distance from the mean of each phase over a symbol's last rows, and the
+    rolling mean and stable scores (B15).
+
+    Fewer than `least` known scores in the window (all of it by default) leave the figures null.
+    """
+    w = Window.partitionBy("symbol").orderBy("trade_date").rowsBetween(1 - days, 0)
+    df = scores
+    for k in COST:
+        c = f"{k}_score_100"
+        ok = F.count(c).over(w) >= (days if least is None else least)
+        df = df.withColumns({f"{k}_5d_mean": F.when(ok, F.avg(c).over(w)), f"{k}_5d_std": F.when(ok, F.stddev_pop(c).over(w))})
+        df = df.withColumn(f"{k}_5d_delta", F.col(c) - F.col(f"{k}_5d_mean"))
+    df = df.withColumns({f"{k}_5d_center_score": F.round(centred(F.col(f"{k}_5d_mean")), 4) for k in ("phase1", "phase2")})
+    df = df.withColumn("rolling5_mean_score", F.round(F.col("phase4_5d_mean") + 0.08 * F.col("phase1_5d_center_score") + 0.12 * F.col("phase2_5d_center_score"), 4))
+    cost = sum((v * F.col(f"{k}_5d_std") for k, v in COST.items()), F.lit(0.0))
+    return df.withColumn("rolling5_stable_score", F.round(F.col("rolling5_mean_score") - cost, 4))
+
+
+def rolling_picks(scores: DataFrame, n: int = TOP) -> DataFrame:
+    """(strategy, trade_date, symbol, selected_rank) of the rolling strategies (B16). scores as rolling_features gives them."""
+    down = lambda *c: [F.col(x).desc_nulls_last() for x in c]
+    floor = F.col("rolling5_mean_score").isNotNull()
+    for k, at in MEANS.items():
+        floor = floor & (F.col(f"{k}_5d_mean") >= at)
+    own = {"rolling5_phase4_mean_top20": ("phase4_5d_mean", "phase4_score_100"), "rolling5_mean_top20": ("rolling5_mean_score", "phase4_5d_mean", "phase4_score_100"), "rolling5_stable_top20": ("rolling5_stable_score", "rolling5_mean_score", "phase4_5d_mean")}
+    return _picked(scores, [*_rules(ROLLING[:2]), *[(name, floor, down(*order), True) for name, order in own.items()]], n)
+
+
+def rolling_summary(trades: DataFrame, counts: DataFrame, features: DataFrame) -> DataFrame:
+    """strict_summary with medians and the means of the rolling figures of the trades."""
+    figures = [f"{k}_5d_{c}" for c in ("mean", "std") for k in COST]
+    rows = trades.join(features.select("symbol", "trade_date", *figures), ["symbol", "trade_date"])
+    more = rows.groupBy("strategy", "horizon").agg(*[F.percentile(c, 0.5).alias(f"median_{c}") for c in ("raw_return", "max_profit", "max_drawdown")], *[F.avg(c).alias(f"avg_{c}") for c in figures])
+    return strict_summary(trades, counts).drop("expectancy").join(more, ["strategy", "horizon"])
+
+
 def candidate_counts(picks: DataFrame, days: DataFrame, strategies: tuple[str, ...] = STRATEGIES) -> DataFrame:
     """(strategy, trade_date, candidate_count) of every strategy and day, 0 included."""
     grid = days.select("trade_date").distinct().withColumn("strategy", F.explode(F.array(*map(F.lit, strategies))))

@@ -192,9 +192,9 @@ def signal_metrics(spark, sf_dir):
     return sc.signal_metrics(sc.daily_ic(_scored(spark, sf_dir), "score", "outcome")).select("mean_ic", "icir", "positive_rate")
 
 
-@query(f"{_SCORED} --- SELECT symbol, trade_date, CASE WHEN count(score) OVER ({_S} ROWS 4 PRECEDING) >= 3 THEN avg(score) OVER ({_S} ROWS 4 PRECEDING) END AS score_mean, CASE WHEN count(score) OVER ({_S} ROWS 4 PRECEDING) >= 3 THEN stddev_pop(score) OVER ({_S} ROWS 4 PRECEDING) END AS score_std, score - lag(score, 4) OVER ({_S}) AS score_delta FROM s1", "score_mean score_std score_delta", "symbol trade_date")
+@query(f"{_SCORED} --- SELECT symbol, trade_date, CASE WHEN count(score) OVER ({_S} ROWS 4 PRECEDING) >= 3 THEN avg(score) OVER ({_S} ROWS 4 PRECEDING) END AS score_mean, CASE WHEN count(score) OVER ({_S} ROWS 4 PRECEDING) >= 3 THEN stddev_pop(score) OVER ({_S} ROWS 4 PRECEDING) END AS score_std, CASE WHEN count(score) OVER ({_S} ROWS 4 PRECEDING) >= 3 THEN score - avg(score) OVER ({_S} ROWS 4 PRECEDING) END AS score_delta FROM s1", "score_mean score_std score_delta", "symbol trade_date")
 def rolling_scores(spark, sf_dir):
-    """Rolling mean, deviation and change of a score."""
+    """Rolling mean, deviation and distance from the mean of a score."""
     return sc.rolling_score(_scored(spark, sf_dir), "score").select("symbol", "trade_date", "score_mean", "score_std", "score_delta")
 
 

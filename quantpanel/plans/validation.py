@@ -237,3 +237,29 @@ def strict_validation(spark, sf_dir):
     picks = st.strict_picks(scores)
     out = st.strict_summary(st.strict_trades(picks, bt.forward_outcomes(bars), (5, 10, 20)), st.candidate_counts(picks, scores))
     return out
+
+
+_ROLL = "OVER (PARTITION BY symbol ORDER BY trade_date ROWS 4 PRECEDING)"
+_ROLLED = _STORED + "y0 AS (SELECT *, " + ", ".join(f"CASE WHEN count(s{k}) {_ROLL} = 5 THEN avg(s{k}) {_ROLL} END AS a{k}, CASE WHEN count(s{k}) {_ROLL} = 5 THEN stddev_pop(s{k}) {_ROLL} END AS v{k}" for k in (1, 2, 4)) + " FROM t4), y1 AS (SELECT *, round(greatest(0, 100 - 2 * abs(a1 - 80)), 4) AS ac1, round(greatest(0, 100 - 2 * abs(a2 - 80)), 4) AS ac2 FROM y0), y2 AS (SELECT *, CASE WHEN a4 IS NOT NULL THEN round(a4 + 0.08::DOUBLE * ac1 + 0.12::DOUBLE * ac2, 4) END AS rm FROM y1), y3 AS (SELECT *, round(rm - 0.05::DOUBLE * v1 - 0.05::DOUBLE * v2 - 0.1::DOUBLE * v4, 4) AS rs FROM y2),"
+_ROLL_PICK = [("random_top20", "true", "md5(strftime(trade_date, '%Y-%m-%d') || ':' || symbol) DESC"), ("centered_risk_top20", "s1 >= 40 AND s2 >= 50 AND s4 >= 70", "cr DESC, s4 DESC, c1 DESC, c2 DESC"), ("rolling5_phase4_mean_top20", "a1 >= 40 AND a2 >= 50 AND a4 >= 70", "a4 DESC, s4 DESC"), ("rolling5_mean_top20", "a1 >= 40 AND a2 >= 50 AND a4 >= 70", "rm DESC, a4 DESC, s4 DESC"), ("rolling5_stable_top20", "a1 >= 40 AND a2 >= 50 AND a4 >= 70", "rs DESC, rm DESC, a4 DESC")]
+
+
+@query(f"{_ROLLED} --- SELECT symbol, trade_date, a1 AS phase1_5d_mean, v1 AS phase1_5d_std, s1 - a1 AS phase1_5d_delta, a4 AS phase4_5d_mean, rm AS rolling5_mean_score, rs AS rolling5_stable_score FROM y3", "phase1_5d_mean phase1_5d_std phase1_5d_delta phase4_5d_mean rolling5_mean_score rolling5_stable_score", "symbol trade_date")
+def rolling_features(spark, sf_dir):
+    """Five-day figures of stored scores and the rolling scores."""
+    return st.rolling_features(_stored(spark, sf_dir)).select("symbol", "trade_date", "phase1_5d_mean", "phase1_5d_std", "phase1_5d_delta", "phase4_5d_mean", "rolling5_mean_score", "rolling5_stable_score")
+
+
+@query(_ROLLED + " --- " + " UNION ALL ".join(f"SELECT '{n}' AS strategy, trade_date, symbol, row_number() OVER (PARTITION BY trade_date ORDER BY {o}, symbol) AS selected_rank FROM y3 WHERE {w} QUALIFY selected_rank <= 20" for n, w, o in _ROLL_PICK), "", "strategy trade_date symbol selected_rank")
+def rolling_picks(spark, sf_dir):
+    """Picks of the rolling strategies of every day."""
+    return st.rolling_picks(st.rolling_features(_stored(spark, sf_dir)))
+
+
+@query()
+def rolling_summary(spark, sf_dir):
+    """Trades of the rolling strategies over three horizons, summed up."""
+    scores = st.rolling_features(_stored(spark, sf_dir))
+    picks = st.rolling_picks(scores)
+    trades = st.strict_trades(picks, bt.forward_outcomes(src.bars_of(spark, sf_dir)), (5, 10, 20))
+    return st.rolling_summary(trades, st.candidate_counts(picks, scores, st.ROLLING), scores)
