@@ -35,7 +35,7 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _held_out() -> F.Column:
-    return (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2).alias("held_out")
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)).alias("held_out")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
