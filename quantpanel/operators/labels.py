@@ -167,7 +167,14 @@ def window_features(bars: DataFrame, windows: tuple[int, ...] = (5, 10, 20, 30,
             f"VMA{n}": d(F.avg("volume").over(w), F.col("volume") + g), f"VSTD{n}": d(F.stddev_samp("volume").over(w), F.col("volume") + g), f"WVMA{n}": d(F.stddev_samp("_w").over(w), F.avg("_w").over(w) + g),
             f"VSUMP{n}": d(vup, vmoved), f"VSUMN{n}": d(vdown, vmoved), f"VSUMD{n}": d(vup - vdown, vmoved),
         }
-    return df.withColumns(cols).drop(*[x for x in df.columns if x.startswith("_")])
+    return df.withColumns(cols).drop(*[x for x in df.columns if x not in bars.columns])
+
+
+def latest_alpha(bars: DataFrame, windows: tuple[int, ...] = (5, 10, 20, 30, 60)) -> DataFrame:
+    """The 158 features of each symbol's last bar (L18), from the bars that they take: the longest window and one before it."""
+    w = Window.partitionBy("symbol").orderBy(F.desc("trade_date"))
+    tail = bars.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max(windows) + 1)
+    return window_features(candle_features(tail), windows).where("_n = 1").drop("_n")
 
 
 def return_label(bars: DataFrame) -> DataFrame:
