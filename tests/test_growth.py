@@ -1,9 +1,12 @@
 """Work that grows with the rows: long histories, many windows and many settings."""
 
 import math
+import time
 from datetime import date, timedelta
 
 import pytest
+from pyspark.sql import functions as F
+
 from quantpanel.operators import indicators as ind
 from quantpanel.operators import labels as lab
 
@@ -21,6 +24,23 @@ def walk(spark, symbols=2, days=80):
     return spark.createDataFrame(rows, SCHEMA)
 
 
+def test_recurrences_of_a_long_history_take_linear_work(spark):
+    began = time.monotonic()
+    bars = walk(spark, 1, 12_000)
+    last = ind.last_rows(ind.add_recurrences(bars)).first()
+    state = ind.technicals(ind.recurrence_state(bars)).first()
+    assert time.monotonic() - began < 60
+    for c in ("macd_dif", "macd_dea", "macd_hist", "atr_14"):
+        assert last[c] == pytest.approx(state[c], abs=1e-9)
+
+
+def test_recurrences_pass_over_nulls(spark):
+    bars = walk(spark, 1, 60).withColumn("close", F.when(F.dayofmonth("trade_date") % 10 != 3, F.col("close")))
+    last, state = ind.last_rows(ind.add_recurrences(bars)).first(), ind.technicals(ind.recurrence_state(bars)).first()
+    for c in ("macd_dif", "macd_dea", "atr_14"):
+        assert last[c] == pytest.approx(state[c], abs=1e-9)
+
+
 @pytest.mark.parametrize("days", [1, 20, 61, 80])
 def test_last_alpha_takes_the_tail_alone(spark, days):
     bars = walk(spark, 2, days)
