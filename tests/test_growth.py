@@ -50,3 +50,12 @@ def test_last_alpha_takes_the_tail_alone(spark, days):
     for r in tail:
         for c, v in r.asDict().items():
             assert v == (pytest.approx(whole[r.symbol][c], abs=1e-8) if isinstance(v, float) else whole[r.symbol][c]), c
+
+
+def test_grid_of_barriers_is_its_cells(spark):
+    bars = walk(spark, 3, 200)
+    events = lab.cusum_state(bars, span=10).select("symbol", F.col("trade_date").alias("event_date"), "vol", "threshold")
+    cells = [(f"{h}-{w}-{m}", h, w, w, m) for h in (5, 10) for w in (0.5, 2.0) for m in (0.003, 0.05)]
+    got = {(r.config_id, r.symbol, r.trade_date): r.risk_label for r in lab.event_grid(bars, events, cells).select("symbol", "trade_date", F.inline("cells")).collect()}
+    want = {(n, r.symbol, r.trade_date): r.risk_label for n, h, u, d, m in cells for r in lab.event_barrier(bars, events, h, u, d, m).collect()}
+    assert got == want and len(set(got.values())) == 2
