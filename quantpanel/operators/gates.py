@@ -115,7 +115,7 @@ def tail_risk_model(panel: DataFrame, features: list[str], label: str, rows: int
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
-    known = panel.dropna(subset=[*features, label])
+    known = panel.dropna(subset=[*features, label]).localCheckpoint()  # read by the count and by each stage
     n = known.count()
     if n > rows:
         known = known.where(F.pmod(F.xxhash64("symbol", "trade_date"), F.lit(1_000_000)) < int(1_000_000 * rows / n))

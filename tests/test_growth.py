@@ -59,3 +59,18 @@ def test_grid_of_barriers_is_its_cells(spark):
     got = {(r.config_id, r.symbol, r.trade_date): r.risk_label for r in lab.event_grid(bars, events, cells).select("symbol", "trade_date", F.inline("cells")).collect()}
     want = {(n, r.symbol, r.trade_date): r.risk_label for n, h, u, d, m in cells for r in lab.event_barrier(bars, events, h, u, d, m).collect()}
     assert got == want and len(set(got.values())) == 2
+
+
+def test_tail_risk_model_works_its_panel_out_once(spark):
+    from quantpanel.operators import gates as gt
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(parts):
+        for pdf in parts:
+            seen.add(len(pdf))
+            yield pdf
+
+    raw = spark.range(400).selectExpr("lpad(cast(id % 7 as string), 6, '0') as symbol", "date_add(date '2000-01-01', cast(id as int)) as trade_date", "cast(id % 13 as double) as x", "cast(id % 13 > 6 and id % 3 > 0 as int) as y")
+    gt.tail_risk_model(raw.mapInPandas(passed, raw.schema), ["x"], "y")
+    assert seen.value == 400
