@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from quantpanel.operators import indicators as ind
 from quantpanel.operators import labels as lab
+from quantpanel.operators import market as mk
+from quantpanel.operators import quality as ql
+from quantpanel.operators import strict as st
+from quantpanel.sources import bars as src
 
 SCHEMA = "symbol string, trade_date date, open double, close double, high double, low double, volume double, amount double, pct_change double"
 
@@ -74,3 +78,20 @@ def test_tail_risk_model_works_its_panel_out_once(spark):
     raw = spark.range(400).selectExpr("lpad(cast(id % 7 as string), 6, '0') as symbol", "date_add(date '2000-01-01', cast(id as int)) as trade_date", "cast(id % 13 as double) as x", "cast(id % 13 > 6 and id % 3 > 0 as int) as y")
     gt.tail_risk_model(raw.mapInPandas(passed, raw.schema), ["x"], "y")
     assert seen.value == 400
+
+
+def lines(spark, n=3000):
+    return spark.range(n).selectExpr("id % 20 as l_suppkey", "cast(date_add(date '2000-01-01', cast(id div 25 as int)) as timestamp) as l_shipdate", "100D + id * 37 % 91 as l_extendedprice", "id % 7 / 100D as l_tax", "id % 5 / 100D as l_discount", "1D + id % 9 as l_quantity")
+
+
+def nodes(df, word):
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    return [x for x in plan.splitlines() if x.strip(" :+-*()0123456789").startswith(word)]
+
+
+def test_bars_are_dealt_by_symbol_once_over_the_given_parts(spark):
+    want = {(r.symbol, r.trade_date): r for r in src.derive_bars(lines(spark)).collect()}
+    bars = src.derive_bars(lines(spark), parts=5)
+    assert bars.rdd.getNumPartitions() == 5 and len(nodes(bars, "Exchange")) == 1 and len(nodes(bars, "Sort ")) == 1
+    assert {(r.symbol, r.trade_date): r for r in bars.collect()} == want
+    assert src.parts_of(lines(spark), rows=100) == 30 and src.parts_of(lines(spark), rows=1000) is None
