@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .indicators import by_symbol
+from .indicators import by_symbol, new_day
 
 
 def audit(bars: DataFrame, lookback: int = 100, horizon: int = 20) -> DataFrame:
     """Span, days, repeats, missing values, zero volume, locked limits and eligibility of each symbol (Q1, Q2)."""
     r = F.try_divide(F.col("close"), F.lag("close").over(by_symbol())) - 1
     locked = F.abs(F.col("high") - F.col("low")) <= 0.0005 * F.col("close")
-    df = bars.withColumns({"up": F.coalesce(locked & (r >= 0.095), F.lit(False)).cast("int"), "dn": F.coalesce(locked & (r <= -0.095), F.lit(False)).cast("int")})
-    agg = df.groupBy("symbol").agg(F.min("trade_date").alias("first_date"), F.max("trade_date").alias("last_date"), F.countDistinct("trade_date").alias("trading_days"), (F.count(F.lit(1)) - F.countDistinct("trade_date")).alias("duplicates"), *[F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in ("open", "high", "low", "close", "volume")], F.count_if(F.col("volume") == 0).alias("zero_volume_days"), F.sum("up").alias("locked_up"), F.sum("dn").alias("locked_down"))
+    df = bars.withColumns({"up": F.coalesce(locked & (r >= 0.095), F.lit(False)).cast("int"), "dn": F.coalesce(locked & (r <= -0.095), F.lit(False)).cast("int"), "_day": new_day()})
+    days = F.count_if(F.col("_day") & F.col("trade_date").isNotNull())
+    agg = df.groupBy("symbol").agg(F.min("trade_date").alias("first_date"), F.max("trade_date").alias("last_date"), days.alias("trading_days"), (F.count(F.lit(1)) - days).alias("duplicates"), *[F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in ("open", "high", "low", "close", "volume")], F.count_if(F.col("volume") == 0).alias("zero_volume_days"), F.sum("up").alias("locked_up"), F.sum("dn").alias("locked_down"))
     return agg.withColumn("eligible", F.col("trading_days") >= lookback + horizon)
 
 

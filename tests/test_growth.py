@@ -95,3 +95,16 @@ def test_bars_are_dealt_by_symbol_once_over_the_given_parts(spark):
     assert bars.rdd.getNumPartitions() == 5 and len(nodes(bars, "Exchange")) == 1 and len(nodes(bars, "Sort ")) == 1
     assert {(r.symbol, r.trade_date): r for r in bars.collect()} == want
     assert src.parts_of(lines(spark), rows=100) == 30 and src.parts_of(lines(spark), rows=1000) is None
+
+
+def test_days_are_counted_where_the_bars_lie(spark):
+    bars = walk(spark, 3, 40)
+    twice = bars.unionByName(bars.where("day(trade_date) = 3"))
+    got = {r.symbol: r for r in ql.audit(twice).collect()}
+    assert [(r.trading_days, r.duplicates) for r in got.values()] == [(40, 2)] * 3
+    panel = bars.selectExpr("trade_date", "symbol", "0.01D as daily_return", "1D as amount", "1 as above_ma20", "1 as above_ma60", "0 as limit_up_like", "0 as limit_down_like")
+    panel = panel.unionByName(panel.where("day(trade_date) = 3"))
+    assert {r.stock_count for r in mk.daily_market(panel).collect()} == {3}
+    parted = src.derive_bars(lines(spark), parts=5)
+    assert len(nodes(ql.audit(parted), "Exchange")) == 1
+    assert len(nodes(mk.daily_market(mk.symbol_panel(parted)), "Exchange")) == 2
