@@ -37,40 +37,39 @@ def gate_permissions(train: DataFrame, valid: DataFrame, quantile: float = 0.8)
     return df.select("window_id", "trade_date", "risk_score", "threshold", F.when(F.col("risk_score") < F.col("threshold"), "allow").otherwise("no_trade").alias("phase7_trade_permission"))
 
 
-def day_scores(rows: DataFrame) -> DataFrame:
-    """Scores of each day from 0 to 100, mixed, centred and all-90 flag."""
+def day_scores(rows: DataFrame, parts: int | None = None) -> DataFrame:
+    """Scores of each day from 0 to 100, mixed, centred and all-90 flag (V25); days are dealt over `parts` partitions."""
     day = ["trade_date"]
-    df = rows.withColumns({"phase1_score_100": score_100("phase1_risk", day, False), "phase2_score_100": score_100("phase2_risk", day, False), "phase4_score_100": score_100("phase4_return", day)})
+    df = (rows if parts is None else rows.repartition(parts, *day)).withColumns({"phase1_score_100": score_100("phase1_risk", day, False), "phase2_score_100": score_100("phase2_risk", day, False), "phase4_score_100": score_100("phase4_return", day)})
     p1, p2, p4 = (F.col(f"phase{k}_score_100") for k in (1, 2, 4))
     all90 = F.coalesce((p1 >= ALL90) & (p2 >= ALL90) & (p4 >= ALL90), F.lit(False))
     return mixed_scores(df).withColumns({"mixed_010_score": F.round(p4 + 0.1 * p1 + 0.1 * p2, 4), "phase1_center_score": F.round(centred(p1), 4), "phase2_center_score": F.round(centred(p2), 4), "all90_flag": all90})
 
 
-def _rules(strategies: tuple[str, ...]) -> list[tuple[str, F.Column, list[F.Column], bool]]:
-    """(strategy, rows that may be picked, their order, whether the first TOP alone are picked)."""
+def _rules(strategies: tuple[str, ...]) -> list[tuple[str, F.Column, tuple[str, ...], bool]]:
+    """(strategy, rows that may be picked, the columns of their order, largest first, whether the first TOP alone are picked)."""
     p1, p2, p4 = (F.col(f"phase{k}_score_100") for k in (1, 2, 4))
     floor, allow, safe = (p1 >= PHASE1_LEAST) & (p2 >= PHASE2_LEAST), F.lower("phase7_trade_permission") == "allow", F.col("phase5_score_100") >= SAFE
-    down = lambda *c: [F.col(x).desc_nulls_last() for x in c]
+    best = ("phase4_score_100", "phase1_score_100", "phase2_score_100")
     out = []
     for name in strategies:
         extra = reduce(lambda a, b: a & b, [c for word, c in (("phase7_allow", allow), ("phase5_safe", safe)) if word in name], F.lit(True))
         if name == "random_top20":
-            seed = F.md5(F.concat(F.date_format("trade_date", "yyyy-MM-dd"), F.lit(":"), F.col("symbol")).cast("binary"))
-            out.append((name, F.lit(True), [seed.desc()], True))
+            out.append((name, F.lit(True), ("_seed",), True))
         elif name == "phase4_top20":
-            out.append((name, p4.isNotNull(), down("phase4_score_100"), True))
+            out.append((name, p4.isNotNull(), ("phase4_score_100",), True))
         elif name.startswith("phase4_top20_p12_ge"):
             at = float(name.rsplit("ge", 1)[-1])
-            out.append((name, p4.isNotNull() & (p1 >= at) & (p2 >= at), down("phase4_score_100"), True))
+            out.append((name, p4.isNotNull() & (p1 >= at) & (p2 >= at), ("phase4_score_100",), True))
         elif name.startswith("mixed_010_top20"):
-            out.append((name, floor & F.col("mixed_010_score").isNotNull() & extra, down("mixed_010_score", "phase4_score_100", "phase1_score_100", "phase2_score_100"), True))
+            out.append((name, floor & F.col("mixed_010_score").isNotNull() & extra, ("mixed_010_score", *best), True))
         elif name.startswith("mixed_top20"):
-            out.append((name, floor & F.col("mixed_score").isNotNull() & extra, down("mixed_score", "phase4_score_100", "phase1_score_100", "phase2_score_100"), True))
+            out.append((name, floor & F.col("mixed_score").isNotNull() & extra, ("mixed_score", *best), True))
         elif name == "centered_risk_top20":
             keep = (p1 >= PHASE1_LEAST) & (p2 >= max(PHASE2_LEAST, CENTRED_2)) & (p4 >= CENTRED_4) & F.col("centered_risk_score").isNotNull()
-            out.append((name, keep, down("centered_risk_score", "phase4_score_100", "phase1_center_score", "phase2_center_score"), True))
+            out.append((name, keep, ("centered_risk_score", "phase4_score_100", "phase1_center_score", "phase2_center_score"), True))
         elif name.startswith("all90"):
-            out.append((name, (p1 >= ALL90) & (p2 >= ALL90) & (p4 >= ALL90) & extra, down("mixed_score", "phase4_score_100", "phase1_score_100", "phase2_score_100"), False))
+            out.append((name, (p1 >= ALL90) & (p2 >= ALL90) & (p4 >= ALL90) & extra, ("mixed_score", *best), False))
         else:
             raise ValueError(f"no such strategy: {name}")
     return out
@@ -84,30 +83,36 @@ def strict_picks(scores: DataFrame, strategies: tuple[str, ...] = STRATEGIES, n:
     return _picked(scores, _rules(strategies), n)
 
 
-def _picked(scores: DataFrame, rules: list, n: int) -> DataFrame:
+def _picked(scores: DataFrame, rules: list, n: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """Picks of the rules, with the columns `more`. A rank is the count of kept rows so far, so rules of one order share its sort."""
+    df = scores
+    if any(order == ("_seed",) for _, _, order, _ in rules):
+        df = df.withColumn("_seed", F.md5(F.concat(F.date_format("trade_date", "yyyy-MM-dd"), F.lit(":"), F.col("symbol")).cast("binary")))
     ranks = {}
     for name, keep, order, cut in rules:
         kept = F.coalesce(keep, F.lit(False))
-        rank = F.when(kept, F.row_number().over(Window.partitionBy("trade_date", kept).orderBy(*order, "symbol")))
+        w = Window.partitionBy("trade_date").orderBy(*[F.col(c).desc_nulls_last() for c in order], "symbol")
+        rank = F.when(kept, F.sum(kept.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
         ranks[name] = F.when(rank <= n, rank) if cut else rank
-    df = scores.withColumns({f"_{k}": c for k, c in ranks.items()})
-    long = df.select("trade_date", "symbol", F.explode(F.array(*[F.struct(F.lit(k).alias("strategy"), F.col(f"_{k}").alias("selected_rank")) for k in ranks])).alias("x"))
-    return long.where("x.selected_rank is not null").select("x.strategy", "trade_date", "symbol", "x.selected_rank")
+    df = df.withColumns({f"_{k}": c for k, c in ranks.items()}).where(F.coalesce(*[F.col(f"_{k}") for k in ranks]).isNotNull())
+    long = df.select("trade_date", "symbol", *more, F.explode(F.array(*[F.struct(F.lit(k).alias("strategy"), F.col(f"_{k}").alias("selected_rank")) for k in ranks])).alias("x"))
+    return long.where("x.selected_rank is not null").select("x.strategy", "trade_date", "symbol", "x.selected_rank", *more)
 
 
 # Days of the rolling figures, what a deviation costs, least means, names of the strategies.
 DAYS, COST, MEANS = 5, {"phase1": 0.05, "phase2": 0.05, "phase4": 0.10}, {"phase1": 40.0, "phase2": 50.0, "phase4": 70.0}
+FIGURES = tuple(f"{k}_5d_{c}" for c in ("mean", "std") for k in COST)
 ROLLING = ("random_top20", "centered_risk_top20", "rolling5_phase4_mean_top20", "rolling5_mean_top20", "rolling5_stable_top20")
 
 
-def rolling_features(scores: DataFrame, days: int = DAYS, least: int | None = None) -> DataFrame:
+def rolling_features(scores: DataFrame, days: int = DAYS, least: int | None = None, parts: int | None = None) -> DataFrame:
     """scores with mean, population deviation and distance from the mean of each phase over a symbol's last rows, and the
     rolling mean and stable scores (B15).
 
-    Fewer than `least` known scores in the window (all of it by default) leave the figures null.
+    Fewer than `least` known scores in the window (all of it by default) leave the figures null. Symbols are dealt over `parts` partitions.
     """
     w = Window.partitionBy("symbol").orderBy("trade_date").rowsBetween(1 - days, 0)
-    df = scores
+    df = scores if parts is None else scores.repartition(parts, "symbol")
     for k in COST:
         c = f"{k}_score_100"
         ok = F.count(c).over(w) >= (days if least is None else least)
@@ -119,21 +124,23 @@ def rolling_features(scores: DataFrame, days: int = DAYS, least: int | None = No
     return df.withColumn("rolling5_stable_score", F.round(F.col("rolling5_mean_score") - cost, 4))
 
 
-def rolling_picks(scores: DataFrame, n: int = TOP) -> DataFrame:
-    """(strategy, trade_date, symbol, selected_rank) of the rolling strategies (B16). scores as rolling_features gives them."""
-    down = lambda *c: [F.col(x).desc_nulls_last() for x in c]
+def rolling_picks(scores: DataFrame, n: int = TOP, more: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
+    """(strategy, trade_date, symbol, selected_rank) of the rolling strategies (B16), with the columns `more`. scores as rolling_features gives them.
+
+    Days are dealt over `parts` partitions.
+    """
+    scores = scores if parts is None else scores.repartition(parts, "trade_date")
     floor = F.col("rolling5_mean_score").isNotNull()
     for k, at in MEANS.items():
         floor = floor & (F.col(f"{k}_5d_mean") >= at)
     own = {"rolling5_phase4_mean_top20": ("phase4_5d_mean", "phase4_score_100"), "rolling5_mean_top20": ("rolling5_mean_score", "phase4_5d_mean", "phase4_score_100"), "rolling5_stable_top20": ("rolling5_stable_score", "rolling5_mean_score", "phase4_5d_mean")}
-    return _picked(scores, [*_rules(ROLLING[:2]), *[(name, floor, down(*order), True) for name, order in own.items()]], n)
+    return _picked(scores, [*_rules(ROLLING[:2]), *[(name, floor, order, True) for name, order in own.items()]], n, more)
 
 
 def rolling_summary(trades: DataFrame, counts: DataFrame, features: DataFrame) -> DataFrame:
     """strict_summary with medians and the means of the rolling figures of the trades."""
-    figures = [f"{k}_5d_{c}" for c in ("mean", "std") for k in COST]
-    rows = trades.join(features.select("symbol", "trade_date", *figures), ["symbol", "trade_date"])
-    more = rows.groupBy("strategy", "horizon").agg(*[F.percentile(c, 0.5).alias(f"median_{c}") for c in ("raw_return", "max_profit", "max_drawdown")], *[F.avg(c).alias(f"avg_{c}") for c in figures])
+    rows = trades.join(features.select("symbol", "trade_date", *FIGURES), ["symbol", "trade_date"])
+    more = rows.groupBy("strategy", "horizon").agg(*[F.percentile(c, 0.5).alias(f"median_{c}") for c in ("raw_return", "max_profit", "max_drawdown")], *[F.avg(c).alias(f"avg_{c}") for c in FIGURES])
     return strict_summary(trades, counts).drop("expectancy").join(more, ["strategy", "horizon"])
 
 
@@ -144,11 +151,13 @@ def candidate_counts(picks: DataFrame, days: DataFrame, strategies: tuple[str, .
     return grid.join(n, ["strategy", "trade_date"], "left").fillna(0, ["candidate_count"])
 
 
-def strict_trades(picks: DataFrame, outcomes: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
+def strict_trades(picks: DataFrame, outcomes: DataFrame, horizons: tuple[int, ...], parts: int | None = None) -> DataFrame:
     """Picks with their outcome at each horizon, a row each; those without a return at a horizon have none.
 
-    outcomes: (symbol, trade_date) with return_<h>d, max_profit_<h>d and max_drawdown_<h>d.
+    outcomes: (symbol, trade_date) with return_<h>d, max_profit_<h>d and max_drawdown_<h>d; they meet the picks over `parts` partitions.
     """
+    outcomes = outcomes.select("symbol", "trade_date", *[f"{c}_{h}d" for h in horizons for c in ("return", "max_profit", "max_drawdown")])
+    outcomes = outcomes if parts is None else outcomes.repartition(parts, "symbol", "trade_date")
     at = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), *[F.col(f"{c}_{h}d").alias(o) for c, o in (("return", "raw_return"), ("max_profit", "max_profit"), ("max_drawdown", "max_drawdown"))]) for h in horizons])).alias("x")
     return picks.join(outcomes, ["symbol", "trade_date"]).select("strategy", "trade_date", "symbol", "selected_rank", at).where("x.raw_return is not null").select("strategy", "trade_date", "symbol", "selected_rank", "x.*")
 

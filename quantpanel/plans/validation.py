@@ -182,7 +182,12 @@ def _stored(spark, sf_dir):
     df = lab.base_features(src.bars_of(spark, sf_dir)).dropna(subset=["vol_20", "drawdown_60", "return_5d"])
     allow = F.when(F.dayofmonth("trade_date") % 4 == 0, "no_trade").otherwise("allow")
     df = df.select("symbol", "trade_date", F.col("vol_20").alias("phase1_risk"), (-F.col("drawdown_60")).alias("phase2_risk"), (-F.col("return_5d")).alias("phase4_return"), allow.alias("phase7_trade_permission"), (F.col("range_pct") * 1000).alias("phase5_score_100"))
-    return st.day_scores(df)
+    return st.day_scores(df, src.bar_parts(spark, sf_dir))
+
+
+def _outcomes(spark, sf_dir, picks):
+    """Trades of picks over the horizons, from the bars."""
+    return st.strict_trades(picks, bt.forward_outcomes(src.bars_of(spark, sf_dir)), (5, 10, 20), src.bar_parts(spark, sf_dir))
 
 
 def _r100(v: str) -> str:
@@ -211,15 +216,15 @@ def strict_scores(spark, sf_dir):
 @query(f"{_TRADES} --- SELECT * FROM tr", "raw_return max_profit max_drawdown", "strategy trade_date symbol selected_rank horizon")
 def strict_trades(spark, sf_dir):
     """Trades of the strict strategies over three horizons."""
-    return st.strict_trades(st.strict_picks(_stored(spark, sf_dir)), bt.forward_outcomes(src.bars_of(spark, sf_dir)), (5, 10, 20))
+    return _outcomes(spark, sf_dir, st.strict_picks(_stored(spark, sf_dir)))
 
 
 @query(f"{_TRADES} cc AS (SELECT strategy, avg((n = 0)::INT) AS no_candidate_day_rate, count(*) AS signal_days FROM (SELECT g.strategy, g.trade_date, count(symbol) AS n FROM (SELECT * FROM (SELECT DISTINCT strategy FROM pk UNION SELECT unnest([{', '.join(repr(x[0]) for x in _PICK)}])), (SELECT DISTINCT trade_date FROM t4)) g LEFT JOIN pk USING (strategy, trade_date) GROUP BY 1, 2) GROUP BY 1), sm AS (SELECT strategy, horizon, count(*) AS trade_count, count(DISTINCT trade_date) AS signal_days_with_trades, avg(raw_return) AS avg_raw_return, avg((raw_return > 0)::INT) AS raw_win_rate, avg(max_profit) AS avg_max_profit, avg(max_drawdown) AS avg_max_drawdown, avg(raw_return) FILTER (raw_return > 0) AS g, avg(raw_return) FILTER (raw_return < 0) AS l FROM tr GROUP BY 1, 2), --- SELECT *, g / abs(l) AS payoff_ratio, raw_win_rate * coalesce(g, 0) + (1 - raw_win_rate) * coalesce(l, 0) AS expectancy FROM sm JOIN cc USING (strategy)", "avg_raw_return raw_win_rate avg_max_profit avg_max_drawdown payoff_ratio expectancy no_candidate_day_rate", "strategy horizon trade_count signal_days_with_trades signal_days")
 def strict_summary(spark, sf_dir):
     """Payoff, expectancy and days without candidates of the strict strategies."""
-    scores = _stored(spark, sf_dir)
-    picks = st.strict_picks(scores)
-    out = st.strict_summary(st.strict_trades(picks, bt.forward_outcomes(src.bars_of(spark, sf_dir)), (5, 10, 20)), st.candidate_counts(picks, scores))
+    picks = st.strict_picks(_stored(spark, sf_dir)).localCheckpoint()  # a few rows a day and strategy
+    days = picks.where("strategy = 'random_top20'")  # which picks on every day that has a row
+    out = st.strict_summary(_outcomes(spark, sf_dir, picks), st.candidate_counts(picks, days))
     return out.drop("avg_gain", "avg_loss")
 
 
@@ -245,6 +250,14 @@ def strict_validation(spark, sf_dir):
 
 _ROLL = "OVER (PARTITION BY symbol ORDER BY trade_date ROWS 4 PRECEDING)"
 _ROLLED = _STORED + "y0 AS (SELECT *, " + ", ".join(f"CASE WHEN count(s{k}) {_ROLL} = 5 THEN avg(s{k}) {_ROLL} END AS a{k}, CASE WHEN count(s{k}) {_ROLL} = 5 THEN stddev_pop(s{k}) {_ROLL} END AS v{k}" for k in (1, 2, 4)) + " FROM t4), y1 AS (SELECT *, round(greatest(0, 100 - 2 * abs(a1 - 80)), 4) AS ac1, round(greatest(0, 100 - 2 * abs(a2 - 80)), 4) AS ac2 FROM y0), y2 AS (SELECT *, CASE WHEN a4 IS NOT NULL THEN round(a4 + 0.08::DOUBLE * ac1 + 0.12::DOUBLE * ac2, 4) END AS rm FROM y1), y3 AS (SELECT *, round(rm - 0.05::DOUBLE * v1 - 0.05::DOUBLE * v2 - 0.1::DOUBLE * v4, 4) AS rs FROM y2),"
+
+
+def _rolled(spark, sf_dir, more=()):
+    """Picks of the rolling strategies from stored scores."""
+    parts = src.bar_parts(spark, sf_dir)
+    return st.rolling_picks(st.rolling_features(_stored(spark, sf_dir), parts=parts), more=more, parts=parts)
+
+
 _ROLL_PICK = [("random_top20", "true", "md5(strftime(trade_date, '%Y-%m-%d') || ':' || symbol) DESC"), ("centered_risk_top20", "s1 >= 40 AND s2 >= 50 AND s4 >= 70", "cr DESC, s4 DESC, c1 DESC, c2 DESC"), ("rolling5_phase4_mean_top20", "a1 >= 40 AND a2 >= 50 AND a4 >= 70", "a4 DESC, s4 DESC"), ("rolling5_mean_top20", "a1 >= 40 AND a2 >= 50 AND a4 >= 70", "rm DESC, a4 DESC, s4 DESC"), ("rolling5_stable_top20", "a1 >= 40 AND a2 >= 50 AND a4 >= 70", "rs DESC, rm DESC, a4 DESC")]
 
 
@@ -257,13 +270,13 @@ def rolling_features(spark, sf_dir):
 @query(_ROLLED + " --- " + " UNION ALL ".join(f"SELECT '{n}' AS strategy, trade_date, symbol, row_number() OVER (PARTITION BY trade_date ORDER BY {o}, symbol) AS selected_rank FROM y3 WHERE {w} QUALIFY selected_rank <= 20" for n, w, o in _ROLL_PICK), "", "strategy trade_date symbol selected_rank")
 def rolling_picks(spark, sf_dir):
     """Picks of the rolling strategies of every day."""
-    return st.rolling_picks(st.rolling_features(_stored(spark, sf_dir)))
+    return _rolled(spark, sf_dir)
 
 
 @query()
 def rolling_summary(spark, sf_dir):
     """Trades of the rolling strategies over three horizons, summed up."""
-    scores = st.rolling_features(_stored(spark, sf_dir))
-    picks = st.rolling_picks(scores)
-    trades = st.strict_trades(picks, bt.forward_outcomes(src.bars_of(spark, sf_dir)), (5, 10, 20))
-    return st.rolling_summary(trades, st.candidate_counts(picks, scores, st.ROLLING), scores)
+    picks = _rolled(spark, sf_dir, st.FIGURES).localCheckpoint()  # a few rows a day and strategy
+    days = picks.where("strategy = 'random_top20'")  # which picks on every day that has a row
+    trades = _outcomes(spark, sf_dir, picks.drop(*st.FIGURES)).localCheckpoint()
+    return st.rolling_summary(trades, st.candidate_counts(picks, days, st.ROLLING), picks.dropDuplicates(["symbol", "trade_date"]))

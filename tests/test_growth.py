@@ -108,3 +108,17 @@ def test_days_are_counted_where_the_bars_lie(spark):
     parted = src.derive_bars(lines(spark), parts=5)
     assert len(nodes(ql.audit(parted), "Exchange")) == 1
     assert len(nodes(mk.daily_market(mk.symbol_panel(parted)), "Exchange")) == 2
+
+
+def test_rules_of_one_order_share_its_sort(spark):
+    rows = spark.range(600).selectExpr("lpad(cast(id % 60 as string), 6, '0') as symbol", "date_add(date '2000-01-01', cast(id div 60 as int)) as trade_date", "id * 7 % 61 / 61D as phase1_risk", "id * 11 % 59 / 59D as phase2_risk", "id * 13 % 53 / 53D as phase4_return", "'allow' as phase7_trade_permission", "50D as phase5_score_100")
+    scores = st.day_scores(rows, parts=4)
+    picks = st.strict_picks(scores)
+    assert len(nodes(picks, "Sort ")) <= 9 and picks.rdd.getNumPartitions() == 4
+    all_rows, got = scores.toPandas(), {(r.strategy, r.trade_date, r.symbol): r.selected_rank for r in picks.collect()}
+    want = {}
+    for day, pdf in all_rows.groupby("trade_date"):
+        for name, least in (("phase4_top20", 0), ("phase4_top20_p12_ge30", 30), ("phase4_top20_p12_ge40", 40)):
+            kept = pdf[(pdf["phase1_score_100"] >= least) & (pdf["phase2_score_100"] >= least)].sort_values(["phase4_score_100", "symbol"], ascending=[False, True])
+            want |= {(name, day, s): k + 1 for k, s in enumerate(kept["symbol"][:20])}
+    assert {k: v for k, v in got.items() if k[0].startswith("phase4_")} == want
