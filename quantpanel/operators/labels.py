@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .indicators import by_symbol, corr, full, last, true_range
 
@@ -157,35 +158,110 @@ def candle_features(bars: DataFrame) -> DataFrame:
 GUARD = 1e-12
 
 
+#: Names of the rolling features, before the number of bars.
+ROLLING = "ROC MA STD MAX MIN QTLU QTLD RSV RANK BETA RSQR RESI IMAX IMIN IMXD CORR CORD CNTP CNTN CNTD SUMP SUMN SUMD VMA VSTD WVMA VSUMP VSUMN VSUMD".split()
+
+
 def window_features(bars: DataFrame, windows: tuple[int, ...] = (5, 10, 20, 30, 60)) -> DataFrame:
     """The rolling blocks of the 158 features, frames that shrink at the start.
 
     Ranges and sums in a denominator have GUARD added, so a flat window gives 0. The first bar has no change: it counts as
-    neither rise nor fall, and sums over it alone are null.
+    neither rise nor fall, and sums over it alone are null. Nulls are passed over. A symbol's bars are one group by
+    construction; its frames are views of one array a column, and a feature is one step over all of them.
     """
-    d, c, g = F.try_divide, F.col("close"), F.lit(GUARD)
-    df = bars.withColumns({"_i": F.row_number().over(by_symbol()).cast("double"), "_p": F.lag("close").over(by_symbol()), "_v0": F.lag("volume").over(by_symbol())})
-    df = df.withColumns({"_r": d("close", "_p"), "_vr": F.log(d("volume", "_v0") + 1), "_lv": F.log1p("volume"), "_d": c - F.col("_p"), "_dv": F.col("volume") - F.col("_v0")})
-    clip = lambda x: F.when(x.isNotNull(), F.greatest(x, F.lit(0.0)))
-    df = df.withColumns({"_up": clip(F.col("_d")), "_dn": clip(-F.col("_d")), "_ad": F.abs("_d"), "_vup": clip(F.col("_dv")), "_vdn": clip(-F.col("_dv")), "_vad": F.abs("_dv"), "_pos": F.coalesce(F.col("_d") > 0, F.lit(False)).cast("double"), "_neg": F.coalesce(F.col("_d") < 0, F.lit(False)).cast("double"), "_w": F.abs(F.col("_r") - 1) * F.col("volume")})
-    cols = {}
-    for n in windows:
-        w = last(n)
-        slope, fit = F.regr_slope("close", "_i").over(w), F.regr_intercept("close", "_i").over(w) + F.regr_slope("close", "_i").over(w) * F.col("_i")
-        arr, hi, lo = F.collect_list("close").over(w), F.collect_list("high").over(w), F.collect_list("low").over(w)
-        up, down, moved, vup, vdown, vmoved = (F.sum(x).over(w) + (g if x.endswith("ad") else 0) for x in ("_up", "_dn", "_ad", "_vup", "_vdn", "_vad"))
-        imax, imin = F.array_position(hi, F.max("high").over(w)).cast("double"), F.array_position(lo, F.min("low").over(w)).cast("double")
-        cols |= {
-            f"ROC{n}": d(F.lag("close", n).over(by_symbol()), c), f"MA{n}": d(F.avg("close").over(w), c), f"STD{n}": d(F.stddev_samp("close").over(w), c), f"MAX{n}": d(F.max("high").over(w), c), f"MIN{n}": d(F.min("low").over(w), c),
-            f"QTLU{n}": d(F.percentile("close", 0.8).over(w), c), f"QTLD{n}": d(F.percentile("close", 0.2).over(w), c), f"RSV{n}": d(c - F.min("low").over(w), F.max("high").over(w) - F.min("low").over(w) + g),
-            f"RANK{n}": F.transform(F.array(arr), lambda a: (F.size(F.filter(a, lambda x: x < c)) + (F.size(F.filter(a, lambda x: x == c)) + 1) / 2) / F.size(a))[0],
-            f"BETA{n}": d(slope, c), f"RSQR{n}": F.regr_r2("close", "_i").over(w), f"RESI{n}": d(c - fit, c), f"IMAX{n}": imax / n, f"IMIN{n}": imin / n, f"IMXD{n}": (imax - imin) / n,
-            f"CORR{n}": corr("close", "_lv", w), f"CORD{n}": corr("_r", "_vr", w), f"CNTP{n}": F.avg("_pos").over(w), f"CNTN{n}": F.avg("_neg").over(w), f"CNTD{n}": F.avg("_pos").over(w) - F.avg("_neg").over(w),
-            f"SUMP{n}": d(up, moved), f"SUMN{n}": d(down, moved), f"SUMD{n}": d(up - down, moved),
-            f"VMA{n}": d(F.avg("volume").over(w), F.col("volume") + g), f"VSTD{n}": d(F.stddev_samp("volume").over(w), F.col("volume") + g), f"WVMA{n}": d(F.stddev_samp("_w").over(w), F.avg("_w").over(w) + g),
-            f"VSUMP{n}": d(vup, vmoved), f"VSUMN{n}": d(vdown, vmoved), f"VSUMD{n}": d(vup - vdown, vmoved),
-        }
-    return df.withColumns(cols).drop(*[x for x in df.columns if x not in bars.columns])
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    names = [f"{k}{n}" for n in windows for k in ROLLING]
+
+    def divided(a, b):
+        return np.divide(a, b, out=np.full(np.broadcast(a, b).shape, np.nan), where=b != 0)
+
+    def framed(x, n):
+        return np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(n - 1, np.nan), x]), n)
+
+    def before(x, n=1):
+        return np.concatenate([np.full(min(n, len(x)), np.nan), x[:-n]])
+
+    def total(x):
+        return np.where(np.isnan(x).all(axis=1), np.nan, np.nansum(x, axis=1))
+
+    def mean(x):
+        return divided(np.nansum(x, axis=1), (~np.isnan(x)).sum(axis=1).astype("float64"))
+
+    def top(x):
+        return np.fmax.reduce(x, axis=1)
+
+    def least(x):
+        return np.fmin.reduce(x, axis=1)
+
+    def off(x):
+        """Distances from the frame's mean, exactly none in a frame of equal values."""
+        return np.where((top(x) == least(x))[:, None], x * 0, x - mean(x)[:, None])
+
+    def deviation(x):
+        return np.sqrt(divided(np.nansum(off(x) ** 2, axis=1), (~np.isnan(x)).sum(axis=1) - 1.0))
+
+    def sums(x, y):
+        """Sums of squares and products of the distances of rows that have both."""
+        x, y = np.where(np.isnan(y), np.nan, x), np.where(np.isnan(x), np.nan, y)
+        a, b = off(x), off(y)
+        return x, y, np.nansum(a * a, axis=1), np.nansum(b * b, axis=1), np.nansum(a * b, axis=1)
+
+    def correlation(x, y):
+        _, _, xx, yy, xy = sums(x, y)
+        return divided(xy, np.sqrt(xx) * np.sqrt(yy))
+
+    def quantile(ordered, known, q):
+        at = q * np.maximum(known - 1, 0)
+        low, high = np.floor(at).astype(int), np.ceil(at).astype(int)
+        rows = np.arange(len(ordered))
+        a, b = ordered[rows, low], ordered[rows, high]
+        return np.where(low == high, a, (high - at) * a + (at - low) * b)
+
+    def place(x, best):
+        """Place of the first value that is the best, among the known ones of the frame."""
+        hit = x == best[:, None]
+        at = np.cumsum(~np.isnan(x), axis=1)[np.arange(len(x)), hit.argmax(axis=1)]
+        return np.where(hit.any(axis=1), at, np.nan)
+
+    def rolling(c, high, low, v, n):
+        i, p, v0 = np.arange(1.0, len(c) + 1), before(c), before(v)
+        r, d, dv = divided(c, p), c - p, v - v0
+        ratio = divided(v, v0) + 1
+        vr = np.log(ratio, out=np.full(len(c), np.nan), where=ratio > 0)
+        lv = np.log1p(v, out=np.full(len(c), np.nan), where=v > -1)
+        f = lambda x: framed(x, n)
+        cs, hs, ls, vs, ws = f(c), f(high), f(low), f(v), f(np.abs(r - 1) * v)
+        inside, known, ordered = ~np.isnan(f(i)), (~np.isnan(cs)).sum(axis=1), np.sort(cs, axis=1)
+        hi, lo = top(hs), least(ls)
+        at, y, xx, yy, xy = sums(f(i), cs)
+        slope = divided(xy, xx)
+        fit = mean(y) - slope * mean(at) + slope * i
+        r2 = np.where(xx == 0, np.nan, np.where(yy == 0, 1.0, divided(divided(xy * xy, xx), yy)))
+        imax, imin = place(hs, hi), place(ls, lo)
+        pos, neg = (divided(((f(x) > 0) & inside).sum(axis=1).astype("float64"), inside.sum(axis=1).astype("float64")) for x in (d, -d))
+        up, down, moved, vup, vdown, vmoved = (total(f(x)) for x in (np.maximum(d, 0), np.maximum(-d, 0), np.abs(d), np.maximum(dv, 0), np.maximum(-dv, 0), np.abs(dv)))
+        moved, vmoved = moved + GUARD, vmoved + GUARD
+        rank = divided((cs < c[:, None]).sum(axis=1) + ((cs == c[:, None]).sum(axis=1) + 1) / 2, known.astype("float64"))
+        return [
+            divided(before(c, n), c), divided(mean(cs), c), divided(deviation(cs), c), divided(hi, c), divided(lo, c), divided(quantile(ordered, known, 0.8), c), divided(quantile(ordered, known, 0.2), c), divided(c - lo, hi - lo + GUARD), rank,
+            divided(slope, c), r2, divided(c - fit, c), imax / n, imin / n, (imax - imin) / n, correlation(cs, f(lv)), correlation(f(r), f(vr)), pos, neg, pos - neg, divided(up, moved), divided(down, moved), divided(up - down, moved),
+            divided(mean(vs), v + GUARD), divided(deviation(vs), v + GUARD), divided(deviation(ws), mean(ws) + GUARD), divided(vup, vmoved), divided(vdown, vmoved), divided(vup - vdown, vmoved),
+        ]
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows["trade_date"].combine_chunks(), null_placement="at_start"))
+        own = [pc.fill_null(rows[x].cast("float64"), float("nan")).to_numpy() for x in ("close", "high", "low", "volume")]
+        with np.errstate(all="ignore"):
+            out = [x for n in windows for x in rolling(*own, n)]
+        for name, x in zip(names, out, strict=True):
+            rows = rows.append_column(pa.field(name, pa.float64()), pa.array(x, mask=np.isnan(x)))
+        return rows
+
+    schema = T.StructType([*bars.schema.fields, *[T.StructField(x, T.DoubleType()) for x in names]])
+    return bars.groupBy("symbol").applyInArrow(run, schema)
 
 
 def latest_alpha(bars: DataFrame, windows: tuple[int, ...] = (5, 10, 20, 30, 60)) -> DataFrame:

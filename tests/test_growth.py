@@ -122,3 +122,19 @@ def test_rules_of_one_order_share_its_sort(spark):
             kept = pdf[(pdf["phase1_score_100"] >= least) & (pdf["phase2_score_100"] >= least)].sort_values(["phase4_score_100", "symbol"], ascending=[False, True])
             want |= {(name, day, s): k + 1 for k, s in enumerate(kept["symbol"][:20])}
     assert {k: v for k, v in got.items() if k[0].startswith("phase4_")} == want
+
+
+def test_rolling_features_of_long_histories_take_linear_work(spark):
+    """A flat stretch, nulls and the shrinking frames by hand, on a history that one aggregate a frame and row would be slow for."""
+    bars = walk(spark, 1, 30_000).withColumn("close", F.when(F.dayofmonth("trade_date") % 10 != 3, F.when(F.year("trade_date") == 2001, 10.0).otherwise(F.col("close"))))
+    began = time.monotonic()
+    got = lab.window_features(bars, (5, 60)).orderBy("trade_date").toPandas()
+    assert time.monotonic() - began < 20
+    c, high, v = got["close"], got["high"], got["volume"]
+    for n in (5, 60):
+        w = c.rolling(n, min_periods=1)
+        want = {"MA": w.mean() / c, "STD": c.rolling(n, min_periods=2).std() / c, "QTLU": w.quantile(0.8) / c, "MAX": high.rolling(n, min_periods=1).max() / c, "VMA": v.rolling(n, min_periods=1).mean() / (v + 1e-12), "IMAX": (high.rolling(n, min_periods=1).apply(lambda x: x.argmax(), raw=True) + 1) / n}
+        for k, x in want.items():
+            assert got[f"{k}{n}"].isna().tolist() == x.isna().tolist() and (got[f"{k}{n}"] - x).abs().max() < 1e-7, k
+    flat = got[(got["trade_date"] > date(2001, 3, 10)) & (got["trade_date"] < date(2001, 12, 1)) & got["close"].notna()]
+    assert (flat["RSQR60"] == 1).all() and (flat["BETA60"] == 0).all() and flat["CORR60"].isna().all() and (flat["RANK5"] > 0.5).all()
