@@ -18,12 +18,17 @@ def _numbered(bars: DataFrame) -> DataFrame:
     return add_moving(bars).withColumns({"idx": F.row_number().over(by_symbol()), "n_bars": F.count(F.lit(1)).over(Window.partitionBy("symbol"))})
 
 
+def _backwards():
+    """Bars of a symbol from the newest: what follows a bar is then a frame that grows, and takes linear work."""
+    return Window.partitionBy("symbol").orderBy(F.desc("trade_date"))
+
+
 def volume_top(bars: DataFrame) -> DataFrame:
     """The newest valid old high of each symbol and its first breakout, null if there is none yet (PT1a-PT1c).
 
     Old highs are few (at most one in 41 bars but for ties), so each meets the later bars of its symbol once.
     """
-    around, after = by_symbol().rowsBetween(-PEAK, PEAK), by_symbol().rowsBetween(1, Window.unboundedFollowing)
+    around, after = by_symbol().rowsBetween(-PEAK, PEAK), _backwards().rowsBetween(Window.unboundedPreceding, -1)
     size = F.col("high") - F.col("low")
     body = F.abs(F.col("close") - F.col("open"))
     good = (F.col("close") > F.col("open")) & (F.try_divide(F.col("close") - F.col("low"), size) >= CLOSE_POSITION) & (F.try_divide(F.col("high") - F.greatest("open", "close"), size) <= UPPER_SHADOW) & (F.try_divide(body, size) >= BODY)
@@ -85,7 +90,7 @@ def _last(bars: DataFrame) -> DataFrame:
     lag = lambda c, n=1: F.lag(c, n).over(by_symbol())
     above = F.coalesce(F.col("ma_5") > F.col("ma_10"), F.lit(False))
     df = _numbered(bars).withColumns({"gap": F.when(F.col("ma_10") > 0, F.col("ma_5") / F.col("ma_10") - 1), "before": lag("close"), "volume_before": lag("volume")})
-    cross = (lag("ma_5") <= lag("ma_10")) & above & (lag("ma_5") < lag("ma_10")) & (lag("ma_5", 2) < lag("ma_10", 2)) & F.bool_and(above).over(by_symbol().rowsBetween(0, Window.unboundedFollowing))
+    cross = (lag("ma_5") <= lag("ma_10")) & above & (lag("ma_5") < lag("ma_10")) & (lag("ma_5", 2) < lag("ma_10", 2)) & F.bool_and(above).over(_backwards().rowsBetween(Window.unboundedPreceding, 0))
     quiet = F.col("gap").between(0.0, CROSS_GAP) & (F.try_divide("volume", "volume_ma_20") <= CROSS_VOLUME)
     return df.withColumn("crossed", F.coalesce(cross & quiet, F.lit(False)))
 
@@ -147,7 +152,8 @@ def double_volume(bars: DataFrame) -> DataFrame:
     row = F.struct("idx", "trade_date", "age", "open", "close", "high", "low", "volume", "r", "before")
     path = F.collect_list(row).over(by_symbol().rowsBetween(0, SCAN))
     tail = F.avg("volume").over(by_symbol().rowsBetween(-2, 0))
-    df = df.withColumn("tail_volume", tail).withColumn("path", path).withColumn("tails", F.collect_list(F.struct("idx", "tail_volume")).over(by_symbol().rowsBetween(0, SCAN)))
+    df = df.withColumn("tail_volume", tail).where(F.col("age") < SCAN)  # an anchor and all bars after it
+    df = df.withColumn("path", path).withColumn("tails", F.collect_list(F.struct("idx", "tail_volume")).over(by_symbol().rowsBetween(0, SCAN)))
     df = df.where(F.coalesce(anchor, F.lit(False))).select("symbol", F.col("idx").alias("i0"), F.col("trade_date").alias("anchor_date"), F.col("close").alias("support_price"), F.col("volume").alias("anchor_volume"), F.try_divide("volume", "volume_before").alias("anchor_volume_ratio_prev"), F.try_divide("volume", "volume_ma_20").alias("anchor_volume_ratio_ma20"), F.col("path").alias("p"), "tails")
     top = lambda a: f"array_max(transform({a}, x -> struct(x.high as v, -x.idx as i, x.trade_date as d)))"
     df = df.withColumns({"launch": F.expr(top(f"slice(p, 1, {LAUNCH})")), "peak": F.expr(top("p"))})

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quantpanel.operators import indicators as ind
 from quantpanel.operators import labels as lab
 from quantpanel.operators import market as mk
+from quantpanel.operators import patterns as pt
 from quantpanel.operators import quality as ql
 from quantpanel.operators import strict as st
 from quantpanel.sources import bars as src
@@ -138,3 +139,9 @@ def test_rolling_features_of_long_histories_take_linear_work(spark):
             assert got[f"{k}{n}"].isna().tolist() == x.isna().tolist() and (got[f"{k}{n}"] - x).abs().max() < 1e-7, k
     flat = got[(got["trade_date"] > date(2001, 3, 10)) & (got["trade_date"] < date(2001, 12, 1)) & got["close"].notna()]
     assert (flat["RSQR60"] == 1).all() and (flat["BETA60"] == 0).all() and flat["CORR60"].isna().all() and (flat["RANK5"] > 0.5).all()
+
+
+@pytest.mark.parametrize("report", [pt.volume_top, pt.duck_nostril, pt.double_volume])
+def test_patterns_look_ahead_in_frames_that_grow(spark, report):
+    plan = report(walk(spark, 2, 200))._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedfollowing$())" in plan and "specifiedwindowframe(RowFrame, 1, unboundedfollowing" not in plan and "specifiedwindowframe(RowFrame, currentrow$(), unboundedfollowing" not in plan
