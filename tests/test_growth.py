@@ -145,3 +145,24 @@ def test_rolling_features_of_long_histories_take_linear_work(spark):
 def test_patterns_look_ahead_in_frames_that_grow(spark, report):
     plan = report(walk(spark, 2, 200))._jdf.queryExecution().optimizedPlan().toString()
     assert "unboundedfollowing$())" in plan and "specifiedwindowframe(RowFrame, 1, unboundedfollowing" not in plan and "specifiedwindowframe(RowFrame, currentrow$(), unboundedfollowing" not in plan
+
+
+@pytest.mark.parametrize("name", ["mainline_strength"])
+def test_a_query_works_its_bars_out_once(spark, monkeypatch, name):
+    from __spark_entry__ import queries
+
+    seen, whole = spark.sparkContext.accumulator(0), src.bars_of
+
+    def passed(parts):
+        for pdf in parts:
+            seen.add(len(pdf))
+            yield pdf
+
+    def counted(spark, sf_dir):
+        bars = whole(spark, sf_dir)
+        return bars.mapInPandas(passed, bars.schema)
+
+    monkeypatch.setattr(src, "bars_of", counted)
+    queries()[name](spark, "/root/testdata/sf0.001").collect()
+    src.release()
+    assert seen.value == whole(spark, "/root/testdata/sf0.001").count()
