@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .routes import EXCLUDED
 from .scores import centred, mixed_scores
 
 # Priority of patterns, tiers, marks of index names, floors of the scores, the return that excludes, sizes.
@@ -77,9 +78,40 @@ def evaluated(phase1: DataFrame, phase2: DataFrame, phase4: DataFrame, extras: D
     keys = ["trade_date", "symbol"]
     hits = patterns.groupBy(*keys).agg(F.max(_looked_up(F.col("pattern_id").cast("string"), PRIORITY, 0.0)).alias("pattern_priority"))
     df = mixed_scores(phase1.join(phase2, keys).join(phase4, keys, "left")).join(extras, keys, "left").join(hits, keys, "left")
+    return _marked(df)
+
+
+def _marked(df: DataFrame) -> DataFrame:
     return df.withColumns({"limit_up": F.coalesce(F.col("daily_return") > LIMIT_UP, F.lit(False)), "pattern_match": F.col("pattern_priority").isNotNull(), "phase1_center_score": centred(F.col("phase1_score_100")), "phase2_center_score": centred(F.col("phase2_score_100"))})
 
 
+def evaluated_days(df: DataFrame) -> DataFrame:
+    """What `evaluated` gives of rows that hold all phases themselves: a sort of the day for each score, and nothing joined.
+
+    df: trade_date and symbol (a row of both once), p1, p2 (risks), p4 (return), p8 with limit (excluded from it), daily_return,
+    ids (patterns). All rows stay; `phased` tells those that `evaluated` would have, the others have risks of one phase or none.
+    """
+    day = Window.partitionBy("trade_date")
+    df = df.withColumn("p8", F.when(~F.coalesce("limit", F.lit(False)), F.col("p8")))
+    n = {c: F.count(c).over(day) for c in ("p1", "p2", "p4", "p8")}
+    place = lambda n, upto: F.when(n == 1, 100.0).otherwise(F.round(F.try_divide(upto - 1, n - 1) * 100, 2))
+    for k in (1, 2):
+        c = f"p{k}"
+        df = df.withColumn("_r", F.row_number().over(day.orderBy(F.desc(c), "symbol")))
+        df = df.withColumns({"_u": F.count(c).over(day.orderBy(F.desc(c)).rangeBetween(Window.unboundedPreceding, 0)), "_n": n[c], "_x": F.count_if(F.isnan(c)).over(day)})
+        upto = F.when(F.isnan(c), F.col("_n")).otherwise(F.col("_u") - F.col("_x"))  # the least risk is 100, and so is one that is no number
+        df = df.withColumns({f"phase{k}_excluded": F.when(F.col(c).isNotNull(), F.col("_r") <= F.greatest(F.lit(1), F.ceil(F.col("_n") * EXCLUDED))), f"phase{k}_score_100": F.when(F.col(c).isNotNull(), place(F.col("_n"), upto))})
+    for k in (8, 4):
+        c = f"p{k}"
+        df = df.withColumn("_r", F.row_number().over(day.orderBy(F.desc(c), "symbol"))) if k == 8 else df
+        df = df.withColumns({"_u": F.rank().over(day.orderBy(F.desc(c))), "_n": n[c]})
+        df = df.withColumn(f"phase{k}_score_100", F.when(F.col(c).isNotNull(), place(F.col("_n"), F.col("_n") - F.col("_u") + 1)))
+        df = df.withColumn("phase8_rank", F.when(F.col(c).isNotNull(), F.col("_r"))) if k == 8 else df
+    priority = F.array_max(F.transform("ids", lambda x: _looked_up(x, PRIORITY, 0.0)))
+    df = mixed_scores(df).withColumns({"phased": F.col("p1").isNotNull() & F.col("p2").isNotNull(), "pattern_priority": priority, "today_limit_up_excluded": F.col("limit")})
+    return _marked(df).drop("_r", "_u", "_n", "_x", "p1", "p2", "p4", "p8", "limit", "ids")
+
+
 def _best() -> list[F.Column]:
     return [F.col(c).desc_nulls_last() for c in ("centered_risk_score", "phase4_score_100", "phase1_center_score", "phase2_center_score")] + [F.col("symbol").asc()]
 
@@ -133,12 +165,27 @@ def intraday_pool(rows: DataFrame, patterns: DataFrame, pattern_limit: int = POO
     """
     keys = ["trade_date", "symbol"]
     lone = patterns.groupBy(*keys).agg(F.max(_looked_up(F.col("pattern_id").cast("string"), PRIORITY, 0.0)).alias("pattern_priority")).join(rows.select(*keys), keys, "left_anti")
-    df = rows.select(*keys, "centered_risk_score", "phase4_score_100", "phase1_center_score", "phase2_center_score", "phase8_score_100", "phase8_rank", "limit_up", "today_limit_up_excluded", "pattern_priority")
-    df = df.unionByName(lone, allowMissingColumns=True)
+    return pool_of(rows.select(*keys, *POOL_SCORES, "pattern_priority").unionByName(lone, allowMissingColumns=True), pattern_limit, top, size)
+
+
+POOL_SCORES = ["centered_risk_score", "phase4_score_100", "phase1_center_score", "phase2_center_score", "phase8_score_100", "phase8_rank", "limit_up", "today_limit_up_excluded"]
+
+
+def pool_of_days(days: DataFrame, pattern_limit: int = POOL_PATTERNS, top: int = POOL_RETURNS, size: int = POOL) -> DataFrame:
+    """intraday_pool of rows of `evaluated_days`: those with patterns alone are in, without scores."""
+    rows = days.where(F.col("phased") | F.col("pattern_match"))
+    return pool_of(rows.select("trade_date", "symbol", *[F.when(F.col("phased"), F.col(c)).alias(c) for c in POOL_SCORES], "pattern_priority"), pattern_limit, top, size)
+
+
+def pool_of(df: DataFrame, pattern_limit: int, top: int, size: int) -> DataFrame:
+    """The pool of each day from its scored rows and those of patterns alone."""
+    keys = ["trade_date", "symbol"]
     fit = ~F.coalesce("limit_up", F.lit(False))
     returns, fills = fit & F.col("centered_risk_score").isNotNull(), fit & F.col("phase8_score_100").isNotNull() & ~F.coalesce("today_limit_up_excluded", F.lit(False))
     p4 = F.col("phase4_score_100").desc_nulls_last()
     df = df.withColumns({"r0": _within(F.col("pattern_priority").isNotNull(), [p4, F.desc("pattern_priority"), F.col("symbol").asc()]), "r1": _within(returns, _best()), "r2": _within(fills, [F.desc("phase8_score_100"), p4, F.col("symbol").asc()])})
+    # the pool has no place behind these ranks: patterns and returns take `pattern_limit` and `top` at most, and the filling stops at `size`
+    df = df.where(F.coalesce(F.col("r0") <= pattern_limit, F.lit(False)) | F.coalesce(F.col("r1") <= top, F.lit(False)) | F.coalesce(F.col("r2") <= size + pattern_limit + top, F.lit(False)))
     df = df.withColumns({"r0": F.when(F.col("r0") <= pattern_limit, F.col("r0")), "r1": F.when(F.col("r1") <= top, F.col("r1"))})
     fixed, day = F.col("r0").isNotNull() | F.col("r1").isNotNull(), Window.partitionBy("trade_date")
     before = F.sum((F.col("r2").isNotNull() & ~fixed).cast("int")).over(day.orderBy(F.col("r2").asc_nulls_last(), "symbol").rowsBetween(Window.unboundedPreceding, -1))

@@ -147,7 +147,7 @@ def test_patterns_look_ahead_in_frames_that_grow(spark, report):
     assert "unboundedfollowing$())" in plan and "specifiedwindowframe(RowFrame, 1, unboundedfollowing" not in plan and "specifiedwindowframe(RowFrame, currentrow$(), unboundedfollowing" not in plan
 
 
-@pytest.mark.parametrize("name", ["mainline_strength"])
+@pytest.mark.parametrize("name", ["mainline_strength", "intraday_pool"])
 def test_a_query_works_its_bars_out_once(spark, monkeypatch, name):
     from __spark_entry__ import queries
 
@@ -166,3 +166,28 @@ def test_a_query_works_its_bars_out_once(spark, monkeypatch, name):
     queries()[name](spark, "/root/testdata/sf0.001").collect()
     src.release()
     assert seen.value == whole(spark, "/root/testdata/sf0.001").count()
+
+
+def test_phases_of_one_frame_are_those_of_joined_ones(spark):
+    """Ties, nulls, a value that is no number, rows of one phase alone and days of one row."""
+    from quantpanel.operators import routes as rt
+    from quantpanel.operators import watchlist as wl
+
+    rows = []
+    for day in range(4):
+        for s in range(1 if day == 3 else 23):
+            x = (s * 7 + day * 5) % 11
+            p1 = None if x == 4 else float("nan") if (s, day) == (6, 1) else x / 10
+            rows.append((date(2024, 1, 1 + day), f"{s:06d}", p1, None if x == 7 else (s * 3 + day) % 5 / 4, None if s == 9 else (s * 5 % 13) / 13, None if s == 8 else (s * 11 % 7) / 7, None if s == 2 else s % 6 == 0, (s - 3) / 100, ["5"] * (x > 5) + ["4"] * (s % 4 == 0)))
+    df = spark.createDataFrame(rows, "trade_date date, symbol string, p1 double, p2 double, p4 double, p8 double, limit boolean, daily_return double, ids array<string>")
+    days, keys = wl.evaluated_days(df).cache(), ["trade_date", "symbol"]
+    patterns = df.select(*keys, F.explode("ids").alias("pattern_id"))
+    extras = df.select(*keys, "daily_return").join(rt.phase_opportunity(df, "p8", "limit"), keys)
+    want = wl.evaluated(rt.phase_risk(df, "p1", "phase1"), rt.phase_risk(df, "p2", "phase2"), rt.phase_return(df, "p4"), extras, patterns)
+    columns = [*keys, "phase1_excluded", "phase2_excluded", "phase1_score_100", "phase2_score_100", "pattern_match", "daily_return", *wl.POOL_SCORES, "pattern_priority"]
+    text = lambda rows: sorted(map(str, rows.select(*columns).collect()))
+    assert text(days.where("phased")) == text(want) and days.count() == len(rows)
+    for sizes in ((2, 4, 8), (0, 3, 5), (30, 30, 3)):
+        pool = wl.pool_of_days(days, *sizes)
+        assert sorted(map(str, pool.collect())) == sorted(map(str, wl.intraday_pool(want, patterns, *sizes).collect()))
+    days.unpersist()
