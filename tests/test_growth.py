@@ -147,7 +147,7 @@ def test_patterns_look_ahead_in_frames_that_grow(spark, report):
     assert "unboundedfollowing$())" in plan and "specifiedwindowframe(RowFrame, 1, unboundedfollowing" not in plan and "specifiedwindowframe(RowFrame, currentrow$(), unboundedfollowing" not in plan
 
 
-@pytest.mark.parametrize("name", ["mainline_strength", "intraday_pool", "leader_pool", "watchlist_payloads"])
+@pytest.mark.parametrize("name", ["mainline_strength", "intraday_pool", "leader_pool", "watchlist_payloads", "component_comparison"])
 def test_a_query_works_its_bars_out_once(spark, monkeypatch, name):
     from __spark_entry__ import queries
 
