@@ -1,9 +1,10 @@
-"""N-gram Jaccard join (2): partitioned universe, pigeonhole on segments, one-deletion neighbourhoods, exact check.
+"""N-gram Jaccard join (2): partitioned universe, pigeonhole on filled segments, exact check.
 
 Sets fall into size bands in which a set can link only with sets of its own or the next band. For a band the largest
-symmetric difference of linked sets is H, so of segments whose allowances (1: equal, 2: at most one word set off) sum to
-H + 1, two linked sets agree in one at least. How many segments take the one-deletion neighbourhood is chosen for each
-band by cost: signatures that a set emits against chance meetings among the sets that the band has.
+symmetric difference of linked sets is H, so a set that fills H + 1 segments or more agrees with any set that it links
+with in one that it fills, and sends no empty ones; a set that fills fewer sends all. A band has so many segments that
+nearly all its sets fill H + 1. So the signatures of a set depend on its size, not on how many sets there are, and sets
+do not meet for what both lack.
 
 Documents with equal sets are one class. Candidates of a signature first meet its most central class only (a star, linear
 in the signatures); parity sketches drop pairs that are too far apart before any text moves. What the links found leave in different components may still link: in small signatures such classes
@@ -60,17 +61,14 @@ def difference(percent: int, hi: int) -> int:
     return max(s - 2 * -(-percent * s // (100 + percent)) for s in range(max(2, top - 64), top + 1))
 
 
-def band_plan(lo: int, hi: int, h: int, sets: int) -> tuple[int, int]:
-    """(segments, those of them with one-deletion neighbourhoods) of least cost for so many sets in the band."""
-    n, best = (lo + hi) / 2, None
-    for k in range((h + 1) // 2 + 1):
-        m = h + 1 - k
-        s = n / m
-        chance = (m - k) * math.exp(-2 * s) + k * (math.exp(-s) * (1 + s)) ** 2
-        cost = (m - k) + k * (1 + s) + sets * chance
-        if best is None or cost < best[0]:
-            best = (cost, m, k)
-    return best[1:]
+def band_plan(lo: int, h: int) -> tuple[int, int]:
+    """(segments, h) of a band whose sets have lo members at least: the fewest of which a set of lo fills h + 1, less two deviations."""
+    m = h + 1
+    while True:
+        empty, both = m * (1 - 1 / m) ** lo, m * (m - 1) * max(0.0, 1 - 2 / m) ** lo
+        if m - empty - 2 * math.sqrt(max(0.0, empty + both - empty**2)) >= h + 1:
+            return m, h
+        m += 1 + m // 500
 
 
 def _profiles(batches: Iterator[pd.DataFrame], q: int) -> Iterator[pd.DataFrame]:
@@ -84,19 +82,15 @@ def _profiles(batches: Iterator[pd.DataFrame], q: int) -> Iterator[pd.DataFrame]
 
 
 def signatures(s: np.ndarray, band: int, plan: tuple[int, int]) -> np.ndarray:
-    m, k = plan
+    m, h = plan
     salt = U64((band * 0x9E3779B97F4A7C15 + 0x1234567) & (2**64 - 1))
     x = mix(s + salt)
-    seg = (x >> U64(11)) % U64(m)
+    seg = ((x >> U64(11)) % U64(m)).astype(np.int64)
     acc = np.zeros(m, dtype=U64)
-    np.add.at(acc, seg.astype(np.int64), x)
-    places = np.arange(m, dtype=U64) * U64(0xD6E8FEB86659FD93) + salt
-    out = mix(acc ^ places)
-    if k:
-        near = seg < U64(k)
-        at = seg[near].astype(np.int64)
-        out = np.concatenate((out, mix((acc[at] - x[near]) ^ places[at])))
-    return out
+    np.add.at(acc, seg, x)
+    out = mix(acc ^ (np.arange(m, dtype=U64) * U64(0xD6E8FEB86659FD93) + salt))
+    filled = np.bincount(seg, minlength=m) > 0
+    return out[filled] if filled.sum() > h else out
 
 
 def _planes(x: np.ndarray, width: int) -> bytes:
@@ -294,7 +288,7 @@ def hot_pairs(hot: DataFrame, sketches: DataFrame, texts: DataFrame, q: int, bou
     Every such document is indexed with all its segments and their one-deletion neighbourhoods; each that is not of the
     largest component of its signatures probes with an allocation of H + 1 units over its segments that meets the fewest.
     """
-    los, most = np.array([lo for lo, _ in bounds]), [difference(percent, hi) for _, hi in bounds]
+    los, most = np.array([lo for lo, _ in bounds]), [h for _, h in plans]
     top = store(hot.groupBy("sig").agg(F.max(F.struct("many", "c")).alias("top"), F.count(F.lit(1)).alias("rows")), "tops")
     docs = join_counted(hot.drop("n"), top, "sig", "rows").groupBy("doc", "c", "many").agg(F.max(F.expr("c <> top.c")).alias("probes"))
     docs = store(docs, "hot-documents")
@@ -346,13 +340,12 @@ def jaccard_groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -
     bounds = band_bounds(percent, most)
     band = F.expr("case " + " ".join(f"when n_shingles <= {hi} then {k}" for k, (_, hi) in enumerate(bounds)) + " end")
     sets = dict(reps.groupBy(band.alias("band")).count().collect())  # one row a band: the logarithm of the largest size
-    plans = [band_plan(lo, hi, difference(percent, hi), sets.get(k, 0) + sets.get(k + 1, 0)) for k, (lo, hi) in enumerate(bounds)]
+    plans = [band_plan(lo, difference(percent, hi)) for lo, hi in bounds]
 
     others = store(ids.where("doc_id is not null and (n_shingles = 0 or key <> class_key)").select("key").distinct(), "others")
     docs = keyed(docs.where("doc_id is not null"), keys).select("key", "text")
     own = join_ids(docs, others, "key", "left_anti")
-    emitted = [(m - k) + k * (1 + (lo + hi) / 2 / m) for (m, k), (lo, hi) in zip(plans, bounds, strict=True)]
-    rows = sum(n * (emitted[k] + (emitted[k - 1] if k else 0)) for k, n in sets.items() if k is not None)
+    rows = sum(n * (plans[k][0] + (plans[k - 1][0] if k else 0)) for k, n in sets.items() if k is not None)
     buckets = min(1 << 14, max(width(spark), int(rows) // BUCKET_ROWS + 1))
     sent = map_rows(own, partial(_signed, q=q, bounds=bounds, plans=plans, buckets=buckets), _SENT)
     met = sent.groupBy("bucket").applyInPandas(_shared, "sig long, doc long")

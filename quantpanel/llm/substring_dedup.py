@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, codes_of, join_classes, join_ids, keyed, map_rows, own_keys, rolling, runs, small_batches, store, width
+from .common import U64, codes_of, join_classes, join_ids, keyed, map_rows, own_keys, release, rolling, runs, small_batches, store, width
 
 #: Words that a batch gathers before it is sent on.
 BATCH_WORDS = 1_500_000
@@ -86,7 +86,7 @@ class _Batch:
 
     def rows(self) -> pd.DataFrame:
         partition = TaskContext.get().partitionId() if TaskContext.get() else 0
-        batch = (partition << 24) + self.done
+        batch, turn = (partition << 24) + self.done, (partition + self.done) % self.buckets
         self.done += 1
         lengths = np.array(self.lengths, dtype=np.int64)
         starts = np.cumsum(lengths) - lengths
@@ -121,7 +121,7 @@ class _Batch:
                     # the filter step needs few bits (a false hit only adds a window to count), the count needs all
                     hashes = h[at].astype("<u4" if self.blocks else "<u8").tobytes()
                     out.append((0, batch, b, hashes, _pack_places(places[at]), np.packbits(held[at]).tobytes(), None, None, None))
-        out.append((1, batch, -1, None, None, None, np.array(self.docs, dtype="<i8").tobytes(), lengths.astype("<i4").tobytes(), runs(near).astype("<i4").tobytes()))
+        out.append((1, batch, turn, None, None, None, np.array(self.docs, dtype="<i8").tobytes(), lengths.astype("<i4").tobytes(), runs(near).astype("<i4").tobytes()))
         self.clear()
         return pd.DataFrame(out, columns=[c.split()[0] for c in _SENT.split(", ")])
 
@@ -151,8 +151,11 @@ def _sent(batches: Iterator[pd.DataFrame], run: int, buckets: int, window: int |
 
 
 def _met(keys, pdf: pd.DataFrame, wide: bool) -> pd.DataFrame:
-    """Of one bucket: the places whose hash another place holds (as a block)."""
-    pdf = pdf.sort_values("batch")
+    """Of one bucket: the places whose hash another place holds (as a block), and the heads of batches as they are."""
+    heads = pdf.loc[pdf["kind"] == 1, ["batch", "docs", "lengths", "near"]].assign(hits=None)
+    pdf = pdf[pdf["kind"] == 0].sort_values("batch")
+    if pdf.empty:
+        return heads
     hashes = [np.frombuffer(x, dtype="<u8" if wide else "<u4") for x in pdf["hashes"]]
     held = [np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=len(h)).astype(bool) for x, h in zip(pdf["blocks"], hashes, strict=True)]
     index, counts = np.unique(np.concatenate([h[b] for h, b in zip(hashes, held, strict=True)]), return_counts=True)
@@ -162,8 +165,9 @@ def _met(keys, pdf: pd.DataFrame, wide: bool) -> pd.DataFrame:
             at = np.minimum(np.searchsorted(index, h), len(index) - 1)
             hit = (index[at] == h) & (counts[at] > b)
             if hit.any():
-                out.append((batch, runs_of_places(_unpack_places(places)[hit])))
-    return pd.DataFrame(out, columns=["batch", "hits"])
+                out.append((batch, None, None, None, runs_of_places(_unpack_places(places)[hit])))
+    met = pd.DataFrame(out, columns=list(heads.columns))
+    return met if heads.empty else pd.concat([met, heads]) if out else heads
 
 
 def runs_of_places(p: np.ndarray) -> bytes:
@@ -195,13 +199,8 @@ def _by_document(keys, pdf: pd.DataFrame) -> pd.DataFrame:
 def _exchange(docs: DataFrame, run: int, buckets: int, window: int | None, block: int, tag: str) -> DataFrame:
     """(key, hits): runs of places of each document that meet an equal run of words elsewhere."""
     sent = map_rows(docs, partial(_sent, run=run, buckets=buckets, window=window, block=block), _SENT)
-    sent = store(sent, f"{tag}-sent")
-    met = sent.where("kind = 0").select("bucket", "batch", "hashes", "places", "blocks").groupBy("bucket")
-    met = met.applyInPandas(lambda key, pdf: _met(key, pdf, window is not None), "batch long, hits binary")
-    heads = sent.where("kind = 1").select("batch", "docs", "lengths", "near", F.lit(None).cast("binary").alias("hits"))
-    empty = F.lit(None).cast("binary")
-    both = heads.unionByName(met.select("batch", empty.alias("docs"), empty.alias("lengths"), empty.alias("near"), "hits"))
-    return store(both.groupBy("batch").applyInPandas(_by_document, "key long, hits binary"), f"{tag}-hits")
+    met = sent.groupBy("bucket").applyInPandas(lambda key, pdf: _met(key, pdf, window is not None), "batch long, docs binary, lengths binary, near binary, hits binary")
+    return store(met.groupBy("batch").applyInPandas(_by_document, "key long, hits binary"), f"{tag}-hits")
 
 
 def _cut(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame]:
@@ -252,7 +251,9 @@ def repeated_windows(docs: DataFrame, window: int = 35) -> tuple[DataFrame, Data
     docs = keyed(docs, keys).select("key", "text")
     buckets = max(width(spark), words // BUCKET_ENTRIES + 1)
     anchors = _exchange(join_ids(docs, others, "key", "left_anti"), block, int(buckets), None, block, "anchors")
+    release(spark)
     hits = _exchange(join_ids(docs, anchors, "key", "inner", ("hits",)), window, int(buckets), window, block, "windows")
+    release(spark, anchors)
     return classes, hits, keys
 
 

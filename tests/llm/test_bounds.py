@@ -4,7 +4,7 @@ import time
 
 import pandas as pd
 
-from quantpanel.llm import packing, warc
+from quantpanel.llm import packing, substring_dedup, warc
 
 
 def test_bins_that_cannot_combine_do_not_meet(spark, monkeypatch):
@@ -68,3 +68,13 @@ def test_candidates_are_those_of_the_whole_header(tmp_path):
             want[m.start()] = m.start() + h[1] + int(h[0][b"Content-Length"]) + 4
     found = pd.concat(warc._scanned(iter([ranges(tmp_path, raw)])))
     assert dict(zip(found["off"].tolist(), found["next"].tolist())) == want and len(want) == 2
+
+
+def test_hashes_of_words_are_shuffled_not_stored_too(spark, monkeypatch):
+    """What batches of texts send to the buckets is the size of the input: it lies on disk once."""
+    stored, real = [], substring_dedup.store
+    monkeypatch.setattr(substring_dedup, "store", lambda df, tag: (stored.append(set(df.columns)), real(df, tag))[1])
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, text), (2, "x " + text), (3, "a b")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_removed) for r in substring_dedup.remove_repeats(docs).collect()) == [(1, 60), (2, 60), (3, 0)]
+    assert stored and not any("hashes" in c for c in stored)

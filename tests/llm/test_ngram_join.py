@@ -7,6 +7,8 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
 
+import numpy as np
+
 from quantpanel.llm import ngram_join
 
 
@@ -33,3 +35,21 @@ def test_long_texts_match_brute_force(spark):
 
 def test_no_rows(spark):
     assert ngram_join.jaccard_groups(spark.createDataFrame([], "doc_id long, text string"), 5, 80).collect() == []
+
+
+def test_sets_meet_for_what_they_hold():
+    """Linked sets share a signature, others do not meet for segments that both leave empty, however many they are."""
+    rng = np.random.default_rng(5)
+    for k, (lo, hi) in enumerate(ngram_join.band_bounds(80, 400)):
+        plan = ngram_join.band_plan(lo, ngram_join.difference(80, hi))
+        full = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+        for n in (lo, hi):
+            for _ in range(20):
+                x = full(n)
+                y = np.concatenate((x[n // 10 :], full(n // 12)))
+                common = n - n // 10
+                if len(y) >= lo and 100 * common >= 80 * (n + n // 12):
+                    assert np.intersect1d(ngram_join.signatures(x, k, plan), ngram_join.signatures(y, k, plan)).size
+        if lo >= 100:
+            sigs = np.concatenate([np.unique(ngram_join.signatures(full(hi), k, plan)) for _ in range(300)])
+            assert len(np.unique(sigs)) == len(sigs) and len(sigs) < 300 * hi / 2
