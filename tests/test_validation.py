@@ -82,6 +82,13 @@ def test_settings_have_models_of_their_own(spark):
     assert sums["p"] > 0.9 and sums["q"] < -0.9
 
 
+def test_scores_of_a_window_with_one_label_have_no_correlation(spark):
+    rows = [("a", k / 10, k % 2, 7) for k in range(6)] + [("b", k / 10, 0, 8) for k in range(6)] + [("c", 0.3, k % 2, 9) for k in range(6)]
+    df = spark.createDataFrame(rows, "window_id string, risk_score double, y int, train_rows long")
+    got = {r.window_id: (r.train_rows, r.score_label_corr) for r in wf.label_correlation(df, ["window_id"], "y").collect()}
+    assert got["b"] == (8, None) and got["c"] == (9, None) and got["a"] == (7, pytest.approx(np.corrcoef(np.arange(6), np.arange(6) % 2)[0, 1]))
+
+
 def test_filter_removes_of_the_whole_group(spark):
     """Five rows over two days, 40 %: the two of the highest score go, wherever they lie; ties go by symbol."""
     rows = [("w", date(2024, 1, d), s, x, y, r, m) for d, s, x, y, r, m in ((1, "a", 0.9, 1, -0.1, -0.2), (1, "b", 0.8, 1, -0.2, -0.4), (1, "c", 0.8, 0, 0.1, -0.1), (2, "d", 0.1, 0, 0.2, 0.0), (2, "e", 0.2, 0, 0.0, 0.0), (2, "f", 0.99, 1, None, 0.0))]
