@@ -159,3 +159,42 @@ def test_tiers_of_patterns(spark):
     rows = [(d, "a", "x", "5", 0.4, 3.0, "Golden_Cross", None, None, None, True, None, None), (d, "b", "沪深 300", "5", 0.1, None, None, None, None, None, None, None, None), (d, "c", "y", "6", 2.0, 0.5, None, "bottom_divergence", "bullish", None, None, True, None), (d, "e", "z", "1", None, None, "dead_cross", None, None, None, None, None, None), (d, "f", "w", "2", float("nan"), None, None, None, None, None, None, None, None)]
     got = wl.pattern_watchlist(spark.createDataFrame(rows, kinds)).orderBy("list_rank").collect()
     assert [(r.symbol, r.base_tier, r.stable_score) for r in got] == [("a", "第一梯队", 7.57), ("f", "第三梯队", 2.0), ("c", "第二梯队", 5.0)]
+
+
+def test_reports_of_dealt_scores_are_those_of_whole_groups(spark, monkeypatch):
+    """Groups cut into parts, with ties within and across models: the same reports as from plain sorts, and no row leaves its task to be fitted."""
+    rng = np.random.default_rng(3)
+    n = 900
+    pdf = pd.DataFrame({"model_name": rng.choice(["m", "k", "prior"], n), "window_id": rng.choice(["wf_01", "wf_02"], n), "symbol": [f"{k:06d}" for k in range(n)], "trade_date": [date(2020, 1, 1) + timedelta(days=int(k)) for k in rng.integers(0, 50, n)], "risk_score": rng.integers(0, 60, n) / 60, "risk_label": rng.integers(0, 2, n), "future_return_5d": rng.normal(size=n), "future_min_return_5d": -rng.random(n)})
+    pdf.loc[pdf["model_name"] == "prior", "risk_score"] = 0.25
+    pdf.loc[::17, "future_return_5d"] = None
+    df = spark.createDataFrame(pdf).withColumn("future_return_5d", F.nanvl("future_return_5d", F.lit(None).cast("double")))
+    by, rates = ["model_name"], (0.1, 0.2)
+    group = [*by, "window_id"]
+    monkeypatch.setattr(wf, "PART_ROWS", 20)
+    got = {r.model_name: r for r in wf.judged(wf.risk_cells(df, group, rates), by, rates).collect()}
+    metrics = {(r.model_name, r.window_id): r for r in wf.window_metrics(df, group).collect()}
+    parts = wf._dealt(df.withColumn("p", F.lit(1)), group, ["risk_score"], {"p": F.col("p")})[1].values()
+    assert len(parts) > 20 and {g for g, *_ in parts if sum(g == x[0] for x in parts) == 1} == {("prior", "wf_01"), ("prior", "wf_02")}
+    filters = wf.filter_summary(wf.filter_impact(df, group, rates), by)
+    want = {r.model_name: r for r in wf.comparison(wf.walk_summary(wf.window_metrics(df, group), wf.risk_deciles(df, group), by), filters, by).collect()}
+    assert got.keys() == want.keys()
+    for k, r in want.items():
+        assert got[k].asDict() == pytest.approx(r.asDict()), k
+    for (m, w), r in metrics.items():
+        part = pdf[(pdf["model_name"] == m) & (pdf["window_id"] == w)]
+        s, y = part["risk_score"].to_numpy(), part["risk_label"].to_numpy()
+        above = (s[y == 1][:, None] > s[y == 0]).mean() + (s[y == 1][:, None] == s[y == 0]).mean() / 2
+        assert r.roc_auc == pytest.approx(above) and r.rows == len(part) and r.pr_auc == pytest.approx(np.mean([y[s >= v].mean() for v in s[y == 1]]))
+
+
+def test_rows_stay_where_they_lie_in_fits_of_windows(spark):
+    """A row of several windows is told to them in its batch: the fits are those of the windows' own rows, and nothing but sums is shuffled."""
+    _, df = made_panel(spark)
+    windows = gt.walk_forward(df, 60, 30, 30, 10, anchored=True)
+    got = {(r.window_id, r.model_name): r for r in wf.fit_groups(df, ["window_id"], X, "y", ("logistic", "gaussian", "prior"), windows=windows.collect()).collect()}
+    dealt = gt.slice_windows(df, windows).where("split = 'train'")
+    want = {(r.window_id, r.model_name): r for r in wf.fit_groups(dealt, ["window_id"], X, "y", ("logistic", "gaussian", "prior")).collect()}
+    assert got.keys() == want.keys() and len(got) == 9
+    for k, r in want.items():
+        assert (got[k].bias, got[k].train_rows) == (pytest.approx(r.bias), r.train_rows) and got[k].lin == pytest.approx(r.lin) and got[k].quad == pytest.approx(r.quad)
