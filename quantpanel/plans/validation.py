@@ -118,9 +118,9 @@ def barrier_grid(spark, sf_dir):
     bars, features = _features(spark, sf_dir)
     events = lab.cusum_events(bars)
     cells = [(f"mlfin_h{h}_pt{w:g}_sl{w:g}_minret{m:g}", h, w, w, m) for h in (5, 10) for w in (1.0, 2.0) for m in (0.003, 0.005)]
-    whole = features.join(lab.event_grid(bars, events, cells), ["symbol", "trade_date"]).localCheckpoint()  # an event once, with the labels of its cells
+    whole = src.held(features.join(lab.event_grid(bars, events, cells), ["symbol", "trade_date"]))  # an event once, with the labels of its cells
     panel = whole.select("*", F.inline("cells")).drop("cells")
-    scored = wf.walk_forward(panel, gt.walk_forward(panel, TRAIN, VALID, STEP, 10), _FEATURES, "risk_label", ("logistic", "gaussian"), by=("config_id",)).localCheckpoint()
+    scored = wf.walk_forward(panel, gt.walk_forward(whole, TRAIN, VALID, STEP, 10), _FEATURES, "risk_label", ("logistic", "gaussian"), by=("config_id",))
     rates = panel.groupBy("config_id").agg(F.count(F.lit(1)).alias("label_rows"), F.avg("risk_label").alias("risk_label_rate"))
     return wf.best_cells(_judged(scored, ["config_id", "model_name"]).join(rates, "config_id"), ["config_id"])
 
