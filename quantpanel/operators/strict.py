@@ -156,10 +156,24 @@ def strict_trades(picks: DataFrame, outcomes: DataFrame, horizons: tuple[int, ..
 
     outcomes: (symbol, trade_date) with return_<h>d, max_profit_<h>d and max_drawdown_<h>d; they meet the picks over `parts` partitions.
     """
-    outcomes = outcomes.select("symbol", "trade_date", *[f"{c}_{h}d" for h in horizons for c in ("return", "max_profit", "max_drawdown")])
-    outcomes = outcomes if parts is None else outcomes.repartition(parts, "symbol", "trade_date")
+    outcomes = _outcomes_at(outcomes, horizons)
+    return _exploded(picks.join(outcomes if parts is None else outcomes.repartition(parts, "symbol", "trade_date"), ["symbol", "trade_date"]), horizons)
+
+
+def met_trades(picks: DataFrame, outcomes: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
+    """strict_trades of outcomes dealt by symbol: the picks, a few rows a day, come to where they lie, so no outcome is shuffled."""
+    picks = picks.withColumnRenamed("trade_date", "_day")
+    met = picks.join(_outcomes_at(outcomes, horizons), "symbol").where(F.datediff("_day", "trade_date") == 0)  # dates are no key of the join
+    return _exploded(met, horizons)
+
+
+def _outcomes_at(outcomes: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
+    return outcomes.select("symbol", "trade_date", *[f"{c}_{h}d" for h in horizons for c in ("return", "max_profit", "max_drawdown")])
+
+
+def _exploded(met: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
     at = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), *[F.col(f"{c}_{h}d").alias(o) for c, o in (("return", "raw_return"), ("max_profit", "max_profit"), ("max_drawdown", "max_drawdown"))]) for h in horizons])).alias("x")
-    return picks.join(outcomes, ["symbol", "trade_date"]).select("strategy", "trade_date", "symbol", "selected_rank", at).where("x.raw_return is not null").select("strategy", "trade_date", "symbol", "selected_rank", "x.*")
+    return met.select("strategy", "trade_date", "symbol", "selected_rank", at).where("x.raw_return is not null").select("strategy", "trade_date", "symbol", "selected_rank", "x.*")
 
 
 def strict_summary(trades: DataFrame, counts: DataFrame) -> DataFrame:

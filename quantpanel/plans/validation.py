@@ -228,20 +228,25 @@ def strict_summary(spark, sf_dir):
 def strict_validation(spark, sf_dir):
     """Three models and the gate fitted to the same windows, scored out of sample, strategies and their summary."""
     bars, features = _features(spark, sf_dir)
-    tail = _tails(bars, features)
-    windows = wf.settled(gt.walk_forward(tail, 900, 60, 60, 60, anchored=True))
-    barrier = features.join(lab.event_barrier(bars, lab.cusum_state(bars).select("symbol", F.col("trade_date").alias("event_date"), "vol", "threshold"), 10).select("symbol", "trade_date", "risk_label"), ["symbol", "trade_date"], "left")
-    returns = features.join(lab.return_label(bars).select("symbol", "trade_date", "label"), ["symbol", "trade_date"], "left")
-    scored = [wf.walk_forward(p, windows, _FEATURES, y, (k,)) for p, y, k in ((tail, "risk_label", "logistic"), (barrier.localCheckpoint(), "risk_label", "gaussian"), (returns.localCheckpoint(), "label", "ridge"))]
+    keys = ["symbol", "trade_date"]
+    events = lab.cusum_state(bars).select("symbol", F.col("trade_date").alias("event_date"), "vol", "threshold")
+    # a row once for the three labels, stored as every pass of a fit reads it
+    panel = features.join(lab.tail_risk(bars).select(*keys, F.col("risk_label").alias("tail")), keys, "left").join(lab.event_barrier(bars, events, 10).select(*keys, F.col("risk_label").alias("barrier")), keys, "left")
+    panel = src.held(panel.join(lab.return_label(bars).select(*keys, "label"), keys, "left"))
+    tail = panel.where("tail is not null")
+    windows = gt.walk_forward(tail, 900, 60, 60, 60, anchored=True).collect()
+    models = [(name, wf.fit_groups(p, ["window_id"], _FEATURES, y, (k,), keep=False, windows=windows)) for name, p, y, k in (("phase1_risk", tail, "tail", "logistic"), ("phase2_risk", panel, "barrier", "gaussian"), ("phase4_return", panel, "label", "ridge"))]
+    rows = wf.score_models(wf.valid_rows(tail, windows), models, ["window_id"], _FEATURES)
     days, names = _day_panel(bars)
-    dealt = gt.slice_windows(days, windows)
+    dealt = gt.slice_windows(days, spark.createDataFrame(windows)).localCheckpoint()  # a row a market day and window
     model = wf.fit_groups(dealt.where("split = 'train'"), ["window_id"], names, "bad_buy_day", ("gaussian",))
     of = lambda split: wf.score_groups(dealt.where(F.col("split") == split).select("window_id", "trade_date", *names), model, ["window_id"], names)
-    rows = st.joined(*scored, gate=st.gate_permissions(of("train"), of("valid")))
-    scores = st.day_scores(rows.withColumn("phase5_score_100", F.lit(None).cast("double")))
-    picks = st.strict_picks(scores)
-    out = st.strict_summary(st.strict_trades(picks, bt.forward_outcomes(bars), (5, 10, 20)), st.candidate_counts(picks, scores))
-    return out
+    gate = st.gate_permissions(of("train"), of("valid")).select("window_id", "trade_date", "phase7_trade_permission")
+    rows = rows.join(F.broadcast(gate), ["window_id", "trade_date"], "left")  # a row a day
+    scores = st.day_scores(rows.withColumn("phase5_score_100", F.lit(None).cast("double")), src.bar_parts(spark, sf_dir))
+    picks = st.strict_picks(scores).localCheckpoint()  # a few rows a day and strategy
+    trades = st.met_trades(picks, bt.forward_outcomes(bars), (5, 10, 20))
+    return st.strict_summary(trades, st.candidate_counts(picks, picks.where("strategy = 'random_top20'")))
 
 
 _ROLL = "OVER (PARTITION BY symbol ORDER BY trade_date ROWS 4 PRECEDING)"

@@ -198,3 +198,21 @@ def test_rows_stay_where_they_lie_in_fits_of_windows(spark):
     assert got.keys() == want.keys() and len(got) == 9
     for k, r in want.items():
         assert (got[k].bias, got[k].train_rows) == (pytest.approx(r.bias), r.train_rows) and got[k].lin == pytest.approx(r.lin) and got[k].quad == pytest.approx(r.quad)
+
+
+def test_models_of_one_panel_score_rows_without_a_join(spark):
+    """The same rows and scores as from scored frames that are joined; outcomes are met where they lie."""
+    _, df = made_panel(spark)
+    at = gt.walk_forward(df, 60, 30, 30, 10).collect()
+    fits = [(c, wf.fit_groups(df, ["window_id"], X, y, (k,), windows=at)) for c, y, k in (("phase1_risk", "y", "logistic"), ("phase2_risk", "y", "gaussian"), ("phase4_return", "r", "ridge"))]
+    valid = wf.valid_rows(df, at)
+    one = wf.score_models(valid, fits, ["window_id"], X)
+    parts = [wf.score_groups(valid, p, ["window_id"], X) for _, p in fits]
+    want = {(r.window_id, r.trade_date, r.symbol): r for r in st.joined(*parts).collect()}
+    got = {(r.window_id, r.trade_date, r.symbol): r for r in one.collect()}
+    assert got.keys() == want.keys() and len(got) == 3 * 30 * 12
+    assert all(got[k][c] == pytest.approx(want[k][c]) for k in want for c, _ in fits)
+    assert "SortMergeJoin" not in one._jdf.queryExecution().executedPlan().toString()
+    outcomes = df.select("symbol", "trade_date", *[F.col("r").alias(f"{c}_5d") for c in ("return", "max_profit", "max_drawdown")]).where("trade_date > '2020-02-01'")
+    picks = df.where("symbol < '000003'").select(F.lit("s").alias("strategy"), "trade_date", "symbol", F.lit(1).alias("selected_rank"))
+    assert sorted(st.met_trades(picks, outcomes, (5,)).collect()) == sorted(st.strict_trades(picks, outcomes, (5,)).collect())
