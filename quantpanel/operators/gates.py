@@ -106,19 +106,13 @@ def stock_code(c: F.Column) -> F.Column:
     return F.concat(F.when(code.rlike("^(600|601|603|605|688|689|900)"), "sh").otherwise("sz"), code)
 
 
-def tail_risk_model(panel: DataFrame, features: list[str], label: str, rows: int = 5_000_000):
-    """Standardised logistic regression on complete rows (V1); training is distributed, `rows` bounds what it reads of them.
-
-    Rows are taken by a hash of symbol and date where there are more than that.
-    """
+def tail_risk_model(panel: DataFrame, features: list[str], label: str):
+    """Standardised logistic regression on all complete rows (V1); training is distributed."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
-    known = panel.dropna(subset=[*features, label]).localCheckpoint()  # read by the count and by each stage
-    n = known.count()
-    if n > rows:
-        known = known.where(F.pmod(F.xxhash64("symbol", "trade_date"), F.lit(1_000_000)) < int(1_000_000 * rows / n))
+    known = panel.dropna(subset=[*features, label]).localCheckpoint()  # read by each stage
     stages = [VectorAssembler(inputCols=features, outputCol="_x"), StandardScaler(inputCol="_x", outputCol="_z", withMean=True), LogisticRegression(featuresCol="_z", labelCol=label, maxIter=50)]
     return Pipeline(stages=stages).fit(known)
 

@@ -81,6 +81,18 @@ def test_tail_risk_model_works_its_panel_out_once(spark):
     assert seen.value == 400
 
 
+def test_tail_risk_model_is_fitted_to_all_rows(spark):
+    """No setting bounds the rows that are read."""
+    import inspect
+
+    from quantpanel.operators import gates as gt
+
+    assert list(inspect.signature(gt.tail_risk_model).parameters) == ["panel", "features", "label"]
+    raw = spark.range(3000).selectExpr("lpad(cast(id % 7 as string), 6, '0') as symbol", "date_add(date '2000-01-01', cast(id as int)) as trade_date", "cast(id % 13 as double) as x", "cast((id % 13 > 6) = (id > 1000) and id % 5 > 0 as int) as y")
+    model = gt.tail_risk_model(raw, ["x"], "y")
+    assert model.stages[-1].coefficients[0] > 0 and model.stages[-1].summary.predictions.count() == 3000
+
+
 def lines(spark, n=3000):
     return spark.range(n).selectExpr("id % 20 as l_suppkey", "cast(date_add(date '2000-01-01', cast(id div 25 as int)) as timestamp) as l_shipdate", "100D + id * 37 % 91 as l_extendedprice", "id % 7 / 100D as l_tax", "id % 5 / 100D as l_discount", "1D + id % 9 as l_quantity")
 
