@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -192,18 +194,37 @@ def required_history(selected: tuple[int, ...]) -> int:
     return max(MOMENTUM_DAYS, *(HISTORY[k] for k in selected))
 
 
+def _momentum(bars: DataFrame) -> DataFrame:
+    """Numbered bars with their 5-bar rise, null before the last 200 bars."""
+    rise = F.try_divide("close", F.lag("close", MOMENTUM_WINDOW - 1).over(by_symbol())) - 1
+    return _numbered(bars).withColumn("rise", F.when(F.col("idx") > F.col("n_bars") - MOMENTUM_DAYS + MOMENTUM_WINDOW - 1, rise))
+
+
+def _fits(selected: tuple[int, ...], least_amount: float) -> F.Column:
+    return (F.col("n") >= required_history(selected)) & (F.col("amount") >= least_amount) & (F.col("rise") >= MOMENTUM_RISE)
+
+
 def eligible(bars: DataFrame, selected: tuple[int, ...] = tuple(PATTERNS), least_amount: float = LEAST_AMOUNT) -> DataFrame:
     """(symbol) of enough history, mean amount and a 5-bar rise within the last 200 bars (PT0, PT0b, PT0c)."""
-    df = _numbered(bars).withColumn("rise", F.try_divide("close", F.lag("close", MOMENTUM_WINDOW - 1).over(by_symbol())) - 1)
-    recent = F.col("idx") > F.col("n_bars") - MOMENTUM_DAYS + MOMENTUM_WINDOW - 1
-    agg = df.where(recent).groupBy("symbol").agg(F.max("n_bars").alias("n"), F.max_by("amount_ma_20", "idx").alias("amount"), F.max("rise").alias("rise"))
-    return agg.where((F.col("n") >= required_history(selected)) & (F.col("amount") >= least_amount) & (F.col("rise") >= MOMENTUM_RISE)).select("symbol")
+    agg = _momentum(bars).groupBy("symbol").agg(F.max("n_bars").alias("n"), F.max_by("amount_ma_20", "idx").alias("amount"), F.max("rise").alias("rise"))
+    return agg.where(_fits(selected, least_amount)).select("symbol")
 
 
-def pattern_report(bars: DataFrame, as_of=None, selected: tuple[int, ...] = tuple(PATTERNS), least_amount: float = LEAST_AMOUNT) -> DataFrame:
-    """A row for each symbol and pattern that fits its last bar up to a date, with the columns common to all (PT0, PT7, PT8)."""
+def eligible_bars(bars: DataFrame, selected: tuple[int, ...] = tuple(PATTERNS), least_amount: float = LEAST_AMOUNT) -> DataFrame:
+    """Bars of the symbols of `eligible`, told by windows of the symbol in the same sort, so bars are read once and nothing is joined."""
+    whole = by_symbol().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    df = _momentum(bars).select(F.struct(*bars.columns).alias("_bar"), "symbol", "trade_date", F.col("n_bars").alias("n"), "amount_ma_20", F.col("rise").alias("_r"))
+    df = df.withColumns({"amount": F.last("amount_ma_20").over(whole), "rise": F.max("_r").over(whole)})
+    return df.where(_fits(selected, least_amount)).select("_bar.*")
+
+
+def pattern_report(bars: DataFrame, as_of=None, selected: tuple[int, ...] = tuple(PATTERNS), least_amount: float = LEAST_AMOUNT, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """A row for each symbol and pattern that fits its last bar up to a date, with the columns common to all (PT0, PT7, PT8).
+
+    keep stores the bars of the symbols that the patterns look at, as each pattern reads them.
+    """
     bars = bars if as_of is None else bars.where(F.col("trade_date") <= F.lit(as_of).cast("date"))
-    bars = bars.join(eligible(bars, selected, least_amount), "symbol", "left_semi")
+    bars = keep(eligible_bars(bars, selected, least_amount))
     found = []
     if set(selected) & {1, 2, 3}:
         states = F.create_map(*[F.lit(x) for kv in (("pre_breakout", 1), ("breakout", 2), ("follow_through", 3)) for x in kv])

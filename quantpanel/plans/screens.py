@@ -38,7 +38,7 @@ def volume_top_states(spark, sf_dir):
 @query()
 def pattern_report(spark, sf_dir):
     """All patterns of the last bars (PT0, PT4, PT6-PT8); the least mean amount fits the supplied volumes."""
-    return pt.pattern_report(src.bars_of(spark, sf_dir), least_amount=100.0)
+    return pt.pattern_report(src.bars_of(spark, sf_dir), least_amount=100.0, keep=src.held)
 
 
 @query(f"{_I} a0 AS (SELECT *, close / lag(close, 4) OVER ({_S}) - 1 AS rise, {_avg('amount', 20)} AS am FROM i0), --- SELECT symbol FROM a0 WHERE idx > n_bars - 196 GROUP BY symbol HAVING max(n_bars) >= 200 AND max(CASE WHEN idx = n_bars THEN am END) >= 100 AND max(rise) >= 0.1", "", "symbol")

@@ -93,6 +93,20 @@ def test_tail_risk_model_is_fitted_to_all_rows(spark):
     assert model.stages[-1].coefficients[0] > 0 and model.stages[-1].summary.predictions.count() == 3000
 
 
+def test_bars_of_eligible_symbols_are_told_in_one_pass(spark):
+    from quantpanel.operators import patterns as pt
+
+    bars = walk(spark, 6, 230).where("symbol <> '000002' or trade_date < '2020-06-01'").withColumn("amount", F.when(F.col("symbol") == "000001", 1.0).otherwise(F.col("amount")))
+    bars = bars.withColumn("close", F.when(F.col("symbol") == "000003", 10.0).otherwise(F.col("close")))
+    out = pt.eligible_bars(bars, least_amount=100.0)
+    some = pt.eligible(bars, least_amount=100.0)
+    assert 0 < some.count() < 6 and sorted(out.collect()) == sorted(bars.join(some, "symbol", "left_semi").select(*bars.columns).collect()) and out.columns == bars.columns
+    assert not nodes(out, "Join") and len(nodes(src.derive_bars(lines(spark)).transform(pt.eligible_bars), "Exchange")) == 1
+    kept = []
+    pt.pattern_report(bars, least_amount=100.0, keep=lambda df: kept.append(df) or df).collect()
+    assert len(kept) == 1
+
+
 def lines(spark, n=3000):
     return spark.range(n).selectExpr("id % 20 as l_suppkey", "cast(date_add(date '2000-01-01', cast(id div 25 as int)) as timestamp) as l_shipdate", "100D + id * 37 % 91 as l_extendedprice", "id % 7 / 100D as l_tax", "id % 5 / 100D as l_discount", "1D + id % 9 as l_quantity")
 
