@@ -107,6 +107,19 @@ def test_bars_of_eligible_symbols_are_told_in_one_pass(spark):
     assert len(kept) == 1
 
 
+def test_thresholds_of_tail_events_are_percentiles_of_the_frame(spark):
+    """The same doubles as F.percentile over the frame, at places between values and on one, without a map a frame."""
+    from quantpanel.operators.indicators import by_symbol
+
+    bars = walk(spark, 3, 150).withColumn("close", F.when(F.dayofyear("trade_date") != 20, F.col("close")))
+    for lookback, q in ((100, 0.05), (21, 0.05), (10, 0.5), (5, 1.0)):
+        out = lab.tail_risk(bars, lookback, q)
+        w = by_symbol().rowsBetween(-lookback, -1)
+        want = out.withColumn("want", F.when(F.count("log_return").over(w) >= lookback, F.percentile("log_return", q).over(w)))
+        assert want.where("not (threshold <=> want)").select("threshold", "want").collect() == [] and want.where("want is not null").count() > 0
+    assert "percentile" not in lab.tail_risk(bars)._jdf.queryExecution().executedPlan().toString()
+
+
 def lines(spark, n=3000):
     return spark.range(n).selectExpr("id % 20 as l_suppkey", "cast(date_add(date '2000-01-01', cast(id div 25 as int)) as timestamp) as l_shipdate", "100D + id * 37 % 91 as l_extendedprice", "id % 7 / 100D as l_tax", "id % 5 / 100D as l_discount", "1D + id % 9 as l_quantity")
 
